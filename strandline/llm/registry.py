@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
+from strandline.llm.packing import pack
 from strandline.llm.quality import quality_report
 
 
@@ -12,7 +13,12 @@ def op10_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pack_local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_pack_local_search": op4_pack_local_search,
     "op10_quality_compression": op10_quality_compression,
 }
 
