@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
 from strandline.llm.packing import pack
+from strandline.llm import warc
 from strandline.llm.quality import quality_report
 
 
@@ -17,9 +18,16 @@ def op4_pack_local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op8_warc_normalise": op8_warc_normalise,
     "op4_pack_local_search": op4_pack_local_search,
     "op10_quality_compression": op10_quality_compression,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc_normalise": warc.ORACLE,
+}
