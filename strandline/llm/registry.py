@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
 from strandline.llm.packing import pack
-from strandline.llm import warc
+from strandline.llm import decontaminate, warc
 from strandline.llm.quality import quality_report
 
 
@@ -22,12 +22,18 @@ def op8_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op6_decontaminate_prefix": op6_decontaminate_prefix,
     "op8_warc_normalise": op8_warc_normalise,
     "op4_pack_local_search": op4_pack_local_search,
     "op10_quality_compression": op10_quality_compression,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_decontaminate_prefix": decontaminate.ORACLE,
     "op8_warc_normalise": warc.ORACLE,
 }
