@@ -37,17 +37,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """At most ``rows_per_class`` labelled texts of each class, picked by a hash of the id.
 
     A bounded fitting sample: texts over ``most_chars`` are left to scoring, which bounds what reaches the driver to
-    ``2 * rows_per_class * most_chars`` characters however large the tables are.
+    ``4 * rows_per_class * most_chars`` characters however large the tables are.
     """
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(keep)
     one = one.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, most_chars)).join(one, "doc_id")
-    order = [F.xxhash64("doc_id", F.lit(label)), "doc_id", "text"]
-    picked = [rows.where(F.col("_y") == y).orderBy(*order).limit(rows_per_class).select("text", "_y") for y in (0, 1)]
-    return [(r[0], r[1]) for part in picked for r in part.collect()]
+    order = [F.xxhash64("doc_id", F.lit(label)), "doc_id"]
+    picked = [one.where(F.col("_y") == y).orderBy(*order).limit(2 * rows_per_class) for y in (0, 1)]
+    ids = [(r[0], r[1]) for part in picked for r in part.collect()]  # ids first: only the picked texts move
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, _y int"))  # at most 4 * rows_per_class rows
+    rows = docs.select("doc_id", "text").where(F.length("text").between(1, most_chars)).join(chosen, "doc_id")
+    found = sorted((r[0], r[1], r[2]) for r in rows.select("doc_id", "text", "_y").collect())
+    return [(t, y) for c in (0, 1) for _, t, y in [r for r in found if r[2] == c][:rows_per_class]]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 1500, most_chars: int = 12_000, dict_bytes: int = 65_536, piece_bytes: int = 512, level: int = 3, share: float = 0.88) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 1000, most_chars: int = 12_000, dict_bytes: int = 65_536, piece_bytes: int = 512, level: int = 3, share: float = 0.88) -> QualityModel:
     """Dictionaries and curve from a bounded sample of labelled rows outside the held-out fold (crc32(id) mod 4 = 2)."""
     sample = labelled_sample(docs, labels, "quality", crc_of_id("doc_id") % 4 != 2, rows_per_class, most_chars)
     return fit_quality_rows(sample, dict_bytes=dict_bytes, piece_bytes=piece_bytes, level=level, share=share)
