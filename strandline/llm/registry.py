@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
 from strandline.llm.packing import pack
-from strandline.llm import decontaminate, warc
+from strandline.llm import decontaminate, minhash, warc
 from strandline.llm.quality import quality_report
 
 
@@ -26,7 +26,12 @@ def op6_decontaminate_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_minhash_chosen_path": op2_minhash_chosen_path,
     "op6_decontaminate_prefix": op6_decontaminate_prefix,
     "op8_warc_normalise": op8_warc_normalise,
     "op4_pack_local_search": op4_pack_local_search,
@@ -34,6 +39,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_minhash_chosen_path": minhash.ORACLE,
     "op6_decontaminate_prefix": decontaminate.ORACLE,
     "op8_warc_normalise": warc.ORACLE,
 }
