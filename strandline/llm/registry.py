@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
 from strandline.llm.packing import pack
-from strandline.llm import decontaminate, minhash, warc
+from strandline.llm import decontaminate, minhash, substrings, warc
 from strandline.llm.quality import quality_report
 
 
@@ -30,7 +30,12 @@ def op2_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_substring_automata": op7_substring_automata,
     "op2_minhash_chosen_path": op2_minhash_chosen_path,
     "op6_decontaminate_prefix": op6_decontaminate_prefix,
     "op8_warc_normalise": op8_warc_normalise,
@@ -39,6 +44,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_substring_automata": substrings.ORACLE,
     "op2_minhash_chosen_path": minhash.ORACLE,
     "op6_decontaminate_prefix": decontaminate.ORACLE,
     "op8_warc_normalise": warc.ORACLE,
