@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
 from strandline.llm.packing import pack
-from strandline.llm import decontaminate, minhash, substrings, warc
+from strandline.llm import decontaminate, minhash, projections, substrings, warc
 from strandline.llm.quality import quality_report
 
 
@@ -34,7 +34,12 @@ def op7_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op1_embedding_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_embedding_projections": op1_embedding_projections,
     "op7_substring_automata": op7_substring_automata,
     "op2_minhash_chosen_path": op2_minhash_chosen_path,
     "op6_decontaminate_prefix": op6_decontaminate_prefix,
@@ -44,6 +49,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_projections": projections.ORACLE,
     "op7_substring_automata": substrings.ORACLE,
     "op2_minhash_chosen_path": minhash.ORACLE,
     "op6_decontaminate_prefix": decontaminate.ORACLE,
