@@ -8,6 +8,7 @@ from strandline.llm.common import table
 from strandline.llm.packing import pack
 from strandline.llm import decontaminate, minhash, projections, substrings, warc
 from strandline.llm.quality import quality_report
+from strandline.llm.toxicity import toxicity_report
 
 
 def op10_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,12 @@ def op1_embedding_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op3_toxicity_channel": op3_toxicity_channel,
     "op1_embedding_projections": op1_embedding_projections,
     "op7_substring_automata": op7_substring_automata,
     "op2_minhash_chosen_path": op2_minhash_chosen_path,
