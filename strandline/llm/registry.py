@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
 from strandline.llm.packing import pack
-from strandline.llm import decontaminate, minhash, projections, substrings, warc
+from strandline.llm import decontaminate, minhash, pii, projections, substrings, warc
 from strandline.llm.quality import quality_report
 from strandline.llm.toxicity import toxicity_report
 
@@ -43,7 +43,12 @@ def op3_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_pii_field": op5_pii_field,
     "op3_toxicity_channel": op3_toxicity_channel,
     "op1_embedding_projections": op1_embedding_projections,
     "op7_substring_automata": op7_substring_automata,
