@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
 from strandline.llm.packing import pack
-from strandline.llm import decontaminate, minhash, pii, projections, substrings, warc
+from strandline.llm import chat, decontaminate, minhash, pii, projections, substrings, warc
 from strandline.llm.quality import quality_report
 from strandline.llm.toxicity import toxicity_report
 
@@ -47,7 +47,12 @@ def op5_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op9_preference_format": op9_preference_format,
     "op5_pii_field": op5_pii_field,
     "op3_toxicity_channel": op3_toxicity_channel,
     "op1_embedding_projections": op1_embedding_projections,
@@ -60,6 +65,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op9_preference_format": chat.ORACLE,
     "op1_embedding_projections": projections.ORACLE,
     "op7_substring_automata": substrings.ORACLE,
     "op2_minhash_chosen_path": minhash.ORACLE,
