@@ -2,11 +2,652 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions import arrays as A
+from strandline.operators import joins as J
+from strandline.operators import metrics as M
+from strandline.operators import models as L
+from strandline.operators import rolling as R
+from strandline.operators import streams as S
+from strandline.operators import topk as K
+from strandline.plans import base as B
+from strandline.plans.base import SQL, SQL_LINES, SQL_WAVES, r6
+from strandline.sources import tables as T
+from strandline.streaming import hosts as H
+from strandline.streaming import machines as X
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None, on: str = SQL):
+    """Register a function under its name, with the SELECT that follows the shared views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = on + sql
+        return f
+
+    return add
+
+
+def frame(s, sf, columns: dict, halo: int, of=None) -> DataFrame:
+    return S.framed(of if of is not None else B.scores(s, sf), ["dataset"], "_at", columns, halo)
+
+
+W20 = "OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+OV = "OVER (PARTITION BY dataset ORDER BY window_index)"
+
+# ================================================================== scans, projections, arrays
+
+
+@query("SELECT dataset, vec_id, list_reduce(s, lambda a, b: a + b) IS NOT NULL AS ok, len(s) AS n, round(s[1], 6) AS first, round(s[12], 6) AS last FROM sl", SQL_WAVES)
+def scan_wide_slice(s, sf):
+    w = B.waves(s, sf).select("dataset", "vec_id", A.phase_slice(F.col("wave"), 64).alias("s"))
+    return w.select("dataset", "vec_id", (F.size("s") > 0).alias("ok"), F.size("s").cast("long").alias("n"), r6(F.element_at("s", 1), "first"), r6(F.element_at("s", -1), "last"))
+
+
+@query("SELECT dataset, cycle, round(rx, 8) AS rx, round(ry, 8) AS ry, round(sqrt(rx * rx + ry * ry), 8) AS rs FROM ls", SQL_LINES)
+def ratio_channels(s, sf):
+    return B.stream_lineitem(s, sf).select("dataset", "cycle", *[F.round(c, 8).alias(c) for c in ("rx", "ry", "rs")])
+
+
+@query(
+    "SELECT dataset, vec_id, round(list_avg(s), 6) AS mean, round(list_avg(list_transform(s, lambda x: abs(x))), 6) AS absmean, round(sqrt(list_avg(list_transform(s, lambda x: x * x))), 6) AS rms, "
+    "round(list_stddev_pop(s), 6) AS std, round(list_max(s) - list_min(s), 6) AS p2p, round(list_aggregate(s, 'quantile_cont', 0.95), 6) AS q95, round(list_aggregate(s, 'quantile_cont', 0.05), 6) AS q05 FROM sl",
+    SQL_WAVES,
+)
+def array_stats(s, sf):
+    v = F.col("s")
+    w = B.waves(s, sf).select("dataset", "vec_id", A.phase_slice(F.col("wave"), 64).alias("s"))
+    return w.select(
+        "dataset", "vec_id", r6(A.mean(v), "mean"), r6(A.mean(v, F.abs), "absmean"), r6(F.sqrt(A.mean(v, lambda x: x * x)), "rms"), r6(A.deviation(v), "std"), r6(F.array_max(v) - F.array_min(v), "p2p"), r6(A.quantile(v, 0.95), "q95"), r6(A.quantile(v, 0.05), "q05")
+    )
+
+
+@query(
+    ", p AS (SELECT dataset, vec_id, unnest(s) AS x, unnest(generate_series(1, len(s))) AS i FROM sl), b AS (SELECT dataset, i, avg(x) AS m FROM p GROUP BY ALL) "
+    "SELECT p.dataset, vec_id, round(1 - corr(x, m), 6) AS corrdist FROM p JOIN b USING (dataset, i) GROUP BY ALL",
+    SQL_WAVES,
+)
+def corrdist(s, sf):
+    w = B.waves(s, sf).select("dataset", "vec_id", A.phase_slice(F.col("wave"), 64).alias("s"))
+    base = w.select("dataset", F.posexplode("s").alias("i", "x")).groupBy("dataset", "i").agg(F.avg("x").alias("m"))
+    base = base.groupBy("dataset").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("b"))
+    return w.join(F.broadcast(base), "dataset").select("dataset", "vec_id", r6(A.correlation_distance(F.col("s"), F.col("b")), "corrdist"))  # one wave a stream
+
+
+@query(
+    ", a AS (SELECT dataset, vec_id, list_transform(s, lambda x: abs(x)) AS a FROM sl) SELECT dataset, vec_id, list_position(a, list_max(a)) + 28 AS peak_phase, "
+    "round(len(list_filter(a, lambda x: x >= 0.8 * list_max(a))) / len(a), 6) AS peak_width FROM a",
+    SQL_WAVES,
+)
+def peak_phase(s, sf):
+    w = B.waves(s, sf).select("dataset", "vec_id", A.phase_slice(F.col("wave"), 64).alias("s"))
+    return w.select("dataset", "vec_id", A.peak_phase(F.col("s"), 29).cast("long").alias("peak_phase"), r6(A.peak_width(F.col("s")), "peak_width"))
+
+
+@query(", m AS (SELECT dataset, median(ry) AS m FROM ls GROUP BY 1) SELECT dataset, cycle, round(coalesce(ry, m), 6) AS ry, ry IS NULL AS imputed FROM ls JOIN m USING (dataset)", SQL_LINES)
+def impute_median(s, sf):
+    li = B.stream_lineitem(s, sf)
+    m = li.groupBy("dataset").agg(M.med("ry").alias("_m"))
+    return li.join(F.broadcast(m), "dataset").select("dataset", "cycle", r6(F.coalesce("ry", "_m"), "ry"), F.col("ry").isNull().alias("imputed"))
+
+
+@query("SELECT dataset, window_index, round(1 / (1 + exp(-greatest(-35, least(35, awr)))), 6) AS p, round(ln(greatest(1e-6, least(1 - 1e-6, 0.5 + awr / 100)) / (1 - greatest(1e-6, least(1 - 1e-6, 0.5 + awr / 100)))), 6) AS l FROM sc")
+def sigmoid_logit(s, sf):
+    return B.scores(s, sf).select("dataset", "window_index", r6(A.sigmoid(F.col("awr")), "p"), r6(A.logit(0.5 + F.col("awr") / 100), "l"))
+
+
+@query(
+    ", p AS (SELECT dataset, vec_id, list_transform(s, lambda x: exp(x) / list_sum(list_transform(s, lambda y: exp(y)))) AS p FROM sl) "
+    "SELECT dataset, vec_id, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 6) AS entropy FROM p",
+    SQL_WAVES,
+)
+def softmax_entropy(s, sf):
+    w = B.waves(s, sf).select("dataset", "vec_id", A.softmax(A.phase_slice(F.col("wave"), 64)).alias("p"))
+    return w.select("dataset", "vec_id", r6(A.entropy(F.col("p")), "entropy"))
+
+
+@query("SELECT dataset, window_index, round(awr, 6) AS mean_z, round(0.5 * z_x_mean + 0.3 * z_x_rms + 0.2 * z_x_p2p, 6) AS weighted FROM sc")
+def mean_z_score(s, sf):
+    return B.scores(s, sf).select("dataset", "window_index", r6("awr", "mean_z"), r6(A.weighted({"z_x_mean": 0.5, "z_x_rms": 0.3, "z_x_p2p": 0.2}), "weighted"))
+
+
+@query(
+    ", c AS (SELECT dataset, window_index, 'm' AS n, 0.5 * z_x_mean AS v FROM sc UNION ALL SELECT dataset, window_index, 'r', 0.3 * z_x_rms FROM sc UNION ALL SELECT dataset, window_index, 'p', -0.2 * z_x_p2p FROM sc), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY dataset, window_index ORDER BY abs(v) DESC, n) AS i FROM c) SELECT dataset, window_index, string_agg(n, ';' ORDER BY i) AS top FROM k WHERE i <= 2 GROUP BY ALL"
+)
+def top_contributions(s, sf):
+    c = {"m": 0.5 * F.col("z_x_mean"), "r": 0.3 * F.col("z_x_rms"), "p": -0.2 * F.col("z_x_p2p")}
+    return B.scores(s, sf).select("dataset", "window_index", A.top_contributions(c, 2).alias("top"))
+
+
+@query("SELECT dataset, window_index, CASE stage WHEN 1 THEN 0.0 WHEN 2 THEN 0.15 WHEN 3 THEN 0.4 WHEN 4 THEN 0.7 ELSE 1.0 END::DOUBLE AS soft, CASE stage WHEN 4 THEN 2.0 WHEN 5 THEN 4.0 ELSE 1.0 END::DOUBLE AS weight FROM sc")
+def soft_labels(s, sf):
+    return B.scores(s, sf).select("dataset", "window_index", A.mapped(F.col("stage"), A.SOFT_LABELS).alias("soft"), A.mapped(F.col("stage"), A.SOFT_WEIGHTS).alias("weight"))
+
+
+THRESHOLDS = ", th AS (SELECT dataset, quantile_cont(awr, 0.95) AS ta, quantile_cont(bd, 0.95) AS tb FROM sc WHERE baseline_window = 1 GROUP BY 1)"
+
+
+def thresholds(sc: DataFrame) -> DataFrame:
+    return sc.where("baseline_window = 1").groupBy("dataset").agg(M.med("awr", 0.95).alias("ta"), M.med("bd", 0.95).alias("tb"))
+
+
+def regions(s, sf) -> DataFrame:
+    sc = B.scores(s, sf)
+    return sc.join(F.broadcast(thresholds(sc)), "dataset").withColumn("region", A.state_region(F.col("awr"), F.col("bd"), F.col("ta"), F.col("tb")))
+
+
+REGION = THRESHOLDS + (
+    ", rg AS (SELECT sc.*, CASE WHEN awr >= ta AND bd >= tb THEN 'high_high' WHEN awr >= ta THEN 'high_score' WHEN bd >= tb THEN 'high_distance' ELSE 'stable' END AS region, awr >= ta AND bd >= tb AS high_pair, awr >= ta AS high FROM sc JOIN th USING (dataset))"
+)
+
+
+@query(REGION + " SELECT dataset, window_index, region FROM rg")
+def region_map(s, sf):
+    return regions(s, sf).select("dataset", "window_index", "region")
+
+
+@query("SELECT dataset, feature_name, count(*) FILTER (value IS NULL) AS missing, round(avg(CASE WHEN z_value <= -11.9 THEN 1.0 ELSE 0.0 END), 6) AS low_rate, round(avg(CASE WHEN z_value >= 11.9 THEN 1.0 ELSE 0.0 END), 6) AS high_rate FROM z GROUP BY ALL")
+def saturation(s, sf):
+    return M.saturation(B.z_long(s, sf)).select("dataset", "feature_name", F.round("missing_rate").cast("long").alias("missing"), r6("low_rate"), r6("high_rate"))
+
+
+# ================================================================== reshapes, filters, guards, splits
+
+
+@query("SELECT dataset, window_index, feature_name, round(value, 6) AS value FROM lo")
+def unpivot_long(s, sf):
+    return B.long_features(s, sf).select("dataset", "window_index", "feature_name", r6("value"))
+
+
+@query("SELECT dataset, window_index, round(z_x_mean, 6) AS x_mean, round(z_x_rms, 6) AS x_rms, round(z_x_p2p, 6) AS x_p2p FROM sc")
+def pivot_first(s, sf):
+    return T.pivot_first(B.z_long(s, sf), ["dataset", "window_index"], B.FEATURES, value="z_value").select("dataset", "window_index", *[r6(f) for f in B.FEATURES])
+
+
+@query("SELECT dataset, window_index, CASE WHEN start_cycle <= floor(end_cycle / 500) * 500 + 100 THEN 1 ELSE 0 END AS guard FROM wi")
+def guard_overlap(s, sf):
+    return B.windows(s, sf).select("dataset", "window_index", S.guard_overlap(F.col("start_cycle"), F.col("end_cycle")).alias("guard"))
+
+
+@query("SELECT dataset, window_index, nearest, crosses, CASE WHEN crosses = 1 OR abs(center_cycle - nearest) <= 50 THEN 1 ELSE 0 END AS guard FROM (SELECT *, CASE WHEN start_cycle < nearest AND end_cycle > nearest THEN 1 ELSE 0 END AS crosses FROM (SELECT *, greatest(500, round_even(center_cycle / 500, 0) * 500)::DOUBLE AS nearest FROM wi))")
+def guard_nearest(s, sf):
+    near, crosses, guard = S.guard_nearest(F.col("start_cycle"), F.col("center_cycle"), F.col("end_cycle"))
+    return B.windows(s, sf).select("dataset", "window_index", near.alias("nearest"), crosses.alias("crosses"), guard.alias("guard"))
+
+
+@query("SELECT dataset, window_index, CASE WHEN center_cycle - floor(center_cycle / 500) * 500 <= 100 THEN 1 ELSE 0 END AS guard, CASE WHEN center_cycle - floor(center_cycle / 500) * 500 <= 100 AND center_cycle >= 500 THEN 1 ELSE 0 END AS clamped FROM wi")
+def guard_center(s, sf):
+    c = F.col("center_cycle")
+    return B.windows(s, sf).select("dataset", "window_index", S.guard_prior(c).alias("guard"), S.guard_prior(c, clamp=True).alias("clamped"))
+
+
+@query(f"SELECT dataset, window_index, period, CASE WHEN period <> lag(period) {OV} THEN 1 ELSE 0 END AS restart, CASE WHEN abs(center_cycle - 500 * period) <= 50 THEN 1 ELSE 0 END AS guarded FROM (SELECT *, floor((center_cycle - 1) / 500)::BIGINT AS period FROM wi)")
+def restart_mask(s, sf):
+    return S.guard_restart(B.windows(s, sf)).select("dataset", "window_index", "period", "restart", "guarded")
+
+
+@query("SELECT dataset, window_index, CASE WHEN few < 200 THEN CASE WHEN window_index < 100 THEN 1 ELSE 0 END ELSE b END AS reset, greatest(b, CASE WHEN few < 200 AND window_index < 100 THEN 1 ELSE 0 END) AS either FROM (SELECT *, baseline_window AS b, sum(baseline_window) OVER (PARTITION BY dataset) AS few FROM wi)")
+def baseline_mask(s, sf):
+    w = B.windows(s, sf)
+    both = S.baseline_mask(S.baseline_mask(w, least=200).withColumnRenamed("in_baseline", "reset"), least=200, mode="or")
+    return both.select("dataset", "window_index", "reset", F.col("in_baseline").alias("either"))
+
+
+@query("SELECT dataset, window_index, CASE WHEN n < 20 THEN 'none' WHEN rn < c - 20 THEN 'train' WHEN rn >= c + 20 THEN 'validation' ELSE 'none' END AS part FROM (SELECT *, floor(n * 0.7::DOUBLE) AS c FROM (SELECT *, row_number() OVER (PARTITION BY dataset, stage ORDER BY window_index) - 1 AS rn, count(*) OVER (PARTITION BY dataset, stage) AS n FROM wi))")
+def stage_split(s, sf):
+    return S.stage_split(B.windows(s, sf)).select("dataset", "window_index", "part")
+
+
+@query("SELECT dataset, window_index, CASE WHEN window_index < floor(n * 0.7::DOUBLE) THEN 'train' WHEN window_index >= floor(n * 0.7::DOUBLE) + 20 THEN 'validation' ELSE 'embargo' END AS part FROM (SELECT *, count(*) OVER (PARTITION BY dataset) AS n FROM wi)")
+def chrono_split(s, sf):
+    return S.chrono_split(B.windows(s, sf)).select("dataset", "window_index", "part")
+
+
+@query("SELECT dataset, feature_name, count(DISTINCT round(value, 12)) AS n_unique, round(quantile_cont(value, 0.99) - quantile_cont(value, 0.01), 6) AS span, CASE WHEN count(DISTINCT round(value, 12)) >= 20 AND quantile_cont(value, 0.99) - quantile_cont(value, 0.01) > 1e-6 AND quantile_cont(value, 0.75) - quantile_cont(value, 0.25) > 1e-6 THEN 1 ELSE 0 END AS eligible FROM lo GROUP BY ALL")
+def feature_support(s, sf):
+    return S.support_filter(B.long_features(s, sf)).select("dataset", "feature_name", "n_unique", r6("span"), "eligible")
+
+
+@query("SELECT dataset, window_index, round(x_mean, 6) AS x_mean FROM wi")
+def label_guard(s, sf):
+    return S.forbid_columns(S.drop_labels(B.windows(s, sf))).select("dataset", "window_index", r6("x_mean"))
+
+
+# ================================================================== windows
+
+
+@query("SELECT dataset, window_index, start_cycle, end_cycle, center_cycle, stage, baseline_window, round(x_mean, 6) AS x_mean, round(x_rms, 6) AS x_rms, round(x_p2p, 6) AS x_p2p FROM wi")
+def count_windows(s, sf):
+    return B.windows(s, sf).select(*B.IDS, *[r6(f) for f in B.FEATURES])
+
+
+@query("SELECT dataset, window_index, feature_name, round(z_value, 6) AS z_value FROM z")
+def robust_z(s, sf):
+    return B.z_long(s, sf).select("dataset", "window_index", "feature_name", r6("z_value"))
+
+
+@query(f"SELECT dataset, window_index, round(quantile_cont(awr, 0.5) {W20}, 6) AS med20, round(avg(awr) {W20}, 6) AS mean20 FROM sc")
+def rolling_median(s, sf):
+    return frame(s, sf, {"med20": R.rolling_median("awr", 20), "mean20": R.rolling_mean("awr", 20)}, 19).select("dataset", "window_index", r6("med20"), r6("mean20"))
+
+
+@query(f", f AS (SELECT dataset, window_index, list(awr) {W20} AS v FROM sc), m AS (SELECT *, list_aggregate(v, 'median') AS m FROM f), d AS (SELECT *, 1.4826 * list_aggregate(list_transform(v, lambda x: abs(x - m)), 'median') AS mad FROM m) SELECT dataset, window_index, round(CASE WHEN len(v) < 3 THEN 0 WHEN mad < 1e-9 THEN list_stddev_pop(v) ELSE mad END, 6) AS mad20 FROM d")
+def rolling_mad(s, sf):
+    return frame(s, sf, {"mad20": R.rolling_mad("awr", 20)}, 19).select("dataset", "window_index", r6("mad20"))
+
+
+RS = "SELECT dataset, window_index, CASE WHEN count(*) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) = 40 THEN (quantile_cont(awr, 0.5) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) - quantile_cont(awr, 0.5) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING)) / 20 END AS rs, z_x_mean, z_x_rms, z_x_p2p, center_cycle FROM sc"
+
+
+@query(f", t AS ({RS}) SELECT dataset, window_index, round(rs, 6) AS rs20, round(coalesce(rs, 0), 6) AS rate40 FROM t")
+def rs_trend(s, sf):
+    return frame(s, sf, {"rs20": R.trend("awr", 20), "rate40": R.half_rate("awr", 40)}, 39).select("dataset", "window_index", r6("rs20"), r6("rate40"))
+
+
+@query(f"SELECT dataset, window_index, round(greatest(0, awr - quantile_cont(awr, 0.5) {W20}), 6) AS jump, round(coalesce(awr - lag(awr, 1) {OV}, 0), 6) AS d1, round(coalesce(awr - lag(awr, 10) {OV}, 0), 6) AS d10 FROM sc")
+def jump_and_diffs(s, sf):
+    return frame(s, sf, {"jump": R.jump("awr", 20), "d1": R.difference("awr", 1), "d10": R.difference("awr", 10)}, 19).select("dataset", "window_index", r6("jump"), r6("d1"), r6("d10"))
+
+
+@query(f"SELECT dataset, window_index, round(regr_slope(awr, window_index + 1) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS slope50 FROM sc")
+def regr_slope(s, sf):
+    return frame(s, sf, {"slope50": R.slope("awr", "_at", 50)}, 49).select("dataset", "window_index", r6("slope50"))
+
+
+TES = (
+    f", f AS (SELECT dataset, window_index, baseline_window, list(awr) {W20} AS v, greatest(0, bd - quantile_cont(bd, 0.5) {W20}) AS bj, greatest(0, z_x_p2p - quantile_cont(z_x_p2p, 0.5) {W20}) AS sj FROM sc), "
+    "m AS (SELECT *, list_aggregate(v, 'median') AS md FROM f), d AS (SELECT *, 1.4826 * list_aggregate(list_transform(v, lambda x: abs(x - md)), 'median') AS mad FROM m), "
+    "q AS (SELECT dataset, window_index, baseline_window, CASE WHEN len(v) < 3 THEN 0 WHEN mad < 1e-9 THEN list_stddev_pop(v) ELSE mad END AS vol, bj, sj FROM d), "
+    "b AS (SELECT dataset, median(vol) AS v0, quantile_cont(vol, 0.75) - quantile_cont(vol, 0.25) + 1e-6 AS v1, median(bj) AS b0, quantile_cont(bj, 0.75) - quantile_cont(bj, 0.25) + 1e-6 AS b1, median(sj) AS s0, quantile_cont(sj, 0.75) - quantile_cont(sj, 0.25) + 1e-6 AS s1 FROM q WHERE baseline_window = 1 GROUP BY 1), "
+    "te AS (SELECT dataset, window_index, 0.4 * greatest(0, (vol - v0) / v1) + 0.4 * greatest(0, (bj - b0) / b1) + 0.2 * greatest(0, (sj - s0) / s1) AS tes FROM q JOIN b USING (dataset))"
+)
+
+
+def tes_frame(s, sf) -> DataFrame:
+    q = frame(s, sf, {"vol": R.rolling_mad("awr", 20), "bj": R.jump("bd", 20), "sj": R.jump("z_x_p2p", 20)}, 19)
+    iqr = lambda c: M.med(c, 0.75) - M.med(c, 0.25) + 1e-6
+    b = q.where("baseline_window = 1").groupBy("dataset").agg(*[x for c in ("vol", "bj", "sj") for x in (M.med(c).alias(f"{c}0"), iqr(c).alias(f"{c}1"))])
+    plus = lambda c: A.positive((F.col(c) - F.col(f"{c}0")) / F.col(f"{c}1"))
+    return q.join(F.broadcast(b), "dataset").withColumn("tes", 0.4 * plus("vol") + 0.4 * plus("bj") + 0.2 * plus("sj"))
+
+
+@query(TES + " SELECT dataset, window_index, round(tes, 5) AS tes FROM te")
+def tes(s, sf):
+    return tes_frame(s, sf).select("dataset", "window_index", F.round("tes", 5).alias("tes"))
+
+
+@query(REGION + f", g AS (SELECT *, sum(CASE WHEN high THEN 0 ELSE 1 END) OVER (PARTITION BY dataset ORDER BY window_index) AS island FROM rg) SELECT dataset, window_index, CASE WHEN high THEN sum(CASE WHEN high THEN 1 ELSE 0 END) OVER (PARTITION BY dataset, island ORDER BY window_index) ELSE 0 END::BIGINT AS run FROM g")
+def run_flag(s, sf):
+    return R.runs(regions(s, sf).withColumn("high", F.col("awr") >= F.col("ta")), "high").select("dataset", "window_index", "run")
+
+
+@query(REGION + f", g AS (SELECT *, coalesce(lag(high) {OV}, false) AS b FROM rg) SELECT dataset, count(*) FILTER (high AND NOT b) AS episodes FROM g GROUP BY 1")
+def episodes(s, sf):
+    return R.episodes(regions(s, sf).withColumn("high", F.col("awr") >= F.col("ta")), "high")
+
+
+@query(", r AS (SELECT dataset, window_index, rank() OVER (PARTITION BY dataset ORDER BY awr) + (count(*) OVER (PARTITION BY dataset, awr) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY dataset) AS n FROM sc) SELECT dataset, window_index, round(100.0 * r / n, 6) AS pct FROM r")
+def pct_rank(s, sf):
+    return R.pct_rank(B.scores(s, sf).select("dataset", "window_index", "awr"), "awr").select("dataset", "window_index", r6("pct"))
+
+
+VEL = (
+    ", v AS (SELECT dataset, window_index, " + ", ".join(
+        f"CASE WHEN count(*) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN quantile_cont({c}, 0.5) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) - quantile_cont({c}, 0.5) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) ELSE 0 END AS v{i}"
+        for i, c in enumerate(("z_x_mean", "z_x_rms", "z_x_p2p"))
+    ) + " FROM sc)"
+)
+
+
+@query(VEL + " SELECT dataset, window_index, round(sqrt(v0 * v0 + v1 * v1 + v2 * v2), 6) AS speed FROM v")
+def velocity(s, sf):
+    z = [f"z_{f}" for f in B.FEATURES]
+    v = frame(s, sf, {f"v_{c}": R.half_difference(c, 20) for c in z}, 19)
+    return v.select("dataset", "window_index", r6(A.norm(F.array(*[f"v_{c}" for c in z])), "speed"))
+
+
+@query(f", f AS (SELECT dataset, window_index, list(z_x_mean) {W20} AS a, list(z_x_rms) {W20} AS b, list(z_x_p2p) {W20} AS c FROM sc), m AS (SELECT *, list_aggregate(a, 'median') AS ma, list_aggregate(b, 'median') AS mb, list_aggregate(c, 'median') AS mc FROM f), r AS (SELECT dataset, window_index, list_transform(generate_series(1, len(a)), lambda i: sqrt((a[i] - ma) ** 2 + (b[i] - mb) ** 2 + (c[i] - mc) ** 2)) AS r FROM m), d AS (SELECT *, list_aggregate(r, 'median') AS mr FROM r) SELECT dataset, window_index, round(list_aggregate(list_transform(r, lambda x: abs(x - mr)), 'median'), 6) AS volatility FROM d")
+def volatility(s, sf):
+    z = [f"z_{f}" for f in B.FEATURES]
+    f = frame(s, sf, {f"l_{c}": R.frame_list(c, 20) for c in z}, 19)
+    f = f.withColumns({f"m_{c}": A.median(F.col(f"l_{c}")) for c in z})
+    square = lambda c: F.transform(f"l_{c}", lambda x: (x - F.col(f"m_{c}")) * (x - F.col(f"m_{c}")))
+    total = F.zip_with(F.zip_with(square(z[0]), square(z[1]), lambda a, b: a + b), square(z[2]), lambda a, b: F.sqrt(a + b))
+    return f.withColumn("_r", total).select("dataset", "window_index", r6(A.mad(F.col("_r"), 1.0), "volatility"))
+
+
+@query("SELECT dataset, window_index, round(awr, 6) AS e, round(0.5 * (awr - coalesce(quantile_cont(awr, 0.5) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), awr)), 6) AS s, round(0.25 * (awr - coalesce(quantile_cont(awr, 0.5) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), awr)), 6) AS l FROM sc")
+def trajectory(s, sf):
+    t = frame(s, sf, {"t": R.trajectory(["awr"])}, 100)
+    return t.select("dataset", "window_index", *[r6(F.element_at("t", i + 1), n) for i, n in enumerate("esl")])
+
+
+@query(f", f AS (SELECT dataset, window_index, list(awr) {W20} AS v FROM sc) SELECT dataset, window_index, 20 AS n, round(v[1], 6) AS first, round(v[len(v)], 6) AS last, 20 - len(v) AS padded FROM f")
+def seq_windows(s, sf):
+    t = frame(s, sf, {"t": R.padded_sequence(["awr"]), "_n": lambda w: F.count(F.lit(1)).over(R.back(w, 20))}, 19)
+    at = lambda i: F.element_at(F.element_at("t", i), 1)
+    return t.select("dataset", "window_index", F.size("t").alias("n"), r6(at(1), "first"), r6(at(-1), "last"), (20 - F.col("_n")).alias("padded"))
+
+
+@query(f"SELECT dataset, window_index, CASE WHEN count(*) {W20} = 20 THEN round(avg(awr) {W20}, 6) END AS mean, CASE WHEN count(*) {W20} = 20 THEN round(stddev_pop(awr) {W20}, 6) END AS std, CASE WHEN count(*) {W20} = 20 THEN round(awr - first_value(awr) {W20}, 6) END AS delta FROM sc")
+def history_vector(s, sf):
+    t = frame(s, sf, {"h": R.history(["awr"])}, 19)
+    return t.select("dataset", "window_index", *[r6(F.get("h", i), n) for i, n in ((1, "mean"), (2, "std"), (3, "delta"))])
+
+
+@query("SELECT dataset, window_index, round(sum(awr) OVER (PARTITION BY dataset ORDER BY window_index), 4) AS regret, round(avg(abs(awr)) OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mae100 FROM sc")
+def regret_and_mae(s, sf):
+    r = S.running_sum(B.scores(s, sf), ["dataset"], "_at", "awr", "regret").withColumn("_e", F.abs("awr"))
+    return frame(s, sf, {"mae100": R.rolling_mean("_e", 100)}, 99, r).select("dataset", "window_index", F.round("regret", 4).alias("regret"), r6("mae100"))
+
+
+@query(", g AS (SELECT dataset, window_index, center_cycle - lag(center_cycle) OVER (PARTITION BY dataset ORDER BY window_index) AS d FROM wi) SELECT dataset, median(d)::DOUBLE AS stride FROM g WHERE d > 0 GROUP BY 1")
+def nominal_stride(s, sf):
+    d = frame(s, sf, {"d": R.difference("center_cycle", 1)}, 1, B.windows(s, sf).withColumn("_at", F.col("window_index") + 1))
+    return d.where("d > 0").groupBy("dataset").agg(M.med("d").alias("stride"))
+
+
+@query()
+def slow_risk(s, sf):
+    rows = B.scores(s, sf).groupBy("dataset").agg(F.transform(F.array_sort(F.collect_list(F.struct("window_index", "awr"))), lambda x: A.sigmoid(x["awr"])).alias("p"))
+    return rows.select("dataset", r6(R.slow_risk(F.col("p")), "slow_risk"), F.size("p").alias("n"))
+
+
+# ================================================================== aggregates and evaluation
+
+
+@query(THRESHOLDS + " SELECT dataset, round(ta, 6) AS awr_p95, round(tb, 6) AS bd_p95 FROM th")
+def threshold_p95(s, sf):
+    return thresholds(B.scores(s, sf)).select("dataset", r6("ta", "awr_p95"), r6("tb", "bd_p95"))
+
+
+@query(", a AS (SELECT dataset, feature_name, median(value) AS m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM lo GROUP BY ALL), d AS (SELECT lo.dataset, lo.feature_name, median(abs(value - m)) AS mad FROM lo JOIN a USING (dataset, feature_name) GROUP BY ALL) SELECT dataset, feature_name, round(m, 6) AS median, round(iqr, 6) AS iqr, round(mad, 6) AS mad, round(greatest(1.4826 * mad, iqr / 1.349, 1e-9), 6) AS scale FROM a JOIN d USING (dataset, feature_name)")
+def robust_stats(s, sf):
+    return M.robust_stats(B.long_features(s, sf), ["dataset", "feature_name"], "value").select("dataset", "feature_name", *[r6(c) for c in ("median", "iqr", "mad", "scale")])
+
+
+LATE = ", la AS (SELECT *, CASE WHEN stage = 5 THEN 1 ELSE 0 END AS late, round(awr, 9) AS ra FROM sc)"
+
+
+def late(s, sf) -> DataFrame:
+    return B.scores(s, sf).withColumn("late", (F.col("stage") == 5).cast("int")).withColumn("ra", F.round("awr", 9))
+
+
+ROC = ", rk AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY ra) + (count(*) OVER (PARTITION BY dataset, ra) - 1) / 2.0 AS r FROM la), au AS (SELECT dataset, sum(late)::BIGINT AS p, (count(*) - sum(late))::BIGINT AS n, sum(r * late) AS s FROM rk GROUP BY 1)"
+
+
+@query(LATE + ROC + " SELECT dataset, p AS n_pos, n AS n_neg, round((s - p * (p + 1) / 2) / (p * n), 6) AS auroc FROM au")
+def auroc(s, sf):
+    return M.auroc(late(s, sf), ["dataset"], "ra", "late").select("dataset", "n_pos", "n_neg", r6("auroc"))
+
+
+@query(LATE + ", o AS (SELECT dataset, late, row_number() OVER (PARTITION BY dataset ORDER BY ra DESC, window_index) AS rn, sum(late) OVER (PARTITION BY dataset ORDER BY ra DESC, window_index ROWS UNBOUNDED PRECEDING) AS tp FROM la) SELECT dataset, round(avg(tp / rn), 6) AS average_precision FROM o WHERE late = 1 GROUP BY 1")
+def avg_precision(s, sf):
+    return M.average_precision(late(s, sf), ["dataset"], "ra", "late", "window_index").select("dataset", r6("average_precision"))
+
+
+@query(LATE + ", r AS (SELECT dataset, rank() OVER (PARTITION BY dataset ORDER BY ra) + (count(*) OVER (PARTITION BY dataset, ra) - 1) / 2.0 AS a, rank() OVER (PARTITION BY dataset ORDER BY stage) + (count(*) OVER (PARTITION BY dataset, stage) - 1) / 2.0 AS b FROM la) SELECT dataset, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1")
+def spearman(s, sf):
+    return M.spearman(late(s, sf).select("dataset", "ra", "stage"), ["dataset"], "ra", "stage").select("dataset", r6("spearman"))
+
+
+@query(LATE + ROC + ", co AS (SELECT dataset, avg(ra) FILTER (late = 1) AS m1, avg(ra) FILTER (late = 0) AS m0, var_samp(ra) FILTER (late = 1) AS v1, var_samp(ra) FILTER (late = 0) AS v0, count(*) FILTER (late = 1) AS n1, count(*) FILTER (late = 0) AS n0 FROM la GROUP BY 1) SELECT dataset, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS cohen_d, round(2 * (s - p * (p + 1) / 2) / (p * n) - 1, 6) AS cliffs_delta FROM co JOIN au USING (dataset)")
+def cliffs_delta(s, sf):
+    return M.cliffs_delta(late(s, sf), ["dataset"], "ra", "late").select("dataset", r6("cohen_d"), r6("cliffs_delta"))
+
+
+@query(", e AS (SELECT dataset, feature_name, median(z_value) FILTER (stage = 1) AS early, median(z_value) FILTER (stage = 5) AS late FROM z GROUP BY ALL) SELECT dataset, feature_name, round(early, 6) AS early, round(late, 6) AS late, CASE WHEN abs(late - early) < 0.05 THEN 0 ELSE coalesce(sign(late - early), 0) END::INTEGER AS direction_sign FROM e")
+def direction_sign(s, sf):
+    return M.direction_signs(B.z_long(s, sf)).select("dataset", "feature_name", r6("early"), r6("late"), "direction_sign")
+
+
+@query(LATE + ", q AS (SELECT dataset, 1 / (1 + exp(-greatest(-35, least(35, awr)))) AS p, late FROM la), b AS (SELECT dataset, least(9, floor(p * 10)) AS b, count(*) AS n, abs(avg(p) - avg(late)) AS g, sum((p - late) ** 2) AS sq FROM q GROUP BY ALL) SELECT dataset, round(sum(n * g) / sum(n), 6) AS ece, round(sum(sq) / sum(n), 6) AS brier FROM b GROUP BY 1")
+def ece_brier(s, sf):
+    return M.calibration(late(s, sf).withColumn("p", A.sigmoid(F.col("awr"))), ["dataset"], "p", "late").select("dataset", r6("ece"), r6("brier"))
+
+
+GUESS = ", gu AS (SELECT dataset, stage, least(5, greatest(1, floor(awr) + 3))::INTEGER AS g FROM sc)"
+
+
+@query(GUESS + ", k AS (SELECT dataset, unnest([1, 2, 3, 4, 5]) AS c FROM (SELECT DISTINCT dataset FROM gu)), f AS (SELECT k.dataset, c, CASE WHEN sum(CASE WHEN stage = c THEN 1 ELSE 0 END + CASE WHEN g = c THEN 1 ELSE 0 END) > 0 THEN 2.0 * sum(CASE WHEN stage = c AND g = c THEN 1 ELSE 0 END) / sum(CASE WHEN stage = c THEN 1 ELSE 0 END + CASE WHEN g = c THEN 1 ELSE 0 END) END AS f FROM k JOIN gu USING (dataset) GROUP BY ALL), a AS (SELECT dataset, avg(CASE WHEN stage = g THEN 1.0 ELSE 0.0 END) AS accuracy, avg(abs(stage - g)) AS mae FROM gu GROUP BY 1) SELECT a.dataset, round(accuracy, 6) AS accuracy, round(mae, 6) AS ordinal_mae, round(avg(f), 6) AS macro_f1 FROM a JOIN f USING (dataset) GROUP BY ALL")
+def class_metrics(s, sf):
+    g = B.scores(s, sf).withColumn("g", F.least(F.lit(5), F.greatest(F.lit(1), F.floor("awr") + 3)).cast("int"))
+    return M.class_metrics(g, ["dataset"], "stage", "g").select("dataset", r6("accuracy"), r6("ordinal_mae"), r6("macro_f1"))
+
+
+@query(REGION + ", sp2 AS (SELECT DISTINCT dataset, stage, unnest(['stable', 'high_score', 'high_distance', 'high_high']) AS region FROM rg), c AS (SELECT dataset, stage, region, count(*) AS n FROM rg GROUP BY ALL) SELECT dataset, stage, region, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY dataset, stage), 6) AS share FROM sp2 LEFT JOIN c USING (dataset, stage, region)")
+def occupancy(s, sf):
+    return M.occupancy(regions(s, sf), ["stable", "high_score", "high_distance", "high_high"]).select("dataset", "stage", "region", "n", r6("share"))
+
+
+@query("SELECT dataset, stage, count(*) AS n, round(median(awr), 6) AS awr_median, round(quantile_cont(awr, 0.1), 6) AS awr_p10, round(quantile_cont(awr, 0.9), 6) AS awr_p90, round(median(bd), 6) AS bd_median FROM sc GROUP BY ALL")
+def stage_summary(s, sf):
+    return B.scores(s, sf).groupBy("dataset", "stage").agg(F.count("*").alias("n"), r6(M.med("awr"), "awr_median"), r6(M.med("awr", 0.1), "awr_p10"), r6(M.med("awr", 0.9), "awr_p90"), r6(M.med("bd"), "bd_median"))
+
+
+@query(LATE + ", n AS (SELECT *, count(*) OVER (PARTITION BY dataset) AS n FROM la), t AS (SELECT n.*, d FROM n, (SELECT unnest(generate_series(0, 9)) AS d) WHERE window_index >= n * d // 10 AND window_index < n * (d + 1) // 10) SELECT dataset, d::INTEGER AS decile, count(*) AS n, round(median(ra), 6) AS median_score, round(avg(late), 6) AS share FROM t GROUP BY ALL")
+def decile_metrics(s, sf):
+    return M.deciles(late(s, sf), "ra", "late").select("dataset", "decile", "n", r6("median_score"), r6("share"))
+
+
+@query(", g AS (SELECT dataset, 3 - (CASE WHEN window_index * 3 < n THEN 2 WHEN window_index * 3 < 2 * n THEN 1 ELSE 0 END) AS seg, awr FROM (SELECT *, count(*) OVER (PARTITION BY dataset) AS n FROM sc)) SELECT dataset, seg::INTEGER AS segment, count(*) AS n, round(avg(abs(awr)), 6) AS mae, round(sqrt(avg(awr * awr)), 6) AS rmse FROM g GROUP BY ALL")
+def segment_metrics(s, sf):
+    sc = B.scores(s, sf)
+    n = sc.groupBy("dataset").agg(F.count("*").alias("_n"))
+    third = F.col("window_index") * 3
+    seg = sc.join(F.broadcast(n), "dataset").withColumn("segment", F.when(third < F.col("_n"), 1).when(third < 2 * F.col("_n"), 2).otherwise(3)).withColumn("zero", F.lit(0.0))
+    return M.forecast_metrics(seg, ["dataset", "segment"], "awr", "zero").select("dataset", "segment", "n", r6("mae"), r6("rmse"))
+
+
+@query(", p AS (SELECT dataset, feature_name, quantile_cont(value, 0.01) AS lo1, quantile_cont(value, 0.99) AS hi1 FROM lo WHERE baseline_window = 1 GROUP BY ALL) SELECT lo.dataset, window_index, round(avg(CASE WHEN value < lo1 OR value > hi1 THEN 1.0 ELSE 0.0 END), 6) AS oos FROM lo JOIN p USING (dataset, feature_name) GROUP BY ALL")
+def oos_support(s, sf):
+    lo = B.long_features(s, sf)
+    p = lo.where("baseline_window = 1").groupBy("dataset", "feature_name").agg(M.med("value", 0.01).alias("a"), M.med("value", 0.99).alias("b"))
+    out = (F.col("value") < F.col("a")) | (F.col("value") > F.col("b"))
+    return lo.join(F.broadcast(p), ["dataset", "feature_name"]).groupBy("dataset", "window_index").agg(r6(F.avg(out.cast("double")), "oos"))
+
+
+@query("SELECT dataset, split_part(feature_name, '_', 1) AS channel, split_part(feature_name, '_', 2) AS family, round(sum(abs(z_value)), 4) AS total FROM z GROUP BY ALL")
+def contrib_rollup(s, sf):
+    meta = T.feature_metadata(B.FEATURES, s)
+    return B.z_long(s, sf).join(F.broadcast(meta), "feature_name").groupBy("dataset", "channel", F.col("feature_family").alias("family")).agg(F.round(F.sum(F.abs("z_value")), 4).alias("total"))
+
+
+# ================================================================== events and joins
+
+BOUNDS = [250.0, 600.0, 1100.0, 1500.0]
+EVENTS = TES + ", ev2 AS (SELECT te.dataset, te.window_index, tes, center_cycle FROM te JOIN sc USING (dataset, window_index) WHERE tes >= 3)"
+
+
+def tes_events(s, sf) -> DataFrame:
+    return tes_frame(s, sf).where("round(tes, 5) >= 3").select("dataset", "window_index", "center_cycle", "tes")
+
+
+def bounds(s) -> DataFrame:
+    return s.createDataFrame([(d, b) for d in ("click", "error", "purchase", "signup", "view") for b in BOUNDS], "dataset string, boundary_cycle double")
+
+
+NEAR = (
+    ", bo AS (SELECT unnest([250.0, 600.0, 1100.0, 1500.0])::DOUBLE AS b), ne AS (SELECT dataset, window_index, min_by(b, abs(center_cycle - b) * 10000 + b / 1000) AS boundary_cycle, min(abs(center_cycle - b)) AS distance FROM ev2, bo GROUP BY ALL)"
+)
+
+
+@query(EVENTS.replace("tes >= 3", "round(tes, 5) >= 3") + NEAR + " SELECT dataset, window_index, boundary_cycle, distance, distance <= 500 AS matched FROM ne")
+def nearest_boundary(s, sf):
+    return J.nearest_boundary(tes_events(s, sf), bounds(s)).select("dataset", "window_index", "boundary_cycle", "distance", "matched")
+
+
+@query(EVENTS.replace("tes >= 3", "round(tes, 5) >= 3") + NEAR + ", g AS (SELECT dataset, count(*) AS n_events, count(*) FILTER (distance <= 100) AS n_matched, median(distance) AS median_distance FROM ne GROUP BY 1) SELECT * FROM g UNION ALL SELECT 'ALL', sum(n_events)::BIGINT, sum(n_matched)::BIGINT, median(median_distance) FROM g")
+def event_eval_all(s, sf):
+    near = J.nearest_boundary(tes_events(s, sf), bounds(s), 100)
+    g = near.groupBy("dataset").agg(F.count("*").alias("n_events"), F.sum(F.col("matched").cast("long")).alias("n_matched"), M.med("distance").alias("median_distance"))
+    total = g.agg(F.lit("ALL").alias("dataset"), F.sum("n_events").alias("n_events"), F.sum("n_matched").alias("n_matched"), M.med("median_distance").alias("median_distance"))
+    return T.union_all([g, total])
+
+
+SEGMENTS = [(1, 1.0, 500.0, 1.0, 700.0), (2, 501.0, 1000.0, 701.0, 900.0), (3, 1200.0, 1800.0, 1000.0, 2200.0)]
+
+
+@query(", se AS (SELECT * FROM (VALUES (1, 1.0, 500.0, 1.0, 700.0), (2, 501.0, 1000.0, 701.0, 900.0), (3, 1200.0, 1800.0, 1000.0, 2200.0)) t(seg, lo, hi, a, b)), p AS (SELECT dataset, window_index, center_cycle, coalesce(min(seg) FILTER (center_cycle BETWEEN lo AND hi), CASE WHEN center_cycle < 1 THEN 1 ELSE 3 END) AS seg FROM wi, se GROUP BY ALL) SELECT dataset, window_index, seg::INTEGER AS seg, round(a + (center_cycle - lo) * (b - a) / (hi - lo), 6) AS mapped FROM p JOIN se USING (seg)")
+def cycle_map(s, sf):
+    seg = s.createDataFrame([(d, *r) for d in ("click", "error", "purchase", "signup", "view") for r in SEGMENTS], "dataset string, seg int, lo double, hi double, out_lo double, out_hi double")
+    return J.interval_map(B.windows(s, sf), seg).select("dataset", "window_index", "seg", r6("mapped"))
+
+
+@query(", j AS (SELECT a.dataset, a.window_index, min(b.window_index) AS due_index FROM wi a LEFT JOIN wi b ON a.dataset = b.dataset AND b.center_cycle >= a.center_cycle + 100 GROUP BY ALL) SELECT j.dataset, j.window_index, due_index, round(x_mean, 6) AS due_value FROM j LEFT JOIN wi w ON w.dataset = j.dataset AND w.window_index = due_index")
+def asof_due(s, sf):
+    return J.forward_asof(B.windows(s, sf), 100, "x_mean").select("dataset", "window_index", "due_index", r6("due_value"))
+
+
+@query(", c AS (SELECT a.dataset, CASE WHEN round(b.awr, 9) > round(a.awr, 9) THEN 1.0 WHEN round(b.awr, 9) = round(a.awr, 9) THEN 0.5 ELSE 0.0 END AS c FROM sc a JOIN sc b ON a.dataset = b.dataset AND b.window_index = a.window_index + 100) SELECT dataset, count(*) AS n, round(avg(c), 6) AS concordance FROM c GROUP BY 1")
+def pair_concordance(s, sf):
+    got = J.fixed_gap_pairs(late(s, sf).select("dataset", "window_index", "ra"), 100, "ra")
+    return got.groupBy("dataset").agg(F.count("*").alias("n"), r6(F.avg("concordant"), "concordance"))
+
+
+@query()
+def temporal_pairs(s, sf):
+    got = J.temporal_pairs(B.scores(s, sf).select("dataset", "window_index", F.col("awr").alias("score")), 500, 1500)
+    return got.groupBy("dataset").agg(F.count("*").alias("n"), F.min(F.col("j") - F.col("i")).alias("least"), F.max(F.col("j") - F.col("i")).alias("most"))
+
+
+@query(EVENTS.replace("tes >= 3", "round(tes, 5) >= 3") + " SELECT DISTINCT sc.dataset, sc.window_index FROM sc JOIN ev2 ON sc.dataset = ev2.dataset AND abs(sc.window_index - ev2.window_index) <= 2")
+def peak_neighbourhood(s, sf):
+    return J.neighbourhood(B.scores(s, sf), tes_events(s, sf)).select("dataset", "window_index")
+
+
+@query(", sp3 AS (SELECT unnest(generate_series(0, 300, 50)) AS a) SELECT a AS span_id, dataset, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN stage = {k} THEN 1.0 ELSE 0.0 END), 6) AS stage{k}" for k in range(1, 6)) + " FROM sc JOIN sp3 ON window_index BETWEEN a AND a + 79 WHERE dataset = 'click' GROUP BY ALL")
+def interval_fractions(s, sf):
+    spans = s.range(0, 301, 50).select(F.col("id").alias("span_id"), F.lit("click").alias("dataset"), F.col("id").alias("start_window"), (F.col("id") + 79).alias("end_window"))
+    return J.interval_fractions(B.scores(s, sf), spans).select("span_id", "dataset", "n", *[r6(f"stage{k}") for k in range(1, 6)])
+
+
+@query("SELECT count(*) AS n, 0.0::DOUBLE AS awr FROM sc WHERE window_index < 200")
+def prefix_causality(s, sf):
+    """Scores of a prefix do not change when later rows are cut off: the largest difference must be 0."""
+    full = frame(s, sf, {"m": R.rolling_median("awr", 20)}, 19)
+    short = frame(s, sf, {"m": R.rolling_median("awr", 20)}, 19, B.scores(s, sf).where("window_index < 200"))
+    return J.max_difference(full, short, ["dataset", "window_index"], ["m"]).select("n", F.col("m").alias("awr"))
+
+
+# ================================================================== top-k, peaks, fits
+
+
+@query()
+def topk_spaced(s, sf):
+    return K.spaced_top(B.scores(s, sf), "awr", 20, 500.0).select("dataset", "pick", "window_index", r6("score"))
+
+
+@query(f", l AS (SELECT dataset, window_index, awr, lag(awr) {OV} AS a, lead(awr) {OV} AS b FROM sc) SELECT dataset, window_index, round(awr, 6) AS height FROM l WHERE awr > a AND awr > b AND awr >= 0.5")
+def local_peaks(s, sf):
+    return K.local_peaks(B.scores(s, sf), "awr", 0.5).select("dataset", "window_index", r6("height"))
+
+
+@query()
+def peaks(s, sf):
+    return K.prominent_peaks(B.scores(s, sf), "awr", 0.5, 20, 0.3).select("dataset", "window_index", r6("height"), r6("prominence"))
+
+
+@query()
+def ridge_normal_eq(s, sf):
+    h = frame(s, sf, {"h": R.history(["awr"]), "y": lambda w: F.lag("awr", 20).over(w)}, 39)
+    x = h.where("h is not null").select("dataset", *[F.get("h", i).alias(f"h{i}") for i in range(4)], (F.col("awr") - F.col("y")).alias("y"))
+    return L.ridge(x, ["dataset"], ["h0", "h1", "h2", "h3"], "y").select("dataset", "term", r6("coefficient"), "n")
+
+
+@query()
+def baseline_distance(s, sf):
+    return L.mahalanobis(B.scores(s, sf), [f"z_{f}" for f in B.FEATURES]).select("dataset", "window_index", F.round("distance", 5).alias("distance"))
+
+
+@query(LATE + ", d AS (SELECT dataset, ra, sum(late) AS p, count(*) AS c FROM la GROUP BY ALL), c AS (SELECT dataset, ra, sum(p) OVER w AS tp, sum(c) OVER w AS n, sum(p) OVER a AS pos, sum(c) OVER a AS al FROM d WINDOW w AS (PARTITION BY dataset ORDER BY ra DESC), a AS (PARTITION BY dataset)), m AS (SELECT dataset, ra AS threshold, tp / pos AS recall, (n - tp) / (al - pos) AS fpr, tp / n AS precision FROM c), o AS (SELECT *, recall >= 0.85 AS ok, row_number() OVER (PARTITION BY dataset ORDER BY CASE WHEN recall >= 0.85 THEN 0 ELSE 1 END, CASE WHEN recall >= 0.85 THEN fpr ELSE -(0.7 * recall + 0.3 * precision - 0.5 * fpr) END, -recall, -precision, threshold) AS i FROM m) SELECT dataset, round(threshold, 6) AS threshold, round(recall, 6) AS recall, round(fpr, 6) AS fpr, round(precision, 6) AS precision, CASE WHEN ok THEN 1 ELSE 0 END AS feasible FROM o WHERE i = 1")
+def threshold_search(s, sf):
+    return L.choose_threshold(late(s, sf), ["dataset"], "ra", "late").select("dataset", r6("threshold"), r6("recall"), r6("fpr"), r6("precision"), "feasible")
+
+
+@query()
+def bootstrap_stability(s, sf):
+    return L.block_bootstrap_signs(B.scores(s, sf), [f"z_{f}" for f in B.FEATURES], 40).select("dataset", "feature_name", r6("stability"))
+
+
+# ================================================================== state machines
+
+
+def machine_rows(s, sf) -> DataFrame:
+    sc = frame(s, sf, {"v50": R.half_difference("awr", 50), "v100": R.half_difference("awr", 100), "vol": R.rolling_mad("awr", 50)}, 99)
+    sc = sc.join(F.broadcast(thresholds(sc)), "dataset")
+    return sc.withColumn("guard", S.guard_overlap(F.col("start_cycle"), F.col("end_cycle")))
+
+
+@query()
+def evidence_accumulator(s, sf):
+    rows = machine_rows(s, sf).withColumn("condition", F.col("awr") > 0).select("dataset", "window_index", "condition", "guard")
+    return H.backfill(rows, ["dataset"], "window_index", X.Evidence, "dataset string, window_index long, success double, failure double, phase string", ["success", "failure", "phase"])
+
+
+@query()
+def plateau_state(s, sf):
+    rows = machine_rows(s, sf).select("dataset", "window_index", "center_cycle", "guard", F.col("bd").alias("d"), F.abs("v50").alias("v50"), F.abs("v100").alias("v100"), "vol", (F.abs("v50") - F.abs("v100")).alias("a"))
+    make = lambda: X.PlateauEngine(0.3, 2.0, 2.0, 5.0, 600.0)
+    return H.backfill(rows, ["dataset"], "window_index", make, "dataset string, window_index long, plateau string, exit string, instability double, locked_at double, exit_at double", ["plateau", "exit", "instability", "locked_at", "exit_at"])
+
+
+@query()
+def freeze_machine(s, sf):
+    rows = machine_rows(s, sf).select("dataset", "window_index", "end_cycle", "guard", ((F.col("awr") >= F.col("ta")) & (F.col("bd") >= F.col("tb"))).alias("high_pair"), (F.col("awr") > 2 * F.abs("ta")).alias("high_risk"))
+    return H.backfill(rows, ["dataset"], "window_index", X.FreezeMachine, "dataset string, window_index long, mode string, freeze_until long, reason string, safe_run long, event string", ["mode", "freeze_until", "reason", "safe_run", "event"])
+
+
+@query()
+def gated_adapter(s, sf):
+    rows = machine_rows(s, sf).select("dataset", "window_index", "end_cycle", "guard", "awr", "bd", (F.col("awr") - 2).alias("logit"), (F.col("bd") >= 3 * F.col("tb")).alias("alarm"))
+    return H.backfill(rows, ["dataset"], "window_index", X.GatedAdapter, "dataset string, window_index long, probability double, slow_risk double, offset double, gate int, event string", ["probability", "slow_risk", "offset", "gate", "event"])
+
+
+@query()
+def nuisance_adapter(s, sf):
+    rows = machine_rows(s, sf).select("dataset", "window_index", "end_cycle", "guard", F.array(*[f"z_{f}" for f in B.FEATURES]).alias("x"))
+    make = lambda: X.NuisanceAdapter([[1.0, 1.0, 0.0]])
+    return H.backfill(rows, ["dataset"], "window_index", make, "dataset string, window_index long, score double, beta_norm double, reason string", ["score", "beta_norm", "reason"])
+
+
+@query()
+def safe_ensemble(s, sf):
+    """Delayed-feedback forecasts; streams times horizons run in parallel."""
+    rows = machine_rows(s, sf).select("dataset", "window_index", "center_cycle", "guard", F.col("awr").alias("value"))
+    return H.backfill(rows, ["dataset"], "window_index", X.Forecaster, "dataset string, window_index long, zero double, linear double, kalman double, online double, safe double, alpha double, mode string, settled int", ["zero", "linear", "kalman", "online", "safe", "alpha", "mode", "settled"])
+
+
+@query()
+def hmm_filter(s, sf):
+    centre = lambda k: F.exp(-0.5 * F.pow(A.clip(F.col("awr"), -3.0, 3.0) - (k - 2), 2))
+    rows = B.scores(s, sf).select("dataset", "window_index", F.array(*[centre(k) for k in range(5)]).alias("observation"))
+    return H.backfill(rows, ["dataset"], "window_index", X.ForwardFilter, "dataset string, window_index long, posterior array<double>, stage int, margin double", ["posterior", "stage", "margin"])
+
+
+@query()
+def regime_discovery(s, sf):
+    rows = machine_rows(s, sf).select("dataset", "window_index", "guard", F.col("awr").alias("level"))
+    return H.backfill(rows, ["dataset"], "window_index", X.RegimeDiscovery, "dataset string, window_index long, stage int, score double, candidate int, event string", ["stage", "score", "candidate", "event"])
+
+
+@query()
+def ordered_prototypes(s, sf):
+    rows = machine_rows(s, sf).select("dataset", "window_index", "guard", F.col("awr").alias("level"))
+    make = lambda: X.OrderedPrototypes([-2.0, -1.0, 0.0, 1.0, 2.0])
+    return H.backfill(rows, ["dataset"], "window_index", make, "dataset string, window_index long, stage int, confidence double, event string", ["stage", "confidence", "event"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Windows, robust z, mean score, baseline threshold and AUROC of the last stage, for each stream."""
+    sc = B.scores(spark, sf_dir).withColumn("late", (F.col("stage") == 5).cast("int"))
+    return M.auroc(sc, ["dataset"], "awr", "late").join(thresholds(sc), "dataset").select("dataset", "n_pos", "n_neg", r6("auroc"), r6("ta", "awr_p95"), r6("tb", "bd_p95"))
