@@ -51,12 +51,21 @@ def deviation(values: Column) -> Column:
     return F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")), lambda a: F.sqrt(F.greatest(a["q"] / F.size(values) - F.pow(a["s"] / F.size(values), 2), F.lit(0.0))))
 
 
+def let(value: Column, of) -> Column:
+    """of(value) with the value computed once for each row: an array of one element binds it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def quantile(values: Column, q: float) -> Column:
     """Linear-interpolated quantile of an array without nulls."""
-    ordered, at = F.array_sort(values), (F.size(values) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(values) - 1))
-    return a + (b - a) * (at - low)
+
+    def pick(ordered):
+        at = (F.size(ordered) - 1) * F.lit(q)
+        low = F.floor(at).cast("int")
+        a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+        return a + (b - a) * (at - low)
+
+    return let(F.array_sort(values), pick)
 
 
 def median(values: Column) -> Column:
@@ -65,8 +74,7 @@ def median(values: Column) -> Column:
 
 def mad(values: Column, factor: float = 1.4826) -> Column:
     """Scaled median absolute deviation of an array."""
-    mid = median(values)
-    return factor * median(F.transform(values, lambda x: F.abs(x - mid)))
+    return let(values, lambda v: let(median(v), lambda m: factor * median(F.transform(v, lambda x: F.abs(x - m)))))
 
 
 def peak_phase(values: Column, first: int) -> Column:
@@ -83,8 +91,7 @@ def peak_width(values: Column, share: float = 0.8, eps: float = 1e-9) -> Column:
 
 
 def centred(values: Column) -> Column:
-    mid = mean(values)
-    return F.transform(values, lambda x: x - mid)
+    return let(mean(values), lambda m: F.transform(values, lambda x: x - m))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -148,10 +155,8 @@ def jensen_shannon(p: Column, q: Column, eps: float = 1e-12) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    e = let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return let(e, lambda v: let(total(v), lambda s: F.transform(v, lambda x: x / s)))
 
 
 def top_contributions(columns: dict[str, Column], n: int = 3) -> Column:

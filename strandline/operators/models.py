@@ -131,7 +131,7 @@ def block_bootstrap_signs(df: DataFrame, features: list[str], replicates: int =
     """
     schema = "dataset string, replicate int, feature_name string, sign int"
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         rng = np.random.default_rng([seed, int(key[1])])
         pdf = pdf.sort_values("window_index")
         parts = []

@@ -29,10 +29,11 @@ def rolling_mad(column: str, k: int, least: int = 3, fallback: bool = True, eps:
     """Scaled MAD of the frame; 0 under ``least`` values; a zero MAD falls back to the population deviation or to eps."""
 
     def make(w):
-        values = A.present(F.collect_list(column).over(back(w, k)))
-        spread = A.mad(values)
-        low = A.deviation(values) if fallback else F.lit(eps)
-        return F.when(F.size(values) < least, 0.0).when(spread < eps, low).otherwise(spread)
+        def spread(values):
+            low = A.deviation(values) if fallback else F.lit(eps)
+            return F.when(F.size(values) < least, 0.0).otherwise(A.let(A.mad(values), lambda m: F.when(m < eps, low).otherwise(m)))
+
+        return A.let(F.collect_list(column).over(back(w, k)), spread)  # collect_list leaves nulls out
 
     return make
 

@@ -497,7 +497,7 @@ def event_eval_all(s, sf):
 SEGMENTS = [(1, 1.0, 500.0, 1.0, 700.0), (2, 501.0, 1000.0, 701.0, 900.0), (3, 1200.0, 1800.0, 1000.0, 2200.0)]
 
 
-@query(", se AS (SELECT * FROM (VALUES (1, 1.0, 500.0, 1.0, 700.0), (2, 501.0, 1000.0, 701.0, 900.0), (3, 1200.0, 1800.0, 1000.0, 2200.0)) t(seg, lo, hi, a, b)), p AS (SELECT dataset, window_index, center_cycle, coalesce(min(seg) FILTER (center_cycle BETWEEN lo AND hi), CASE WHEN center_cycle < 1 THEN 1 ELSE 3 END) AS seg FROM wi, se GROUP BY ALL) SELECT dataset, window_index, seg::INTEGER AS seg, round(a + (center_cycle - lo) * (b - a) / (hi - lo), 6) AS mapped FROM p JOIN se USING (seg)")
+@query(", se AS (SELECT * FROM (VALUES (1, 1.0, 500.0, 1.0, 700.0), (2, 501.0, 1000.0, 701.0, 900.0), (3, 1200.0, 1800.0, 1000.0, 2200.0)) t(seg, lo, hi, a, b)), p AS (SELECT dataset, window_index, center_cycle, coalesce(min(seg) FILTER (center_cycle BETWEEN lo AND hi), any_value(CASE WHEN center_cycle < 1 THEN 1 ELSE 3 END)) AS seg FROM wi, se GROUP BY dataset, window_index, center_cycle) SELECT dataset, window_index, seg::INTEGER AS seg, round(a + (center_cycle - lo) * (b - a) / (hi - lo), 6) AS mapped FROM p JOIN se USING (seg)")
 def cycle_map(s, sf):
     seg = s.createDataFrame([(d, *r) for d in ("click", "error", "purchase", "signup", "view") for r in SEGMENTS], "dataset string, seg int, lo double, hi double, out_lo double, out_hi double")
     return J.interval_map(B.windows(s, sf), seg).select("dataset", "window_index", "seg", r6("mapped"))
