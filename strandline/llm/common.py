@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+#: Texts are hashed in pieces of about this size, which bounds the tables of powers that a worker keeps.
+PIECE_BYTES = 1 << 18
 _own_root: list[str] = []
 
 
@@ -155,7 +157,7 @@ class Words:
         self.hash = np.zeros(len(self.start), U64)
         at = 0
         while at < len(self.start):  # pieces end between words, so that powers stay short for huge texts
-            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + 4 * SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + PIECE_BYTES, "right")))
             left = int(self.start[at])
             part = raw[left : int(self.end[to - 1])]
             ups, downs = powers(_STEP, len(part) + 1)

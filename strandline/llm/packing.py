@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import _BYTE_CODES, _STEP, Scratch, U64, byte_table, mix, powers, text_buffer
+from strandline.llm.common import _BYTE_CODES, _STEP, PIECE_BYTES, SLICE_BYTES, Scratch, U64, byte_table, mix, powers, text_buffer
 
 CAPACITY = 2048
 END_ID = 0
@@ -42,7 +42,7 @@ class Encoder:
     ids of a text are the ids of its segments in turn. Segments not met before are encoded by the library.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 1_000_000):
+    def __init__(self, vocabulary: str, keep: int = 400_000):
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -76,7 +76,7 @@ class Encoder:
         keys = np.zeros(len(start), U64)
         at = 0
         while at < len(start):
-            to = max(at + 1, int(np.searchsorted(end, start[at] + (4 << 20), "right")))
+            to = max(at + 1, int(np.searchsorted(end, start[at] + PIECE_BYTES, "right")))
             left = int(start[at])
             part = raw[left : int(end[to - 1])]
             ups, downs = powers(_STEP, len(part) + 1)
@@ -96,12 +96,11 @@ class Encoder:
                 self._forget()
                 known[:] = False
             flat, sizes = self._encode_new(raw, start[first[~known]], end[first[~known]])
-            keys_all = np.concatenate([self.keys, distinct[~known]])
-            order = np.argsort(keys_all, kind="stable")
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])[order]
-            self.size = np.concatenate([self.size, sizes])[order]
+            place = np.searchsorted(self.keys, distinct[~known])
+            self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.size = np.insert(self.size, place, sizes)
+            self.keys = np.insert(self.keys, place, distinct[~known])
             self.ids = np.concatenate([self.ids, flat])
-            self.keys = keys_all[order]
         slot = np.searchsorted(self.keys, distinct)[which.ravel()]
         sizes = self.size[slot]
         ends = np.cumsum(sizes)
@@ -156,7 +155,7 @@ def document_pieces(texts: pa.Array, capacity: int = CAPACITY, vocabulary: str |
     enc, out, n = _encoder(vocabulary), [], len(offsets) - 1
     lo = 0
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (4 << 20), "right")) - 1))
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1))
         ids, ends = enc.encode(data, offsets, lo, hi)
         ids = ids.astype("<u4", copy=False)
         for i in range(lo, hi):

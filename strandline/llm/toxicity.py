@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strandline.llm.common import _BYTE_CODES, _STEP, BLANK_WORDS, LOWER, U64, Words, byte_table, crc_of_id, mix, powers, slices, text_buffer
+from strandline.llm.common import _BYTE_CODES, _STEP, BLANK_WORDS, LOWER, PIECE_BYTES, U64, Words, byte_table, crc_of_id, mix, powers, slices, text_buffer
 from strandline.llm.decontaminate import HashSet
 from strandline.llm.quality import labelled_sample
 
@@ -190,7 +190,7 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.
     out = [np.zeros(len(start), U64) for _ in range(1 + len(_BEGINNINGS))]
     at = 0
     while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + (1 << 22), "right")))
+        to = max(at + 1, int(np.searchsorted(end, start[at] + PIECE_BYTES, "right")))
         left = int(start[at])
         part = raw[left : int(end[to - 1])]
         ups, downs = powers(_STEP, len(part) + 1)
