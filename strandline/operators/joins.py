@@ -49,7 +49,7 @@ def forward_asof(df: DataFrame, horizon: float, value: str, stride: float = 5.0,
     """
     ahead = int(horizon / stride) + slack
     last = df.groupBy("dataset").agg(F.max("window_index").alias("_last"))
-    turned = df.join(F.broadcast(last), "dataset").withColumn("_at", F.col("_last") - F.col("window_index") + 1)
+    turned = df.join(last, "dataset").withColumn("_at", F.col("_last") - F.col("window_index") + 1)
     dealt = with_halo(turned, "_at", ahead)
     w = Window.partitionBy("dataset", "_chunk").orderBy("center_cycle").rangeBetween(int(horizon), Window.unboundedFollowing)
     due = F.min_by(F.struct("window_index", value), "center_cycle").over(w)

@@ -26,7 +26,7 @@ def robust_z(long: DataFrame, limit: float = 12.0, eps: float = 1e-9) -> DataFra
     """Baseline z of long rows (dataset, feature_name, value, baseline_window): (x - median) / (IQR + eps), clipped."""
     base = long.where("baseline_window = 1").groupBy("dataset", "feature_name").agg(med("value").alias("median_base"), (med("value", 0.75) - med("value", 0.25)).alias("iqr_base"))
     z = (F.col("value") - F.col("median_base")) / (F.col("iqr_base") + eps)
-    return long.join(F.broadcast(base), ["dataset", "feature_name"]).withColumn("z_value", A.clip(z, -limit, limit))  # one row a feature and stream
+    return long.join(base, ["dataset", "feature_name"]).withColumn("z_value", A.clip(z, -limit, limit))
 
 
 def saturation(z: DataFrame, limit: float = 12.0) -> DataFrame:
@@ -113,7 +113,7 @@ def deciles(df: DataFrame, column: str, label: str) -> DataFrame:
     n = df.groupBy("dataset").agg(F.count("*").alias("_n"))
     tenth = F.floor((F.col("window_index") * 10 + 9) / F.col("_n")).cast("int")
     exact = F.when(F.floor(F.col("_n") * (tenth + 1) / 10) <= F.col("window_index"), tenth + 1).when(F.floor(F.col("_n") * tenth / 10) > F.col("window_index"), tenth - 1).otherwise(tenth)
-    return df.join(F.broadcast(n), "dataset").groupBy("dataset", exact.alias("decile")).agg(F.count("*").alias("n"), med(column).alias("median_score"), F.avg(label).alias("share"))
+    return df.join(n, "dataset").groupBy("dataset", exact.alias("decile")).agg(F.count("*").alias("n"), med(column).alias("median_score"), F.avg(label).alias("share"))
 
 
 def forecast_metrics(df: DataFrame, keys: list[str], truth: str, guess: str) -> DataFrame:

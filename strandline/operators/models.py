@@ -70,7 +70,7 @@ def mahalanobis(df: DataFrame, features: list[str], least: int = 10) -> DataFram
     d = F.zip_with(F.array(*features), "_c", lambda a, b: a - b)
     n = len(features)
     quad = reduce(lambda a, b: a + b, [F.get(d, i) * F.get(d, j) * F.get("_p", i * n + j) for i in range(n) for j in range(n)])
-    return df.join(F.broadcast(model), "dataset").withColumn("distance", F.sqrt(A.positive(quad))).drop("_c", "_p")  # one row a stream
+    return df.join(model, "dataset").withColumn("distance", F.sqrt(A.positive(quad))).drop("_c", "_p")
 
 
 def threshold_candidates(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:

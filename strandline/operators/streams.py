@@ -116,7 +116,7 @@ def baseline_mask(df: DataFrame, limit: float = 500, least: int = 20, fallback:
     inside, first = F.col("end_cycle") <= limit, F.col("window_index") < fallback
     short = F.col("_few") < least
     mask = {"reset": F.when(short, first).otherwise(inside), "or": inside | (short & first), "raise": inside}[mode]
-    return df.join(F.broadcast(counts), "dataset").withColumn("in_baseline", mask.cast("int")).drop("_few")
+    return df.join(counts, "dataset").withColumn("in_baseline", mask.cast("int")).drop("_few")
 
 
 def stage_split(df: DataFrame, share: float = 0.7, gap: int = 20, least: int = 20) -> DataFrame:
@@ -137,7 +137,7 @@ def chrono_split(df: DataFrame, share: float = 0.7, gap: int = 20) -> DataFrame:
     n = df.groupBy("dataset").agg(F.count("*").alias("_n"))
     cut = F.floor(F.col("_n") * share)
     part = F.when(F.col("window_index") < cut, "train").when(F.col("window_index") >= cut + gap, "validation").otherwise("embargo")
-    return df.join(F.broadcast(n), "dataset").withColumn("part", part).drop("_n")
+    return df.join(n, "dataset").withColumn("part", part).drop("_n")
 
 
 def forbid_columns(df: DataFrame, names=LABELS) -> DataFrame:

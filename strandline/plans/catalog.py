@@ -79,7 +79,7 @@ def corrdist(s, sf):
     w = B.waves(s, sf).select("dataset", "vec_id", A.phase_slice(F.col("wave"), 64).alias("s"))
     base = w.select("dataset", F.posexplode("s").alias("i", "x")).groupBy("dataset", "i").agg(F.avg("x").alias("m"))
     base = base.groupBy("dataset").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("b"))
-    return w.join(F.broadcast(base), "dataset").select("dataset", "vec_id", r6(A.correlation_distance(F.col("s"), F.col("b")), "corrdist"))  # one wave a stream
+    return w.join(base, "dataset").select("dataset", "vec_id", r6(A.correlation_distance(F.col("s"), F.col("b")), "corrdist"))
 
 
 @query(
@@ -96,7 +96,7 @@ def peak_phase(s, sf):
 def impute_median(s, sf):
     li = B.stream_lineitem(s, sf)
     m = li.groupBy("dataset").agg(M.med("ry").alias("_m"))
-    return li.join(F.broadcast(m), "dataset").select("dataset", "cycle", r6(F.coalesce("ry", "_m"), "ry"), F.col("ry").isNull().alias("imputed"))
+    return li.join(m, "dataset").select("dataset", "cycle", r6(F.coalesce("ry", "_m"), "ry"), F.col("ry").isNull().alias("imputed"))
 
 
 @query("SELECT dataset, window_index, round(1 / (1 + exp(-greatest(-35, least(35, awr)))), 6) AS p, round(ln(greatest(1e-6, least(1 - 1e-6, 0.5 + awr / 100)) / (1 - greatest(1e-6, least(1 - 1e-6, 0.5 + awr / 100)))), 6) AS l FROM sc")
@@ -142,7 +142,7 @@ def thresholds(sc: DataFrame) -> DataFrame:
 
 def regions(s, sf) -> DataFrame:
     sc = B.scores(s, sf)
-    return sc.join(F.broadcast(thresholds(sc)), "dataset").withColumn("region", A.state_region(F.col("awr"), F.col("bd"), F.col("ta"), F.col("tb")))
+    return sc.join(thresholds(sc), "dataset").withColumn("region", A.state_region(F.col("awr"), F.col("bd"), F.col("ta"), F.col("tb")))
 
 
 REGION = THRESHOLDS + (
@@ -277,7 +277,7 @@ def tes_frame(s, sf) -> DataFrame:
     iqr = lambda c: M.med(c, 0.75) - M.med(c, 0.25) + 1e-6
     b = q.where("baseline_window = 1").groupBy("dataset").agg(*[x for c in ("vol", "bj", "sj") for x in (M.med(c).alias(f"{c}0"), iqr(c).alias(f"{c}1"))])
     plus = lambda c: A.positive((F.col(c) - F.col(f"{c}0")) / F.col(f"{c}1"))
-    return q.join(F.broadcast(b), "dataset").withColumn("tes", 0.4 * plus("vol") + 0.4 * plus("bj") + 0.2 * plus("sj"))
+    return q.join(b, "dataset").withColumn("tes", 0.4 * plus("vol") + 0.4 * plus("bj") + 0.2 * plus("sj"))
 
 
 @query(TES + " SELECT dataset, window_index, round(tes, 5) AS tes FROM te")
@@ -444,7 +444,7 @@ def segment_metrics(s, sf):
     sc = B.scores(s, sf)
     n = sc.groupBy("dataset").agg(F.count("*").alias("_n"))
     third = F.col("window_index") * 3
-    seg = sc.join(F.broadcast(n), "dataset").withColumn("segment", F.when(third < F.col("_n"), 1).when(third < 2 * F.col("_n"), 2).otherwise(3)).withColumn("zero", F.lit(0.0))
+    seg = sc.join(n, "dataset").withColumn("segment", F.when(third < F.col("_n"), 1).when(third < 2 * F.col("_n"), 2).otherwise(3)).withColumn("zero", F.lit(0.0))
     return M.forecast_metrics(seg, ["dataset", "segment"], "awr", "zero").select("dataset", "segment", "n", r6("mae"), r6("rmse"))
 
 
@@ -453,13 +453,13 @@ def oos_support(s, sf):
     lo = B.long_features(s, sf)
     p = lo.where("baseline_window = 1").groupBy("dataset", "feature_name").agg(M.med("value", 0.01).alias("a"), M.med("value", 0.99).alias("b"))
     out = (F.col("value") < F.col("a")) | (F.col("value") > F.col("b"))
-    return lo.join(F.broadcast(p), ["dataset", "feature_name"]).groupBy("dataset", "window_index").agg(r6(F.avg(out.cast("double")), "oos"))
+    return lo.join(p, ["dataset", "feature_name"]).groupBy("dataset", "window_index").agg(r6(F.avg(out.cast("double")), "oos"))
 
 
 @query("SELECT dataset, split_part(feature_name, '_', 1) AS channel, split_part(feature_name, '_', 2) AS family, round(sum(abs(z_value)), 4) AS total FROM z GROUP BY ALL")
 def contrib_rollup(s, sf):
     meta = T.feature_metadata(B.FEATURES, s)
-    return B.z_long(s, sf).join(F.broadcast(meta), "feature_name").groupBy("dataset", "channel", F.col("feature_family").alias("family")).agg(F.round(F.sum(F.abs("z_value")), 4).alias("total"))
+    return B.z_long(s, sf).join(meta, "feature_name").groupBy("dataset", "channel", F.col("feature_family").alias("family")).agg(F.round(F.sum(F.abs("z_value")), 4).alias("total"))
 
 
 # ================================================================== events and joins
@@ -584,7 +584,7 @@ def bootstrap_stability(s, sf):
 
 def machine_rows(s, sf) -> DataFrame:
     sc = frame(s, sf, {"v50": R.half_difference("awr", 50), "v100": R.half_difference("awr", 100), "vol": R.rolling_mad("awr", 50)}, 99)
-    sc = sc.join(F.broadcast(thresholds(sc)), "dataset")
+    sc = sc.join(thresholds(sc), "dataset")
     return sc.withColumn("guard", S.guard_overlap(F.col("start_cycle"), F.col("end_cycle")))
 
 

@@ -22,7 +22,7 @@ def recall_at_early_fpr(s, sf):
     sc = late(s, sf)
     t = sc.where("stage <= 2").groupBy("dataset").agg(M.med("ra", 0.95).alias("t"))
     hit = (F.col("ra") >= F.col("t")).cast("double")
-    return sc.join(F.broadcast(t), "dataset").groupBy("dataset", "t").agg(F.avg(F.when(F.col("stage") == 5, hit)).alias("recall"), F.avg(F.when(F.col("stage") <= 2, hit)).alias("early_fpr")).select("dataset", r6("t", "threshold"), r6("recall"), r6("early_fpr"))
+    return sc.join(t, "dataset").groupBy("dataset", "t").agg(F.avg(F.when(F.col("stage") == 5, hit)).alias("recall"), F.avg(F.when(F.col("stage") <= 2, hit)).alias("early_fpr")).select("dataset", r6("t", "threshold"), r6("recall"), r6("early_fpr"))
 
 
 @query(REGION + f", g AS (SELECT *, coalesce(lag(high) {OV}, false) AS b FROM rg) SELECT dataset, round(1000.0 * count(*) FILTER (high AND NOT b AND stage <= 2) / (max(end_cycle) FILTER (stage <= 2) - min(start_cycle) FILTER (stage <= 2)), 6) AS alarms FROM g GROUP BY 1")
@@ -67,7 +67,7 @@ def support_quantiles(s, sf):
 def trimmed_mean(s, sf):
     lo = B.long_features(s, sf)
     q = lo.groupBy("dataset", "feature_name").agg(M.med("value", 0.2).alias("a"), M.med("value", 0.8).alias("b"))
-    return lo.join(F.broadcast(q), ["dataset", "feature_name"]).where("value between a and b").groupBy("dataset", "feature_name").agg(r6(F.avg("value"), "trimmed_mean"))
+    return lo.join(q, ["dataset", "feature_name"]).where("value between a and b").groupBy("dataset", "feature_name").agg(r6(F.avg("value"), "trimmed_mean"))
 
 
 @query(", q AS (SELECT dataset, median(awr) AS m, quantile_cont(awr, 0.75) - quantile_cont(awr, 0.25) AS i FROM sc WHERE baseline_window = 1 GROUP BY 1), r AS (SELECT m AS ms, i AS si FROM q WHERE dataset = 'click') SELECT dataset, window_index, round(ms + greatest(0.5, least(2.0, si / greatest(i, 1e-9))) * (awr - m), 6) AS aligned FROM sc JOIN q USING (dataset), r")
@@ -77,8 +77,8 @@ def logit_alignment(s, sf):
     q = sc.where("baseline_window = 1").groupBy("dataset").agg(M.med("awr").alias("m"), (M.med("awr", 0.75) - M.med("awr", 0.25)).alias("i"))
     r = q.where("dataset = 'click'").select(F.col("m").alias("ms"), F.col("i").alias("si"))
     scale = A.clip(F.col("si") / F.greatest("i", F.lit(1e-9)), 0.5, 2.0)
-    one = q.withColumn("_k", F.lit(1)).join(r.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row a stream
-    return sc.join(F.broadcast(one), "dataset").select("dataset", "window_index", r6(F.col("ms") + scale * (F.col("awr") - F.col("m")), "aligned"))
+    one = q.withColumn("_k", F.lit(1)).join(r.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return sc.join(one, "dataset").select("dataset", "window_index", r6(F.col("ms") + scale * (F.col("awr") - F.col("m")), "aligned"))
 
 
 @query("SELECT dataset, round(corr(z_x_mean, z_x_rms), 6) AS mean_rms, round(corr(z_x_mean, z_x_p2p), 6) AS mean_p2p, round(corr(z_x_rms, z_x_p2p), 6) AS rms_p2p FROM sc GROUP BY 1")
