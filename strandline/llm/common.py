@@ -215,9 +215,9 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     while not _is_stars(e):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = scratch.settle(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "large")
-        big = scratch.settle(both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        big = scratch.settle(both.join(least.hint("merge"), "x").where("y > x and y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         lower = scratch.settle(big.groupBy("u").agg(F.min("v").alias("m")), "small")
-        moved = big.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = big.join(lower.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.settle(moved.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         scratch.drop(e, least, big, lower)
         e = new

@@ -7,16 +7,20 @@ their token at that position. A path down to ``first_depth`` follows from the si
 
 * A node of at most ``node_rows`` documents is compared exhaustively, by the sketch (64 signature positions, 4 bits each)
   that it carries; pairs whose sketches could belong to sets over the threshold are candidates.
-* A larger node compares all its documents with its smallest one, and branches on, down to ``last_depth``. Documents of
-  a group of near copies so meet many leaders and come together without anything square in the size of the group.
-* What still shares a larger node on the last depth without being in one component is compared exhaustively in blocks
-  of bounded size, after the sure links are known (see ``_rest``): no node, however large, is cut off.
+* A larger node compares all its documents with its smallest one. Candidates are then confirmed and united. A larger node
+  of one component is done: a group of near copies, however large, needs no more than a leader.
+* In a larger node of several components only its strays, the documents outside the main component, are left to compare
+  with all others: exhaustively, in blocks of bounded size, where they are few (``few_strays``), else after branching on,
+  down to ``last_depth``, where what is left is compared in the same way. No node is cut off.
 
 Candidates are confirmed on full sets, computed anew from whole texts: first one candidate of each document (a forest of
 at most one row per document, which settles nearly all groups), then only those that still link different components.
+Pairs inside one component are never written out. Joins whose both sides grow with the corpus ask for a merge join: no
+side of theirs has a bound that would allow a broadcast.
 
-A pair of similarity 0.8 stays together over d levels of one tree with probability 0.8 ** d; with the default 16 trees
-and first depth 3 all trees lose it with probability 1e-5 in small nodes, and 1e-2 where nodes need depth 6.
+A pair of similarity 0.8 stays together over d levels of one tree with probability 0.8 ** d; with the default 14 trees
+and first depth 3 all trees lose it with probability 4e-5 in small nodes, and 1.5e-2 where nodes of very many strays
+need depth 6.
 
 Defined results: null and empty texts have the empty set, 0 shingles, and link with nothing (component is the own id);
 one word is one shingle; repeated rows share id and component; a null id has a null component and is kept. Rows
@@ -140,25 +144,68 @@ def _pair_batch(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _node_matrix(node: list[dict], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a node, ascending, and which pairs (i < j) of them are similar by sketch."""
+    node = sorted(node, key=lambda x: x["doc_id"])
+    ids = np.array([x["doc_id"] for x in node], np.int64)
+    sk = np.frombuffer(b"".join(x["sketch"] for x in node), np.uint8).reshape(len(node), -1)
+    return ids, np.triu(sketch_matches(sk[:, None], sk[None, :]) >= least, 1)
+
+
 def _compare_nodes(least: int):
-    """Candidates of small nodes: a row holds the ids and sketches of one node."""
+    """Similar pairs of small nodes: for every document the pair with its smallest partner, as a row (a, b).
+
+    Where a node has more pairs, a further row keeps its ids and the matrix of all its pairs, so that a group of near
+    copies costs a row for each node and document and never a row for each pair.
+    """
 
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
+            out_a, out_b, dense = [], [], []
             for node in batch.column(0):
-                node = node.as_py()
-                ids = np.array([x["doc_id"] for x in node], np.int64)
-                sk = np.frombuffer(b"".join(x["sketch"] for x in node), np.uint8).reshape(len(node), -1)
-                x, y = np.nonzero(np.triu(sketch_matches(sk[:, None], sk[None, :]) >= least, 1))
-                out_a.append(ids[x])
-                out_b.append(ids[y])
-            if out_a:
-                yield _pair_batch(np.concatenate(out_a), np.concatenate(out_b))
+                ids, similar = _node_matrix(node.as_py(), least)
+                has = np.flatnonzero(similar.any(axis=0))
+                out_a.append(ids[similar.argmax(axis=0)[has]])
+                out_b.append(ids[has])
+                if similar.sum() > len(has):
+                    dense.append((ids, np.packbits(similar).tobytes()))
+            if not out_a:
+                continue
+            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            none = [None] * len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.binary())], names=["a", "b", "ids", "similar"])
+            if dense:
+                none = pa.array([None] * len(dense), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([d[0] for d in dense], pa.list_(pa.int64())), pa.array([d[1] for d in dense], pa.binary())], names=["a", "b", "ids", "similar"])
 
     return run
 
 
+_NODE_PAIR = "a long, b long, ids array<long>, similar binary"
+
+
+def _open_in_nodes(dense: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of the kept node matrices whose documents are not yet in one component."""
+    named = scratch.settle(dense.select("ids", "similar").distinct().withColumn("node", F.xxhash64("ids", "similar")), "dense")
+    members = named.select("node", F.posexplode("ids").alias("at", "id")).join(labels.select("id", "component").hint("merge"), "id", "left")
+    members = scratch.settle(members.select("node", "at", F.coalesce("component", "id").alias("component")), "node-labels")
+    mixed = members.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_list(F.struct("at", "component"))).alias("of")).where("lo < hi")
+
+    def run(batches):
+        for batch in batches:
+            out_a, out_b = [], []
+            for ids, similar, of in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                n = len(ids)
+                component = np.array([x["component"] for x in of], np.int64)
+                pairs = np.unpackbits(np.frombuffer(similar, np.uint8), count=n * n).reshape(n, n).astype(bool)
+                x, y = np.nonzero(pairs & (component[:, None] != component[None, :]))
+                out_a += [ids[i] for i in x]
+                out_b += [ids[j] for j in y]
+            yield _pair_batch(out_a, out_b)
+
+    return named.join(mixed.select("node", "of"), "node").select("ids", "similar", "of").mapInArrow(run, _PAIR).distinct()
+
+
 def _compare_leaders(least: int):
     def run(batches):
         for batch in batches:
@@ -170,34 +217,21 @@ def _compare_leaders(least: int):
     return run
 
 
-def candidates(reps: DataFrame, scratch: Scratch, *, trees: int, first_depth: int, last_depth: int, node_rows: int, least: int) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs of representatives, and the rows of nodes too large on the last depth (None: no such node)."""
-    found, large, big = [], None, None
-    for depth in range(first_depth, last_depth + 1):
-        rows = tree_rows(reps, trees, depth)
-        if large is not None:  # only what shared a larger node one level up
-            rows = scratch.settle(rows.join(large.select(F.col("key").alias("parent")), "parent", "left_semi"), f"rows{depth}")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"))
-        large = scratch.settle(sizes.where(F.col("n") > node_rows), f"large{depth}")
-        tagged = rows.join(large.select("key", "leader"), "key", "left")
-        small = tagged.where(F.col("leader").isNull()).groupBy("key").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("node")).where(F.size("node") > 1)
-        found.append(scratch.settle(small.select("node").mapInArrow(_compare_nodes(least), _PAIR).distinct(), f"pairs{depth}"))
-        if large.isEmpty():
-            return _all(found), None
-        big = scratch.settle(rows.join(large.select("key", "leader"), "key"), f"big{depth}")
-        heads = scratch.settle(big.where("doc_id = leader").select("key", F.col("sketch").alias("head")), f"heads{depth}")
-        met = big.where("doc_id <> leader").join(heads, "key").select("leader", "head", "doc_id", "sketch").mapInArrow(_compare_leaders(least), _PAIR)
-        found.append(scratch.settle(met.distinct(), f"leaders{depth}"))
-        if depth < last_depth:
-            scratch.drop(big, heads)
-    return _all(found), big
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def candidates(rows: DataFrame, scratch: Scratch, depth: int, *, node_rows: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Of the nodes of one depth: candidate pairs, matrices of small nodes with more pairs, rows of large nodes (None: none)."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"))
+    large = scratch.settle(sizes.where(F.col("n") > node_rows).select("key", "leader"), f"large{depth}")
+    tagged = rows.join(large.hint("merge"), "key", "left").where(F.col("leader").isNull())
+    # dealt anew, so that Spark may split the rows of large nodes in the join
+    small = tagged.select("key", "doc_id", "sketch").repartition("key").groupBy("key").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("node")).where(F.size("node") > 1)
+    compared = scratch.settle(small.select("node").mapInArrow(_compare_nodes(least), _NODE_PAIR), f"nodes{depth}")
+    pairs, dense = compared.where("a is not null").select("a", "b"), compared.where("ids is not null").select("ids", "similar")
+    if large.isEmpty():
+        return pairs, dense, None
+    big = scratch.settle(rows.join(large.hint("merge"), "key"), f"big{depth}")
+    heads = scratch.settle(big.where("doc_id = leader").select("key", F.col("sketch").alias("head")), f"heads{depth}")
+    met = big.where("doc_id <> leader").join(heads.hint("merge"), "key").select("leader", "head", "doc_id", "sketch").mapInArrow(_compare_leaders(least), _PAIR)
+    return pairs.unionByName(met), dense, big
 
 
 # ------------------------------------------------------------------ confirmation on full sets
@@ -218,56 +252,63 @@ def _confirm(n: int, over: int, under: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, *, n: int, over: int, under: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold over / under. ``texts`` is a settled (doc_id, text) table."""
-    right = scratch.settle(pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"), f"{name}-b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, *, n: int, over: int, under: int) -> DataFrame:
+    """The settled pairs (a, b) whose full sets reach the threshold over / under; only the texts of these pairs move."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = docs.where("text is not null").join(scratch.settle(wanted, f"{name}-ids").hint("merge"), "doc_id")
+    texts = scratch.settle(texts, f"{name}-texts")
+    right = scratch.settle(pairs.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"), f"{name}-b")
+    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     out = scratch.settle(both.select("a", "text_a", "b", "text_b").mapInArrow(_confirm(n, over, under), _PAIR), f"{name}-links")
-    scratch.drop(right)
+    scratch.drop(right, texts)
     return out
 
 
 def _label(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs with the components of both ends (an end without links is its own component)."""
-    la, lb = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    la, lb = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")).hint("merge") for x in "ab")
     return pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
 
 
-def _rest(big: DataFrame, labels: DataFrame, scratch: Scratch, least: int, block: int = 512) -> DataFrame:
-    """Candidates between different components within nodes that stayed large on the last depth.
+def _mixed(big: DataFrame, labels: DataFrame, scratch: Scratch, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of large nodes with their components; for each node of several: its main component, rows n and strays.
 
-    A node in which all documents are of one component needs nothing. The others are dealt into blocks, and every pair
-    of blocks is one bounded group; within it only pairs of different components are looked at, and of equal component
-    pairs one candidate is kept.
+    Strays are the rows outside the main component. Counts by node and component are pre-aggregated.
     """
-    labelled = big.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = scratch.settle(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    open_ = scratch.settle(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "open")
-    rows = labelled.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "sketch")
+    labelled = big.join(labels.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = scratch.settle(labelled, f"labelled{depth}")
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
+    nodes = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("n"))
+    return labelled, scratch.settle(nodes.where("most < n").select("key", "main", "n", (F.col("n") - F.col("most")).alias("strays")), f"mixed{depth}")
+
+
+def _rest(labelled: DataFrame, nodes: DataFrame, least: int, block: int = 512) -> DataFrame:
+    """Candidates between different components of the nodes, exhaustively.
+
+    Only pairs with a stray can link different components. Rows and strays are dealt into blocks, and a block of strays
+    meets a block of rows in one bounded group; of these pairs the ones of different components and similar sketches stay.
+    """
+    open_ = nodes.select("key", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("strays") / block).cast("int").alias("stray_blocks"))
+    rows = labelled.join(open_.hint("merge"), "key").withColumn("h", F.xxhash64("doc_id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["key", "x", "y", "doc_id", "component", "sketch"]
+    own = rows.withColumns({"y": F.pmod("h", "blocks").cast("int"), "x": every("stray_blocks")}).select(*kept, F.lit(0).alias("stray"))
+    strays = rows.where("component <> main").withColumns({"x": F.pmod("h", "stray_blocks").cast("int"), "y": every("blocks")}).select(*kept, F.lit(1).alias("stray"))
 
     def run(key, table):
-        ids, comp, own = (np.asarray(table.column(c)) for c in ("doc_id", "component", "own"))
+        ids, comp, stray = (np.asarray(table.column(c)) for c in ("doc_id", "component", "stray"))
         sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        lo, hi = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        seen: dict[tuple[int, int], tuple[int, int]] = {}
-        for i in left:
-            for j in right[(comp[right] != comp[i]) & (sketch_matches(sk[i], sk[right]) >= least)]:
-                seen.setdefault((ids[i], comp[j]), (ids[i], ids[j]))
-        pairs = list(seen.values())
-        a, b = ([min(p) for p in pairs], [max(p) for p in pairs])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        left, right = np.flatnonzero(stray == 1), np.flatnonzero(stray == 0)
+        pairs = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in left for j in right[(comp[right] != comp[i]) & (sketch_matches(sk[i], sk[right]) >= least)]}
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return rows.groupBy("key", "lo", "hi").applyInArrow(run, _PAIR).distinct()
+    return own.unionByName(strays).groupBy("key", "x", "y").applyInArrow(run, _PAIR).distinct()
 
 
 # ------------------------------------------------------------------ the operator
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under: int = 100, trees: int = 16, first_depth: int = 3, last_depth: int = 6, node_rows: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under: int = 100, trees: int = 14, first_depth: int = 3, last_depth: int = 6, node_rows: int = 48, few_strays: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -276,44 +317,52 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
     sets = sigs.where("n_shingles > 0 and doc_id is not null")
     keys = ["d1", "d2", "n_shingles"]
     classes = scratch.settle(sets.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
-    members = scratch.settle(sets.select("doc_id", *keys).join(classes, keys).select("doc_id", "n_shingles", "rep"), "members")
+    members = scratch.settle(sets.select("doc_id", *keys).join(classes.hint("merge"), keys).select("doc_id", "n_shingles", "rep"), "members")
     reps = sets.join(classes.select(*keys, F.col("rep").alias("doc_id")), [*keys, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     reps = scratch.settle(reps.select("doc_id", "sig"), "reps")
-    pairs, big = candidates(reps, scratch, trees=trees, first_depth=first_depth, last_depth=last_depth, node_rows=node_rows, least=least)
-    pairs = scratch.settle(pairs.distinct(), "candidates")
-
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if big is not None:
-        wanted = wanted.unionByName(big.select("doc_id")).distinct()
-    wanted = scratch.settle(wanted, "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(wanted, "doc_id")
-    texts = scratch.settle(texts.dropDuplicates(["doc_id"]) if _repeats(sigs) else texts, "texts")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not sigs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        source = source.dropDuplicates(["doc_id"])
     sure = {"n": shingle, "over": over, "under": under}
-
-    forest = scratch.settle(pairs.groupBy("b").agg(F.min("a").alias("a")), "forest")
-    links = confirm(forest.select("a", "b"), texts, scratch, "forest", **sure)
-    labels = components(spark, links, scratch)
-    open_ = scratch.settle(_label(pairs, labels).where("ca <> cb").select("a", "b"), "open")
-    links = links.unionByName(confirm(open_, texts, scratch, "open", **sure))
-    labels = components(spark, links, scratch)
-    if big is not None:
-        left = scratch.settle(_rest(big, labels, scratch, least), "rest")
-        if not left.isEmpty():
-            links = links.unionByName(confirm(left, texts, scratch, "rest", **sure))
+    rows, links, labels = tree_rows(reps, trees, first_depth), None, None
+    for depth in range(first_depth, last_depth + 1):
+        pairs, dense, big = candidates(rows, scratch, depth, node_rows=node_rows, least=least)
+        pairs = scratch.settle(pairs.distinct(), f"candidates{depth}")
+        if labels is None:  # the forest: one candidate of each document
+            forest = scratch.settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "forest")
+            links = confirm(forest, source, scratch, "forest", **sure)
             labels = components(spark, links, scratch)
-
-    ids = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+            pairs = pairs.join(forest, ["a", "b"], "left_anti")
+        open_ = _label(pairs, labels).where("ca <> cb").select("a", "b").unionByName(_open_in_nodes(dense, labels, scratch))
+        open_ = scratch.settle(open_.distinct(), f"open{depth}")
+        if not open_.isEmpty():
+            links = links.unionByName(confirm(open_, source, scratch, f"open{depth}", **sure))
+            labels = components(spark, links, scratch)
+        if big is None:
+            break
+        labelled, mixed = _mixed(big, labels, scratch, depth)
+        scratch.drop(big)
+        near, far = (mixed, None) if depth == last_depth else (mixed.where(F.col("strays") <= few_strays), mixed.where(F.col("strays") > few_strays))
+        if not near.isEmpty():
+            left = scratch.settle(_rest(labelled, near, least), f"rest{depth}")
+            if not left.isEmpty():
+                links = links.unionByName(confirm(left, source, scratch, f"rest{depth}", **sure))
+                labels = components(spark, links, scratch)
+        if far is None or far.isEmpty():
+            break
+        # branch on only where many documents are outside the main component of their node
+        deeper = tree_rows(reps, trees, depth + 1).join(far.select(F.col("key").alias("parent")), "parent", "left_semi")
+        rows = scratch.settle(deeper, f"rows{depth + 1}")
+        scratch.drop(labelled)
+
+    ids = members.join(labels.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     # a document without a set is its own component
     bare = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = scratch.settle(ids.unionByName(bare), "result")
-    scratch.drop(sigs, reps, texts, members)
+    scratch.drop(sigs, reps, members)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its component."""
     gone = near_duplicates(docs.select("doc_id", "text"), **options).where("not kept").select("doc_id").distinct()
