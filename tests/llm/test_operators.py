@@ -128,7 +128,7 @@ def test_embeddings_empty(spark):
 # ------------------------------------------------------------------ 2 minhash
 
 
-@pytest.mark.parametrize("options", [{}, {"node_rows": 3, "last_depth": 4}, {"shingle": 5}])
+@pytest.mark.parametrize("options", [{}, {"node_rows": 3, "last_depth": 4}, {"node_rows": 3, "last_depth": 5, "few_strays": 0}, {"shingle": 5}])
 def test_minhash_brute_force(docs, texts, options):
     got = rows_of(minhash.near_duplicates(docs, **options))
     n = options.get("shingle", 2)
