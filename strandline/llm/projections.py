@@ -1,7 +1,7 @@
 """Embedding near-dedup (operator 1): sorted projection passes.
 
 Vectors of equal label are compared by cosine. Equal vectors of a label form one class, represented by its smallest id.
-Each of ``passes`` passes hashes every representative with ``bits`` random hyperplanes, concatenates the signs to a key
+Each pass (``passes`` of them, more for large labels, see below) hashes every representative with ``bits`` random hyperplanes, concatenates the signs to a key
 and orders a label's vectors by it. In that order every vector is compared, in double precision, with the ``neighbours``
 that follow it; the order is dealt in blocks that overlap by that many rows, so blocks are bounded and none is hot.
 Verified pairs of all passes are united to components.
@@ -9,9 +9,15 @@ Verified pairs of all passes are united to components.
 Components hold all links, so the number of links of each vector is then counted exactly inside its component: small
 components as one group, larger ones in pairs of blocks of bounded size. Only counts leave a group, never pairs.
 
-With 24 passes, 64 neighbours and n vectors a label, a pair of cosine 0.93 (angle 21.6 degrees) agrees on the first
-log2(n / 64) signs of one pass with probability 0.88 ** log2(n / 64): it is lost by all passes with probability under
-1e-5 for n = 6e3, 1e-3 for n = 1e6 (raise ``passes`` with n). Groups of near copies link through any of their pairs.
+A pair of cosine 0.93 (angle 21.6 degrees) agrees on the first d signs of one pass with probability 0.88 ** d, and is
+compared if at most ``neighbours`` vectors agree with it on them. The depth d is estimated for every label and width: from
+its counted size n and the angles of a sample of at most ``sample`` of its vectors, as the least d at which n times the
+mean chance of agreeing on d signs is at most ``neighbours``, for the most crowded sampled vector (vectors over the
+threshold are left out: groups of near copies link through any of their pairs). For directions without a trend d is about
+log2(n / neighbours); for vectors in a narrow cone it is larger. The label gets as many passes as lose a pair with
+probability under ``miss``, and ``passes`` at least: with 64 neighbours and ``miss`` 1e-5 without a trend 24 for n = 6e3, 63
+for n = 1e6 and 99 for n = 1e7. Depths over ``bits`` count as ``bits``, where keys end: a label so packed that it needs
+more loses more.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components, and one with a null label,
 links with nothing and is its own component; a null id likewise, with a null component; vectors of different lengths do
@@ -22,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import U64, Scratch, components, longs
@@ -49,39 +55,77 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def hyperplanes(width: int, passes: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, width]).standard_normal((width, passes * bits))
+def depth_needed(x: np.ndarray, count: int, neighbours: int, threshold: float, bits: int) -> int:
+    """Signs that leave at most ``neighbours`` of ``count`` vectors, of which the rows of ``x`` are a sample, together."""
+    cos = x @ x.T
+    agree = 1 - np.arccos(np.clip(cos, -1, 1)) / np.pi  # on one random hyperplane
+    agree[cos >= threshold] = 0
+    share, depth = (agree > 0).astype(float), 0
+    while depth < bits and count * share.mean(axis=1).max() > neighbours:
+        share *= agree
+        depth += 1
+    return depth
 
 
-def sort_keys(x: np.ndarray, passes: int, bits: int, seed: int) -> np.ndarray:
-    """(vectors, passes) keys: the first hyperplane is the highest bit, so that order is lexicographic."""
-    signs = (x @ hyperplanes(x.shape[1], passes, bits, seed)).reshape(len(x), passes, bits) > 0
+def passes_needed(depth: int, threshold: float, miss: float) -> int:
+    """Passes that all lose a pair at the threshold, which must agree on ``depth`` signs, with probability under ``miss``."""
+    together = (1 - np.arccos(threshold) / np.pi) ** depth
+    return 1 if together >= 1 else int(np.ceil(np.log(miss) / np.log1p(-together)))
+
+
+def needs(reps: DataFrame, *, threshold: float, passes: int, bits: int, neighbours: int, miss: float, sample: int) -> DataFrame:
+    """label, width, count, passes of every label and width, from its size and a bounded sample by hash."""
+    keys = ["label", "width"]
+    rows = reps.select("label", F.size("vector").alias("width"), "rep", "vector")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("count"))
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("rep"), "rep")
+    some = rows.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= sample).join(sizes, keys).select(*keys, "count", "vector")
+
+    def run(key, table):
+        count = table.column("count")[0].as_py()
+        depth = depth_needed(unit(matrix(table.column("vector"))), count, neighbours, threshold, bits) if count > neighbours else 0
+        return pa.table({"label": [key[0].as_py()], "width": pa.array([key[1].as_py()], pa.int32()), "count": [count], "passes": pa.array([max(passes, passes_needed(depth, threshold, miss))], pa.int32())})
+
+    return some.groupBy(*keys).applyInArrow(run, "label long, width int, count long, passes int")
+
+
+PART = 24  # passes whose keys are made at once
+
+
+def hyperplanes(width: int, part: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, width, part] if part else [seed, width]).standard_normal((width, PART * bits))
+
+
+def sort_keys(x: np.ndarray, part: int, bits: int, seed: int) -> np.ndarray:
+    """(vectors, PART) keys: the first hyperplane is the highest bit, so that order is lexicographic."""
+    signs = (x @ hyperplanes(x.shape[1], part, bits, seed)).reshape(len(x), PART, bits) > 0
     return (signs.astype(U64) << np.arange(bits - 1, -1, -1, dtype=U64)).sum(axis=2, dtype=U64)
 
 
 _KEYED = "pass int, label long, width int, key long, rep long, vector array<double>"
 
 
-def keyed(reps: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """One row for each representative and pass."""
+def keyed(reps: DataFrame, bits: int, seed: int) -> DataFrame:
+    """One row for each representative and pass of its label; ``reps`` have ``width`` and ``passes``."""
 
     def run(batches):
         for batch in batches:
-            sizes = np.asarray(batch.column(3).to_numpy(zero_copy_only=False))
-            for width in np.unique(sizes):
-                rows = batch.filter(pa.array(sizes == width))
+            kinds = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4)], axis=1)
+            for width, passes in np.unique(kinds, axis=0).tolist():
+                rows = batch.filter(pa.array((kinds == (width, passes)).all(axis=1)))
                 for lo in range(0, rows.num_rows, 1000):
                     part = rows.slice(lo, 1000)
                     x = unit(matrix(part.column(2)))
-                    keys = sort_keys(x, passes, bits, seed)
                     n = len(x)
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                     for p in range(passes):
+                        if p % PART == 0:
+                            keys = sort_keys(x, p // PART, bits, seed)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, p, np.int32)), part.column(1), pa.array(np.full(n, width, np.int32)), longs(keys[:, p]), part.column(0), flat], names=["pass", "label", "width", "key", "rep", "vector"]
+                            [pa.array(np.full(n, p, np.int32)), part.column(1), pa.array(np.full(n, width, np.int32)), longs(keys[:, p % PART]), part.column(0), flat], names=["pass", "label", "width", "key", "rep", "vector"]
                         )
 
-    return reps.select("rep", "label", "vector", F.size("vector").alias("width")).mapInArrow(run, _KEYED)
+    return reps.select("rep", "label", "vector", "width", "passes").mapInArrow(run, _KEYED)
 
 
 def ordered(rows: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
@@ -149,12 +193,14 @@ def _block_links(threshold: float, neighbours: int):
     return run
 
 
-def pass_links(reps: DataFrame, scratch: Scratch, *, threshold: float, passes: int, bits: int, neighbours: int, block: int, seed: int) -> DataFrame:
+def pass_links(reps: DataFrame, scratch: Scratch, *, threshold: float, passes: int, bits: int, neighbours: int, block: int, seed: int, miss: float, sample: int) -> DataFrame:
     """Links found by the passes, thinned to stars inside each block."""
     spark = reps.sparkSession
-    count = reps.count()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * passes // 200_000)
-    rows = ordered(keyed(reps, passes, bits, seed), scratch, partitions)
+    need = scratch.settle(needs(reps, threshold=threshold, passes=passes, bits=bits, neighbours=neighbours, miss=miss, sample=sample), "needs")
+    made = need.agg(F.coalesce(F.sum(F.col("count") * F.col("passes")), F.lit(0))).first()[0]
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), made // 200_000)
+    dealt = reps.withColumn("width", F.size("vector")).join(need.select("label", "width", "passes"), ["label", "width"])
+    rows = ordered(keyed(dealt, bits, seed), scratch, partitions)
     own = F.floor(F.col("place") / block).cast("long")
     # the first rows of a block are also compared with the last ones of the block before
     both = F.when((F.col("place") % block < neighbours) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
@@ -188,7 +234,7 @@ def _count_links(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, passes: int = 24, bits: int = 32, neighbours: int = 64, block: int = 1024, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, passes: int = 24, bits: int = 32, neighbours: int = 64, block: int = 1024, seed: int = 7, miss: float = 1e-5, sample: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "projections")
@@ -202,7 +248,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, passes:
     reps = good.join(classes.select(F.col("rep").alias("vec_id"), "label", "digest", "copies"), ["vec_id", "label", "digest"])
     reps = scratch.settle(reps.select(F.col("vec_id").alias("rep"), "label", "vector", "copies"), "reps")
 
-    links = pass_links(reps, scratch, threshold=threshold, passes=passes, bits=bits, neighbours=neighbours, block=block, seed=seed)
+    links = pass_links(reps, scratch, threshold=threshold, passes=passes, bits=bits, neighbours=neighbours, block=block, seed=seed, miss=miss, sample=sample)
     labels = components(spark, links, scratch)
 
     # exact counts inside components; a component of many vectors is dealt in blocks and counted by pairs of blocks

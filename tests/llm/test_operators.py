@@ -125,6 +125,25 @@ def test_embeddings_empty(spark):
     assert projections.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("cone", [0.0, 1.0])
+def test_embeddings_passes_grow_with_the_label(spark, cone):
+    """A label much larger than the window, and one whose vectors all lean to one side, lose no pair."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((1200, 24)) + cone
+    side = rng.standard_normal(base.shape)
+    side -= (side * base).sum(1, keepdims=True) / (base * base).sum(1, keepdims=True) * base
+    near = base / np.linalg.norm(base, axis=1, keepdims=True) + 0.38 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(base[:1200])] + [(5000 + i, v.tolist(), 0) for i, v in enumerate(near[:300])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in projections.near_duplicates(frame, passes=4, neighbours=4).collect()}
+    assert [i for i in range(300) if got[5000 + i] != got[i]] == []
+
+
+def test_embeddings_passes_for_large_labels():
+    depth = lambda n: np.log2(n / 64)
+    assert [projections.passes_needed(depth(n), 0.93, 1e-5) for n in (64, 6e3, 1e6, 1e7)] == [1, 21, 63, 99]
+
+
 # ------------------------------------------------------------------ 2 minhash
 
 
