@@ -21,8 +21,13 @@ QUALITY_THRESHOLD = 0.7
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier scores at least QUALITY_THRESHOLD; the others go."""
+    """Documents that the compression classifier scores at least QUALITY_THRESHOLD; the others go.
+
+    Without a model (too few labelled documents of a class) all stay.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    if model.weights is None:
+        return docs
     return score_quality(docs, model, "_score").where(F.col("_score") >= QUALITY_THRESHOLD).drop("_score")
 
 

@@ -3,7 +3,7 @@
 Two dictionaries are built from labelled texts. A text is cut into pieces of ``piece_bytes`` (all of it, so that a long
 text cannot teach the compressor its own vocabulary), each piece is compressed with either dictionary, and the summed
 size difference over the bytes of the text is turned into a probability by a logistic curve fitted on labelled rows that the
-dictionaries did not see.
+dictionaries did not see, weighed to the share of good documents among all training labels.
 
 Defined results: null and empty texts have difference 0 and get the curve's value there; with no labelled rows of one
 class every score is 0.5; rows with a null label or null id never train; of several labels of one id the mean counts;
@@ -33,14 +33,19 @@ class QualityModel:
     level: int = 3
 
 
+def _one_label(labels: DataFrame, label: str, keep: Column) -> DataFrame:
+    """doc_id and class ``_y`` of every labelled id of ``keep``."""
+    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(keep)
+    return one.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows_per_class: int, most_chars: int) -> list[tuple[str, int]]:
     """At most ``rows_per_class`` labelled texts of each class, picked by a hash of the id.
 
     A bounded fitting sample: texts over ``most_chars`` are left to scoring, which bounds what reaches the driver to
     ``4 * rows_per_class * most_chars`` characters however large the tables are.
     """
-    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(keep)
-    one = one.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
+    one = _one_label(labels, label, keep)
     order = [F.xxhash64("doc_id", F.lit(label)), "doc_id"]
     picked = [one.where(F.col("_y") == y).orderBy(*order).limit(2 * rows_per_class) for y in (0, 1)]
     ids = [(r[0], r[1]) for part in picked for r in part.collect()]  # ids first: only the picked texts move
@@ -50,13 +55,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return [(t, y) for c in (0, 1) for _, t, y in [r for r in found if r[2] == c][:rows_per_class]]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 1000, most_chars: int = 12_000, dict_bytes: int = 65_536, piece_bytes: int = 512, level: int = 3, share: float = 0.88) -> QualityModel:
+def class_share(labels: DataFrame, label: str, keep: Column) -> float | None:
+    """Share of class 1 among all labelled ids of ``keep`` (None: there are none)."""
+    return _one_label(labels, label, keep).agg(F.avg("_y")).first()[0]
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = 1000, most_chars: int = 12_000, dict_bytes: int = 65_536, piece_bytes: int = 512, level: int = 3) -> QualityModel:
     """Dictionaries and curve from a bounded sample of labelled rows outside the held-out fold (crc32(id) mod 4 = 2)."""
-    sample = labelled_sample(docs, labels, "quality", crc_of_id("doc_id") % 4 != 2, rows_per_class, most_chars)
+    train = crc_of_id("doc_id") % 4 != 2
+    sample = labelled_sample(docs, labels, "quality", train, rows_per_class, most_chars)
+    share = class_share(labels, "quality", train)
     return fit_quality_rows(sample, dict_bytes=dict_bytes, piece_bytes=piece_bytes, level=level, share=share)
 
 
-def fit_quality_rows(sample: list[tuple[str, int]], *, dict_bytes: int = 65_536, piece_bytes: int = 512, level: int = 3, share: float = 0.88) -> QualityModel:
+def fit_quality_rows(sample: list[tuple[str, int]], *, dict_bytes: int = 65_536, piece_bytes: int = 512, level: int = 3, share: float | None) -> QualityModel:
     parts = {y: [t.encode() for t, label in sample if label == y] for y in (0, 1)}
     if min(len(p) for p in parts.values()) < 4:
         return QualityModel(b"", b"", None, piece_bytes, level)
@@ -77,7 +89,7 @@ def _dictionary(texts: list[bytes], dict_bytes: int, piece_bytes: int) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-3, rounds: int = 60) -> tuple[float, float]:
-    """Newton's method on the standardised difference; class 1 weighs ``share``, its share among the labels."""
+    """Newton's method on the standardised difference; class 1 weighs ``share``, its share among all training labels."""
     mid, scale = float(x.mean()), float(x.std()) or 1.0
     design = np.stack([(x - mid) / scale, np.ones_like(x)], 1)
     weight = np.where(y > 0, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)

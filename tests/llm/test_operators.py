@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from strandline.llm import chat, common, decontaminate, minhash, packing, pii, projections, quality, substrings, toxicity, warc
 
 ALPHABET = ["alpha", "beta", "Gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "ñu", "omikron."]
@@ -453,3 +454,54 @@ def test_quality_held_out_accuracy_and_odd_rows(spark):
     assert sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held) >= 0.97 * len(held)
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) == r["held_out"] for r in held) and all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in rows_of(quality.quality_report(docs, marks.limit(0)))} == {0.5}
+
+
+@pytest.mark.parametrize("every", [2, 5])
+def test_quality_score_follows_the_share_of_labels(spark, every):
+    """Labels that say nothing of the text: the score is the share of good labels, whatever it is."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(words(rng, 40))) for i in range(600)]
+    marks = spark.createDataFrame([(i, int(i % every == 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = rows_of(quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string"), marks))
+    assert abs(np.mean([r["score"] for r in got]) - 1 / every) < 0.1
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+def corpus(spark, path, labelled):
+    rng = random.Random(21)
+    rows, labels = [], []
+    items = [" ".join(words(rng, 24)) for _ in range(3)]
+    for i in range(300):
+        t = words(rng, 70)
+        if i % 3 == 0:
+            t = [w.upper() + "$$$" for w in t]
+        elif i % 20 == 1:
+            t[30:42] = items[i % 3].split()[5:17]
+        elif i % 10 == 4 and rows[i - 3][0] % 3:
+            t = rows[i - 3][1].split()
+            t[rng.randrange(70)] = f"changed{i}"
+        rows.append((i, " ".join(t), "en", "src", 0))
+        labels.append((i, int(i % 3 > 0), 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels if labelled else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(str(k), t) for k, t in enumerate(items)], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    return rows, items
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_brute_force(spark, tmp_path, labelled):
+    rows, items = corpus(spark, str(tmp_path), labelled)
+    docs = {i: re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for i, t, *_ in rows if i % 3 or not labelled}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in docs.items()}
+    root = classes(docs, [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    assert any(root[i] != i for i in root)
+    plain = lambda t: re.findall(r"[^\W_]+", t.lower())
+    windows = {tuple(w[k : k + 10]) for w in map(plain, items) for k in range(len(w) - 9)}
+    text = {i: t for i, t, *_ in rows}
+    held = {i for i in docs if any(tuple(w[k : k + 10]) in windows for w in [plain(text[i])] for k in range(len(w) - 9))}
+    assert held
+    want = {i for i in docs if root[i] == i and i not in held}
+    got = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
+    assert {r["doc_id"] for r in got} == want
