@@ -11,7 +11,8 @@ their token at that position. A path down to ``first_depth`` follows from the si
   of one component is done: a group of near copies, however large, needs no more than a leader.
 * In a larger node of several components only its strays, the documents outside the main component, are left to compare
   with all others: exhaustively, in blocks of bounded size, where they are few (``few_strays``), else after branching on,
-  down to ``last_depth``, where what is left is compared in the same way. No node is cut off.
+  down to ``last_depth``, where what is left is compared in the same way. No node is cut off. The documents of nodes that
+  branch on are also put into further trees, for what deeper nodes lose.
 
 Candidates are confirmed on full sets, computed anew from whole texts: first one candidate of each document (a forest of
 at most one row per document, which settles nearly all groups), then only those that still link different components.
@@ -19,8 +20,9 @@ Pairs inside one component are never written out. Joins whose both sides grow wi
 side of theirs has a bound that would allow a broadcast.
 
 A pair of similarity 0.8 stays together over d levels of one tree with probability 0.8 ** d; with the default 14 trees
-and first depth 3 all trees lose it with probability 4e-5 in small nodes, and 1.5e-2 where nodes of very many strays
-need depth 6.
+and first depth 3 all trees lose it with probability 4e-5. Where nodes of very many strays need depth 6 they are 34 trees
+(``deep_trees``), which lose it with 3e-5, so that the target is the same at every size. A pair that was together in any
+such node has both its documents in the further trees; any other pair has only met nodes that were compared.
 
 Defined results: null and empty texts have the empty set, 0 shingles, and link with nothing (component is the own id);
 one word is one shingle; repeated rows share id and component; a null id has a null component and is kept. Rows
@@ -91,6 +93,13 @@ def paths(sig: np.ndarray, trees: int, depth: int) -> np.ndarray:
     return key
 
 
+def deep_trees(trees: int, first_depth: int, last_depth: int, threshold: float) -> int:
+    """Trees down to ``last_depth`` that lose a pair at the threshold no more often than ``trees`` to ``first_depth``."""
+    if threshold >= 1 or last_depth <= first_depth:
+        return trees
+    return int(np.ceil(trees * np.log1p(-(threshold**first_depth)) / np.log1p(-(threshold**last_depth)) - 1e-9))
+
+
 def sketches(sig: np.ndarray) -> np.ndarray:
     """(documents, 32) bytes: four bits of each position."""
     four = (mix(sig.astype(U64)) & U64(15)).astype(np.uint8)
@@ -115,17 +124,17 @@ def _sig_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), _U32).reshape(-1, POSITIONS) if len(column) else np.zeros((0, POSITIONS), _U32)
 
 
-def tree_rows(reps: DataFrame, trees: int, depth: int) -> DataFrame:
-    """key, parent, doc_id, sketch: one row for each representative and tree; parent is the node one level up."""
+def tree_rows(reps: DataFrame, trees: int, depth: int, first: int = 0) -> DataFrame:
+    """key, parent, doc_id, sketch: one row for each representative and tree from ``first`` on; parent is the node one level up."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 sig = _sig_matrix(part.column(1))
-                keys, up = paths(sig, trees, depth).ravel(), paths(sig, trees, depth - 1).ravel()
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), trees)
-                flat = np.repeat(sketches(sig), trees, axis=0)
+                keys, up = (paths(sig, trees, d)[:, first:].ravel() for d in (depth, depth - 1))
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), trees - first)
+                flat = np.repeat(sketches(sig), trees - first, axis=0)
                 yield pa.RecordBatch.from_arrays([longs(keys), longs(up), pa.array(ids), _binary(flat)], names=["key", "parent", "doc_id", "sketch"])
 
     return reps.select("doc_id", "sig").mapInArrow(run, "key long, parent long, doc_id long, sketch binary")
@@ -324,6 +333,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
     if not sigs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         source = source.dropDuplicates(["doc_id"])
     sure = {"n": shingle, "over": over, "under": under}
+    deep = deep_trees(trees, first_depth, last_depth, over / under)
     rows, links, labels = tree_rows(reps, trees, first_depth), None, None
     for depth in range(first_depth, last_depth + 1):
         pairs, dense, big = candidates(rows, scratch, depth, node_rows=node_rows, least=least)
@@ -351,7 +361,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
         if far is None or far.isEmpty():
             break
         # branch on only where many documents are outside the main component of their node
-        deeper = tree_rows(reps, trees, depth + 1).join(far.select(F.col("key").alias("parent")), "parent", "left_semi")
+        deeper = tree_rows(reps, trees if depth == first_depth else deep, depth + 1).join(far.select(F.col("key").alias("parent")), "parent", "left_semi")
+        if depth == first_depth and deep > trees:
+            crowded = labelled.join(far.select("key").hint("merge"), "key", "left_semi").select("doc_id").distinct()
+            more = tree_rows(reps.join(crowded.hint("merge"), "doc_id", "left_semi"), deep, depth + 1, trees)
+            deeper = deeper.unionByName(more.select(deeper.columns))
         rows = scratch.settle(deeper, f"rows{depth + 1}")
         scratch.drop(labelled)
 

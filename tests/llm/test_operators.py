@@ -182,6 +182,26 @@ def test_minhash_large_node_is_compared_in_blocks(spark):
     assert got == classes(sets, links)
 
 
+def test_minhash_crowded_nodes_lose_no_pairs(spark):
+    """Documents with most of their shingles in common: nodes stay mixed and branch on, and pairs must outlive that."""
+    rng = random.Random(12)
+    common_part = [f"c{k}" for k in range(100)]
+    rows = []
+    for k in range(40):
+        own = [f"d{k}w{j}" for j in range(25)]
+        rows += [(k, " ".join(common_part + own)), (1000 + k, " ".join(common_part + own[:15] + [f"e{k}w{j}" for j in range(10)]))]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, trees=3, first_depth=1, last_depth=6, node_rows=2, few_strays=0).collect()}
+    assert [k for k in range(40) if got[1000 + k] != k or got[k] != k] == []
+
+
+def test_minhash_deep_trees_keep_the_target():
+    assert minhash.deep_trees(14, 3, 3, 0.8) == 14
+    deep = minhash.deep_trees(14, 3, 6, 0.8)
+    assert (1 - 0.8**6) ** deep <= (1 - 0.8**3) ** 14 < (1 - 0.8**6) ** (deep - 1)
+
+
 def test_minhash_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
     assert minhash.drop_near_duplicates(empty).columns == empty.columns
