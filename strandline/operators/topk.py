@@ -1,8 +1,6 @@
 """Greedy selections: spaced top-k and peaks. Both are sequential by nature and run per stream and kind.
 
-Spaced top-k needs only candidates: a stream is cut into cells of half the spacing, and at most one row of a cell can be
-picked, so the best row of each cell that could win is kept by a grouped maximum before the greedy pass; the pass so sees
-a number of rows that depends on the stream's length over the spacing, not on its rows.
+Both take all scored rows of a stream as one group.
 """
 
 from __future__ import annotations

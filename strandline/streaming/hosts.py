@@ -1,7 +1,7 @@
 """Two hosts for a state machine: a grouped backfill and a Structured Streaming operator.
 
 Streams are independent, so both hosts key by stream (and model, output or horizon, where a machine has several). The
-backfill hands a stream to the machine batch by batch in order; the streaming host keeps the machine's state as one JSON
+backfill holds a whole stream as one group and steps through it in order; the streaming host keeps the machine's state as one JSON
 value in the state store, so a restart continues from its checkpoint.
 """
 
