@@ -37,6 +37,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="strandline-"))
         atexit.register(shutil.rmtree, _own_root[0], True)
@@ -48,7 +50,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self._n = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}", 0
-        self.paths: dict[int, str] = {}
+        self._tables: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -59,8 +61,8 @@ class Scratch:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._strandline_path = path
+        self._tables.append(out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -68,6 +70,11 @@ class Scratch:
         for df in frames:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._strandline_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._tables = [t for t in self._tables if t is not df]
+
+    def keep(self, *results: DataFrame) -> None:
+        """Remove all settled tables but those that the operator's result reads."""
+        self.drop(*[t for t in self._tables if all(t is not r for r in results)])
 
 
 # ---------------------------------------------------------------- words of texts, as hashes
@@ -215,9 +222,9 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     while not _is_stars(e):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = scratch.settle(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "large")
-        big = scratch.settle(both.join(least.hint("merge"), "x").where("y > x and y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        big = scratch.settle(both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         lower = scratch.settle(big.groupBy("u").agg(F.min("v").alias("m")), "small")
-        moved = big.join(lower.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = big.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.settle(moved.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         scratch.drop(e, least, big, lower)
         e = new
@@ -232,6 +239,28 @@ def _is_stars(e: DataFrame) -> bool:
     return e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
+def stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b), positions in ``ids``, as one link from every linked id to the smallest id of its group."""
+    root = np.arange(len(ids))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            if ids[x] < ids[y]:
+                root[y] = x
+            else:
+                root[x] = y
+    tops = np.array([find(i) for i in range(len(ids))], np.int64)
+    leaf = np.flatnonzero(tops != np.arange(len(ids)))
+    return ids[tops[leaf]], ids[leaf]
+
+
 def crc_of_id(column) -> "F.Column":
     """crc32 of an id as text: the fold rule of the labelled operators."""
     return F.crc32(F.col(column).cast("string").cast("binary")) if isinstance(column, str) else F.crc32(column.cast("string").cast("binary"))

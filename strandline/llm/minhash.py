@@ -1,32 +1,32 @@
 """MinHash near-dedup (operator 2): a chosen-path set similarity join.
 
 A document's set is its distinct 2-word shingles as 64-bit hashes. Documents with equal sets form one class (found by a
-128-bit digest of the set), and only class representatives are joined. ``trees`` independent trees branch the
-representatives: a node on depth d names one position of the minwise signature, and its documents go to the child of
-their token at that position. A path down to ``first_depth`` follows from the signature alone, so trees begin there.
-
-* A node of at most ``node_rows`` documents is compared exhaustively, by the sketch (64 signature positions, 4 bits each)
-  that it carries; pairs whose sketches could belong to sets over the threshold are candidates.
-* A larger node compares all its documents with its smallest one. Candidates are then confirmed and united. A larger node
-  of one component is done: a group of near copies, however large, needs no more than a leader.
-* In a larger node of several components only its strays, the documents outside the main component, are left to compare
-  with all others: exhaustively, in blocks of bounded size, where they are few (``few_strays``), else after branching on,
-  down to ``last_depth``, where what is left is compared in the same way. No node is cut off. The documents of nodes that
-  branch on are also put into further trees, for what deeper nodes lose.
-
-Candidates are confirmed on full sets, computed anew from whole texts: first one candidate of each document (a forest of
-at most one row per document, which settles nearly all groups), then only those that still link different components.
-Pairs inside one component are never written out. Joins whose both sides grow with the corpus ask for a merge join: no
-side of theirs has a bound that would allow a broadcast.
-
-A pair of similarity 0.8 stays together over d levels of one tree with probability 0.8 ** d; with the default 14 trees
-and first depth 3 all trees lose it with probability 4e-5. Where nodes of very many strays need depth 6 they are 34 trees
-(``deep_trees``), which lose it with 3e-5, so that the target is the same at every size. A pair that was together in any
-such node has both its documents in the further trees; any other pair has only met nodes that were compared.
+128-bit digest of the set), and only class representatives are joined. ``trees`` independent trees branch them from the
+root: a node names one position of the minwise signature, every other node a second one, and a document goes to the
+children of its tokens at those positions. Level by level, nodes are judged by their counted size:
+
+* A node of at most ``node_rows`` documents ends: all its pairs are compared, by size (a pair over the threshold has sizes
+  within it) and by the sketch (128 signature positions, 2 bits each) that each row carries.
+* A larger node compares its documents with up to ``LEADERS`` of them; what this finds is confirmed and united. A node of
+  one component ends: a group of near copies, however large, needs no more than leaders.
+* In other larger nodes only the strays, the documents outside the main component, can still link components. Where they
+  are few (``few_strays``) they are compared with all documents of the node, in blocks of bounded size; else the node
+  branches. What is left at ``last_depth`` is compared in blocks, too: no node is cut off.
+
+Similar pairs never leave a node one by one. A node gives each document its most similar smaller partner, a forest of one
+pair a document that settles nearly all groups once confirmed; the matrix of its other pairs stays with the node. When
+all levels are done, nodes with similar pairs of different components are opened: the full sets of those documents
+come to the node once, all its pairs are confirmed there, and only links that unite leave it. Full sets are computed from
+whole texts, and every link is confirmed on them.
+
+A pair of similarity s meets in a child with probability 1 - (1 - s)(1 - s / 2) at least, so for s = 0.8 its expected
+number of common children is 1.2: the chance q to share a node of depth d falls from 0.88 to 0.81, 0.76, 0.73 and never
+under 0.625. Ten trees miss a pair at the threshold with probability (1 - q) ** 10: 6e-7 at depth 3, 1e-5 at depth 6, and
+under 6e-5 at any depth, so the target holds at every size. The sketch loses another 3e-5.
 
 Defined results: null and empty texts have the empty set, 0 shingles, and link with nothing (component is the own id);
-one word is one shingle; repeated rows share id and component; a null id has a null component and is kept. Rows
-that repeat an id are one document; any one of their texts is confirmed.
+one word is one shingle; repeated rows share id and component; a null id has a null component and is kept. Rows that
+repeat an id with different texts are one document: the text of the smallest digest is compared.
 """
 
 from __future__ import annotations
@@ -36,344 +36,598 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BLANK_WORDS, LOWER, U64, Scratch, components, longs, mix, word_slices
+from strandline.llm.common import BLANK_WORDS, LOWER, U64, Scratch, components, longs, mix, stars, word_slices
 
-POSITIONS = 64
+POSITIONS = 128
+LEADERS = 8
 _U32 = np.uint32
 _MULTIPLY = (mix(np.arange(1, POSITIONS + 1, dtype=U64)) >> U64(32)).astype(_U32) | _U32(1)
 _ADD = (mix(np.arange(1001, POSITIONS + 1001, dtype=U64)) >> U64(32)).astype(_U32)
+#: Groups that are confirmed together hold about this many shingles (one document may hold more).
+GROUP_SHINGLES = 1 << 21
 
 
-def shingle_sets(texts: pa.Array, n: int):
-    """(row, sorted distinct hashes of the row's n-word shingles) of each text that has words."""
-    for lo, hi, w in word_slices(texts, BLANK_WORDS, LOWER):
-        grams, _ = w.grams(n)
-        for i in range(lo, hi):
-            a, b = int(w.first[i - lo]), int(w.first[i - lo + 1])
-            if b - a >= n:
-                yield i, np.unique(grams[a : b - n + 1])
-            elif b > a:  # fewer words: the whole sequence is the one shingle
-                whole = U64(b - a)
-                for h in w.hash[a:b]:
-                    whole = mix(np.array([whole * U64(31) + h], U64))[0]
-                yield i, np.array([whole], U64)
+# ------------------------------------------------------------------ sets and signatures
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def gram_slices(texts: pa.Array, n: int):
+    """(owner, hash) arrays of the n-word shingles of slices of texts, owners ascending, with repeats.
+
+    A text of fewer words, but not none, has the hash of its whole sequence.
+    """
+    for lo, _, w in word_slices(texts, BLANK_WORDS, LOWER):
+        grams, whole = w.grams(n)
+        owner, hashes = w.doc[: len(grams)][whole], grams[whole]
+        count = np.diff(w.first)
+        short = np.flatnonzero((count > 0) & (count < n))
+        if len(short):
+            own = []
+            for i in short.tolist():
+                h = U64(count[i])
+                for x in w.hash[w.first[i] : w.first[i + 1]]:
+                    h = mix(np.array([h * U64(31) + x], U64))[0]
+                own.append(h)
+            owner, hashes = np.append(owner, short + lo), np.append(hashes, np.array(own, U64))
+            order = np.argsort(owner, kind="stable")
+            owner, hashes = owner[order], hashes[order]
+        if len(owner):
+            yield owner, hashes
+
+
+def distinct_sets(texts: pa.Array, n: int):
+    """(rows, starts, hashes) of slices of texts: the sorted distinct hashes of each row that has words."""
+    for owner, hashes in gram_slices(texts, n):
+        hashes = hashes.copy()
+        cuts = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner)).tolist()
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            hashes[i:j].sort()
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+        owner, hashes = owner[new], hashes[new]
+        rows, starts = np.unique(owner, return_index=True)
+        yield rows, starts, hashes
+
+
+def digests(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.add.reduceat(mix(h), starts) for h in (hashes ^ U64(0x5851F42D4C957F2D), hashes + U64(0x14057B7EF767814F)))
+
+
+def signature_tokens(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(rows, POSITIONS) minwise tokens, folded to 16 bits."""
     low = (hashes >> U64(32)).astype(_U32)
-    return (low[None, :] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1)
+    out = np.zeros((len(starts), POSITIONS), np.uint16)
+    for p in range(POSITIONS):
+        least = np.minimum.reduceat(low * _MULTIPLY[p] + _ADD[p], starts)
+        out[:, p] = (least * _U32(0x9E3779B1)) >> _U32(16)
+    return out
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (two longs) and minwise signature."""
+    """doc_id, n_shingles, digest of the set (two longs) and minwise tokens of every row."""
 
     def run(batches):
         for batch in batches:
             count = batch.num_rows
             size, d1, d2 = np.zeros(count, np.int64), np.zeros(count, U64), np.zeros(count, U64)
             sigs: list[bytes | None] = [None] * count
-            for i, s in shingle_sets(batch.column(1), n):
-                size[i], d1[i], d2[i] = len(s), mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64), mix(s + U64(0x14057B7EF767814F)).sum(dtype=U64)
-                sigs[i] = signature(s).tobytes()
+            for rows, starts, hashes in distinct_sets(batch.column(1), n):
+                size[rows] = np.diff(np.append(starts, len(hashes)))
+                d1[rows], d2[rows] = digests(hashes, starts)
+                for i, s in zip(rows.tolist(), signature_tokens(hashes, starts), strict=True):
+                    sigs[i] = s.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), longs(d1), longs(d2), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 # ------------------------------------------------------------------ trees
 
 
-def paths(sig: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """(documents, trees) node keys on ``depth``; sig is (documents, POSITIONS)."""
-    rows = np.arange(len(sig))[:, None]
-    key = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)), (len(sig), trees)).copy()
-    for d in range(depth):
-        position = (mix(key + U64(d)) % U64(POSITIONS)).astype(np.int64)  # the node chooses, so all its documents agree
-        key = mix(key ^ (sig[rows, position].astype(U64) + (position.astype(U64) << U64(32))))
-    return key
+def roots(trees: int) -> np.ndarray:
+    return mix(np.arange(1, trees + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-def deep_trees(trees: int, first_depth: int, last_depth: int, threshold: float) -> int:
-    """Trees down to ``last_depth`` that lose a pair at the threshold no more often than ``trees`` to ``first_depth``."""
-    if threshold >= 1 or last_depth <= first_depth:
-        return trees
-    return int(np.ceil(trees * np.log1p(-(threshold**first_depth)) / np.log1p(-(threshold**last_depth)) - 1e-9))
+def children(key: np.ndarray, sig: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child) of nodes ``key`` that hold the documents ``sig[row]``: one child, or two where the node branches twice."""
+    first = mix(key + U64(0x632BE59BD9B4E019))
+    second = (first + U64(1) + mix(key + U64(0x8CB92BA72F3D8DD7)) % U64(POSITIONS - 1)) % U64(POSITIONS)
+    first %= U64(POSITIONS)
+    twice = mix(key + U64(0x1D8E4E27C47D124F)) >> U64(63) == 1
+    row, key, position = np.append(row, row[twice]), np.append(key, key[twice]), np.append(first, second[twice])
+    token = sig[row, position.astype(np.int64)].astype(U64)
+    return row, mix(key ^ ((token << U64(8)) | position) ^ U64(0xA0761D6478BD642F))
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """(documents, 32) bytes: four bits of each position."""
-    four = (mix(sig.astype(U64)) & U64(15)).astype(np.uint8)
-    return four[:, ::2] | (four[:, 1::2] << 4)
+_LANE = U64(0x5555555555555555)
 
 
-_PAIRS_EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(documents, 4) words: two bits of each position."""
+    two = (sig & np.uint16(3)).astype(U64).reshape(len(sig), 4, 32)
+    return (two << (U64(2) * np.arange(32, dtype=U64))).sum(axis=2, dtype=U64)
 
 
-def sketch_matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal positions of sketches; shapes broadcast over the last axis of 32 bytes."""
-    return _PAIRS_EQUAL[a ^ b].sum(axis=-1, dtype=np.int64)
+def matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal positions of sketches; shapes broadcast over the last axis of 4 words."""
+    x = a ^ b
+    return POSITIONS - np.bitwise_count((x | (x >> U64(1))) & _LANE).sum(axis=-1, dtype=np.int64)
 
 
-def least_matches(threshold: float, deviations: float = 4.5) -> int:
+def least_matches(threshold: float, deviations: float = 4.0) -> int:
     """Equal sketch positions that a pair over the threshold reaches but for ``deviations`` standard deviations."""
-    p = threshold + (1 - threshold) / 16
+    p = threshold + (1 - threshold) / 4
     return int(np.floor(POSITIONS * p - deviations * np.sqrt(POSITIONS * p * (1 - p))))
 
 
-def _sig_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), _U32).reshape(-1, POSITIONS) if len(column) else np.zeros((0, POSITIONS), _U32)
+class Rule:
+    """What a pair must reach: over / under on full sets, and what of it sizes and sketches can tell."""
 
+    def __init__(self, shingle: int, over: int, under: int):
+        self.shingle, self.over, self.under, self.least = shingle, over, under, least_matches(over / under)
 
-def tree_rows(reps: DataFrame, trees: int, depth: int, first: int = 0) -> DataFrame:
-    """key, parent, doc_id, sketch: one row for each representative and tree from ``first`` on; parent is the node one level up."""
+    def close(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(x, y) * self.under >= np.maximum(x, y) * self.over
 
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                sig = _sig_matrix(part.column(1))
-                keys, up = (paths(sig, trees, d)[:, first:].ravel() for d in (depth, depth - 1))
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), trees - first)
-                flat = np.repeat(sketches(sig), trees - first, axis=0)
-                yield pa.RecordBatch.from_arrays([longs(keys), longs(up), pa.array(ids), _binary(flat)], names=["key", "parent", "doc_id", "sketch"])
+    def holds(self, both, x, y):
+        return (both > 0) & (both * self.under >= (x + y - both) * self.over)
 
-    return reps.select("doc_id", "sig").mapInArrow(run, "key long, parent long, doc_id long, sketch binary")
 
+_SKETCH = ["s0", "s1", "s2", "s3"]
+_ROW = "key long, doc_id long, n_shingles long, s0 long, s1 long, s2 long, s3 long"
+_COLUMNS = ["key", "doc_id", "n_shingles", *_SKETCH]
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
+def _u64(column) -> np.ndarray:
+    return np.asarray(column).astype(np.int64, copy=False).view(U64)
 
-_PAIR = "a long, b long"
 
+def _matrix(table) -> np.ndarray:
+    return np.stack([_u64(table.column(s)) for s in _SKETCH], axis=1)
 
-def _pair_batch(a, b) -> pa.RecordBatch:
-    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+def _tokens(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS) if len(column) else np.zeros((0, POSITIONS), np.uint16)
 
-def _node_matrix(node: list[dict], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a node, ascending, and which pairs (i < j) of them are similar by sketch."""
-    node = sorted(node, key=lambda x: x["doc_id"])
-    ids = np.array([x["doc_id"] for x in node], np.int64)
-    sk = np.frombuffer(b"".join(x["sketch"] for x in node), np.uint8).reshape(len(node), -1)
-    return ids, np.triu(sketch_matches(sk[:, None], sk[None, :]) >= least, 1)
 
+def _rows(ids, sizes, sk, row, key) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([longs(key), pa.array(ids[row]), pa.array(sizes[row]), *(longs(sk[row, k]) for k in range(4))], names=_COLUMNS)
 
-def _compare_nodes(least: int):
-    """Similar pairs of small nodes: for every document the pair with its smallest partner, as a row (a, b).
 
-    Where a node has more pairs, a further row keeps its ids and the matrix of all its pairs, so that a group of near
-    copies costs a row for each node and document and never a row for each pair.
-    """
+def first_rows(reps: DataFrame, trees: int) -> DataFrame:
+    """One row for each representative and node of depth 1; with ``trees`` 0 the root of one tree instead."""
 
     def run(batches):
         for batch in batches:
-            out_a, out_b, dense = [], [], []
-            for node in batch.column(0):
-                ids, similar = _node_matrix(node.as_py(), least)
-                has = np.flatnonzero(similar.any(axis=0))
-                out_a.append(ids[similar.argmax(axis=0)[has]])
-                out_b.append(ids[has])
-                if similar.sum() > len(has):
-                    dense.append((ids, np.packbits(similar).tobytes()))
-            if not out_a:
-                continue
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            none = [None] * len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.binary())], names=["a", "b", "ids", "similar"])
-            if dense:
-                none = pa.array([None] * len(dense), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array([d[0] for d in dense], pa.list_(pa.int64())), pa.array([d[1] for d in dense], pa.binary())], names=["a", "b", "ids", "similar"])
-
-    return run
-
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                sig = _tokens(part.column(2))
+                ids, sizes = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                row, key = np.repeat(np.arange(len(sig)), max(trees, 1)), np.tile(roots(max(trees, 1)), len(sig))
+                if trees:
+                    row, key = children(key, sig, row)
+                yield _rows(ids, sizes, sketches(sig), row, key)
 
-_NODE_PAIR = "a long, b long, ids array<long>, similar binary"
+    return reps.select("doc_id", "n_shingles", "sig").mapInArrow(run, _ROW)
 
 
-def _open_in_nodes(dense: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of the kept node matrices whose documents are not yet in one component."""
-    named = scratch.settle(dense.select("ids", "similar").distinct().withColumn("node", F.xxhash64("ids", "similar")), "dense")
-    members = named.select("node", F.posexplode("ids").alias("at", "id")).join(labels.select("id", "component").hint("merge"), "id", "left")
-    members = scratch.settle(members.select("node", "at", F.coalesce("component", "id").alias("component")), "node-labels")
-    mixed = members.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_list(F.struct("at", "component"))).alias("of")).where("lo < hi")
+def next_rows(nodes: DataFrame, reps: DataFrame) -> DataFrame:
+    """The children of node rows (key, doc_id); tokens come to each document once, whatever the number of its nodes."""
 
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
-            for ids, similar, of in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                n = len(ids)
-                component = np.array([x["component"] for x in of], np.int64)
-                pairs = np.unpackbits(np.frombuffer(similar, np.uint8), count=n * n).reshape(n, n).astype(bool)
-                x, y = np.nonzero(pairs & (component[:, None] != component[None, :]))
-                out_a += [ids[i] for i in x]
-                out_b += [ids[j] for j in y]
-            yield _pair_batch(out_a, out_b)
+            sig = _tokens(batch.column(2))
+            ids, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            keys = batch.column(3)
+            row = np.repeat(np.arange(len(sig)), np.diff(keys.offsets.to_numpy()))
+            row, key = children(_u64(keys.flatten()), sig, row)
+            yield _rows(ids, sizes, sketches(sig), row, key)
+
+    own = nodes.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most trees * 1.5 ** depth keys
+    return own.join(reps, "doc_id").select("doc_id", "n_shingles", "sig", "keys").mapInArrow(run, _ROW)
+
+
+# ------------------------------------------------------------------ comparison by sketch
+
+_FOUND = "a long, b long, m int, ids array<long>, similar binary"
+
+
+def _found(a, b, m, groups) -> pa.RecordBatch:
+    """Pairs (a < b) with their matches, then groups (ids, upper matrix of similar pairs), as rows of one table."""
+    n, g = len(a), len(groups)
+    none = np.zeros(g, np.int64)
+    mask = np.append(np.zeros(n, bool), np.ones(g, bool))
+    long = lambda x, t: pa.array(np.append(x, none), t, mask=mask)
+    ids = pa.array([None] * n + [x for x, _ in groups], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([long(a, pa.int64()), long(b, pa.int64()), long(m, pa.int32()), ids, pa.array([None] * n + [x for _, x in groups], pa.binary())], names=["a", "b", "m", "ids", "similar"])
+
+
+def bounded_groups(ids: np.ndarray, sizes: np.ndarray, similar: np.ndarray):
+    """The documents with similar pairs (``similar`` is upper), as one group or, where their sets are large, as several."""
+    used = np.flatnonzero(similar.any(axis=0) | similar.any(axis=1))
+    ids, sizes, similar = ids[used], sizes[used], similar[np.ix_(used, used)]
+    chunk = (np.cumsum(sizes) - sizes) // (GROUP_SHINGLES // 2)
+    parts = [np.flatnonzero(chunk == c) for c in np.unique(chunk)]
+    if len(parts) <= 2:
+        yield ids, np.packbits(similar).tobytes()
+        return
+    for x, left in enumerate(parts):
+        for right in parts[x:]:
+            at = left if right is left else np.concatenate([left, right])
+            own = similar[np.ix_(at, at)].copy()
+            if right is not left:  # pairs inside a part have a group of their own
+                own[: len(left), : len(left)] = own[len(left) :, len(left) :] = False
+            if own.any():
+                yield ids[at], np.packbits(own).tobytes()
+
+
+def sorted_runs(batches, key: str = "key"):
+    """Tables of whole runs of equal keys from batches that are sorted by key."""
+    kept: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(k, k[-1]))  # keys ascend: where the last run begins
+        if kept and k[0] != kept[0].column(key)[0].as_py():
+            yield pa.Table.from_batches(kept).combine_chunks()
+            kept = []
+        if cut:
+            yield pa.Table.from_batches([*kept, batch.slice(0, cut)]).combine_chunks()
+            kept = []
+        kept.append(batch.slice(cut))
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def compare_nodes(rule: Rule, cells: int = 1 << 20):
+    """All pairs of each small node, nodes of equal size at once."""
 
-    return named.join(mixed.select("node", "of"), "node").select("ids", "similar", "of").mapInArrow(run, _PAIR).distinct()
+    def run(batches):
+        for table in sorted_runs(batches):
+            key, ids, sizes = (np.asarray(table.column(c)) for c in _COLUMNS[:3])
+            sk = _matrix(table)
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            width = np.diff(np.append(starts, len(key)))
+            out, groups = [], []
+            for k in np.unique(width[width > 1]).tolist():
+                of_k = starts[width == k]
+                for lo in range(0, len(of_k), max(1, cells // (k * k))):
+                    at = of_k[lo : lo + max(1, cells // (k * k)), None] + np.arange(k)
+                    i, n, s = ids[at], sizes[at], sk[at]
+                    m = matches(s[:, :, None], s[:, None, :])
+                    similar = (m >= rule.least) & rule.close(n[:, :, None], n[:, None, :]) & np.triu(np.ones((k, k), bool), 1)
+                    m = np.where(similar, m, -1)
+                    best, most = m.argmax(axis=1), m.max(axis=1)
+                    node, b = np.nonzero(most >= 0)
+                    out.append((i[node, best[node, b]], i[node, b], most[node, b]))
+                    for x in np.flatnonzero(similar.sum(axis=(1, 2)) > (most >= 0).sum(axis=1)).tolist():
+                        groups += bounded_groups(i[x], n[x], similar[x])
+            if out:
+                yield _found(*(np.concatenate(x) for x in zip(*out, strict=True)), groups)
+
+    return run
 
 
-def _compare_leaders(least: int):
+def compare_leaders(rule: Rule):
+    """For each row of a large node its most similar leader, as a pair."""
+
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (1, 3))
-                keep = sketch_matches(a, b) >= least
-                yield _pair_batch(batch.column(0).to_numpy(zero_copy_only=False)[keep], batch.column(2).to_numpy(zero_copy_only=False)[keep])
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]).combine_chunks()
+            ids, sizes, sk = np.asarray(table.column("doc_id")), np.asarray(table.column("n_shingles")), _matrix(table)
+            leaders = batch.column(batch.schema.get_field_index("leaders"))
+            row = np.repeat(np.arange(len(ids)), np.diff(leaders.offsets.to_numpy()))
+            lead = pa.Table.from_batches([pa.RecordBatch.from_struct_array(leaders.flatten())])
+            other = np.asarray(lead.column("doc_id"))
+            m = matches(sk[row], _matrix(lead))
+            ok = (m >= rule.least) & rule.close(sizes[row], np.asarray(lead.column("n_shingles"))) & (other != ids[row])
+            row, other, m = row[ok], other[ok], m[ok]
+            order = np.lexsort((-m, row))
+            row, other, m = row[order], other[order], m[order]
+            first = np.unique(row, return_index=True)[1]
+            a, b = other[first], ids[row[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(m[first].astype(np.int32))], names=["a", "b", "m"])
 
     return run
 
 
-def candidates(rows: DataFrame, scratch: Scratch, depth: int, *, node_rows: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Of the nodes of one depth: candidate pairs, matrices of small nodes with more pairs, rows of large nodes (None: none)."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"))
-    large = scratch.settle(sizes.where(F.col("n") > node_rows).select("key", "leader"), f"large{depth}")
-    tagged = rows.join(large.hint("merge"), "key", "left").where(F.col("leader").isNull())
-    # dealt anew, so that Spark may split the rows of large nodes in the join
-    small = tagged.select("key", "doc_id", "sketch").repartition("key").groupBy("key").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("node")).where(F.size("node") > 1)
-    compared = scratch.settle(small.select("node").mapInArrow(_compare_nodes(least), _NODE_PAIR), f"nodes{depth}")
-    pairs, dense = compared.where("a is not null").select("a", "b"), compared.where("ids is not null").select("ids", "similar")
-    if large.isEmpty():
-        return pairs, dense, None
-    big = scratch.settle(rows.join(large.hint("merge"), "key"), f"big{depth}")
-    heads = scratch.settle(big.where("doc_id = leader").select("key", F.col("sketch").alias("head")), f"heads{depth}")
-    met = big.where("doc_id <> leader").join(heads.hint("merge"), "key").select("leader", "head", "doc_id", "sketch").mapInArrow(_compare_leaders(least), _PAIR)
-    return pairs.unionByName(met), dense, big
+def compare_blocks(rule: Rule):
+    """Groups of similar pairs of different components, of a block of strays and a block of rows."""
+
+    def run(key, table):
+        ids, comp, stray, sizes = (np.asarray(table.column(c)) for c in ("doc_id", "component", "stray", "n_shingles"))
+        sk = _matrix(table)
+        left, right = np.flatnonzero(stray == 1), np.flatnonzero(stray == 0)
+        both = np.append(left, right)
+        # a stray may be among the rows, too: each document once
+        both = both[np.sort(np.unique(ids[both], return_index=True)[1])]
+        place = {int(d): k for k, d in enumerate(ids[both])}
+        similar = np.zeros((len(both), len(both)), bool)
+        for i in left:
+            hit = right[(comp[right] != comp[i]) & (matches(sk[i], sk[right]) >= rule.least) & rule.close(sizes[i], sizes[right])]
+            for j in hit:
+                x, y = sorted((place[int(ids[i])], place[int(ids[j])]))
+                similar[x, y] = True
+        groups = list(bounded_groups(ids[both], sizes[both], similar)) if similar.any() else []
+        return pa.Table.from_batches([_found([], [], [], groups)])
+
+    return run
 
 
 # ------------------------------------------------------------------ confirmation on full sets
 
 
-def _confirm(n: int, over: int, under: int):
+class Sets:
+    """Full sets of documents, computed from whole texts once for each document that is asked for."""
+
+    def __init__(self, source: DataFrame, scratch: Scratch, shingle: int):
+        self.source, self.scratch, self.shingle, self.have = source, scratch, shingle, None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """id, hashes (sorted) of at least the given ids."""
+        wanted = ids.distinct() if self.have is None else ids.distinct().join(self.have.select("id"), "id", "left_anti")
+        wanted = self.scratch.settle(wanted, "wanted")
+        if self.have is None or not wanted.isEmpty():
+            n = self.shingle
+
+            def run(batches):
+                for batch in batches:
+                    given = _u64(batch.column(2))
+                    for rows, starts, hashes in distinct_sets(batch.column(1), n):
+                        same = (digests(hashes, starts)[0] == given[rows]).tolist()  # of several texts of one id the chosen one
+                        ends = np.append(starts[1:], len(hashes))
+                        took = [(r, hashes[a:b]) for r, a, b, s in zip(rows.tolist(), starts.tolist(), ends.tolist(), same, strict=True) if s]
+                        if took:
+                            lengths = np.cumsum([0, *(len(h) for _, h in took)])
+                            lists = pa.LargeListArray.from_arrays(pa.array(lengths, pa.int64()), longs(np.concatenate([h for _, h in took]))).cast(pa.list_(pa.int64()))
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in took])), lists], names=["id", "hashes"])
+
+            texts = self.source.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "d1")
+            new = self.scratch.settle(texts.mapInArrow(run, "id long, hashes array<long>").dropDuplicates(["id"]) if self.source.repeats else texts.mapInArrow(run, "id long, hashes array<long>"), "sets")
+            self.have = new if self.have is None else self.have.unionByName(new)
+        return self.have
+
+
+def _list_parts(column) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = column.offsets.to_numpy()
+    return _u64(column.flatten()), ends - ends[0]
+
+
+def _confirm_pairs(rule: Rule):
     def run(batches):
         for batch in batches:
-            left, right = dict(shingle_sets(batch.column(1), n)), dict(shingle_sets(batch.column(3), n))
+            (x, ex), (y, ey) = _list_parts(batch.column(2)), _list_parts(batch.column(3))
             keep = np.zeros(batch.num_rows, bool)
-            for i, x in left.items():
-                y = right.get(i)
-                if y is not None and min(len(x), len(y)) * under >= over * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = under * both >= over * (len(x) + len(y) - both)
-            yield _pair_batch(batch.column(0).to_numpy(zero_copy_only=False)[keep], batch.column(2).to_numpy(zero_copy_only=False)[keep])
+            for i in range(batch.num_rows):
+                p, q = x[ex[i] : ex[i + 1]], y[ey[i] : ey[i + 1]]
+                keep[i] = rule.holds(common_items(p, q), len(p), len(q))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, *, n: int, over: int, under: int) -> DataFrame:
-    """The settled pairs (a, b) whose full sets reach the threshold over / under; only the texts of these pairs move."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.where("text is not null").join(scratch.settle(wanted, f"{name}-ids").hint("merge"), "doc_id")
-    texts = scratch.settle(texts, f"{name}-texts")
-    right = scratch.settle(pairs.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"), f"{name}-b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    out = scratch.settle(both.select("a", "text_a", "b", "text_b").mapInArrow(_confirm(n, over, under), _PAIR), f"{name}-links")
-    scratch.drop(right, texts)
-    return out
+def common_items(p: np.ndarray, q: np.ndarray) -> int:
+    """Items that two sorted sets share."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    return int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
+
+
+def confirm_pairs(pairs: DataFrame, sets: Sets, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
+    """The settled pairs (a, b) that hold on full sets."""
+    have = sets.of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+    both = pairs.select("a", "b").join(have.toDF("b", "hashes_b"), "b").join(have.toDF("a", "hashes_a"), "a")
+    return scratch.settle(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirm_pairs(rule), "a long, b long"), name)
+
+
+def group_links(ids: np.ndarray, values: np.ndarray, ends: np.ndarray, similar: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the documents of a group that unite them, of the pairs marked in ``similar``; all pairs are confirmed."""
+    size = np.diff(ends)
+    x, y = np.nonzero(similar & rule.close(size[:, None], size[None, :]))
+    if len(x) <= 2 * len(ids):
+        keep = np.array([bool(rule.holds(common_items(values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]), size[i], size[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+    else:  # intersections of all pairs as a product of the incidence matrix, in slices of columns
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        shared = count > 1
+        number = np.cumsum(shared) - 1
+        row = np.repeat(np.arange(len(ids)), size)
+        use = shared[column]
+        row, column = row[use], number[column[use]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        for lo in range(0, int(shared.sum()), 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            part = np.zeros((len(ids), 4096), np.float32)
+            part[row[a:b], column[a:b] - lo] = 1
+            both += part @ part.T
+        keep = rule.holds(both[x, y].astype(np.int64), size[x], size[y])
+    return stars(ids, x[keep], y[keep])
+
+
+def _confirm_groups(rule: Rule):
+    def run(batches):
+        for table in sorted_runs(batches, "gid"):
+            gid = np.asarray(table.column("gid"))
+            values, ends = _list_parts(table.column("hashes"))
+            ids, bits = np.asarray(table.column("id")), table.column("similar")
+            out = []
+            for lo, hi in zip(*(lambda s: (s, np.append(s[1:], len(gid))))(np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))), strict=True):
+                n = hi - lo
+                similar = np.unpackbits(np.frombuffer(bits[int(lo)].as_py(), np.uint8), count=n * n).reshape(n, n).astype(bool)
+                out.append(group_links(ids[lo:hi], values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], similar, rule))
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
-def _label(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs with the components of both ends (an end without links is its own component)."""
-    la, lb = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")).hint("merge") for x in "ab")
-    return pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+def confirm_groups(groups: DataFrame, sets: Sets, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
+    """Links that unite documents of the settled groups (gid, ids, similar); each set comes to a group once."""
+    members = groups.select("gid", F.posexplode("ids").alias("pos", "id"), "similar").withColumn("similar", F.when(F.col("pos") == 0, F.col("similar")))
+    have = sets.of(members.select("id"))
+    rows = members.join(have, "id").repartition("gid").sortWithinPartitions("gid", "pos").select("gid", "pos", "id", "similar", "hashes")
+    return scratch.settle(rows.mapInArrow(_confirm_groups(rule), "a long, b long").distinct(), name)
 
 
-def _mixed(big: DataFrame, labels: DataFrame, scratch: Scratch, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of large nodes with their components; for each node of several: its main component, rows n and strays.
+# ------------------------------------------------------------------ components
 
-    Strays are the rows outside the main component. Counts by node and component are pre-aggregated.
-    """
-    labelled = big.join(labels.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = scratch.settle(labelled, f"labelled{depth}")
-    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
-    nodes = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("n"))
-    return labelled, scratch.settle(nodes.where("most < n").select("key", "main", "n", (F.col("n") - F.col("most")).alias("strays")), f"mixed{depth}")
+
+class Labels:
+    """The component of every linked document; new links unite components."""
+
+    def __init__(self, spark, scratch: Scratch):
+        self.scratch, self.spark = scratch, spark
+        self.frame = spark.createDataFrame([], "id long, component long")
+
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with the components ca, cb of both ends (an end without links is its own component)."""
+        la, lb = (self.frame.toDF(x, f"c{x}") for x in "ab")
+        return pairs.join(la, "a", "left").join(lb, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+
+    def unite(self, links: DataFrame) -> None:
+        if links.isEmpty():
+            return
+        roots_ = components(self.spark, self.ends(links).select(F.col("ca").alias("a"), F.col("cb").alias("b")), self.scratch)
+        moved = self.frame.join(roots_.toDF("component", "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+        new = roots_.join(self.frame.select("id"), "id", "left_anti")
+        self.frame = self.scratch.settle(moved.unionByName(new), "labels")
+
+
+def _best(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Of the pairs of equal keys the most similar one."""
+    best = pairs.groupBy(*keys).agg(F.max(F.struct("m", (-F.col("a")).alias("_a"), "b")).alias("_x"))
+    return best.select((-F.col("_x._a")).alias("a"), F.col("_x.b").alias("b"))
+
+
+def open_groups(groups: DataFrame, labels: Labels, scratch: Scratch) -> DataFrame:
+    """The groups with similar pairs of different components, cut to the documents of such pairs."""
+    named = scratch.settle(groups.select(F.xxhash64("ids", "similar").alias("gid"), "ids", "similar").dropDuplicates(["gid"]), "groups")
+    members = named.select("gid", F.posexplode("ids").alias("pos", "id")).join(labels.frame, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_list(F.struct("pos", "component"))).alias("of")).where("lo < hi")
+
+    def run(batches):
+        for batch in batches:
+            gids, ids_, bits = [], [], []
+            for gid, ids, similar, of in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                n, c = len(ids), np.array([x["component"] for x in of], np.int64)
+                pairs = np.unpackbits(np.frombuffer(similar, np.uint8), count=n * n).reshape(n, n).astype(bool) & (c[:, None] != c[None, :])
+                used = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
+                if len(used):
+                    gids.append(gid)
+                    ids_.append(np.array(ids, np.int64)[used])
+                    bits.append(np.packbits(pairs[np.ix_(used, used)]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(ids_, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["gid", "ids", "similar"])
+
+    return scratch.settle(named.join(mixed.select("gid", "of"), "gid").select("gid", "ids", "similar", "of").mapInArrow(run, "gid long, ids array<long>, similar binary"), "open")
+
+
+# ------------------------------------------------------------------ large nodes
+
+
+def with_leaders(big: DataFrame) -> DataFrame:
+    """Rows of large nodes with the smallest of each of LEADERS parts of their node, dealt by hash."""
+    one = big.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(LEADERS)).alias("_part")).agg(F.min(F.struct("doc_id", "n_shingles", *_SKETCH)).alias("_l"))
+    return big.join(one.groupBy("key").agg(F.collect_list("_l").alias("leaders")), "key")
+
+
+def mixed_nodes(big: DataFrame, labels: Labels, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of large nodes with their components; for each node of several: its main component, rows n and strays."""
+    labelled = big.join(labels.frame.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = scratch.settle(labelled, f"labelled-{name}")
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))  # pre-aggregated before it is shuffled
+    nodes = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"))
+    return labelled, scratch.settle(nodes.where("top.c < n").select("key", F.col("top.component").alias("main"), "n", (F.col("n") - F.col("top.c")).alias("strays")), f"mixed-{name}")
 
 
-def _rest(labelled: DataFrame, nodes: DataFrame, least: int, block: int = 512) -> DataFrame:
-    """Candidates between different components of the nodes, exhaustively.
+def block_groups(labelled: DataFrame, nodes: DataFrame, rule: Rule, block: int = 512) -> DataFrame:
+    """Groups of similar pairs of different components of the nodes, exhaustively.
 
-    Only pairs with a stray can link different components. Rows and strays are dealt into blocks, and a block of strays
-    meets a block of rows in one bounded group; of these pairs the ones of different components and similar sketches stay.
+    Only pairs with a stray can link different components. Rows and strays are dealt into blocks by a hash, and a block
+    of strays meets a block of rows in one bounded group.
     """
     open_ = nodes.select("key", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("strays") / block).cast("int").alias("stray_blocks"))
-    rows = labelled.join(open_.hint("merge"), "key").withColumn("h", F.xxhash64("doc_id"))
+    rows = labelled.join(open_, "key").withColumn("h", F.xxhash64("doc_id"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["key", "x", "y", "doc_id", "component", "sketch"]
+    kept = ["key", "x", "y", "doc_id", "n_shingles", "component", *_SKETCH]
     own = rows.withColumns({"y": F.pmod("h", "blocks").cast("int"), "x": every("stray_blocks")}).select(*kept, F.lit(0).alias("stray"))
     strays = rows.where("component <> main").withColumns({"x": F.pmod("h", "stray_blocks").cast("int"), "y": every("blocks")}).select(*kept, F.lit(1).alias("stray"))
+    return own.unionByName(strays).groupBy("key", "x", "y").applyInArrow(compare_blocks(rule), _FOUND)
 
-    def run(key, table):
-        ids, comp, stray = (np.asarray(table.column(c)) for c in ("doc_id", "component", "stray"))
-        sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left, right = np.flatnonzero(stray == 1), np.flatnonzero(stray == 0)
-        pairs = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in left for j in right[(comp[right] != comp[i]) & (sketch_matches(sk[i], sk[right]) >= least)]}
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return own.unionByName(strays).groupBy("key", "x", "y").applyInArrow(run, _PAIR).distinct()
+# ------------------------------------------------------------------ the operator
 
 
-# ------------------------------------------------------------------ the operator
+class Source:
+    """The texts that are compared: doc_id, text, and the digest of the chosen text of each id."""
 
+    def __init__(self, docs: DataFrame, chosen: DataFrame, repeats: bool):
+        self.docs, self.chosen, self.repeats = docs, chosen, repeats
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under: int = 100, trees: int = 14, first_depth: int = 3, last_depth: int = 6, node_rows: int = 48, few_strays: int = 512) -> DataFrame:
+    def join(self, wanted: DataFrame, on: str) -> DataFrame:
+        return self.docs.join(wanted.join(self.chosen, on), on)
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under: int = 100, trees: int = 10, node_rows: int = 128, few_strays: int = 512, last_depth: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    spark = docs.sparkSession
+    spark, rule = docs.sparkSession, Rule(shingle, over, under)
     scratch = Scratch(spark, "minhash")
-    least = least_matches(over / under)
-    sigs = scratch.settle(signatures(docs, shingle), "signatures")
-    sets = sigs.where("n_shingles > 0 and doc_id is not null")
-    keys = ["d1", "d2", "n_shingles"]
-    classes = scratch.settle(sets.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
-    members = scratch.settle(sets.select("doc_id", *keys).join(classes.hint("merge"), keys).select("doc_id", "n_shingles", "rep"), "members")
-    reps = sets.join(classes.select(*keys, F.col("rep").alias("doc_id")), [*keys, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.settle(reps.select("doc_id", "sig"), "reps")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if not sigs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        source = source.dropDuplicates(["doc_id"])
-    sure = {"n": shingle, "over": over, "under": under}
-    deep = deep_trees(trees, first_depth, last_depth, over / under)
-    rows, links, labels = tree_rows(reps, trees, first_depth), None, None
-    for depth in range(first_depth, last_depth + 1):
-        pairs, dense, big = candidates(rows, scratch, depth, node_rows=node_rows, least=least)
-        pairs = scratch.settle(pairs.distinct(), f"candidates{depth}")
-        if labels is None:  # the forest: one candidate of each document
-            forest = scratch.settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "forest")
-            links = confirm(forest, source, scratch, "forest", **sure)
-            labels = components(spark, links, scratch)
-            pairs = pairs.join(forest, ["a", "b"], "left_anti")
-        open_ = _label(pairs, labels).where("ca <> cb").select("a", "b").unionByName(_open_in_nodes(dense, labels, scratch))
-        open_ = scratch.settle(open_.distinct(), f"open{depth}")
-        if not open_.isEmpty():
-            links = links.unionByName(confirm(open_, source, scratch, f"open{depth}", **sure))
-            labels = components(spark, links, scratch)
-        if big is None:
+    sigs = scratch.settle(signatures(source, shingle), "signatures")
+    sets_ = sigs.where("n_shingles > 0 and doc_id is not null")
+    chosen = sets_
+    repeats = not sets_.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeats:
+        chosen = scratch.settle(sets_.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "sig")).alias("_x")).select("doc_id", "_x.*"), "chosen")
+    keys = ["d1", "d2", "n_shingles"]
+    classes = scratch.settle(chosen.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
+    members = scratch.settle(chosen.select("doc_id", *keys).join(classes, keys).select("doc_id", "rep", "d1"), "members")
+    reps = scratch.settle(chosen.select("doc_id", "n_shingles", "sig").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "reps")
+    sets = Sets(Source(source, members.select("doc_id", "d1"), repeats), scratch, shingle)
+    labels = Labels(spark, scratch)
+
+    found = []  # what each level compared
+    rows = first_rows(reps, 0 if reps.count() <= node_rows else trees)
+    for depth in range(1, last_depth + 1):
+        large = scratch.settle(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows).select("key"), f"large{depth}")
+        nodes = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc_id")
+        found.append(scratch.settle(nodes.mapInArrow(compare_nodes(rule), _FOUND), f"nodes{depth}"))
+        if large.isEmpty():
             break
-        labelled, mixed = _mixed(big, labels, scratch, depth)
-        scratch.drop(big)
-        near, far = (mixed, None) if depth == last_depth else (mixed.where(F.col("strays") <= few_strays), mixed.where(F.col("strays") > few_strays))
+        big = scratch.settle(rows.join(large, "key", "left_semi"), f"big{depth}")
+        led = scratch.settle(with_leaders(big).mapInArrow(compare_leaders(rule), "a long, b long, m int"), f"led{depth}")
+        pairs = led if depth > 1 else led.unionByName(found[0].where("a is not null").select("a", "b", "m"))
+        for by in [["b"], ["ca", "cb"]][min(depth, 2) - 1 :]:  # first one pair of each document, then one of each two components
+            best = scratch.settle(_best(labels.ends(pairs).where("ca <> cb"), *by), f"best{depth}")
+            labels.unite(confirm_pairs(best, sets, rule, scratch, f"links{depth}"))
+        labelled, mixed = mixed_nodes(big, labels, scratch, str(depth))
+        near = mixed if depth == last_depth else mixed.where(F.col("strays") <= few_strays)
         if not near.isEmpty():
-            left = scratch.settle(_rest(labelled, near, least), f"rest{depth}")
-            if not left.isEmpty():
-                links = links.unionByName(confirm(left, source, scratch, f"rest{depth}", **sure))
-                labels = components(spark, links, scratch)
-        if far is None or far.isEmpty():
+            found.append(scratch.settle(block_groups(labelled, near, rule), f"blocks{depth}"))
+        far = mixed.join(near.select("key"), "key", "left_anti") if depth < last_depth else mixed.limit(0)
+        if far.isEmpty():
             break
-        # branch on only where many documents are outside the main component of their node
-        deeper = tree_rows(reps, trees if depth == first_depth else deep, depth + 1).join(far.select(F.col("key").alias("parent")), "parent", "left_semi")
-        if depth == first_depth and deep > trees:
-            crowded = labelled.join(far.select("key").hint("merge"), "key", "left_semi").select("doc_id").distinct()
-            more = tree_rows(reps.join(crowded.hint("merge"), "doc_id", "left_semi"), deep, depth + 1, trees)
-            deeper = deeper.unionByName(more.select(deeper.columns))
-        rows = scratch.settle(deeper, f"rows{depth + 1}")
-        scratch.drop(labelled)
-
-    ids = members.join(labels.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    # a document without a set is its own component
-    bare = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = scratch.settle(ids.unionByName(bare), "result")
-    scratch.drop(sigs, reps, members)
+        rows = scratch.settle(next_rows(labelled.join(far.select("key"), "key", "left_semi").select("key", "doc_id"), reps), f"rows{depth + 1}")
+
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    pairs = every.where("a is not null").select("a", "b", "m")
+    # a forest, one pair a document, settles nearly all; then whatever is left between different components
+    best = scratch.settle(_best(labels.ends(pairs).where("ca <> cb"), "b"), "forest")
+    labels.unite(confirm_pairs(best, sets, rule, scratch, "forest-links"))
+    rest = scratch.settle(labels.ends(pairs).where("ca <> cb").select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "rest")
+    groups = open_groups(every.where("ids is not null"), labels, scratch)
+    labels.unite(confirm_pairs(rest, sets, rule, scratch, "rest-links").unionByName(confirm_groups(groups, sets, rule, scratch, "group-links")))
+
+    ids = members.join(labels.frame.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    out = sigs.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
+    out = scratch.settle(out.withColumn("component_id", F.coalesce("component_id", "doc_id")), "result")  # without a set: the own id
+    scratch.keep(out)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import U64, Scratch, components, longs
+from strandline.llm.common import U64, Scratch, components, longs, stars
 
 THRESHOLD = 0.93
 
@@ -148,28 +148,6 @@ def ordered(rows: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
     return numbered.withColumn("place", F.col("_i") + F.element_at(base, F.col("_p")).cast("long")).drop("_i", "_p")
 
 
-def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links (a, b) (positions in ids) as one link from every linked vector to the smallest of its group."""
-    root = np.arange(len(ids))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(i), find(j)
-        if x != y:
-            if ids[x] < ids[y]:
-                root[y] = x
-            else:
-                root[x] = y
-    tops = np.array([find(i) for i in range(len(ids))], np.int64)
-    leaf = np.flatnonzero(tops != np.arange(len(ids)))
-    return ids[tops[leaf]], ids[leaf]
-
-
 def _block_links(threshold: float, neighbours: int):
     def run(table):
         table = table.sort_by("place")
@@ -187,7 +165,7 @@ def _block_links(threshold: float, neighbours: int):
                 a, b = np.nonzero((cos >= threshold) & (gap > 0) & (gap <= neighbours))
                 out_a.append(a + lo + i)
                 out_b.append(b + lo + i)
-        a, b = _stars(ids, np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
+        a, b = stars(ids, np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

@@ -148,7 +148,7 @@ def test_embeddings_passes_for_large_labels():
 # ------------------------------------------------------------------ 2 minhash
 
 
-@pytest.mark.parametrize("options", [{}, {"node_rows": 3, "last_depth": 4}, {"node_rows": 3, "last_depth": 5, "few_strays": 0}, {"shingle": 5}])
+@pytest.mark.parametrize("options", [{}, {"node_rows": 3}, {"node_rows": 3, "last_depth": 5, "few_strays": 0}, {"node_rows": 2, "last_depth": 1}, {"shingle": 5}])
 def test_minhash_brute_force(docs, texts, options):
     got = rows_of(minhash.near_duplicates(docs, **options))
     n = options.get("shingle", 2)
@@ -176,7 +176,7 @@ def test_minhash_large_node_is_compared_in_blocks(spark):
             copy[rng.randrange(60)] = f"c{rng.randint(0, 9)}"
         rows.append((k, " ".join(copy)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, node_rows=4, first_depth=2, last_depth=2).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, node_rows=4, few_strays=0, last_depth=2).collect()}
     sets = {i: {tuple(w[k : k + 2]) for k in range(len(w) - 1)} for i, w in ((i, t.lower().split()) for i, t in rows)}
     links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     assert got == classes(sets, links)
@@ -192,14 +192,49 @@ def test_minhash_crowded_nodes_lose_no_pairs(spark):
         rows += [(k, " ".join(common_part + own)), (1000 + k, " ".join(common_part + own[:15] + [f"e{k}w{j}" for j in range(10)]))]
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, trees=3, first_depth=1, last_depth=6, node_rows=2, few_strays=0).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, last_depth=6, node_rows=2, few_strays=0).collect()}
     assert [k for k in range(40) if got[1000 + k] != k or got[k] != k] == []
 
 
-def test_minhash_deep_trees_keep_the_target():
-    assert minhash.deep_trees(14, 3, 3, 0.8) == 14
-    deep = minhash.deep_trees(14, 3, 6, 0.8)
-    assert (1 - 0.8**6) ** deep <= (1 - 0.8**3) ** 14 < (1 - 0.8**6) ** (deep - 1)
+def test_minhash_nodes_keep_pairs_at_any_depth():
+    """Two sets of similarity 0.8 meet in a node of a depth at least as often as the docstring states."""
+    rng = np.random.default_rng(4)
+    shared = 0
+    for _ in range(300):
+        x = rng.integers(0, 2**63, 400).astype(np.uint64)
+        two = [np.unique(x[:360]), np.unique(x[40:])]  # 320 of 400
+        sig = minhash.signature_tokens(np.concatenate(two), np.array([0, 360]))
+        nodes = [set(minhash.roots(1).tolist()) for _ in two]
+        for _ in range(5):
+            nodes = [set(minhash.children(np.array(sorted(n), np.uint64), sig[k : k + 1], np.zeros(len(n), int))[1].tolist()) for k, n in enumerate(nodes)]
+        shared += bool(nodes[0] & nodes[1])
+    assert shared / 300 > 0.6
+
+
+def test_minhash_groups_are_confirmed_exactly():
+    rng = random.Random(2)
+    rule = minhash.Rule(2, 80, 100)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(40, 58))), np.uint64) for _ in range(40)]
+    values, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    want = [(i, j) for i in range(40) for j in range(i + 1, 40) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    a, b = minhash.group_links(np.arange(40), values, ends, np.triu(np.ones((40, 40), bool), 1), rule)
+    assert want and {k: v for k, v in classes(range(40), list(zip(a.tolist(), b.tolist(), strict=True))).items()} == classes(range(40), want)
+    size = np.full(40, minhash.GROUP_SHINGLES // 8)
+    seen = set()
+    for ids, bits in minhash.bounded_groups(np.arange(40), size, np.triu(np.ones((40, 40), bool), 1)):
+        assert size[0] * len(ids) <= minhash.GROUP_SHINGLES
+        pairs = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(ids) ** 2).reshape(len(ids), -1)
+        seen |= {(int(ids[x]), int(ids[y])) for x, y in zip(*np.nonzero(pairs), strict=True)}
+    assert seen == {(i, j) for i in range(40) for j in range(i + 1, 40)}
+
+
+def test_minhash_repeated_ids_are_one_document(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text), (2, text + " more"), (2, "another text of this id"), (3, None), (3, text), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(f).collect()) for f in (frame, frame.orderBy("text"))]
+    assert runs[0] == runs[1] and {(3, 29, 1), (3, 0, 1), (4, 0, 4), (1, 29, 1)} <= set(runs[0])
+    assert len({c for d, _, c in runs[0] if d == 2}) == 1
 
 
 def test_minhash_empty(empty):
