@@ -1,23 +1,27 @@
 """Substring dedup (operator 7): repeated-phrase automata.
 
 A window is ``window`` consecutive words of one document; every word covered by a window whose word sequence also starts
-anywhere else is removed. The work is done in rounds that each touch only what the round before left open:
+anywhere else is removed. Hashing confirms which passages recur; automata locate them.
 
 1. Anchors. Of the ``phrase``-word phrases inside a window, the one with the smallest hash is its anchor. Equal windows
    have equal anchors, so a window can recur only if its anchor phrase does. About one position in fourteen is an anchor,
    and only these are counted over the corpus.
 2. Copies. Documents of equal word sequence are one class; a class of several with a window loses all its words, and only
-   its smallest id goes on, to stand for the class.
-3. Confirmation. In documents with recurring anchors, windows over such anchors are counted by 64-bit hash of all their
-   words; those counted twice or more are the confirmed recurring windows.
-4. Automata. Documents are worked off in shards of bounded size. A shard compiles the recurring phrases of its documents
-   into one Aho-Corasick automaton, streams every text of the shard through it, extends every occurrence to the windows
-   around it and removes those that are confirmed.
-
-Counts are pre-aggregated before they are shuffled, and joins are between plain scans, so that Spark splits hot phrases.
-
-Defined results: null and empty texts have no words; a null id is returned unchanged and is no occurrence for others;
-repeated rows are copies of each other; texts under ``window`` words are never touched.
+   one of its rows goes on, to stand for the class.
+3. Confirmed passages. Windows over recurring anchors are counted by a 128-bit digest of their words. A window counted
+   twice or more is confirmed and owned by one document; runs of windows that a document owns are its passages. So every
+   confirmed window lies in one passage, and every window of a passage is confirmed.
+4. Sharded automata. The passages of an owner go to one shard of bounded words. A shard interns the words of its passages
+   and compiles an Aho-Corasick automaton over phrases of word numbers, so chosen that each window of a passage holds one:
+   the rarest phrase of the shard that will do. Every document streams through the automata of the shards that hold an
+   anchor of its own, and through no other, as no passage there can occur in it. Each phrase found is extended word by
+   word along its passage; an extent of ``window`` words or more is an occurrence, and its words are removed.
+
+A shard that very many documents reach is compiled in several tasks, which share its documents. Counts are pre-aggregated
+before they are shuffled, and joins are between plain scans, so that Spark splits hot phrases.
+
+Defined results: null and empty texts have no words; rows with a null id are documents like others; repeated rows are
+copies of each other; texts under ``window`` words are never touched.
 """
 
 from __future__ import annotations
@@ -67,6 +71,13 @@ def sequence_digest(hashes: np.ndarray) -> int:
     return int(mix(np.array([np.bitwise_xor.reduce(mix(hashes + mix(np.arange(len(hashes), dtype=U64)))) + U64(len(hashes))], U64)).view(np.int64)[0])
 
 
+def window_digests(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the words of each window."""
+    if len(hashes) < window:
+        return np.zeros(0, U64), np.zeros(0, U64)
+    return roll(hashes, window), roll(mix(hashes ^ U64(0x6A09E667F3BCC909)), window)
+
+
 def _documents(column: pa.Array, phrase: int):
     """row, word hashes, phrase hashes, raw text of each text of a column."""
     data, offsets = text_buffer(column)
@@ -81,118 +92,210 @@ def _survey(window: int, phrase: int):
     def run(batches):
         for batch in batches:
             n, digest, sha, found = [], [], [], []
-            for _, h, grams, raw in _documents(batch.column(1), phrase):
+            for _, h, grams, raw in _documents(batch.column(2), phrase):
                 n.append(len(h))
                 digest.append(sequence_digest(h))
                 sha.append(hashlib.sha256(b" ".join(raw.tobytes().split())).hexdigest())
                 at, _ = anchors(h, grams, window, phrase)
                 found.append(grams[at].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(sha, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_words", "digest", "full_sha", "anchors"]
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(sha, pa.string()), pa.array(found, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "n_words", "digest", "full_sha", "anchors"],
             )
 
     return run
 
 
+def _chosen(batch, phrase: int):
+    """Documents of a batch (text, key, digest, ...) whose text is the one of the digest."""
+    digests = batch.column(2).to_pylist()
+    for i, h, grams, raw in _documents(batch.column(0), phrase):
+        if sequence_digest(h) == digests[i]:
+            yield i, h, grams, raw
+
+
+def _values(lists, i: int) -> np.ndarray:
+    return np.asarray(lists[i].values, np.int64).view(U64)
+
+
 def _window_counts(window: int, phrase: int):
-    """Hash and count (2: more than once) of each window over a recurring anchor of its document."""
+    """Digest and count (2: more than once) of each window over a recurring anchor of its document."""
 
     def run(batches):
         for batch in batches:
-            digests, keys, recurring = batch.column(2).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(3)
-            out: list[tuple[np.ndarray, np.ndarray, int]] = []
-            for i, h, grams, _ in _documents(batch.column(0), phrase):
-                if sequence_digest(h) != digests[i]:
-                    continue
+            keys, recurring = batch.column(1).to_numpy(zero_copy_only=False), batch.column(3)
+            out = []
+            for i, h, grams, _ in _chosen(batch, phrase):
                 _, least = anchors(h, grams, window, phrase)
-                wanted = np.isin(least, np.asarray(recurring[i].values, np.int64).view(U64))
-                fps, count = np.unique(window_hashes(h, window)[wanted], return_counts=True)
-                out.append((fps, np.minimum(count, 2), int(keys[i])))
+                wanted = np.isin(least, _values(recurring, i))
+                one, two = window_digests(h, window)
+                one, first, count = np.unique(one[wanted], return_index=True, return_counts=True)
+                out.append((one, two[wanted][first], np.minimum(count, 2), int(keys[i])))
             if out:
-                size = [len(f) for f, _, _ in out]
-                yield pa.RecordBatch.from_arrays([longs(np.concatenate([f for f, _, _ in out])), pa.array(np.repeat([k for _, _, k in out], size), pa.int64()), pa.array(np.concatenate([c for _, c, _ in out]), pa.int64())], names=["window", "key", "n"])
+                size = [len(o[0]) for o in out]
+                yield pa.RecordBatch.from_arrays(
+                    [longs(np.concatenate([o[0] for o in out])), longs(np.concatenate([o[1] for o in out])), pa.array(np.repeat([o[3] for o in out], size), pa.int64()), pa.array(np.concatenate([o[2] for o in out]), pa.int64())], names=["w1", "w2", "key", "n"]
+                )
 
     return run
 
 
-def window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
-    return roll(hashes, window) if len(hashes) >= window else np.zeros(0, U64)
+# ------------------------------------------------------------------ passages
 
 
-# ------------------------------------------------------------------ automata
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _passages(window: int, phrase: int, shard_words: int):
+    """Passages (words joined by one blank) of documents that own confirmed windows, with the anchors of their windows.
+
+    Long passages are cut, with an overlap that leaves no window out; ``cut`` numbers the shard's worths of an owner.
+    """
+    most_words = max(shard_words // 8, 1)
 
+    def run(batches):
+        for batch in batches:
+            keys, owned, out = batch.column(1).to_numpy(zero_copy_only=False), batch.column(3), []
+            for i, h, grams, raw in _chosen(batch, phrase):
+                _, least = anchors(h, grams, window, phrase)
+                start, end = runs_of(np.isin(window_digests(h, window)[0], _values(owned, i)))
+                words, before = raw.tobytes().split(), 0
+                for a, b in zip(start.tolist(), end.tolist(), strict=True):
+                    for lo in range(a, b, most_words):
+                        hi = min(lo + most_words, b)  # windows lo..hi
+                        own = words[lo : hi + window - 1]
+                        out.append((int(keys[i]), before // shard_words, b" ".join(own).decode(), len(own), np.unique(least[lo:hi]).view(np.int64)))
+                        before += len(own)
+            kinds = {"owner": pa.int64(), "cut": pa.int64(), "passage": pa.string(), "words": pa.int64(), "anchors": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
-class PhraseShard:
-    """One automaton over the recurring phrases of some documents."""
+    return run
 
-    def __init__(self, phrase: int):
-        self.phrase, self.automaton, self.size = phrase, ahocorasick.Automaton(ahocorasick.STORE_LENGTH), 0
 
-    def add(self, words: list[bytes], positions) -> None:
-        for p in positions:
-            self.automaton.add_word(" " + b" ".join(words[p : p + self.phrase]).decode() + " ")
-            self.size += 1
+# ------------------------------------------------------------------ automata
 
-    def compile(self) -> None:
-        if self.size:
+
+class PhraseAutomaton:
+    """Aho-Corasick over phrases of the word numbers of some passages; finds every occurrence of their windows in a text."""
+
+    def __init__(self, passages: list[bytes], window: int, phrase: int):
+        self.window, self.phrase = window, phrase
+        self.number: dict[bytes, int] = {}  # 0 is any word of no passage, 1 stands between passages
+        ids, starts = [1], []
+        for p in passages:
+            starts.append(len(ids))
+            ids += [self.number.setdefault(w, len(self.number) + 2) for w in p.split(b" ")]
+            ids.append(1)
+        self.ids = ids
+        self.places: dict[tuple, list[int]] = {}
+        for at in self._choose(np.array(ids, U64), starts):
+            self.places.setdefault(tuple(ids[at : at + phrase]), []).append(at)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for words, places in self.places.items():
+            self.automaton.add_word(words, places)
+        if self.places:
             self.automaton.make_automaton()
 
-    def occurrences(self, words: list[bytes]) -> np.ndarray:
-        """Word positions at which any phrase of the shard begins."""
-        if not self.size or len(words) < self.phrase:
-            return np.zeros(0, np.int64)
-        line = " " + b" ".join(words).decode() + " "
-        ends = np.fromiter((end for end, _ in self.automaton.iter(line)), np.int64)
-        blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-        return np.unique(np.searchsorted(blanks, ends) - self.phrase)
-
-
-def removed_words(h: np.ndarray, starts_near: np.ndarray, confirmed: np.ndarray, window: int, phrase: int) -> np.ndarray:
-    """Mask of words that confirmed windows over the given phrase positions cover."""
-    gone = np.zeros(len(h) + 1, np.int64)
-    fps = window_hashes(h, window)
-    near = np.zeros(len(fps) + 1, np.int64)  # windows that hold one of the phrases
-    np.add.at(near, np.clip(starts_near - (window - phrase), 0, len(fps)), 1)
-    np.add.at(near, np.clip(starts_near + 1, 0, len(fps)), -1)
-    s = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    s = s[np.isin(fps[s], confirmed)]
-    np.add.at(gone, s, 1)
-    np.add.at(gone, s + window, -1)
-    return np.cumsum(gone[:-1]) > 0
-
-
-def _remove(window: int, phrase: int, shard_bytes: int):
+    def _choose(self, ids: np.ndarray, starts: list[int]) -> list[int]:
+        """Positions of phrases so that every window of a passage holds one; rare phrases first, then late ones."""
+        width, out = self.window - self.phrase + 1, []
+        if len(ids) < self.phrase:
+            return out
+        _, which, count = np.unique(roll(mix(ids), self.phrase), return_inverse=True, return_counts=True)
+        often = count[which.ravel()]
+        for a, b in zip(starts, [*[s - 1 for s in starts[1:]], len(ids) - 1], strict=True):
+            at = a  # the first window that holds no phrase yet
+            while at + self.window <= b:
+                part = often[at : at + width]
+                pick = at + width - 1 - int(part[::-1].argmin())
+                out.append(pick)
+                at = pick + 1
+        return out
+
+    def occurrences(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Word spans (start, end) of the text that equal at least a window of a passage."""
+        if not self.places or len(words) < self.window:
+            return []
+        number, theirs, out = self.number, self.ids, []
+        mine = [number.get(w, 0) for w in words]
+        done: dict[int, int] = {}  # of each alignment, where it was last followed to
+        for last, places in self.automaton.iter(tuple(mine)):
+            p = last - self.phrase + 1
+            for q in places:
+                if done.get(q - p, -1) > p:
+                    continue
+                left, right = _reach_back(mine, p, theirs, q), _reach(mine, p, theirs, q)
+                done[q - p] = p + right
+                if left + right >= self.window:
+                    out.append((p - left, p + right))
+        return out
+
+
+def _reach(a: list[int], i: int, b: list[int], j: int, step: int = 32) -> int:
+    """How many words agree from a[i] and b[j] on."""
+    n, most = 0, min(len(a) - i, len(b) - j)
+    while n + step <= most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n += step
+    while n < most and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
+def _reach_back(a: list[int], i: int, b: list[int], j: int) -> int:
+    """How many words agree before a[i] and b[j]."""
+    n, most = 0, min(i, j)
+    while n < most and a[i - n - 1] == b[j - n - 1]:
+        n += 1
+    return n
+
+
+def _locate(window: int, phrase: int):
+    """Streams the documents of each (shard, part) through the automaton of the passages that come before them."""
+
     def run(batches):
+        here, passages, automaton = None, [], None
         for batch in batches:
-            digests, recurring, confirmed = batch.column(2).to_pylist(), batch.column(3), batch.column(4)
-            removed, sha, text = [0] * batch.num_rows, [""] * batch.num_rows, [""] * batch.num_rows
-            valid = np.zeros(batch.num_rows, bool)
-            shard: list = []
-
-            def flush(shard, removed=removed, sha=sha, text=text, valid=valid, confirmed=confirmed, recurring=recurring):
-                automaton = PhraseShard(phrase)
-                for i, _, grams, words in shard:
-                    wanted = np.asarray(recurring[i].values, np.int64).view(U64)
-                    automaton.add(words, np.flatnonzero(np.isin(grams, wanted)))
-                automaton.compile()
-                for i, h, _, words in shard:
-                    own = np.asarray(confirmed[i].values, np.int64).view(U64)
-                    gone = removed_words(h, automaton.occurrences(words), own, window, phrase)
-                    kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                    removed[i], sha[i], text[i], valid[i] = int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), True
-
-            size = 0
-            for i, h, grams, raw in _documents(batch.column(0), phrase):
-                if sequence_digest(h) != digests[i]:
+            shard, part, keys, texts = (batch.column(k).to_pylist() for k in range(4))
+            out_key, out_span = [], []
+            for s, r, key, text in zip(shard, part, keys, texts, strict=True):
+                if (s, r) != here:
+                    here, passages, automaton = (s, r), [], None
+                if key is None:  # null keys sort first: a passage
+                    passages.append(text.encode())
                     continue
-                shard.append((i, h, grams, raw.tobytes().split()))
-                size += len(raw)
-                if size >= shard_bytes:
-                    flush(shard)
-                    shard, size = [], 0
-            flush(shard)
-            keep = pa.array(valid)
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), *(pa.array(x).filter(keep) for x in (pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())))], names=["key", "n_removed", "kept_sha256", "kept_text"])
+                if automaton is None:
+                    automaton, passages = PhraseAutomaton(passages, window, phrase), []
+                spans = automaton.occurrences(text.encode().split())
+                if spans:
+                    out_key.append(key)
+                    out_span.append([x for span in spans for x in span])
+            yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_span, pa.list_(pa.int64()))], names=["key", "spans"])
+
+    return run
+
+
+def _remove(window: int, phrase: int):
+    """Documents without the words of their spans."""
+
+    def run(batches):
+        for batch in batches:
+            keys, spans = batch.column(1), batch.column(3)
+            row, removed, sha, text = [], [], [], []
+            for i, h, _, raw in _chosen(batch, phrase):
+                ends = np.asarray(spans[i].values, np.int64)
+                cover = np.zeros(len(h) + 1, np.int64)
+                np.add.at(cover, ends[::2], 1)
+                np.add.at(cover, ends[1::2], -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                kept = b" ".join(w for w, g in zip(raw.tobytes().split(), gone.tolist(), strict=True) if not g)
+                row.append(i)
+                removed.append(int(gone.sum()))
+                sha.append(hashlib.sha256(kept).hexdigest())
+                text.append(kept.decode())
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["key", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -200,44 +303,61 @@ def _remove(window: int, phrase: int, shard_bytes: int):
 # ------------------------------------------------------------------ the operator
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = 1 << 20, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row (and kept_text: null where nothing was removed)."""
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, phrase: int = PHRASE, shard_words: int = 200_000, part_words: int = 2_000_000, with_text: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row (and kept_text: null where nothing was removed).
+
+    An automaton holds about ``shard_words`` words of passages and streams about ``part_words`` words of documents.
+    """
     scratch = Scratch(docs.sparkSession, "substrings")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = scratch.settle(source.mapInArrow(_survey(window, phrase), "doc_id long, n_words long, digest long, full_sha string, anchors array<long>"), "survey")
-    judged = survey.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    survey = scratch.settle(source.mapInArrow(_survey(window, phrase), "doc_id long, key long, n_words long, digest long, full_sha string, anchors array<long>"), "survey")
+    judged = survey.where(F.col("n_words") >= window)
     same = ["digest", "n_words", "full_sha"]
-    copies = scratch.settle(judged.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copies")
-
-    # all rows with the size of their class; one row of each class goes on
-    classed = judged.select("doc_id", *same).join(copies, same, "left")
-    classed = scratch.settle(classed.select("doc_id", *same, F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("rep", "doc_id").alias("rep")), "classed")
-    lone = classed.where("doc_id = rep").select("doc_id", *same, "copies").dropDuplicates(["doc_id", *same])
-    spread = survey.join(lone, ["doc_id", *same]).dropDuplicates(["doc_id", *same]).select(F.xxhash64("doc_id", "digest").alias("key"), F.explode("anchors").alias("anchor"))
-    spread = scratch.settle(spread, "anchors")
+    copies = scratch.settle(judged.groupBy(*same).agg(F.min("key").alias("key"), F.count("*").alias("copies")), "classes")
+
+    # one text of each class goes on
+    ids = judged.groupBy("key", "digest").agg(F.min("doc_id").alias("doc_id"))
+    lone = scratch.settle(copies.join(ids, ["key", "digest"]).select("key", "digest", "copies", "doc_id", "n_words"), "lone")
+    spread = judged.select("doc_id", "key", "digest", "anchors").join(lone.select("key", "digest", F.col("doc_id").alias("_id")), ["key", "digest"]).where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    spread = scratch.settle(spread.dropDuplicates(["key", "digest"]).select("key", F.explode("anchors").alias("anchor")), "anchors")
     recurring = scratch.settle(spread.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "recurring")
     met = scratch.settle(spread.join(recurring, "anchor"), "met")
     per_doc = met.groupBy("key").agg(F.collect_set("anchor").alias("recurring"))
 
-    keyed = lone.withColumn("key", F.xxhash64("doc_id", "digest")).select("doc_id", "digest", "copies", "key").join(per_doc, "key")
-    texts = source.where(F.col("doc_id").isNotNull()).join(keyed, "doc_id").select("text", "key", "digest", "recurring", "copies")
+    keyed = lone.withColumnRenamed("doc_id", "_id").join(per_doc, "key")
+    texts = source.join(keyed, "key").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "key", "digest", "recurring", "copies", "n_words")
     texts = scratch.settle(texts, "texts")
-    scratch.drop(spread, met)
-
-    counts = scratch.settle(texts.select("text", "key", "digest", "recurring").mapInArrow(_window_counts(window, phrase), "window long, key long, n long"), "windows")
-    confirmed = scratch.settle(counts.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"), "confirmed")
-    # a class of copies loses all its words anyway: no automaton for it
-    open_ = texts.where("copies = 1").select("text", "key", "digest", "recurring")
-    mine = scratch.settle(counts.select("window", "key").join(confirmed, "window"), "mine")
-    lists = mine.groupBy("key").agg(F.collect_list("window").alias("confirmed"))
-    worked = open_.join(lists, "key").select("text", "key", "digest", "recurring", "confirmed")
-    worked = worked.mapInArrow(_remove(window, phrase, shard_bytes), "key long, n_removed long, kept_sha256 string, kept_text string")
+    scratch.drop(spread)
+
+    counts = scratch.settle(texts.select("text", "key", "digest", "recurring").mapInArrow(_window_counts(window, phrase), "w1 long, w2 long, key long, n long"), "windows")
+    owners = counts.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("key").alias("owner")).where("n > 1")
+    owned = owners.groupBy(F.col("owner").alias("key")).agg(F.collect_list("w1").alias("owned"))
+    owned = scratch.settle(owned, "owned")
+    scratch.drop(counts)
+    passages = texts.select("text", "key", "digest").join(owned, "key").select("text", "key", "digest", "owned")
+    passages = scratch.settle(passages.mapInArrow(_passages(window, phrase, shard_words), "owner long, cut long, passage string, words long, anchors array<long>"), "passages")
+
+    total = passages.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    sharded = passages.withColumn("shard", F.pmod(F.xxhash64("owner", "cut"), F.lit(total // shard_words + 1)))
+    # a class of copies loses all its words anyway; other documents go to the shards of their anchors
+    open_ = texts.where("copies = 1").select("text", "key", "digest", "n_words")
+    reach = met.join(sharded.select("shard", F.explode("anchors").alias("anchor")).distinct(), "anchor").select("key", "shard").distinct()
+    reach = scratch.settle(reach.join(open_.select("key", "n_words"), "key"), "reach")
+    parts = reach.groupBy("shard").agg(F.ceil(F.sum("n_words") / part_words).cast("int").alias("parts"))
+    parts = scratch.settle(parts, "parts")
+    shaped = ["shard", "part", "key", "text"]
+    each = sharded.join(parts, "shard").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "key": F.lit(None).cast("long"), "text": F.col("passage")}).select(shaped)
+    dealt = reach.select("key", "shard").join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("key", "shard"), "parts").cast("int"))
+    streamed = dealt.join(open_.select("key", "text"), "key").select(shaped)
+    found = each.unionByName(streamed).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("key").asc_nulls_first()).mapInArrow(_locate(window, phrase), "key long, spans array<long>")
+    found = scratch.settle(found, "found")
+
+    spans = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    worked = open_.join(spans, "key").select("text", "key", "digest", "spans").mapInArrow(_remove(window, phrase), "key long, n_removed long, kept_sha256 string, kept_text string")
     worked = worked.select("key", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
-    worked = scratch.settle(worked.dropDuplicates(["key"]), "worked")
-    scratch.drop(counts, mine)
+    worked = scratch.settle(worked, "worked")
 
-    sizes = classed.select("doc_id", "digest", "copies").dropDuplicates(["doc_id", "digest"])
-    rows = survey.select("doc_id", "n_words", "digest", "full_sha").join(sizes, ["doc_id", "digest"], "left").withColumn("key", F.xxhash64("doc_id", "digest")).join(worked, "key", "left")
+    rows = survey.select("doc_id", "n_words", "digest", "full_sha", F.col("key").alias("_key")).join(copies, same, "left").join(worked, "key", "left")
     copy = F.coalesce(F.col("copies"), F.lit(1)) > 1
     out = [
         "doc_id",
@@ -247,7 +367,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, phrase: int = PHRAS
     ]
     if with_text:
         out.append(F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
-    return rows.select(*out)
+    result = scratch.settle(rows.select(*out), "result")
+    scratch.keep(result)
+    return result
 
 
 ORACLE = r"""

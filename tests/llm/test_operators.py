@@ -301,6 +301,39 @@ def test_packing_round_trip(docs, texts):
         assert len(fill) <= sum(r["length"] for r in got) / capacity * 1.05 + 2
 
 
+def test_packing_repeated_rows_make_no_hot_group(spark):
+    docs = spark.createDataFrame([(1, "the same text of a row")] * 400 + [(None, "x")] * 200, "doc_id long, text string")
+    assert len({r["_row"] for r in packing.cut_pieces(docs).collect()}) == 600
+    got = rows_of(packing.pack(docs, capacity=64, group_rows=50))
+    fill = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill.get(r["sequence_id"], 0)
+        fill[r["sequence_id"]] = r["offset"] + r["length"]
+    assert len(got) == 600 and max(fill.values()) <= 64
+
+
+def test_token_ids_of_odd_texts():
+    import public_tokenizers
+    import tokenizers
+
+    hf = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["<|endoftext|>", "hello <|endoftext|> world", "<|endoftext|><|endoftext|> a", "a<|endoftext|", "x  y\u00a0 z\u3000w", "\u2003 lead", "tail ", " ", "\n\n a", "don't we'll 12 345", "é" * 50, "a" * 3000, None, ""]
+    for texts_ in (odd, odd[:1], odd[4:], [t for t in odd for _ in range(3)]):
+        for i, _, start, n, crc in packing.document_pieces(pa.array(texts_), 2048):
+            ids = np.array([*hf.encode(texts_[i] or "", add_special_tokens=False).ids, 0], "<u4")
+            assert start + n <= len(ids) and crc == zlib.crc32(ids[start : start + n].tobytes())
+
+
+def test_segments_of_equal_hash_are_told_apart(monkeypatch):
+    from strandline.llm.packing import Encoder, default_vocabulary
+
+    text = "one two three four two one"
+    want = Encoder(default_vocabulary()).bpe.encode_ordinary(text)
+    monkeypatch.setattr(packing, "mix", lambda x: x & np.uint64(1))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert Encoder(default_vocabulary()).encode(raw, np.array([0, len(raw)]), 0, 1)[0].tolist() == want
+
+
 def test_local_search_empties_bins():
     lengths = np.array([6, 6, 5, 5, 4, 4, 3, 3, 2, 2])
     loose = [[0], [1], [2, 8], [3, 9], [4, 6], [5, 7]]
@@ -308,6 +341,27 @@ def test_local_search_empties_bins():
     assert sorted(i for b in packed for i in b) == list(range(10)) and all(lengths[b].sum() <= 10 for b in packed) and len(packed) == 4
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_local_search_packs_real_lengths(seed):
+    """Each step raises the squared fill, and the loose placement shrinks to the lower bound plus 1 %."""
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(5.3, 0.9, 3000).astype(int), 1, 2047)
+    loose = packing.arrival_order(lengths, 2048)
+    search = packing.LocalSearch(loose, lengths, 2048)
+    apply, squares = search._apply, []
+
+    def watched(*step):
+        out = apply(*step)
+        squares.append(sum(f * f for f in search.fill))
+        return out
+
+    search._apply = watched
+    packed = search.run()
+    assert sorted(i for b in packed for i in b) == list(range(3000)) and all(lengths[b].sum() <= 2048 for b in packed)
+    assert all(x <= y for x, y in zip(squares, squares[1:], strict=False)) and search.steps > len(packed) / 2
+    assert len(packed) <= np.ceil(lengths.sum() / 2048) * 1.01 + 1 < len(loose)
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty).count() == 0
 
@@ -339,8 +393,52 @@ def test_field_adds_spans_and_leaves_clean_text(spark):
     assert "host <ip> and <email> <card> <phone>" in clean and None in clean
 
 
+def test_field_reads_single_digits_and_spans_never_overlap():
+    for text, kind in (("ping 1 . 2 . 3 . 4 now", "ip"), ("10 . 2 . 3 . 4", "ip")):
+        base, spans = pii.find_spans([text], pii.default_field())[0]
+        assert base == [] and [k for *_, k in spans] == [kind]
+    rng = random.Random(41)
+    pieces = ["kim (at) mail (dot) org", "1 . 2 . 3 . 4", "(020) 555-1234", "jo@x.org", "10.0.0.1", "the river", "at", "dot", ".", "4111 1111 1111 1111", "é"]
+    for base, spans in pii.find_spans([" ".join(rng.choice(pieces) for _ in range(60)) for _ in range(40)], pii.default_field()):
+        added = sorted(set(spans) - set(base))
+        assert set(base) <= set(spans) and all(b <= c for (_, b, _), (c, _, _) in zip(added, added[1:], strict=False))
+        assert all(b <= c or d <= a for a, b, _ in added for c, d, _ in base)
+
+
+def test_unread_stretches_change_nothing(texts):
+    """Cut sequences and skipped tokens give the path of the whole text."""
+    rng = random.Random(42)
+    field = pii.default_field()
+    odd = ["kim (at) mail (dot) org", "call (020) 555-1234", "at home . then", "1 2 3", "v 1.2.3", "the river and the green Haus of les Para , immer", "une chose . "]
+    many = [t or "" for t in texts] + [" ".join(rng.choice(odd) for _ in range(rng.randint(1, 120))) for _ in range(60)]
+    tokens = pii.tokens_of(many)
+    score = field.scores(tokens)
+    cut = np.searchsorted(tokens.owner, np.arange(len(many) + 1))
+    whole = np.concatenate(field.viterbi([score[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], cells=500))
+    parts = field.stretches(score, tokens.owner)
+    got = np.zeros(len(score), np.int64)
+    for (a, b, _, _), path in zip(parts, field.viterbi([score[a:b] for a, b, *_ in parts], [p[2] for p in parts], [p[3] for p in parts]), strict=True):
+        got[a:b] = path
+    assert (got == whole).all() and sum(b - a for a, b, *_ in parts) < len(score)
+
+
+def test_field_memory_on_very_long_texts():
+    import tracemalloc
+
+    text = " ".join(str(k % 100000).zfill(5) for k in range(170_000))  # 1 MB of numbers
+    tracemalloc.start()
+    pii.find_spans([text, *["short"] * 600], pii.default_field())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 1_000_000 and peak < 500e6
+
+
+def test_pii_empty(empty):
+    assert pii.pii_report(empty).count() == 0 and pii.redact(empty).columns == empty.columns
+
+
 def test_field_on_unseen_lines():
-    rows = pii.labelled_rows(12)
+    rows = pii.labelled_rows(4)
     held = [r for i, r in enumerate(rows) if i % 4 == 0]
     field = pii.train_field([r for i, r in enumerate(rows) if i % 4])
     wrong = 0
@@ -389,8 +487,8 @@ def test_decontamination_empty(spark, docs, empty):
 
 @pytest.mark.parametrize("window, phrase", [(35, 8), (12, 4)])
 def test_substrings_brute_force(docs, texts, window, phrase):
-    got = rows_of(substrings.remove_repeats(docs, window=window, phrase=phrase, shard_bytes=2000))
-    all_texts = [*texts, texts[2]]  # the repeated row
+    got = rows_of(substrings.remove_repeats(docs, window=window, phrase=phrase, shard_words=300, part_words=500))
+    all_texts = [*texts, texts[2], "a null id"]  # the repeated row, the row without id
     seen: dict = {}
     for i, t in enumerate(all_texts):
         w = tokens(t, lower=False)
@@ -403,12 +501,31 @@ def test_substrings_brute_force(docs, texts, window, phrase):
                 gone[i].update(range(k, k + window))
     assert len(got) == docs.count()
     for r in got:
-        if r["doc_id"] is None:
-            assert r["n_removed"] == 0
-            continue
-        w = tokens(texts[r["doc_id"]], lower=False)
-        kept = " ".join(x for k, x in enumerate(w) if k not in gone[r["doc_id"]])
-        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone[r["doc_id"]]), hashlib.sha256(kept.encode()).hexdigest())
+        i = len(all_texts) - 1 if r["doc_id"] is None else r["doc_id"]
+        w = tokens(all_texts[i], lower=False)
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone[i])
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone[i]), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_substrings_null_ids_are_occurrences(spark):
+    rng = random.Random(31)
+    shared = words(rng, 50)
+    rows = [(None, " ".join(words(rng, 9) + shared)), (7, " ".join(shared + words(rng, 20))), (None, " ".join(words(rng, 60))), (7, " ".join(words(rng, 44)))]
+    got = sorted((r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(44, 0), (59, 50), (60, 0), (70, 50)]
+
+
+def test_automata_find_exactly_the_windows_of_passages():
+    rng = random.Random(32)
+    for _ in range(60):
+        passages = [[rng.choice("abcd") for _ in range(rng.randint(12, 40))] for _ in range(rng.randint(1, 5))]
+        automaton = substrings.PhraseAutomaton([" ".join(p).encode() for p in passages], 12, 4)
+        windows = {tuple(p[k : k + 12]) for p in passages for k in range(len(p) - 11)}
+        text = [rng.choice("abcde") for _ in range(60)]
+        at = rng.randrange(40)
+        text[at : at + 15] = rng.choice(passages)[:15]
+        want = {k + j for k in range(len(text) - 11) if tuple(text[k : k + 12]) in windows for j in range(12)}
+        assert {x for a, b in automaton.occurrences([w.encode() for w in text]) for x in range(a, b)} == want
 
 
 def test_substrings_empty(empty):
