@@ -211,32 +211,44 @@ def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 # ---------------------------------------------------------------- connected components
 
 
+#: Links that one task unites at a time.
+TASK_LINKS = 200_000
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b): the smallest id that links reach.
 
-    Alternating large-star and small-star steps: every step is a grouped minimum (pre-aggregated before its shuffle)
+    Tasks first unite the links that they happen to hold, a bounded number each, which leaves one link an id and task.
+    Then alternating large-star and small-star steps: every step is a grouped minimum (pre-aggregated before its shuffle)
     and a join of two plain scans, so a node with very many links is split by Spark and never gathered in one group.
     """
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    e = scratch.settle(edges.where("a <> b").select(high.alias("u"), low.alias("v")).distinct(), "edges")
-    while not _is_stars(e):
+    e = scratch.settle(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    tasks = -(-e.count() // TASK_LINKS) or 1
+    e = scratch.settle(e.coalesce(tasks).mapInArrow(_unite, "u long, v long"), "united")
+    while tasks > 1 and not _is_stars(e):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = scratch.settle(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "large")
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         big = scratch.settle(both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        lower = scratch.settle(big.groupBy("u").agg(F.min("v").alias("m")), "small")
-        moved = big.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.settle(moved.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        scratch.drop(e, least, big, lower)
+        lower = big.groupBy("u").agg(F.min("v").alias("m"))
+        new = scratch.settle(big.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), "small-star")
+        scratch.drop(e, big)
         e = new
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return scratch.settle(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
 
 
+def _unite(batches):
+    links = [np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]) for b in batches]
+    a, b = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
+    ids, at = np.unique(np.append(a, b), return_inverse=True)
+    v, u = stars(ids, at.ravel()[: len(a)], at.ravel()[len(a) :])
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _is_stars(e: DataFrame) -> bool:
     """Each node points to one smaller node, which points to none."""
-    if not e.groupBy("u").count().where("count > 1").isEmpty():
-        return False
-    return e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out > 0 and in > 0)").isEmpty()
 
 
 def stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

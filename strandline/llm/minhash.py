@@ -7,8 +7,8 @@ children of its tokens at those positions. Level by level, nodes are judged by t
 
 * A node of at most ``node_rows`` documents ends: all its pairs are compared, by size (a pair over the threshold has sizes
   within it) and by the sketch (128 signature positions, 2 bits each) that each row carries.
-* A larger node compares its documents with up to ``LEADERS`` of them; what this finds is confirmed and united. A node of
-  one component ends: a group of near copies, however large, needs no more than leaders.
+* A larger node compares its documents with up to ``LEADERS`` of them (every ``lead_every`` levels); what this finds is
+  confirmed and united. A node of one component ends: a group of near copies, however large, needs no more than leaders.
 * In other larger nodes only the strays, the documents outside the main component, can still link components. Where they
   are few (``few_strays``) they are compared with all documents of the node, in blocks of bounded size; else the node
   branches. What is left at ``last_depth`` is compared in blocks, too: no node is cut off.
@@ -279,7 +279,7 @@ def sorted_runs(batches, key: str = "key"):
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
-def compare_nodes(rule: Rule, cells: int = 1 << 20):
+def compare_nodes(rule: Rule, cells: int = 1 << 18):
     """All pairs of each small node, nodes of equal size at once."""
 
     def run(batches):
@@ -359,35 +359,24 @@ def compare_blocks(rule: Rule):
 # ------------------------------------------------------------------ confirmation on full sets
 
 
-class Sets:
-    """Full sets of documents, computed from whole texts once for each document that is asked for."""
+def full_sets(source: "Source", ids: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """id, hashes (sorted) of the given ids, from whole texts."""
 
-    def __init__(self, source: DataFrame, scratch: Scratch, shingle: int):
-        self.source, self.scratch, self.shingle, self.have = source, scratch, shingle, None
-
-    def of(self, ids: DataFrame) -> DataFrame:
-        """id, hashes (sorted) of at least the given ids."""
-        wanted = ids.distinct() if self.have is None else ids.distinct().join(self.have.select("id"), "id", "left_anti")
-        wanted = self.scratch.settle(wanted, "wanted")
-        if self.have is None or not wanted.isEmpty():
-            n = self.shingle
-
-            def run(batches):
-                for batch in batches:
-                    given = _u64(batch.column(2))
-                    for rows, starts, hashes in distinct_sets(batch.column(1), n):
-                        same = (digests(hashes, starts)[0] == given[rows]).tolist()  # of several texts of one id the chosen one
-                        ends = np.append(starts[1:], len(hashes))
-                        took = [(r, hashes[a:b]) for r, a, b, s in zip(rows.tolist(), starts.tolist(), ends.tolist(), same, strict=True) if s]
-                        if took:
-                            lengths = np.cumsum([0, *(len(h) for _, h in took)])
-                            lists = pa.LargeListArray.from_arrays(pa.array(lengths, pa.int64()), longs(np.concatenate([h for _, h in took]))).cast(pa.list_(pa.int64()))
-                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in took])), lists], names=["id", "hashes"])
+    def run(batches):
+        for batch in batches:
+            given = _u64(batch.column(2))
+            for rows, starts, hashes in distinct_sets(batch.column(1), n):
+                same = (digests(hashes, starts)[0] == given[rows]).tolist()  # of several texts of one id the chosen one
+                ends = np.append(starts[1:], len(hashes))
+                took = [(r, hashes[a:b]) for r, a, b, s in zip(rows.tolist(), starts.tolist(), ends.tolist(), same, strict=True) if s]
+                if took:
+                    lengths = np.cumsum([0, *(len(h) for _, h in took)])
+                    lists = pa.LargeListArray.from_arrays(pa.array(lengths, pa.int64()), longs(np.concatenate([h for _, h in took]))).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in took])), lists], names=["id", "hashes"])
 
-            texts = self.source.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "d1")
-            new = self.scratch.settle(texts.mapInArrow(run, "id long, hashes array<long>").dropDuplicates(["id"]) if self.source.repeats else texts.mapInArrow(run, "id long, hashes array<long>"), "sets")
-            self.have = new if self.have is None else self.have.unionByName(new)
-        return self.have
+    wanted = scratch.settle(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    sets = source.join(wanted).mapInArrow(run, "id long, hashes array<long>")
+    return scratch.settle(sets.dropDuplicates(["id"]) if source.repeats else sets, "sets")
 
 
 def _list_parts(column) -> tuple[np.ndarray, np.ndarray]:
@@ -417,10 +406,13 @@ def common_items(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
 
 
-def confirm_pairs(pairs: DataFrame, sets: Sets, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
+def pair_ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
+def confirm_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
     """The settled pairs (a, b) that hold on full sets."""
-    have = sets.of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
-    both = pairs.select("a", "b").join(have.toDF("b", "hashes_b"), "b").join(have.toDF("a", "hashes_a"), "a")
+    both = pairs.select("a", "b").join(sets.toDF("b", "hashes_b"), "b").join(sets.toDF("a", "hashes_a"), "a")
     return scratch.settle(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirm_pairs(rule), "a long, b long"), name)
 
 
@@ -466,11 +458,10 @@ def _confirm_groups(rule: Rule):
     return run
 
 
-def confirm_groups(groups: DataFrame, sets: Sets, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
+def confirm_groups(groups: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
     """Links that unite documents of the settled groups (gid, ids, similar); each set comes to a group once."""
     members = groups.select("gid", F.posexplode("ids").alias("pos", "id"), "similar").withColumn("similar", F.when(F.col("pos") == 0, F.col("similar")))
-    have = sets.of(members.select("id"))
-    rows = members.join(have, "id").repartition("gid").sortWithinPartitions("gid", "pos").select("gid", "pos", "id", "similar", "hashes")
+    rows = members.join(sets, "id").repartition("gid").sortWithinPartitions("gid", "pos").select("gid", "pos", "id", "similar", "hashes")
     return scratch.settle(rows.mapInArrow(_confirm_groups(rule), "a long, b long").distinct(), name)
 
 
@@ -538,7 +529,7 @@ def with_leaders(big: DataFrame) -> DataFrame:
 def mixed_nodes(big: DataFrame, labels: Labels, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """Rows of large nodes with their components; for each node of several: its main component, rows n and strays."""
     labelled = big.join(labels.frame.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = scratch.settle(labelled, f"labelled-{name}")
+    labelled = scratch.settle(labelled.select(*_COLUMNS, "component"), f"labelled-{name}")
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))  # pre-aggregated before it is shuffled
     nodes = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"))
     return labelled, scratch.settle(nodes.where("top.c < n").select("key", F.col("top.component").alias("main"), "n", (F.col("n") - F.col("top.c")).alias("strays")), f"mixed-{name}")
@@ -568,60 +559,65 @@ class Source:
     def __init__(self, docs: DataFrame, chosen: DataFrame, repeats: bool):
         self.docs, self.chosen, self.repeats = docs, chosen, repeats
 
-    def join(self, wanted: DataFrame, on: str) -> DataFrame:
-        return self.docs.join(wanted.join(self.chosen, on), on)
+    def join(self, wanted: DataFrame) -> DataFrame:
+        return self.docs.join(wanted.join(self.chosen, "doc_id"), "doc_id").select("doc_id", "text", "d1")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under: int = 100, trees: int = 10, node_rows: int = 128, few_strays: int = 512, last_depth: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under: int = 100, trees: int = 10, node_rows: int = 512, few_strays: int = 2048, last_depth: int = 12, lead_every: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     spark, rule = docs.sparkSession, Rule(shingle, over, under)
     scratch = Scratch(spark, "minhash")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = scratch.settle(signatures(source, shingle), "signatures")
-    sets_ = sigs.where("n_shingles > 0 and doc_id is not null")
-    chosen = sets_
-    repeats = not sets_.groupBy("doc_id").count().where("count > 1").isEmpty()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sigs = scratch.settle(signatures(docs, shingle), "signatures")
+    chosen = sigs.where("n_shingles > 0 and doc_id is not null")
+    repeats = not chosen.groupBy("doc_id").count().where("count > 1").isEmpty()
     if repeats:
-        chosen = scratch.settle(sets_.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "sig")).alias("_x")).select("doc_id", "_x.*"), "chosen")
+        chosen = scratch.settle(chosen.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "sig")).alias("_x")).select("doc_id", "_x.*"), "chosen")
     keys = ["d1", "d2", "n_shingles"]
     classes = scratch.settle(chosen.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
     members = scratch.settle(chosen.select("doc_id", *keys).join(classes, keys).select("doc_id", "rep", "d1"), "members")
     reps = scratch.settle(chosen.select("doc_id", "n_shingles", "sig").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "reps")
-    sets = Sets(Source(source, members.select("doc_id", "d1"), repeats), scratch, shingle)
+    source = Source(docs, members.select("doc_id", "d1"), repeats)
     labels = Labels(spark, scratch)
 
-    found = []  # what each level compared
+    def settle_forest(pairs: DataFrame, name: str) -> None:
+        """Confirms one pair of each document between different components, and unites."""
+        best = scratch.settle(_best(labels.ends(pairs).where("ca <> cb"), "b"), f"forest-{name}")
+        labels.unite(confirm_pairs(best, full_sets(source, pair_ids(best), scratch, shingle), rule, scratch, f"links-{name}"))
+
+    found, depth = [], 0  # what each level compared
     rows = first_rows(reps, 0 if reps.count() <= node_rows else trees)
-    for depth in range(1, last_depth + 1):
+    while True:
+        depth += 1
         large = scratch.settle(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows).select("key"), f"large{depth}")
         nodes = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc_id")
         found.append(scratch.settle(nodes.mapInArrow(compare_nodes(rule), _FOUND), f"nodes{depth}"))
+        single = found[-1].where("a is not null").select("a", "b", "m")
         if large.isEmpty():
+            settle_forest(single, str(depth))
             break
-        big = scratch.settle(rows.join(large, "key", "left_semi"), f"big{depth}")
-        led = scratch.settle(with_leaders(big).mapInArrow(compare_leaders(rule), "a long, b long, m int"), f"led{depth}")
-        pairs = led if depth > 1 else led.unionByName(found[0].where("a is not null").select("a", "b", "m"))
-        for by in [["b"], ["ca", "cb"]][min(depth, 2) - 1 :]:  # first one pair of each document, then one of each two components
-            best = scratch.settle(_best(labels.ends(pairs).where("ca <> cb"), *by), f"best{depth}")
-            labels.unite(confirm_pairs(best, sets, rule, scratch, f"links{depth}"))
+        big = rows.join(large, "key", "left_semi")
+        if depth % lead_every == 1 or lead_every == 1:
+            big = scratch.settle(big, f"big{depth}")
+            settle_forest(single.unionByName(scratch.settle(with_leaders(big).mapInArrow(compare_leaders(rule), "a long, b long, m int"), f"led{depth}")), str(depth))
         labelled, mixed = mixed_nodes(big, labels, scratch, str(depth))
+        far = mixed.where(F.col("strays") > few_strays) if depth < last_depth else mixed.limit(0)
         near = mixed if depth == last_depth else mixed.where(F.col("strays") <= few_strays)
         if not near.isEmpty():
             found.append(scratch.settle(block_groups(labelled, near, rule), f"blocks{depth}"))
-        far = mixed.join(near.select("key"), "key", "left_anti") if depth < last_depth else mixed.limit(0)
         if far.isEmpty():
             break
         rows = scratch.settle(next_rows(labelled.join(far.select("key"), "key", "left_semi").select("key", "doc_id"), reps), f"rows{depth + 1}")
 
+    # whatever is left between different components
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    pairs = every.where("a is not null").select("a", "b", "m")
-    # a forest, one pair a document, settles nearly all; then whatever is left between different components
-    best = scratch.settle(_best(labels.ends(pairs).where("ca <> cb"), "b"), "forest")
-    labels.unite(confirm_pairs(best, sets, rule, scratch, "forest-links"))
-    rest = scratch.settle(labels.ends(pairs).where("ca <> cb").select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "rest")
+    if depth > 1:
+        settle_forest(every.where("a is not null").select("a", "b", "m"), "all")
+    rest = scratch.settle(labels.ends(every.where("a is not null")).where("ca <> cb").select("a", "b").distinct(), "rest")
     groups = open_groups(every.where("ids is not null"), labels, scratch)
+    sets = full_sets(source, pair_ids(rest).unionByName(groups.select(F.explode("ids").alias("id"))), scratch, shingle)
     labels.unite(confirm_pairs(rest, sets, rule, scratch, "rest-links").unionByName(confirm_groups(groups, sets, rule, scratch, "group-links")))
 
     ids = members.join(labels.frame.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))

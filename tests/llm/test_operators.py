@@ -82,7 +82,9 @@ def test_word_hashes_follow_words(texts):
     assert len(set(seen.values())) == len(seen)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links", [200_000, 7])
+def test_components(spark, task_links, monkeypatch):
+    monkeypatch.setattr(common, "TASK_LINKS", task_links)
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, k) for k in range(101, 140)] + [(k, k + 1) for k in range(200, 230)]
     frame = spark.createDataFrame(links, "a long, b long")
@@ -148,7 +150,7 @@ def test_embeddings_passes_for_large_labels():
 # ------------------------------------------------------------------ 2 minhash
 
 
-@pytest.mark.parametrize("options", [{}, {"node_rows": 3}, {"node_rows": 3, "last_depth": 5, "few_strays": 0}, {"node_rows": 2, "last_depth": 1}, {"shingle": 5}])
+@pytest.mark.parametrize("options", [{}, {"node_rows": 3}, {"node_rows": 3, "last_depth": 3, "few_strays": 0, "lead_every": 1}, {"shingle": 5}])
 def test_minhash_brute_force(docs, texts, options):
     got = rows_of(minhash.near_duplicates(docs, **options))
     n = options.get("shingle", 2)
@@ -192,7 +194,7 @@ def test_minhash_crowded_nodes_lose_no_pairs(spark):
         rows += [(k, " ".join(common_part + own)), (1000 + k, " ".join(common_part + own[:15] + [f"e{k}w{j}" for j in range(10)]))]
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, last_depth=6, node_rows=2, few_strays=0).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, last_depth=5, node_rows=2, few_strays=0).collect()}
     assert [k for k in range(40) if got[1000 + k] != k or got[k] != k] == []
 
 
