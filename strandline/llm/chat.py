@@ -77,15 +77,14 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
     """Pairs (2k, 2k + 1) of conversation ids, the even one chosen: a stated pairing for tables that name none."""
-    ids = turns.where(F.col("conv_id").isNotNull()).select((F.floor(F.col("conv_id") / 2)).cast("long").alias("pair_id")).distinct()
+    ids = turns.where(F.col("conv_id").isNotNull()).select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id")).distinct()
     return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
 
 
-def prefix_pairs(turns: DataFrame) -> DataFrame:
-    """Each conversation as chosen against a truncated rival: the same conversation with the last turn replaced.
+def rival_turns(turns: DataFrame) -> DataFrame:
+    """The turns of a rival of each conversation, under its id: the same conversation with the last turn replaced.
 
-    The rival's last turn is the last turn of the other conversation of its neighbour pair, so that prompts are shared.
-    Rival ids are -1 - conv_id; returns the turns of all rivals.
+    The rival's last turn has the text of the last turn of the other conversation of its neighbour pair.
     """
     rows = conversation_rows(turns)
     last = rows.select(F.col("conv_id").alias("_other"), F.element_at("turns", -1).alias("_last"))
@@ -93,19 +92,24 @@ def prefix_pairs(turns: DataFrame) -> DataFrame:
     rival = rows.withColumn("_other", other).join(last, "_other")
     kept = F.slice("turns", F.lit(1), F.size("turns") - 1)
     swapped = F.struct(F.element_at("turns", -1)["turn"].alias("turn"), F.element_at("turns", -1)["role"].alias("role"), F.col("_last")["text"].alias("text"))
-    return rival.select((-1 - F.col("conv_id")).alias("conv_id"), F.explode(F.concat(kept, F.array(swapped))).alias("t")).select("conv_id", "t.*")
+    return rival.select("conv_id", F.explode(F.concat(kept, F.array(swapped))).alias("t")).select("conv_id", "t.*")
 
 
 def preference_report(turns: DataFrame) -> DataFrame:
-    """Digest columns of two families of pairs over all conversations: neighbours, and rivals that share all but the end."""
-    slim = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    rivals = prefix_pairs(slim)
-    own = rivals.select((-1 - F.col("conv_id")).alias("chosen_id"), F.col("conv_id").alias("rejected_id")).distinct().withColumn("pair_id", F.col("rejected_id"))
-    pairs = neighbour_pairs(slim).unionByName(own)
-    out = format_preferences(slim.unionByName(rivals), pairs)
+    """Digest columns of two families of pairs over all conversations: neighbours, and rivals that share all but the end.
+
+    ``rival`` tells the families apart; a rival has the id of the conversation that it was made from.
+    """
+    slim = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").where(F.col("conv_id").isNotNull())
+    key = lambda c, rival: F.struct(F.lit(rival).alias("rival"), F.col(c).alias("id")).alias(c)
+    named = lambda rows, rival: rows.select(key("conv_id", rival), "turn", "role", "text")
+    own = slim.select("conv_id").distinct().select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.col("conv_id").alias("rejected_id"))
+    pairs = neighbour_pairs(slim).select("pair_id", key("chosen_id", False), key("rejected_id", False)).unionByName(own.select("pair_id", key("chosen_id", False), key("rejected_id", True)))
+    out = format_preferences(named(slim, False).unionByName(named(rival_turns(slim), True)), pairs)
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",").alias(c)
-    return out.select("pair_id", "chosen_id", "rejected_id", F.col("n_prompt").cast("long").alias("n_prompt"), digest("prompt"), digest("chosen"), spans("chosen_mask"), digest("rejected"), spans("rejected_mask"))
+    ids = [F.col("rejected_id.rival").alias("rival"), "pair_id", F.col("chosen_id.id").alias("chosen_id"), F.col("rejected_id.id").alias("rejected_id")]
+    return out.select(*ids, F.col("n_prompt").cast("long").alias("n_prompt"), digest("prompt"), digest("chosen"), spans("chosen_mask"), digest("rejected"), spans("rejected_mask"))
 
 
 ORACLE = r"""
@@ -113,28 +117,29 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
 o AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN conv_id + 1 ELSE conv_id - 1 END AS other FROM (SELECT DISTINCT conv_id FROM t)),
 r AS (
-  SELECT -1 - k.conv_id AS conv_id, k.turn, k.role, CASE WHEN k.i = k.n THEN l.text ELSE k.text END AS text, k.i, k.n
+  SELECT k.conv_id, k.role, CASE WHEN k.i = k.n THEN l.text ELSE k.text END AS text, k.i, k.n
   FROM k JOIN o USING (conv_id) JOIN k l ON l.conv_id = o.other AND l.i = l.n
-), a AS (SELECT conv_id, role, text, i, n FROM k UNION ALL SELECT conv_id, role, text, i, n FROM r),
+), a AS (SELECT false AS rival, conv_id, role, text, i, n FROM k UNION ALL SELECT true, conv_id, role, text, i, n FROM r),
 p AS (
-  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id // 2 * 2 AS chosen_id, conv_id // 2 * 2 + 1 AS rejected_id FROM t
-  UNION ALL SELECT DISTINCT conv_id, -1 - conv_id, conv_id FROM r
-), q AS (SELECT * FROM p WHERE chosen_id IN (SELECT conv_id FROM a) AND rejected_id IN (SELECT conv_id FROM a)),
+  SELECT DISTINCT false AS rival, conv_id >> 1 AS pair_id, (conv_id >> 1) * 2 AS chosen_id, (conv_id >> 1) * 2 + 1 AS rejected_id FROM t
+  UNION ALL SELECT DISTINCT true, conv_id, conv_id, conv_id FROM t
+), q AS (SELECT p.* FROM p WHERE EXISTS (SELECT 1 FROM a WHERE NOT a.rival AND a.conv_id = chosen_id) AND EXISTS (SELECT 1 FROM a WHERE a.rival = p.rival AND a.conv_id = rejected_id)),
 c AS (
-  SELECT q.pair_id, q.chosen_id, q.rejected_id,
+  SELECT q.rival, q.pair_id, q.chosen_id, q.rejected_id,
     least(max(x.n), max(y.n), coalesce(min(CASE WHEN NOT (x.role = y.role AND x.text = y.text) THEN x.i END) - 1, 1000000)) AS n_prompt
-  FROM q JOIN a x ON x.conv_id = q.chosen_id JOIN a y ON y.conv_id = q.rejected_id AND y.i = x.i GROUP BY ALL
+  FROM q JOIN a x ON NOT x.rival AND x.conv_id = q.chosen_id JOIN a y ON y.rival = q.rival AND y.conv_id = q.rejected_id AND y.i = x.i GROUP BY ALL
 ), s AS (SELECT a.*, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS out FROM a),
 z AS (
-  SELECT c.pair_id, side, s.i, s.role, s.out, s.i <= c.n_prompt AS in_prompt,
-    sum(length(s.out)) OVER (PARTITION BY c.pair_id, side, s.i <= c.n_prompt ORDER BY s.i) - length(s.out) AS pos
-  FROM c CROSS JOIN (VALUES ('chosen'), ('rejected')) v(side) JOIN s ON s.conv_id = CASE WHEN side = 'chosen' THEN c.chosen_id ELSE c.rejected_id END
+  SELECT c.rival, c.pair_id, side, s.i, s.role, s.out, s.i <= c.n_prompt AS in_prompt,
+    sum(length(s.out)) OVER (PARTITION BY c.rival, c.pair_id, side, s.i <= c.n_prompt ORDER BY s.i) - length(s.out) AS pos
+  FROM c CROSS JOIN (VALUES ('chosen'), ('rejected')) v(side)
+  JOIN s ON s.conv_id = CASE WHEN side = 'chosen' THEN c.chosen_id ELSE c.rejected_id END AND s.rival = (side = 'rejected' AND c.rival)
 ), g AS (
-  SELECT pair_id, side, coalesce(string_agg(out, '' ORDER BY i) FILTER (in_prompt), '') AS prompt, coalesce(string_agg(out, '' ORDER BY i) FILTER (NOT in_prompt), '') AS tail,
+  SELECT rival, pair_id, side, coalesce(string_agg(out, '' ORDER BY i) FILTER (in_prompt), '') AS prompt, coalesce(string_agg(out, '' ORDER BY i) FILTER (NOT in_prompt), '') AS tail,
     coalesce(string_agg(CAST(CAST(pos + 5 + length(role) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos + length(out) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (NOT in_prompt AND role = 'assistant'), '') AS mask
   FROM z GROUP BY ALL
 )
-SELECT c.pair_id, c.chosen_id, c.rejected_id, CAST(c.n_prompt AS BIGINT) AS n_prompt, sha256(x.prompt) AS prompt_sha256, sha256(x.tail) AS chosen_sha256, x.mask AS chosen_mask,
+SELECT c.rival, c.pair_id, c.chosen_id, c.rejected_id, CAST(c.n_prompt AS BIGINT) AS n_prompt, sha256(x.prompt) AS prompt_sha256, sha256(x.tail) AS chosen_sha256, x.mask AS chosen_mask,
        sha256(y.tail) AS rejected_sha256, y.mask AS rejected_mask
-FROM c JOIN g x ON x.pair_id = c.pair_id AND x.side = 'chosen' JOIN g y ON y.pair_id = c.pair_id AND y.side = 'rejected'
+FROM c JOIN g x ON x.rival = c.rival AND x.pair_id = c.pair_id AND x.side = 'chosen' JOIN g y ON y.rival = c.rival AND y.pair_id = c.pair_id AND y.side = 'rejected'
 """

@@ -7,8 +7,10 @@ containment the prefix that must match is the rarest shingle alone. Each place o
 fixes where the window would begin; the length and position bounds drop places at which it would leave the text, and
 what is left is verified word by word over the item-sized window.
 
-The benchmark's windows go to the tasks as arrays only in parts of at most ``part_words`` words: a larger benchmark is
-worked off in several passes whose findings are merged, so no broadcast exceeds that bound.
+The benchmark's distinct windows are a table, cut from the items in tasks; so are their owners. Windows go to the tasks
+that read documents as arrays, in parts of about ``part_windows`` by a hash of the window, whatever the items' sizes are:
+one part at a time passes through the driver, is broadcast and released, and what the parts find is merged. Ids of items
+meet documents by a join, after that, on the few windows found.
 
 Defined results: null and empty texts have no words and no hits; items that are null, without words or without an id
 match nothing; repeated items and repeated documents are each judged as they are; ids of items are strings in results.
@@ -52,10 +54,10 @@ class HashSet:
 
 @dataclass
 class Windows:
-    """Distinct windows of one part of the benchmark, by length; items are flat lists with ends."""
+    """Distinct windows of one part of the benchmark, by length, with their numbers."""
 
     words: dict[int, np.ndarray]  # length -> (windows, length) word hashes
-    items: dict[int, list[list[str]]]
+    number: dict[int, np.ndarray]
 
     def shingles(self) -> dict[int, np.ndarray]:
         """length -> (windows, places) shingle hashes."""
@@ -68,30 +70,38 @@ class Windows:
         return out
 
 
-def item_windows(items: list[tuple[str, str]], window: int = WINDOW) -> Windows:
-    found: dict[int, dict[bytes, set[str]]] = {}
-    texts = pa.array([t for _, t in items], pa.string())
-    for lo, hi, w in word_slices(texts, LETTER_WORDS, LOWER):
-        for i in range(lo, hi):
-            h = w.hash[w.first[i - lo] : w.first[i - lo + 1]]
-            size = min(window, len(h))
-            for k in range(len(h) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(h[k : k + size].tobytes(), set()).add(items[i][0])
-    words, owners = {}, {}
-    for size, got in found.items():
-        keys = sorted(got)
-        words[size] = np.frombuffer(b"".join(keys), U64).reshape(-1, size)
-        owners[size] = [sorted(got[k]) for k in keys]
-    return Windows(words, owners)
-
-
-def benchmark_parts(benchmark: DataFrame, part_words: int) -> list[list[tuple[str, str]]]:
-    """Items in parts of about ``part_words`` words, read part by part in the order of their ids."""
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id (string) and words (bytes of the word hashes) of each window of each item."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, w in word_slices(batch.column(1), LETTER_WORDS, LOWER):
+                row, out = [], []
+                for i in range(lo, hi):
+                    h = w.hash[w.first[i - lo] : w.first[i - lo + 1]]
+                    size = min(window, len(h))
+                    if size:
+                        view = np.lib.stride_tricks.sliding_window_view(h, size)
+                        view = np.unique(view, axis=0) if len(view) > 1 else view
+                        out += [x.tobytes() for x in view]
+                        row += [i] * len(view)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(out, pa.binary())], names=["item_id", "words"])
+
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = int(size // (4 * part_words)) + 1
-    dealt = items.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
-    return [[(r[0], r[1]) for r in dealt.where(F.col("_part") == k).select("item_id", "text").collect()] for k in range(parts)]
+    return items.mapInArrow(run, "item_id string, words binary")
+
+
+def window_part(rows: list) -> Windows:
+    """Windows from (number, words) rows."""
+    by_size: dict[int, list] = {}
+    for number, words in rows:
+        by_size.setdefault(len(words) // 8, []).append((bytes(words), number))
+    words, numbers = {}, {}
+    for size, got in by_size.items():
+        got.sort()
+        words[size] = np.frombuffer(b"".join(w for w, _ in got), U64).reshape(-1, size)
+        numbers[size] = np.array([n for _, n in got], np.int64)
+    return Windows(words, numbers)
 
 
 def shingle_counts(docs: DataFrame, vocabulary: dict[int, np.ndarray]) -> dict[int, int]:
@@ -165,8 +175,8 @@ def _candidates(w, table: dict[int, Prefixes], limit: int = 1 << 20):
 
 
 def find_windows(texts: pa.Array, windows: Windows, table: dict[int, Prefixes]) -> pa.Array:
-    """struct(n_words, spans, items) of each text: verified word spans (start, end alternating) and their item ids."""
-    n_words, spans, items = [], [], []
+    """struct(n_words, spans, windows) of each text: verified word spans (start, end alternating) and window numbers."""
+    n_words, spans, found = [], [], []
     for lo, hi, w in word_slices(texts, LETTER_WORDS, LOWER):
         per_doc: dict[int, tuple[list, set]] = {}
         for start, length, row in _candidates(w, table):
@@ -174,17 +184,17 @@ def find_windows(texts: pa.Array, windows: Windows, table: dict[int, Prefixes])
                 mine = length == size
                 s, r = start[mine], row[mine]
                 same = (w.hash[s[:, None] + np.arange(size)] == windows.words[int(size)][r]).all(axis=1)
-                for a, k in zip(s[same].tolist(), r[same].tolist(), strict=True):
-                    places, owners = per_doc.setdefault(int(w.doc[a]), ([], set()))
+                for a, k in zip(s[same].tolist(), windows.number[int(size)][r[same]].tolist(), strict=True):
+                    places, numbers = per_doc.setdefault(int(w.doc[a]), ([], set()))
                     places.append((a, a + int(size)))
-                    owners.update(windows.items[int(size)][k])
+                    numbers.add(k)
         for i in range(lo, hi):
             base = int(w.first[i - lo])
             n_words.append(int(w.first[i - lo + 1]) - base)
-            places, owners = per_doc.get(i, ((), ()))
+            places, numbers = per_doc.get(i, ((), ()))
             spans.append([x - base for pair in _union(places) for x in pair])
-            items.append(sorted(owners))
-    return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+            found.append(sorted(numbers))
+    return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["n_words", "spans", "windows"])
 
 
 def _union(places) -> list[tuple[int, int]]:
@@ -197,23 +207,31 @@ def _union(places) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_FOUND = "n_words long, spans array<long>, items array<string>"
+_FOUND = "n_words long, spans array<long>, windows array<long>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_words: int = 1_000_000, column: str = "found") -> DataFrame:
-    """``docs`` with a struct column: n_words, spans (word positions, start and end alternating), items."""
-    parts = [item_windows(p, window) for p in benchmark_parts(benchmark, part_words)]
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    for k, windows in enumerate(parts):
+def benchmark_windows(benchmark: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (number, words), and the owners (item_id, words) of each."""
+    owners = scratch.settle(item_windows(benchmark, window), "owners")
+    return scratch.settle(owners.select("words").distinct().select(F.monotonically_increasing_id().alias("number"), "words"), "windows"), owners
+
+
+def find_contamination(docs: DataFrame, windows: DataFrame, scratch: Scratch, *, part_windows: int = 100_000, column: str = "found") -> DataFrame:
+    """``docs`` with a struct column: n_words, spans (word positions, start and end alternating), window numbers."""
+    parts = windows.count() // part_windows + 1
+    part_of = F.pmod(F.xxhash64("words"), F.lit(parts))
+    for k in range(parts):
+        part = window_part(windows.where(part_of == k).select("number", "words").collect())  # about part_windows rows
         vocabulary: dict[int, list] = {}
-        for length, shingles in windows.shingles().items():
+        for length, shingles in part.shingles().items():
             vocabulary.setdefault(min(SHINGLE, length), []).append(shingles.ravel())
         counts = shingle_counts(docs, {n: np.concatenate(x) for n, x in vocabulary.items()}) if vocabulary else {}
-        model = docs.sparkSession.sparkContext.broadcast((windows, prefixes(windows, counts)))  # at most part_words words
+        model = docs.sparkSession.sparkContext.broadcast((part, prefixes(part, counts)))  # the same bound
         new = _finder(model)(F.col("text"))
         docs = docs.withColumn(column, new if k == 0 else _merge()(F.col(column), new))
-        if len(parts) > 1:
+        if parts > 1:
             docs = scratch.settle(docs, f"part{k}")
+            model.destroy()
     return docs
 
 
@@ -231,24 +249,35 @@ def _merge():
         rows = []
         for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
             pairs = [(s[i], s[i + 1]) for s in (x["spans"], y["spans"]) for i in range(0, len(s), 2)]
-            rows.append({"n_words": x["n_words"], "spans": [v for p in _union(pairs) for v in p], "items": sorted({*x["items"], *y["items"]})})
+            rows.append({"n_words": x["n_words"], "spans": [v for p in _union(pairs) for v in p], "windows": sorted({*x["windows"], *y["windows"]})})
         return pa.array(rows, a.type)
 
     return merged
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_windows: int = 100_000) -> DataFrame:
     """The rows of ``docs`` without any hit, with the columns that they came with."""
-    return find_contamination(docs, benchmark, column="_found", **options).where(F.size("_found.spans") == 0).drop("_found")
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    windows, _ = benchmark_windows(benchmark, window, scratch)
+    return find_contamination(docs, windows, scratch, part_windows=part_windows, column="_found").where(F.size("_found.spans") == 0).drop("_found")
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def contamination_report(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_windows: int = 100_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    found = find_contamination(docs.select("doc_id", "text"), benchmark, **options).select("doc_id", "found.*")
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    windows, owners = benchmark_windows(benchmark, window, scratch)
+    found = find_contamination(docs.select("doc_id", "text"), windows, scratch, part_windows=part_windows)
+    found = scratch.settle(found.select("doc_id", "found.*", F.monotonically_increasing_id().alias("_row")), "found")
+    hits = found.where(F.size("windows") > 0).select("_row", F.explode("windows").alias("number"))
+    items = hits.join(windows, "number").join(owners, "words").select("_row", "item_id").distinct().groupBy("_row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)  # alternating ends minus starts
-    return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
+    got = F.coalesce("items", F.array().cast("array<string>"))
+    out = found.join(items, "_row", "left").select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(got).cast("long").alias("n_items"), F.sha2(F.array_join(got, ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
     )
+    out = scratch.settle(out, "result")
+    scratch.keep(out)
+    return out
 
 
 def digest_of(items: list[str]) -> str:

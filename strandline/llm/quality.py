@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -43,7 +43,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """At most ``rows_per_class`` labelled texts of each class, picked by a hash of the id.
 
     A bounded fitting sample: texts over ``most_chars`` are left to scoring, which bounds what reaches the driver to
-    ``4 * rows_per_class * most_chars`` characters however large the tables are.
+    ``2 * rows_per_class * most_chars`` characters however large the tables are.
     """
     one = _one_label(labels, label, keep)
     order = [F.xxhash64("doc_id", F.lit(label)), "doc_id"]
@@ -51,8 +51,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     ids = [(r[0], r[1]) for part in picked for r in part.collect()]  # ids first: only the picked texts move
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, _y int"))  # at most 4 * rows_per_class rows
     rows = docs.select("doc_id", "text").where(F.length("text").between(1, most_chars)).join(chosen, "doc_id")
-    found = sorted((r[0], r[1], r[2]) for r in rows.select("doc_id", "text", "_y").collect())
-    return [(t, y) for c in (0, 1) for _, t, y in [r for r in found if r[2] == c][:rows_per_class]]
+    # of these bounded rows the first of each class travel
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_y").orderBy(*order, "text"))).where(F.col("_n") <= rows_per_class)
+    return [(t, y) for y, _, t in sorted((r[0], r[1], r[2]) for r in first.select("_y", "doc_id", "text").collect())]
 
 
 def class_share(labels: DataFrame, label: str, keep: Column) -> float | None:

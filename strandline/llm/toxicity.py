@@ -1,7 +1,7 @@
 """Toxicity (operator 3): noisy-channel deobfuscation, then a lexicon score of the restored text.
 
-Channel. A writer may replace letters by look-alikes (leetspeak), put single separators between the letters of a word,
-or repeat letters. ``suspects`` finds such places in whole texts with array operations. Each is turned into a lattice:
+Channel. A writer may replace letters by look-alikes (leetspeak), put single separators between pieces of one or two
+letters of a word, or repeat letters. ``suspects`` finds such places in whole texts with array operations. Each is turned into a lattice:
 every character offers the letters that it may stand for, or nothing (a repeated letter, a filler). Viterbi decoding
 takes the path of highest probability under a character trigram model of the corpus. The model's counts are taken over
 all documents, summed in tasks before they meet, and have a fixed number of cells.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strandline.llm.common import _BYTE_CODES, _STEP, BLANK_WORDS, LOWER, PIECE_BYTES, U64, Words, byte_table, crc_of_id, mix, powers, slices, text_buffer
+from strandline.llm.common import _BYTE_CODES, _STEP, LOWER, PIECE_BYTES, U64, Words, byte_table, crc_of_id, mix, powers, slices, text_buffer
 from strandline.llm.decontaminate import HashSet
 from strandline.llm.quality import labelled_sample
 
@@ -36,6 +36,7 @@ _LEET = byte_table(lambda b: chr(b) in LOOKALIKES)
 _DIGIT = byte_table(lambda b: 48 <= b <= 57)
 _PIECE = _LETTER | _DIGIT
 _JOINT = byte_table(lambda b: chr(b) in " .-_*")
+_WORDLIKE = byte_table(lambda b: b > 32 and b != 127 and chr(b) not in ",;:/\\\"'?=&<>[]{}%#~^`")
 
 # ------------------------------------------------------------------ character model
 
@@ -86,8 +87,6 @@ def decode(token: str, model: np.ndarray) -> str:
     for c in token:
         run = run + 1 if c == previous else 1
         previous = c
-        if run > 3:  # a fourth repetition offers nothing new
-            continue
         if "a" <= c <= "z":
             offers = [(c, _KEEP_REPEAT if run > 1 else 0.0)] + ([("", _DROP_REPEAT)] if run > 1 else [])
         elif c in LOOKALIKES:
@@ -128,8 +127,8 @@ def suspects(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     twice[:-1] = ascii_letter[:-1] & (raw[1:] == raw[:-1]) & follows[:-1]
     thrice = np.zeros(len(raw), bool)
     thrice[:-1] = twice[:-1] & twice[1:]
-    # words between blanks
-    inside = BLANK_WORDS[raw]
+    # words between blanks and joining marks
+    inside = _WORDLIKE[raw]
     open_, close = inside.copy(), inside.copy()
     open_[1:] &= ~inside[:-1] | edge[1:-1]
     close[:-1] &= ~inside[1:] | edge[1:-1]
@@ -139,21 +138,21 @@ def suspects(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     sums = [np.concatenate([[0], np.cumsum(x)]) for x in (mixed, letter, thrice, twice, leet)]
     m, l, t, d, k = (x[end] - x[start] for x in sums)
     last = end - 1
-    lone_tail = leet[last] & (raw[last] != 33) & (l >= 3) & (k == 1) & letter[np.maximum(last - 1, 0)]
-    word = (l > 0) & (((m > 0) & (l + k <= 24)) | (t > 0) | (d >= 3) | lone_tail)
-    # chains of single characters with single separators
+    tail = leet[last] & (raw[last] != 33) & (k > 0)
+    word = (l > 0) & ((m > 0) | (t > 0) | (d >= 2) | tail)
+    # chains of pieces of one or two characters with single separators
     piece = _PIECE[raw] | (leet & ~_JOINT[raw])
     p_open, p_close = piece.copy(), piece.copy()
     p_open[1:] &= ~piece[:-1] | edge[1:-1]
     p_close[:-1] &= ~piece[1:] | edge[1:-1]
     ps, pe = np.flatnonzero(p_open), np.flatnonzero(p_close) + 1
-    single = pe - ps == 1
+    single = pe - ps <= 2
     chained = np.zeros(len(ps), bool)
     if len(ps) > 1:
         chained[:-1] = single[:-1] & single[1:] & (ps[1:] - pe[:-1] == 1) & _JOINT[raw[np.minimum(pe[:-1], len(raw) - 1)]] & ~edge[pe[:-1]] & ~edge[ps[1:]]
     grow = np.flatnonzero(chained & ~np.concatenate([[False], chained[:-1]]))
     stop = np.flatnonzero(chained & ~np.concatenate([chained[1:], [False]])) + 1
-    long = stop - grow >= 3
+    long = stop - grow >= np.where(raw[np.minimum(pe[grow], len(raw) - 1)] == 32, 3, 2)  # four pieces between blanks, three between marks
     return np.concatenate([start[word], ps[grow[long]]]), np.concatenate([end[word], pe[stop[long]]])
 
 
@@ -172,12 +171,11 @@ class Restorer:
 
     def _words(self, place: bytes) -> list[bytes]:
         text = place.decode("utf-8", "replace").strip(".,;:?\"'-_*#%&=/<>[]{}")
-        while text and text[-1] in "!$@+(|" and (len(text) < 2 or text[-1] == text[-2] or text[-1] == "!"):
-            text = text[:-1]  # punctuation for emphasis, not letters
-        if all(len(x) <= 1 for x in text.replace(".", " ").replace("-", " ").replace("_", " ").replace("*", " ").split(" ")):
+        if all(len(x) <= 2 for x in text.replace(".", " ").replace("-", " ").replace("_", " ").replace("*", " ").split(" ")):
             text = "".join(c for c in text if c not in " .-_*")
-        whole = decode(text, self.model)
-        return [x.encode() for x in {whole} if len(x) >= 3]
+        bare = text.rstrip("!$@+(|")  # marks at the end may be letters or emphasis: both are read
+        readings = {decode(x, self.model) for x in {text, bare} if x}
+        return [x.encode() for x in sorted(readings) if len(x) >= 3]
 
 
 # ------------------------------------------------------------------ features

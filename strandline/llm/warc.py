@@ -11,8 +11,9 @@ are revisit records that name it and carry the digest and the size of the full p
 Archives are written through ``pyarrow.fs`` into the shared folder, under a name of the task attempt; only attempts
 whose rows reached the index table count, so a repeated task leaves an unused file and no half-read one.
 
-Defined results: null html is an empty payload; pages of the same id and payload are one record each and stay so; a null
-page_id is dropped from archives (a record must have an id); a payload of fewer bytes than the bound is always response.
+Defined results: null html is an empty payload; pages of the same id and payload are one record each and stay so; a page
+without id is a record named "none", counts as smaller than any other, and is read back with a null id; a payload of fewer
+bytes than the bound is always response.
 """
 
 from __future__ import annotations
@@ -42,12 +43,12 @@ def _open(path: str):
 # ------------------------------------------------------------------ records
 
 
-def record_bytes(page_id: int, url: str | None, kind: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     """One WARC record; ``payload`` is stored for responses only."""
     block = b"" if kind == "revisit" else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     head = [
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>",
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -126,17 +127,14 @@ def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, scratch:
     """page_id, url, html, payload_digest, payload_bytes, record_type, refers_to: which page stores a payload."""
     scratch = scratch or Scratch(pages.sparkSession, "warc-plan")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    digests = pages.where(F.col("page_id").isNotNull()).select(
-        F.col("page_id").cast("long"), "url", "html", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("_sha")
-    )
-    large = digests.where(F.col("payload_bytes") >= revisit_bytes)
+    digests = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("_sha"))
+    large, small = digests.where(F.col("payload_bytes") >= revisit_bytes), digests.where(F.col("payload_bytes") < revisit_bytes)
     # shared payloads only: the grouped maximum is pre-aggregated, and a payload of one page needs no join partner
     shared = scratch.settle(large.groupBy("_sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
-    joined = digests.withColumn("_key", F.when(F.col("payload_bytes") >= revisit_bytes, F.col("_sha"))).join(shared.withColumnRenamed("_sha", "_key"), "_key", "left")
-    revisit = F.col("keeper").isNotNull() & (F.col("keeper") != F.col("page_id"))
-    return joined.select(
-        "page_id", "url", "html", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to")
-    )
+    revisit = F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id"))
+    columns = ["page_id", "url", "html", "payload_digest", "payload_bytes"]
+    joined = large.join(shared, "_sha", "left").select(*columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    return joined.unionByName(small.select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_archives(records: DataFrame, folder: str, file_bytes: int = 64 << 20) -> DataFrame:
@@ -211,7 +209,8 @@ _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("pay
 
 
 def _urn(value: str | None) -> int | None:
-    return int(value.strip("<>").rpartition(":")[2]) if value else None
+    number = value.strip("<>").rpartition(":")[2] if value else "none"
+    return None if number == "none" else int(number)
 
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -265,12 +264,12 @@ def records_of(raw: bytes) -> list[bytes]:
 
 ORACLE = """
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS h, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL
+  SELECT page_id, coalesce(html, '') AS h, encode(coalesce(html, '')) AS b FROM pages
 ), k AS (
   SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS keeper FROM p
 )
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+       CASE WHEN payload_bytes >= 1000 AND keeper IS DISTINCT FROM page_id AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND keeper IS DISTINCT FROM page_id AND keeper IS NOT NULL THEN keeper END AS refers_to
 FROM k
 """

@@ -255,6 +255,40 @@ def test_decoding_restores_obfuscated_words(spark, empty):
     restore = toxicity.Restorer(model)
     assert restore.words(b"i d i o t") == [b"idiot"] and restore.words(b"t.r.a.s.h") == [b"trash"] and restore.words(b"loser!!!") == [b"loser"]
     assert toxicity.trigram_counts(empty).sum() == 0
+    for text in ("so 1d10ts,y0u,l0s3r5/and-tr@sh", "pu55 ki11 a$$ st.up.id", "x" * 30 + "1d10t" + "y" * 30):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        found = [text[a:b] for a, b in zip(*toxicity.suspects(raw, np.array([0, len(raw)])), strict=True)]
+        assert found and all(any(w in x for x in found) for w in re.findall(r"1d10t|l0s3r|tr@sh|pu55|ki11|a\$\$|st\.up\.id", text))
+
+
+def test_decoding_is_the_best_path(spark):
+    """Viterbi against every path of the lattice."""
+    rng = random.Random(15)
+    model = toxicity.log_model(toxicity.trigram_counts(spark.createDataFrame([("the stupid idiot met a loser in the trash " * 3,)], "text string")))
+
+    def paths(token):
+        out, previous, run = [("", 0.0)], "", 0
+        for c in token:
+            run, previous = (run + 1 if c == previous else 1), c
+            if "a" <= c <= "z":
+                offers = [(c, toxicity._KEEP_REPEAT if run > 1 else 0.0)] + ([("", toxicity._DROP_REPEAT)] if run > 1 else [])
+            else:
+                offers = [(x, toxicity._SWAP) for x in toxicity.LOOKALIKES[c]] + [("", toxicity._DROP_FILLER)] + ([("", toxicity._DROP_REPEAT)] if run > 1 else [])
+            out = [(t + x, s + cost) for t, s in out for x, cost in offers]
+        return out
+
+    def score(text, cost):
+        a = b = 0
+        for c in text:
+            cost += model[a, b, ord(c) - 96]
+            a, b = b, ord(c) - 96
+        return cost + model[a, b, 0]
+
+    for _ in range(60):
+        token = "".join(rng.choice("aidot10$3!t") for _ in range(rng.randint(1, 7)))
+        best = max(score(t, s) for t, s in paths(token))
+        got = toxicity.decode(token, model)
+        assert max(score(t, s) for t, s in paths(token) if t == got) == pytest.approx(best)
 
 
 def test_toxicity_learns_and_handles_odd_rows(spark):
@@ -467,11 +501,11 @@ def brute_contamination(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("part_words", [1_000_000, 40])
-def test_decontamination_brute_force(spark, docs, texts, part_words):
+@pytest.mark.parametrize("part_windows", [100_000, 60])
+def test_decontamination_brute_force(spark, docs, texts, part_windows):
     items = [(1, " ".join(texts[0].split()[5:40])), (2, "two words"), (3, None), (4, "..."), (5, texts[3][:200]), (12, texts[0]), (12, texts[0]), (None, texts[1]), (7, "One")]
     benchmark = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, found int")
-    got = rows_of(decontaminate.contamination_report(docs, benchmark, part_words=part_words))
+    got = rows_of(decontaminate.contamination_report(docs, benchmark, part_windows=part_windows))
     assert len(got) == docs.count()
     for r in got:
         n, hit, found = brute_contamination(texts[r["doc_id"]] if r["doc_id"] is not None else "a null id", [i for i in items if i[0] is not None])
@@ -541,15 +575,15 @@ def test_archives_round_trip(spark):
     big = "<html>" + "x" * 1200
     rows = [(1, "http://a\r\nb", big), (2, None, big), (9, "http://c", big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "é" * 900 + "\r\n\r\nWARC/1.1\r\n\r\n"), (None, "u", big), (1, "again", big)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, keeper string")
-    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(pages, file_bytes=2000).collect())
+    got = list((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(pages, file_bytes=2000).collect())
     expected = []
     for i, _, h in rows:
         raw = (h or "").encode()
-        if i is not None:
-            keeper = max(j for j, _, g in rows if j is not None and (g or "") == (h or ""))
-            revisit = len(raw) >= 1000 and keeper != i
-            expected.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", keeper if revisit else None))
-    assert got == sorted(expected)
+        keeper = max(j for j, _, g in rows if j is not None and (g or "") == (h or ""))
+        revisit = len(raw) >= 1000 and keeper != i
+        expected.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", keeper if revisit else None))
+    got, expected = (sorted(x, key=lambda r: (r[0] is None, *map(str, r))) for x in (got, expected))
+    assert got == expected
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
@@ -608,6 +642,16 @@ def test_preferences_brute_force(spark):
     assert chat.preference_report(turns.limit(0)).count() == 0
 
 
+def test_preferences_of_odd_ids(spark):
+    """Negative ids meet no rival, and ids beyond doubles are halved exactly."""
+    big = 2**53
+    talks = {c: [("user", f"q{c % 7}"), ("assistant", f"a{c}")] for c in (-2, -1, 0, 1, big, big + 1, big + 2, big + 3)}
+    turns = spark.createDataFrame([(c, k, r, t) for c, x in talks.items() for k, (r, t) in enumerate(x)], "conv_id long, turn long, role string, text string")
+    got = [(r["rival"], r["pair_id"], r["chosen_id"], r["rejected_id"], r["n_prompt"]) for r in chat.preference_report(turns).collect()]
+    assert sorted(x[1:4] for x in got if not x[0]) == sorted((c >> 1, c, c + 1) for c in talks if c % 2 == 0)
+    assert sorted(x[1:] for x in got if x[0]) == sorted((c, c, c, 1) for c in talks)
+
+
 # ------------------------------------------------------------------ 10 quality
 
 
