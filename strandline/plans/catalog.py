@@ -40,6 +40,8 @@ def frame(s, sf, columns: dict, halo: int, of=None) -> DataFrame:
     return S.framed(of if of is not None else B.scores(s, sf), ["dataset"], "_at", columns, halo)
 
 
+#: The shared views, for queries that go on with a recursive one.
+RECURSIVE = SQL.replace("WITH ev AS", "WITH RECURSIVE ev AS", 1)
 W20 = "OVER (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 OV = "OVER (PARTITION BY dataset ORDER BY window_index)"
 
@@ -356,10 +358,17 @@ def nominal_stride(s, sf):
     return d.where("d > 0").groupBy("dataset").agg(M.med("d").alias("stride"))
 
 
-@query()
+@query(
+    ", p AS (SELECT dataset, window_index, 1 / (1 + exp(-greatest(-35, least(35, awr)))) AS p FROM sc), w AS ("
+    "SELECT dataset, CAST(-1 AS BIGINT) AS window_index, CAST(0 AS DOUBLE) AS v FROM (SELECT DISTINCT dataset FROM p) UNION ALL "
+    "SELECT p.dataset, p.window_index, w.v + CASE WHEN p.p > w.v THEN 0.15 ELSE 0.02 END * (p.p - w.v) FROM w JOIN p ON p.dataset = w.dataset AND p.window_index = w.window_index + 1) "
+    "SELECT dataset, window_index, round(v, 6) AS slow_risk FROM w WHERE window_index >= 0",
+    RECURSIVE,
+)
 def slow_risk(s, sf):
-    rows = B.scores(s, sf).groupBy("dataset").agg(F.transform(F.array_sort(F.collect_list(F.struct("window_index", "awr"))), lambda x: A.sigmoid(x["awr"])).alias("p"))
-    return rows.select("dataset", r6(R.slow_risk(F.col("p")), "slow_risk"), F.size("p").alias("n"))
+    rows = B.scores(s, sf).select("dataset", "window_index", A.sigmoid(F.col("awr")).alias("p"))
+    got = H.backfill(rows, ["dataset"], "window_index", X.SlowRisk, "dataset string, window_index long, slow_risk double", ["slow_risk"])
+    return got.select("dataset", "window_index", r6("slow_risk"))
 
 
 # ================================================================== aggregates and evaluation
@@ -542,9 +551,18 @@ def prefix_causality(s, sf):
 # ================================================================== top-k, peaks, fits
 
 
-@query()
+@query(
+    ", o AS (SELECT dataset, window_index, center_cycle, round(awr, 9) AS score FROM sc), r AS ("
+    "SELECT dataset, CAST(0 AS INTEGER) AS pick, CAST(NULL AS BIGINT) AS window_index, CAST(NULL AS DOUBLE) AS score, CAST([] AS DOUBLE[]) AS taken FROM (SELECT DISTINCT dataset FROM o) UNION ALL "
+    "SELECT dataset, pick + 1, b.window_index, b.score, list_append(taken, b.center_cycle) FROM ("
+    "SELECT r.dataset, r.pick, r.taken, max_by({'window_index': o.window_index, 'score': o.score, 'center_cycle': o.center_cycle}, {'s': o.score, 'w': -o.window_index}) AS b FROM r JOIN o ON o.dataset = r.dataset "
+    "WHERE r.pick < 20 AND len(list_filter(r.taken, lambda x: abs(x - o.center_cycle) < 500)) = 0 GROUP BY r.dataset, r.pick, r.taken)) "
+    "SELECT dataset, pick, window_index, round(score, 6) AS score FROM r WHERE pick > 0",
+    RECURSIVE,
+)
 def topk_spaced(s, sf):
-    return K.spaced_top(B.scores(s, sf), "awr", 20, 500.0).select("dataset", "pick", "window_index", r6("score"))
+    rows = B.scores(s, sf).withColumn("score", F.round("awr", 9))
+    return K.spaced_top(rows, "score", 20, 500.0).select("dataset", "pick", "window_index", r6("score"))
 
 
 @query(f", l AS (SELECT dataset, window_index, awr, lag(awr) {OV} AS a, lead(awr) {OV} AS b FROM sc) SELECT dataset, window_index, round(awr, 6) AS height FROM l WHERE awr > a AND awr > b AND awr >= 0.5")
@@ -588,9 +606,18 @@ def machine_rows(s, sf) -> DataFrame:
     return sc.withColumn("guard", S.guard_overlap(F.col("start_cycle"), F.col("end_cycle")))
 
 
-@query()
+@query(
+    ", g AS (SELECT dataset, window_index, round(awr, 9) > 0 AS c, start_cycle <= floor(end_cycle / 500) * 500 + 100 AS guard FROM sc), r AS ("
+    "SELECT dataset, CAST(-1 AS BIGINT) AS window_index, CAST(0 AS DOUBLE) AS success, CAST(0 AS DOUBLE) AS failure, 'searching' AS phase FROM (SELECT DISTINCT dataset FROM g) UNION ALL "
+    "SELECT dataset, window_index, CASE WHEN still THEN success WHEN c THEN success + 5 WHEN failure + 5 >= 150 THEN 0 ELSE success END, "
+    "CASE WHEN still THEN failure WHEN c THEN 0 WHEN failure + 5 >= 150 THEN 0 ELSE failure + 5 END, "
+    "CASE WHEN still THEN phase WHEN c AND success + 5 >= 500 THEN 'confirmed' WHEN c AND success + 5 >= 300 THEN 'candidate' WHEN NOT c AND failure + 5 >= 150 THEN 'searching' ELSE phase END "
+    "FROM (SELECT g.dataset, g.window_index, g.c, r.success, r.failure, r.phase, g.guard OR r.phase = 'confirmed' AS still FROM r JOIN g ON g.dataset = r.dataset AND g.window_index = r.window_index + 1)) "
+    "SELECT * FROM r WHERE window_index >= 0",
+    RECURSIVE,
+)
 def evidence_accumulator(s, sf):
-    rows = machine_rows(s, sf).withColumn("condition", F.col("awr") > 0).select("dataset", "window_index", "condition", "guard")
+    rows = machine_rows(s, sf).withColumn("condition", F.round("awr", 9) > 0).select("dataset", "window_index", "condition", "guard")
     return H.backfill(rows, ["dataset"], "window_index", X.Evidence, "dataset string, window_index long, success double, failure double, phase string", ["success", "failure", "phase"])
 
 
@@ -601,9 +628,24 @@ def plateau_state(s, sf):
     return H.backfill(rows, ["dataset"], "window_index", make, "dataset string, window_index long, plateau string, exit string, instability double, locked_at double, exit_at double", ["plateau", "exit", "instability", "locked_at", "exit_at"])
 
 
-@query()
+@query(
+    THRESHOLDS + ", q AS (SELECT sc.dataset, window_index, end_cycle <= 500 AS calm, start_cycle <= floor(end_cycle / 500) * 500 + 100 AS guard, "
+    "CASE WHEN round(awr, 9) > round(2 * abs(ta), 9) THEN 4 WHEN round(awr, 9) >= round(ta, 9) AND round(bd, 9) >= round(tb, 9) THEN 2 ELSE 0 END AS flag FROM sc JOIN th USING (dataset)), r AS ("
+    "SELECT dataset, CAST(-1 AS BIGINT) AS window_index, 'CALIBRATION' AS mode, CAST(-1 AS BIGINT) AS freeze_until, 0 AS prio, CAST(0 AS BIGINT) AS safe_run, '' AS event FROM (SELECT DISTINCT dataset FROM q) UNION ALL "
+    "SELECT dataset, window_index, CASE WHEN calm THEN 'CALIBRATION' WHEN guard THEN 'RESTART_GUARD' WHEN window_index <= until2 THEN mode2 WHEN run2 >= 10 THEN 'ACTIVE_UPDATE' ELSE 'ACTIVE_MONITOR' END, until2, "
+    "CASE WHEN freed THEN 0 ELSE prio2 END, run2, CASE WHEN freed THEN 'EXIT_FREEZE' ELSE event2 END FROM ("
+    "SELECT *, NOT calm AND NOT guard AND window_index > until2 AND starts_with(mode2, 'FROZEN') AS freed, CASE WHEN calm OR guard OR window_index <= until2 THEN 0 ELSE safe_run + 1 END AS run2 FROM ("
+    "SELECT *, CASE WHEN NOT takes THEN freeze_until WHEN active THEN greatest(freeze_until, window_index + 100) ELSE window_index + 100 END AS until2, CASE WHEN takes AND (stronger OR NOT active) THEN want ELSE prio END AS prio2, "
+    "CASE WHEN takes AND (stronger OR NOT active) THEN CASE WHEN want = 4 THEN 'FROZEN_RISK' ELSE 'FROZEN_EVENT' END ELSE mode END AS mode2, CASE WHEN NOT takes THEN '' WHEN active THEN 'EXTEND_FREEZE' ELSE 'ENTER_STATE' END AS event2 FROM ("
+    "SELECT *, want > 0 AND (NOT active OR stronger OR window_index + 100 >= freeze_until + 20) AS takes FROM ("
+    "SELECT q.dataset, q.window_index, q.calm, q.guard, CASE WHEN calm OR guard THEN 0 ELSE flag END AS want, r.mode, r.freeze_until, r.prio, r.safe_run, q.window_index <= r.freeze_until AS active, CASE WHEN calm OR guard THEN 0 ELSE flag END > r.prio AS stronger "
+    "FROM r JOIN q ON q.dataset = r.dataset AND q.window_index = r.window_index + 1))))) "
+    "SELECT dataset, window_index, mode, freeze_until, CASE prio WHEN 4 THEN 'HIGH_RISK' WHEN 2 THEN 'HIGH_PAIR' ELSE '' END AS reason, safe_run, event FROM r WHERE window_index >= 0",
+    RECURSIVE,
+)
 def freeze_machine(s, sf):
-    rows = machine_rows(s, sf).select("dataset", "window_index", "end_cycle", "guard", ((F.col("awr") >= F.col("ta")) & (F.col("bd") >= F.col("tb"))).alias("high_pair"), (F.col("awr") > 2 * F.abs("ta")).alias("high_risk"))
+    at = lambda c: F.round(c, 9)
+    rows = machine_rows(s, sf).select("dataset", "window_index", "end_cycle", "guard", ((at("awr") >= at("ta")) & (at("bd") >= at("tb"))).alias("high_pair"), (at("awr") > at(2 * F.abs("ta"))).alias("high_risk"))
     return H.backfill(rows, ["dataset"], "window_index", X.FreezeMachine, "dataset string, window_index long, mode string, freeze_until long, reason string, safe_run long, event string", ["mode", "freeze_until", "reason", "safe_run", "event"])
 
 
@@ -620,18 +662,69 @@ def nuisance_adapter(s, sf):
     return H.backfill(rows, ["dataset"], "window_index", make, "dataset string, window_index long, score double, beta_norm double, reason string", ["score", "beta_norm", "reason"])
 
 
+HORIZONS = (50, 100, 200)
+
+
+def frozen_heads(s, sf) -> DataFrame:
+    """dataset, horizon and the ridge weights of the change over the horizon, fitted on the first 40 % of each stream."""
+    h = frame(s, sf, {"h": R.history(["awr"])}, 19).where("h is not null").select("dataset", "window_index", "awr", *[F.get("h", i).alias(f"h{i}") for i in (1, 2, 3)])
+    n = h.groupBy("dataset").agg(F.count("*").alias("_n"))
+    x = h.join(n, "dataset").where(F.col("window_index") < 0.4 * F.col("_n")).withColumn("horizon", F.explode(F.array(*[F.lit(float(k)) for k in HORIZONS])))
+    x = x.withColumn("due", (F.col("window_index") + F.col("horizon") / 5).cast("long")).withColumn("one", F.lit(1.0))
+    rows = x.join(h.select("dataset", F.col("window_index").alias("due"), F.col("awr").alias("later")), ["dataset", "due"]).withColumn("y", F.col("later") - F.col("awr"))
+    fit = L.ridge(rows, ["dataset", "horizon"], ["one", "h1", "h2", "h3"], "y")
+    by_term = F.map_from_entries(F.collect_list(F.struct("term", "coefficient")))
+    return fit.groupBy("dataset", "horizon").agg(by_term.alias("_w")).select("dataset", "horizon", F.array(*[F.element_at("_w", t) for t in ("one", "h1", "h2", "h3")]).alias("frozen"))
+
+
 @query()
 def safe_ensemble(s, sf):
-    """Delayed-feedback forecasts; streams times horizons run in parallel."""
-    rows = machine_rows(s, sf).select("dataset", "window_index", "center_cycle", "guard", F.col("awr").alias("value"))
-    return H.backfill(rows, ["dataset"], "window_index", X.Forecaster, "dataset string, window_index long, zero double, linear double, kalman double, online double, safe double, alpha double, mode string, settled int", ["zero", "linear", "kalman", "online", "safe", "alpha", "mode", "settled"])
+    """Delayed-feedback forecasts of a frozen ridge head and online ones; streams times horizons run in parallel."""
+    rows = machine_rows(s, sf).select("dataset", "window_index", "center_cycle", "guard", F.col("awr").alias("value"), F.explode(F.array(*[F.lit(float(k)) for k in HORIZONS])).alias("horizon"))
+    rows = rows.join(frozen_heads(s, sf), ["dataset", "horizon"], "left")
+    columns = ["zero", "linear", "kalman", "frozen", "online", "safe", "alpha", "mode", "settled"]
+    return H.backfill(rows, ["dataset", "horizon"], "window_index", X.Forecaster, "dataset string, horizon double, window_index long, zero double, linear double, kalman double, frozen double, online double, safe double, alpha double, mode string, settled int", columns)
 
 
-@query()
+@query(
+    ", h AS (SELECT dataset, window_index, awr, avg(awr) OVER w AS m, stddev_pop(awr) OVER w AS d, awr - first_value(awr) OVER w AS e, count(*) OVER w AS c, count(*) OVER (PARTITION BY dataset) - 19 AS n FROM sc WINDOW w AS (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), "
+    "t AS (SELECT a.dataset, k.k AS horizon, b.awr - a.awr AS y, a.m, a.d, a.e FROM h a, (SELECT unnest([50, 100, 200]) AS k) k JOIN h b ON b.dataset = a.dataset AND b.window_index = a.window_index + k.k / 5 WHERE a.c = 20 AND b.c = 20 AND a.window_index < 0.4 * a.n) "
+    "SELECT dataset, horizon::DOUBLE AS horizon, count(*) AS n, round(sum(m * y), 4) AS my, round(sum(d * y), 4) AS dy, round(sum(e * y), 4) AS ey FROM t GROUP BY ALL"
+)
+def frozen_head_sums(s, sf):
+    """The right sides of the frozen heads' normal equations; the heads themselves are solved from them."""
+    h = frame(s, sf, {"h": R.history(["awr"])}, 19).where("h is not null").select("dataset", "window_index", "awr", *[F.get("h", i).alias(f"h{i}") for i in (1, 2, 3)])
+    n = h.groupBy("dataset").agg(F.count("*").alias("_n"))
+    x = h.join(n, "dataset").where(F.col("window_index") < 0.4 * F.col("_n")).withColumn("horizon", F.explode(F.array(*[F.lit(float(k)) for k in HORIZONS])))
+    x = x.withColumn("due", (F.col("window_index") + F.col("horizon") / 5).cast("long"))
+    rows = x.join(h.select("dataset", F.col("window_index").alias("due"), F.col("awr").alias("later")), ["dataset", "due"]).withColumn("y", F.col("later") - F.col("awr"))
+    g = L.gram(rows, ["dataset", "horizon"], ["h1", "h2", "h3"], "y")
+    return g.select("dataset", "horizon", "n", F.round("h1__y", 4).alias("my"), F.round("h2__y", 4).alias("dy"), F.round("h3__y", 4).alias("ey"))
+
+
+def _hmm_sql() -> str:
+    """One step of the filter, with the tri-diagonal transition written out."""
+    stay, forward, back = 0.97, 0.025, 0.005
+    rows = [{j: v for j, v in ((i - 1, back), (i, stay), (i + 1, forward)) if 0 <= j < 5} for i in range(5)]
+    into = [" + ".join(f"r.q{i} * {v / sum(row.values())!r}" for i, row in enumerate(rows) for j, v in row.items() if j == k) for k in range(5)]
+    seen = [f"exp(-0.5 * power(greatest(-3, least(3, awr)) - ({k} - 2), 2)) AS o{k}" for k in range(5)]
+    steps = ", ".join(f"o{k} * ({into[k]}) AS n{k}" for k in range(5))
+    total, qs = " + ".join(f"n{k}" for k in range(5)), ", ".join(f"n{k} / t AS q{k}" for k in range(5))
+    first = ", ".join(f"CAST({int(k == 0)} AS DOUBLE) AS q{k}" for k in range(5))
+    return (
+        f", ob AS (SELECT dataset, window_index, {', '.join(seen)} FROM sc), r AS (SELECT dataset, CAST(-1 AS BIGINT) AS window_index, {first} FROM (SELECT DISTINCT dataset FROM ob) UNION ALL "
+        f"SELECT dataset, window_index, {qs} FROM (SELECT *, {total} AS t FROM (SELECT ob.dataset, ob.window_index, {steps} FROM r JOIN ob ON ob.dataset = r.dataset AND ob.window_index = r.window_index + 1))), "
+        "l AS (SELECT dataset, window_index, [q0, q1, q2, q3, q4] AS q FROM r WHERE window_index >= 0) "
+        "SELECT dataset, window_index, CAST(list_position(q, list_max(q)) AS INTEGER) AS stage, round(list_max(q), 5) AS top, round(list_max(q) - list_reverse_sort(q)[2], 5) AS margin FROM l"
+    )
+
+
+@query(_hmm_sql(), RECURSIVE)
 def hmm_filter(s, sf):
     centre = lambda k: F.exp(-0.5 * F.pow(A.clip(F.col("awr"), -3.0, 3.0) - (k - 2), 2))
     rows = B.scores(s, sf).select("dataset", "window_index", F.array(*[centre(k) for k in range(5)]).alias("observation"))
-    return H.backfill(rows, ["dataset"], "window_index", X.ForwardFilter, "dataset string, window_index long, posterior array<double>, stage int, margin double", ["posterior", "stage", "margin"])
+    got = H.backfill(rows, ["dataset"], "window_index", X.ForwardFilter, "dataset string, window_index long, posterior array<double>, stage int, margin double", ["posterior", "stage", "margin"])
+    return got.select("dataset", "window_index", "stage", F.round(F.array_max("posterior"), 5).alias("top"), F.round("margin", 5).alias("margin"))
 
 
 @query()

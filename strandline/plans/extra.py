@@ -12,7 +12,7 @@ from strandline.operators import rolling as R
 from strandline.operators import streams as S
 from strandline.plans import base as B
 from strandline.plans.base import r6
-from strandline.plans.catalog import LATE, OV, REGION, ROC, frame, late, query, regions
+from strandline.plans.catalog import LATE, OV, RECURSIVE, REGION, ROC, frame, late, query, regions
 
 Z = [f"z_{f}" for f in B.FEATURES]
 
@@ -148,9 +148,16 @@ def risk_head(s, sf):
     return s.createDataFrame([("intercept", float(b0)), *sorted(beta.items())], "feature_name string, coefficient double")
 
 
-@query()
+@query(
+    ", e AS (SELECT dataset, window_index, greatest(0, least(1, 1 - bd / 10)) AS e FROM sc), r AS ("
+    "SELECT dataset, CAST(-1 AS BIGINT) AS window_index, CAST(1 AS DOUBLE) AS v FROM (SELECT DISTINCT dataset FROM e) UNION ALL "
+    "SELECT e.dataset, e.window_index, CASE WHEN e.e < v THEN greatest(0.5, e.e, v - 0.02) ELSE least(1, e.e, v + 0.01) END FROM r JOIN e ON e.dataset = r.dataset AND e.window_index = r.window_index + 1) "
+    "SELECT dataset, window_index, round(v, 6) AS reliability FROM r WHERE window_index >= 0",
+    RECURSIVE,
+)
 def reliability(s, sf):
     from strandline.streaming import hosts, machines
 
     rows = B.scores(s, sf).select("dataset", "window_index", A.clip(1 - F.col("bd") / 10, 0.0, 1.0).alias("evidence"))
-    return hosts.backfill(rows, ["dataset"], "window_index", machines.Reliability, "dataset string, window_index long, reliability double", ["reliability"])
+    got = hosts.backfill(rows, ["dataset"], "window_index", machines.Reliability, "dataset string, window_index long, reliability double", ["reliability"])
+    return got.select("dataset", "window_index", r6("reliability"))

@@ -1,8 +1,10 @@
-"""Two hosts for a state machine: a grouped backfill and a Structured Streaming operator.
+"""Two hosts for a state machine: an ordered backfill and a Structured Streaming operator.
 
 Streams are independent, so both hosts key by stream (and model, output or horizon, where a machine has several). The
-backfill holds a whole stream as one group and steps through it in order; the streaming host keeps the machine's state as one JSON
-value in the state store, so a restart continues from its checkpoint.
+backfill sorts each task's rows by stream and order and steps through them batch by batch, with the machine's state carried
+over: a task holds one Arrow batch and one machine, however long its streams are. A single stream is still replayed by
+one task, since each step needs the one before. The streaming host keeps the machine's state as one JSON value in the
+state store, so a restart continues from its checkpoint.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from strandline.streaming.machines import Machine
 
@@ -33,15 +38,22 @@ def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
 
 def backfill(df: DataFrame, keys: list[str], order: str, make: Callable[[], Machine], schema: str, columns: list[str]) -> DataFrame:
     """Replay ordered streams; the result has the keys, ``order`` and the machine's outputs in ``columns``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        machine = make()
-        out = [machine.step(r) for r in _rows(pdf)]
-        made = pd.DataFrame({c: [o[c] for o in out] for c in columns}, dtype=object)
-        return pd.concat([pdf[[*keys, order]], made], axis=1)
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, machine = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                at = tuple(r[k] for k in keys)
+                if machine is None or at != stream:
+                    stream, machine = at, make()
+                row = {k: _plain(v) for k, v in r.items()}
+                made = machine.step(row)
+                out.append({**{k: r[k] for k in (*keys, order)}, **{c: _plain(made[c]) for c in columns}})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 class MachineProcessor(StatefulProcessor):

@@ -61,42 +61,57 @@ PRIORITY = {"SUSTAINED_RS": 1, "HIGH_PAIR": 2, "TES": 3, "HIGH_RISK": 4}
 
 
 class FreezeMachine(Machine):
-    """Adapter states: calibration, restart guard, frozen, safe run, active update; freezes extend by priority."""
+    """Adapter states: calibration, restart guard, frozen by risk or by an event, monitoring, active update.
+
+    A freeze lasts through its last window. While it lasts, a reason of higher priority takes it over, and any reason
+    that would end at least ``extend`` windows later prolongs it under the reason that it has.
+    """
 
     def __init__(self, freeze: int = 100, safe: int = 10, calibration: float = 500.0, extend: int = 20):
         self.freeze, self.safe, self.calibration, self.extend = freeze, safe, calibration, extend
         self.mode, self.until, self.reason, self.run = "CALIBRATION", -1, "", 0
 
-    def request(self, index: int, reason: str) -> bool:
-        end = index + self.freeze
-        active = index < self.until
-        if active and PRIORITY[reason] <= PRIORITY.get(self.reason, 0) and end < self.until + self.extend:
-            return False
-        self.until, self.reason = max(end, self.until), reason
-        return True
+    def request(self, index: int, reason: str) -> str:
+        """The event that the request leads to, or none."""
+        end, active = index + self.freeze, index <= self.until
+        stronger = PRIORITY[reason] > PRIORITY.get(self.reason, 0)
+        if active and not stronger and end < self.until + self.extend:
+            return ""
+        self.until = max(end, self.until) if active else end
+        if stronger or not active:
+            self.reason, self.mode = reason, "FROZEN_RISK" if reason == "HIGH_RISK" else "FROZEN_EVENT"
+        return "EXTEND_FREEZE" if active else "ENTER_STATE"
 
     def step(self, row: dict) -> dict:
-        index, calm = row["window_index"], row["end_cycle"] <= self.calibration
-        event = ""
-        if not calm and not row.get("guard"):
+        index, calm, guard, event = row["window_index"], row["end_cycle"] <= self.calibration, bool(row.get("guard")), ""
+        if not calm and not guard:
             for reason, flag in (("HIGH_RISK", "high_risk"), ("TES", "tes"), ("HIGH_PAIR", "high_pair"), ("SUSTAINED_RS", "sustained_rs")):
                 if row.get(flag):
-                    event = f"FREEZE:{reason}" if self.request(index, reason) else ""
+                    event = self.request(index, reason)
                     break
-        if calm:
-            self.mode = "CALIBRATION"
-        elif row.get("guard"):
-            self.mode, self.run = "RESTART_GUARD", 0
-        elif index < self.until:
-            self.mode, self.run = "FROZEN", 0
+        if calm or guard:
+            self.mode, self.run = "CALIBRATION" if calm else "RESTART_GUARD", 0
+        elif index <= self.until:
+            self.run = 0
         else:
-            if self.mode == "FROZEN":
+            if self.mode.startswith("FROZEN"):
                 event, self.reason = "EXIT_FREEZE", ""
             self.run = self.run + 1 if row.get("safe", True) else 0
-            self.mode = "ACTIVE_UPDATE" if self.run >= self.safe else "SAFE_RUN"
+            self.mode = "ACTIVE_UPDATE" if self.run >= self.safe else "ACTIVE_MONITOR"
         return {"mode": self.mode, "freeze_until": self.until, "reason": self.reason, "safe_run": self.run, "event": event}
 
 
+class SlowRisk(Machine):
+    """Asymmetric moving average of a probability: up fast, down slowly."""
+
+    def __init__(self, up: float = 0.15, down: float = 0.02):
+        self.up, self.down, self.value = up, down, 0.0
+
+    def step(self, row: dict) -> dict:
+        self.value += (self.up if row["p"] > self.value else self.down) * (row["p"] - self.value)
+        return {"slow_risk": self.value}
+
+
 class Reliability(Machine):
     """Falls at once with noise and saturation, recovers slowly, never below a floor."""
 
@@ -221,6 +236,10 @@ class Kalman(Machine):
 class Forecaster(Machine):
     """Delayed-feedback forecasts: zero change, local linear, Kalman, recursive, and a safe mixture of frozen and online.
 
+    The frozen head is a linear one whose weights come with the rows (``frozen``: intercept, mean, deviation, difference of
+    the last ``history`` values), fitted on a source part of the stream; without it no change is forecast. Rows may name
+    their ``horizon``, so that one stream is replayed for several of them, each with a head of its own.
+
     A forecast settles when the first row at or after its due cycle arrives; until then no model sees it. A worse online
     head is frozen and its weight is reset; a better one gains weight in small steps.
     """
@@ -241,7 +260,7 @@ class Forecaster(Machine):
         return [1.0, float(x.mean()), float(x.std()), float(x[-1] - x[0])]
 
     def step(self, row: dict) -> dict:
-        at, y, guard = row["center_cycle"], row["value"], bool(row.get("guard"))
+        at, y, guard, horizon = row["center_cycle"], row["value"], bool(row.get("guard")), row.get("horizon") or self.horizon
         if self.mode == "FROZEN" and at >= self.thaw:
             self.mode = "PROBATION"
         settled = 0
@@ -265,13 +284,14 @@ class Forecaster(Machine):
         if not guard:
             self.kalman.update(at, y)
         x = self._features()
-        out = {"zero": None, "linear": None, "kalman": None, "online": None, "safe": None, "alpha": self.alpha, "mode": self.mode, "settled": settled}
+        out = {"zero": None, "linear": None, "kalman": None, "frozen": None, "online": None, "safe": None, "alpha": self.alpha, "mode": self.mode, "settled": settled}
         if x is not None:
             rates = np.diff(self.past) / np.maximum(np.diff(self.cycles), 1e-9)
-            linear, online = self.horizon * middle(rates), self.online.predict(x)
-            safe = (1 - self.alpha) * 0.0 + self.alpha * online
-            out |= {"zero": y, "linear": y + linear, "kalman": self.kalman.predict(self.horizon), "online": y + online, "safe": y + safe}
-            self.waiting.append({"due": at + self.horizon, "value": y, "x": x, "frozen": 0.0, "online": online, "guard": guard})
+            linear, online = horizon * middle(rates), self.online.predict(x)
+            frozen = float(np.dot(row["frozen"], x)) if row.get("frozen") else 0.0
+            safe = (1 - self.alpha) * frozen + self.alpha * online
+            out |= {"zero": y, "linear": y + linear, "kalman": self.kalman.predict(horizon), "frozen": y + frozen, "online": y + online, "safe": y + safe}
+            self.waiting.append({"due": at + horizon, "value": y, "x": x, "frozen": frozen, "online": online, "guard": guard})
         return out
 
 

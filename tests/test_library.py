@@ -173,13 +173,47 @@ def test_evidence_pauses_in_guards_and_forgives_short_failures():
 
 
 def test_freeze_machine_priorities():
-    m = X.FreezeMachine(freeze=20, safe=3)
+    m = X.FreezeMachine(freeze=20, safe=3, extend=5)
     assert m.step({"window_index": 0, "end_cycle": 20})["mode"] == "CALIBRATION"
-    assert m.step({"window_index": 200, "end_cycle": 1020, "tes": True})["mode"] == "FROZEN"
+    first = m.step({"window_index": 200, "end_cycle": 1020, "tes": True})
+    assert (first["mode"], first["event"], first["freeze_until"]) == ("FROZEN_EVENT", "ENTER_STATE", 220)
     assert m.step({"window_index": 201, "end_cycle": 1025, "sustained_rs": True})["event"] == "" and m.reason == "TES"
-    assert m.step({"window_index": 202, "end_cycle": 1030, "high_risk": True})["reason"] == "HIGH_RISK"
-    modes = [m.step({"window_index": i, "end_cycle": 5.0 * i})["mode"] for i in range(222, 226)]
-    assert modes == ["SAFE_RUN", "SAFE_RUN", "ACTIVE_UPDATE", "ACTIVE_UPDATE"]
+    longer = m.step({"window_index": 206, "end_cycle": 1050, "sustained_rs": True})  # extends enough: the reason stays
+    assert (longer["event"], longer["reason"], longer["freeze_until"]) == ("EXTEND_FREEZE", "TES", 226)
+    risk = m.step({"window_index": 207, "end_cycle": 1055, "high_risk": True})
+    assert (risk["event"], risk["reason"], risk["mode"], risk["freeze_until"]) == ("EXTEND_FREEZE", "HIGH_RISK", "FROZEN_RISK", 227)
+    out = [m.step({"window_index": i, "end_cycle": 5.0 * i}) for i in range(227, 232)]
+    assert [o["mode"] for o in out] == ["FROZEN_RISK", "ACTIVE_MONITOR", "ACTIVE_MONITOR", "ACTIVE_UPDATE", "ACTIVE_UPDATE"]  # its last window is frozen, too
+    assert [o["event"] for o in out] == ["", "EXIT_FREEZE", "", "", ""]
+
+
+def test_freeze_machine_enters_once_under_a_lasting_reason():
+    m = X.FreezeMachine()
+    events = [m.step({"window_index": i, "end_cycle": 1000.0 + i, "high_risk": True})["event"] for i in range(100)]
+    assert events.count("ENTER_STATE") == 1
+
+
+def test_backfill_carries_state_over_batches(spark):
+    rng = np.random.default_rng(9)
+    rows = [(d, i, bool(rng.random() < 0.7), bool(rng.random() < 0.1)) for d in ("a", "b", None) for i in range(400)]
+    frame = spark.createDataFrame(rows, "dataset string, window_index long, condition boolean, guard boolean").orderBy(F.rand(3))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = H.backfill(frame, ["dataset"], "window_index", X.Evidence, "dataset string, window_index long, success double, failure double, phase string", ["success", "failure", "phase"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for d in ("a", "b", None):
+        m = X.Evidence()
+        want |= {(d, i): m.step({"condition": c, "guard": g}) for e, i, c, g in rows if e == d}
+    assert {(r["dataset"], r["window_index"]): (r["success"], r["failure"], r["phase"]) for r in got} == {k: (v["success"], v["failure"], v["phase"]) for k, v in want.items()}
+
+
+def test_frozen_head_of_the_forecaster():
+    m = X.Forecaster(horizon=50.0)
+    out = [m.step({"center_cycle": 5.0 * i, "value": float(i), "horizon": 100.0, "frozen": [0.0, 0.0, 0.0, 20 / 19]}) for i in range(60)]
+    assert out[-1]["frozen"] == pytest.approx(59 + 20) and out[-1]["safe"] == pytest.approx(79) and out[-1]["alpha"] == 0.0
 
 
 def test_snapshots_replay_to_the_same_result():
