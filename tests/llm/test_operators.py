@@ -110,7 +110,7 @@ def vectors(spark, many=0):
 @pytest.mark.parametrize("many, block", [(0, 1024), (150, 64)])
 def test_embeddings_brute_force(spark, many, block):
     rows, frame = vectors(spark, many)
-    got = {r["vec_id"]: r for r in rows_of(projections.near_duplicates(frame, neighbours=16, block=block))}
+    got = {r["vec_id"]: r for r in rows_of(projections.near_duplicates(frame, neighbours=16, passes=24, block=block))}
     good = [(i, np.array(v, float), c) for i, v, c in rows if i is not None and c is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     links = []
     for x, (i, v, c) in enumerate(good):
@@ -143,8 +143,29 @@ def test_embeddings_passes_grow_with_the_label(spark, cone):
 
 
 def test_embeddings_passes_for_large_labels():
-    depth = lambda n: np.log2(n / 64)
-    assert [projections.passes_needed(depth(n), 0.93, 1e-5) for n in (64, 6e3, 1e6, 1e7)] == [1, 21, 63, 99]
+    depth = lambda n: np.log2(n / 256)
+    assert [projections.passes_needed(depth(n), 0.93, 1e-5) for n in (256, 6e3, 1e6, 1e7)] == [1, 15, 47, 75]
+
+
+def test_embeddings_across_partitions_and_rounding(spark):
+    """Windows reach over partition bounds, and pairs close to the threshold are settled on full vectors."""
+    rng = np.random.default_rng(18)
+    base = rng.standard_normal((60, 20))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal(base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = 0.93 + np.linspace(-4e-3, 4e-3, 60)
+    near = base * cos[:, None] + side * np.sqrt(1 - cos**2)[:, None]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(base)] + [(1000 + i, v.tolist(), 0) for i, v in enumerate(near)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in projections.near_duplicates(frame, passes=30, neighbours=16, partition_rows=150).collect()}
+    v = np.array([r[1] for r in rows])
+    ids = [r[0] for r in rows]
+    hit = v @ v.T >= 0.93
+    assert got == classes(ids, [(ids[x], ids[y]) for x in range(120) for y in range(x + 1, 120) if hit[x, y]])
+    q, step, off = projections.rounded(v)
+    assert (np.linalg.norm(v - q * step[:, None].astype(float), axis=1) <= off).all()
 
 
 # ------------------------------------------------------------------ 2 minhash
