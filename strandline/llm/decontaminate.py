@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strandline.llm.common import LETTER_WORDS, LOWER, U64, Scratch, roll, word_slices
+from strandline.llm.common import LETTER_WORDS, LOWER, U64, Scratch, free_name, roll, word_slices
 
 WINDOW = 10
 SHINGLE = 3
@@ -259,7 +259,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WI
     """The rows of ``docs`` without any hit, with the columns that they came with."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     windows, _ = benchmark_windows(benchmark, window, scratch)
-    return find_contamination(docs, windows, scratch, part_windows=part_windows, column="_found").where(F.size("_found.spans") == 0).drop("_found")
+    found = free_name(docs, "_found")
+    return find_contamination(docs, windows, scratch, part_windows=part_windows, column=found).where(F.size(F.col(found)["spans"]) == 0).drop(found)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_windows: int = 100_000) -> DataFrame:

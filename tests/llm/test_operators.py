@@ -744,3 +744,80 @@ def test_pipeline_brute_force(spark, tmp_path, labelled):
     want = {i for i in docs if root[i] == i and i not in held}
     got = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
     assert {r["doc_id"] for r in got} == want
+
+
+@pytest.fixture(scope="module")
+def stage_dir(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stages"))
+    return path, *corpus(spark, path, True)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(spark, stage_dir, name, stage):
+    """Nulls in any column, empty and very long texts, repeats, columns with clashing names, and an empty table."""
+    path, rows, items = stage_dir
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _score double, _found string, key long, component_id string, spans string"
+    good = rows[7][1]
+    odd = [(1, good), (1, good), (2, rows[2][1]), (3, None), (4, ""), (None, good + " one"), (None, None), (5, " ".join(words(random.Random(77), 20_000))), (6, items[0]), (7, "mail jo@x.org now " + rows[5][1]), (7, "mail jo@x.org now " + rows[5][1])]
+    docs = spark.createDataFrame([(i, t, None, "s", None, 1.0, "f", 2, None, "z") for i, t in odd], schema)
+    got = stage(spark, docs, path).collect()
+    assert stage(spark, docs.limit(0), path).count() == 0
+    if name == "pack":
+        ids = [r["doc_id"] for r in got]
+        assert set(ids) == {i for i, _ in odd} and ids.count(1) == 2 and ids.count(None) == 2
+        return
+    assert got and set(got[0].asDict()) == set(docs.columns) and all(r["_score"] == 1.0 and r["_found"] == "f" and r["key"] == 2 and r["spans"] == "z" for r in got)
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    if name == "quality":
+        assert all(k in odd for k in kept) and kept.count((1, good)) == 2
+    elif name == "near_dedup":
+        assert sorted(map(str, kept)) == sorted(map(str, odd))  # repeated rows are one document, which stays
+    elif name == "decontaminate":
+        assert (6, items[0]) not in kept and len(kept) == len(odd) - 1
+    else:
+        assert len(kept) == len(odd) and sum("jo@x.org" in (t or "") for _, t in kept) == 0 and (3, None) in kept and (4, "") in kept
+
+
+def test_quality_score_is_the_difference_of_compressed_sizes():
+    import zstandard as zstd
+
+    rng = random.Random(51)
+    sample = [(" ".join(words(rng, 50)), 1) for _ in range(30)] + [(" ".join(w.upper() + "$$" for w in words(rng, 50)), 0) for _ in range(30)]
+    model = quality.fit_quality_rows(sample, share=0.5)
+    texts_ = [sample[0][0], sample[-1][0], "", None, "é" * 700, " ".join(words(rng, 3000)), sample[0][0]]
+    got = quality.quality_scores(pa.array(texts_), model)
+    for t, score in zip(texts_, got, strict=True):
+        raw, sizes = (t or "").encode(), []
+        for d in (model.bad, model.good):
+            z = zstd.ZstdCompressor(level=model.level, dict_data=zstd.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(z.compress(raw[i : i + model.piece_bytes])) for i in range(0, len(raw), model.piece_bytes)))
+        x = (sizes[0] - sizes[1]) / len(raw) if raw else 0.0
+        assert score == pytest.approx(1 / (1 + np.exp(-(model.weights[0] * x + model.weights[1]))))
+    assert got[0] == got[-1] and got[0] > got[1]
+
+
+def test_scores_of_empty_tables(spark, empty):
+    marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.quality_report(empty, marks).count() == 0 and toxicity.toxicity_report(empty, marks).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://somewhere:7077"})()
+
+    with pytest.raises(ValueError):
+        common.shared_root(Cluster())
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    scratch = common.Scratch(spark, "gone")
+    a, b = scratch.settle(spark.range(3), "a"), scratch.settle(spark.range(4), "b")
+    scratch.keep(b)
+    at = scratch.base.removeprefix("file://")
+    assert len(os.listdir(at)) == 1 and b.count() == 4 and a is not b
