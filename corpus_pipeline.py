@@ -2,7 +2,13 @@
 
 quality classifier -> MinHash near-dedup -> benchmark decontamination -> personal data -> best-fit packing
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents, and
+any further columns as they came, whatever their names.
+
+Defined results: a null text counts as an empty one and stays null; an empty text is scored by the classifier's curve, has
+no near duplicates, benchmark windows or personal data, and is packed as the end token alone. A row without id is a document
+of its own. Rows that repeat an id are one document to near-dedup, all of whose rows stay or go, and are otherwise judged
+and packed each. Nulls in other columns change nothing. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, table
+from strandline.llm.common import Scratch, free_name, table
 from strandline.llm.decontaminate import drop_contaminated
 from strandline.llm.minhash import drop_near_duplicates
 from strandline.llm.packing import pack
@@ -28,7 +34,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     if model.weights is None:
         return docs
-    return score_quality(docs, model, "_score").where(F.col("_score") >= QUALITY_THRESHOLD).drop("_score")
+    score = free_name(docs, "_score")
+    return score_quality(docs, model, score).where(F.col(score) >= QUALITY_THRESHOLD).drop(score)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
