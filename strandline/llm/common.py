@@ -85,6 +85,15 @@ class Scratch:
         self.drop(*[t for t in self._tables if all(t is not r for r in results)])
 
 
+#: Rows of a few numbers each up to which a counted table is broadcast; beyond it both sides of the join are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """``df``, a settled table of ids, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 # ---------------------------------------------------------------- words of texts, as hashes
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BLANK_WORDS, LOWER, U64, Scratch, components, longs, mix, stars, word_slices
+from strandline.llm.common import BLANK_WORDS, LOWER, U64, Scratch, components, counted, longs, mix, stars, word_slices
 
 POSITIONS = 128
 LEADERS = 8
@@ -374,8 +374,9 @@ def full_sets(source: "Source", ids: DataFrame, scratch: Scratch, n: int) -> Dat
                     lists = pa.LargeListArray.from_arrays(pa.array(lengths, pa.int64()), longs(np.concatenate([h for _, h in took]))).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in took])), lists], names=["id", "hashes"])
 
-    wanted = scratch.settle(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    sets = source.join(wanted).mapInArrow(run, "id long, hashes array<long>")
+    wanted = scratch.settle(ids.select(F.col("id").alias("doc_id")).distinct().join(source.chosen, "doc_id"), "wanted")
+    texts = source.docs.join(counted(wanted), "doc_id").select("doc_id", "text", "d1")
+    sets = texts.mapInArrow(run, "id long, hashes array<long>")
     return scratch.settle(sets.dropDuplicates(["id"]) if source.repeats else sets, "sets")
 
 
@@ -412,7 +413,7 @@ def pair_ids(pairs: DataFrame) -> DataFrame:
 
 def confirm_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
     """The settled pairs (a, b) that hold on full sets."""
-    both = pairs.select("a", "b").join(sets.toDF("b", "hashes_b"), "b").join(sets.toDF("a", "hashes_a"), "a")
+    both = sets.toDF("b", "hashes_b").join(counted(pairs.select("a", "b")), "b").join(sets.toDF("a", "hashes_a"), "a")
     return scratch.settle(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirm_pairs(rule), "a long, b long"), name)
 
 
@@ -559,9 +560,6 @@ class Source:
     def __init__(self, docs: DataFrame, chosen: DataFrame, repeats: bool):
         self.docs, self.chosen, self.repeats = docs, chosen, repeats
 
-    def join(self, wanted: DataFrame) -> DataFrame:
-        return self.docs.join(wanted.join(self.chosen, "doc_id"), "doc_id").select("doc_id", "text", "d1")
-
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under: int = 100, trees: int = 10, node_rows: int = 512, few_strays: int = 2048, last_depth: int = 12, lead_every: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
