@@ -473,7 +473,6 @@ def contrib_rollup(s, sf):
 
 # ================================================================== events and joins
 
-BOUNDS = [250.0, 600.0, 1100.0, 1500.0]
 EVENTS = TES + ", ev2 AS (SELECT te.dataset, te.window_index, tes, center_cycle FROM te JOIN sc USING (dataset, window_index) WHERE tes >= 3)"
 
 
@@ -481,35 +480,45 @@ def tes_events(s, sf) -> DataFrame:
     return tes_frame(s, sf).where("round(tes, 5) >= 3").select("dataset", "window_index", "center_cycle", "tes")
 
 
-def bounds(s) -> DataFrame:
-    return s.createDataFrame([(d, b) for d in ("click", "error", "purchase", "signup", "view") for b in BOUNDS], "dataset string, boundary_cycle double")
+def bounds(s, sf) -> DataFrame:
+    """Where the stages of each stream begin."""
+    return B.scores(s, sf).where("stage >= 2").groupBy("dataset", "stage").agg(F.min("center_cycle").alias("boundary_cycle")).select("dataset", "boundary_cycle")
 
 
 NEAR = (
-    ", bo AS (SELECT unnest([250.0, 600.0, 1100.0, 1500.0])::DOUBLE AS b), ne AS (SELECT dataset, window_index, min_by(b, abs(center_cycle - b) * 10000 + b / 1000) AS boundary_cycle, min(abs(center_cycle - b)) AS distance FROM ev2, bo GROUP BY ALL)"
+    ", bo AS (SELECT dataset, min(center_cycle) AS b FROM sc WHERE stage >= 2 GROUP BY dataset, stage), "
+    "ne AS (SELECT ev2.dataset, window_index, min_by(b, abs(center_cycle - b) * 10000000 + b / 1000) AS boundary_cycle, min(abs(center_cycle - b)) AS distance FROM ev2 JOIN bo USING (dataset) GROUP BY ALL)"
 )
 
 
 @query(EVENTS.replace("tes >= 3", "round(tes, 5) >= 3") + NEAR + " SELECT dataset, window_index, boundary_cycle, distance, distance <= 500 AS matched FROM ne")
 def nearest_boundary(s, sf):
-    return J.nearest_boundary(tes_events(s, sf), bounds(s)).select("dataset", "window_index", "boundary_cycle", "distance", "matched")
+    return J.nearest_boundary(tes_events(s, sf), bounds(s, sf)).select("dataset", "window_index", "boundary_cycle", "distance", "matched")
 
 
 @query(EVENTS.replace("tes >= 3", "round(tes, 5) >= 3") + NEAR + ", g AS (SELECT dataset, count(*) AS n_events, count(*) FILTER (distance <= 100) AS n_matched, median(distance) AS median_distance FROM ne GROUP BY 1) SELECT * FROM g UNION ALL SELECT 'ALL', sum(n_events)::BIGINT, sum(n_matched)::BIGINT, median(median_distance) FROM g")
 def event_eval_all(s, sf):
-    near = J.nearest_boundary(tes_events(s, sf), bounds(s), 100)
+    near = J.nearest_boundary(tes_events(s, sf), bounds(s, sf), 100)
     g = near.groupBy("dataset").agg(F.count("*").alias("n_events"), F.sum(F.col("matched").cast("long")).alias("n_matched"), M.med("distance").alias("median_distance"))
     total = g.agg(F.lit("ALL").alias("dataset"), F.sum("n_events").alias("n_events"), F.sum("n_matched").alias("n_matched"), M.med("median_distance").alias("median_distance"))
     return T.union_all([g, total])
 
 
-SEGMENTS = [(1, 1.0, 500.0, 1.0, 700.0), (2, 501.0, 1000.0, 701.0, 900.0), (3, 1200.0, 1800.0, 1000.0, 2200.0)]
+#: Segments of a stream that ends at cycle 1, as (number, from, to, mapped from, mapped to). One has a gap before it.
+SEGMENTS = [(1, 0.0, 0.25, 0.0, 0.35), (2, 0.25, 0.5, 0.35, 0.45), (3, 0.6, 0.9, 0.5, 1.1)]
 
 
-@query(", se AS (SELECT * FROM (VALUES (1, 1.0, 500.0, 1.0, 700.0), (2, 501.0, 1000.0, 701.0, 900.0), (3, 1200.0, 1800.0, 1000.0, 2200.0)) t(seg, lo, hi, a, b)), p AS (SELECT dataset, window_index, center_cycle, coalesce(min(seg) FILTER (center_cycle BETWEEN lo AND hi), any_value(CASE WHEN center_cycle < 1 THEN 1 ELSE 3 END)) AS seg FROM wi, se GROUP BY dataset, window_index, center_cycle) SELECT dataset, window_index, seg::INTEGER AS seg, round(a + (center_cycle - lo) * (b - a) / (hi - lo), 6) AS mapped FROM p JOIN se USING (seg)")
+@query(
+    ", en AS (SELECT dataset, max(end_cycle) AS e FROM wi GROUP BY 1), se AS (SELECT dataset, seg, lo * e AS lo, hi * e AS hi, a * e AS a, b * e AS b FROM en, (VALUES (1, 0.0, 0.25, 0.0, 0.35), (2, 0.25, 0.5, 0.35, 0.45), (3, 0.6, 0.9, 0.5, 1.1)) t(seg, lo, hi, a, b)), "
+    "p AS (SELECT wi.dataset, window_index, center_cycle, coalesce(min(seg) FILTER (center_cycle BETWEEN lo AND hi), 3) AS seg FROM wi JOIN se USING (dataset) GROUP BY wi.dataset, window_index, center_cycle) "
+    "SELECT dataset, window_index, seg::INTEGER AS seg, round(a + (center_cycle - lo) * (b - a) / (hi - lo), 6) AS mapped FROM p JOIN se USING (dataset, seg)"
+)
 def cycle_map(s, sf):
-    seg = s.createDataFrame([(d, *r) for d in ("click", "error", "purchase", "signup", "view") for r in SEGMENTS], "dataset string, seg int, lo double, hi double, out_lo double, out_hi double")
-    return J.interval_map(B.windows(s, sf), seg).select("dataset", "window_index", "seg", r6("mapped"))
+    """Piecewise-linear maps of each stream, in shares of its length."""
+    w = B.windows(s, sf)
+    ends = w.groupBy("dataset").agg(F.max("end_cycle").alias("_e"))
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), *[(F.lit(v) * F.col("_e")).alias(n) for n, v in zip(("lo", "hi", "out_lo", "out_hi"), r, strict=True)]) for k, *r in SEGMENTS]))
+    return J.interval_map(w, ends.select("dataset", parts.alias("_p")).select("dataset", "_p.*")).select("dataset", "window_index", "seg", r6("mapped"))
 
 
 @query(", j AS (SELECT a.dataset, a.window_index, min(b.window_index) AS due_index FROM wi a LEFT JOIN wi b ON a.dataset = b.dataset AND b.center_cycle >= a.center_cycle + 100 GROUP BY ALL) SELECT j.dataset, j.window_index, due_index, round(x_mean, 6) AS due_value FROM j LEFT JOIN wi w ON w.dataset = j.dataset AND w.window_index = due_index")
@@ -534,17 +543,27 @@ def peak_neighbourhood(s, sf):
     return J.neighbourhood(B.scores(s, sf), tes_events(s, sf)).select("dataset", "window_index")
 
 
-@query(", sp3 AS (SELECT unnest(generate_series(0, 300, 50)) AS a) SELECT a AS span_id, dataset, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN stage = {k} THEN 1.0 ELSE 0.0 END), 6) AS stage{k}" for k in range(1, 6)) + " FROM sc JOIN sp3 ON window_index BETWEEN a AND a + 79 WHERE dataset = 'click' GROUP BY ALL")
+@query(
+    ", nn AS (SELECT dataset, count(*) AS n FROM sc GROUP BY 1), sp3 AS (SELECT dataset, k AS span_id, k * n // 8 AS a, k * n // 8 + n // 5 AS b FROM nn, (SELECT unnest(generate_series(0, 6)) AS k)) SELECT span_id, sc.dataset, count(*) AS n, "
+    + ", ".join(f"round(avg(CASE WHEN stage = {k} THEN 1.0 ELSE 0.0 END), 6) AS stage{k}" for k in range(1, 6))
+    + " FROM sc JOIN sp3 ON sc.dataset = sp3.dataset AND window_index BETWEEN a AND b GROUP BY ALL"
+)
 def interval_fractions(s, sf):
-    spans = s.range(0, 301, 50).select(F.col("id").alias("span_id"), F.lit("click").alias("dataset"), F.col("id").alias("start_window"), (F.col("id") + 79).alias("end_window"))
-    return J.interval_fractions(B.scores(s, sf), spans).select("span_id", "dataset", "n", *[r6(f"stage{k}") for k in range(1, 6)])
+    """Stage shares inside seven overlapping spans of each stream."""
+    sc = B.scores(s, sf)
+    n = sc.groupBy("dataset").agg(F.count("*").alias("_n")).withColumn("span_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    start = F.floor(F.col("span_id") * F.col("_n") / 8)
+    spans = n.select("span_id", "dataset", start.alias("start_window"), (start + F.floor(F.col("_n") / 5)).alias("end_window"))
+    return J.interval_fractions(sc, spans).select("span_id", "dataset", "n", *[r6(f"stage{k}") for k in range(1, 6)])
 
 
-@query("SELECT count(*) AS n, 0.0::DOUBLE AS awr FROM sc WHERE window_index < 200")
+@query(", nn AS (SELECT dataset, count(*) AS n FROM sc GROUP BY 1) SELECT count(*) AS n, 0.0::DOUBLE AS awr FROM sc JOIN nn USING (dataset) WHERE window_index < floor(n * 0.6)")
 def prefix_causality(s, sf):
-    """Scores of a prefix do not change when later rows are cut off: the largest difference must be 0."""
+    """Scores of the first 60 % of each stream do not change when later rows are cut off: the largest difference must be 0."""
+    sc = B.scores(s, sf)
+    n = sc.groupBy("dataset").agg(F.count("*").alias("_n"))
     full = frame(s, sf, {"m": R.rolling_median("awr", 20)}, 19)
-    short = frame(s, sf, {"m": R.rolling_median("awr", 20)}, 19, B.scores(s, sf).where("window_index < 200"))
+    short = frame(s, sf, {"m": R.rolling_median("awr", 20)}, 19, sc.join(n, "dataset").where(F.col("window_index") < F.floor(F.col("_n") * 0.6)).drop("_n"))
     return J.max_difference(full, short, ["dataset", "window_index"], ["m"]).select("n", F.col("m").alias("awr"))
 
 

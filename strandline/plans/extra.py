@@ -70,15 +70,15 @@ def trimmed_mean(s, sf):
     return lo.join(q, ["dataset", "feature_name"]).where("value between a and b").groupBy("dataset", "feature_name").agg(r6(F.avg("value"), "trimmed_mean"))
 
 
-@query(", q AS (SELECT dataset, median(awr) AS m, quantile_cont(awr, 0.75) - quantile_cont(awr, 0.25) AS i FROM sc WHERE baseline_window = 1 GROUP BY 1), r AS (SELECT m AS ms, i AS si FROM q WHERE dataset = 'click') SELECT dataset, window_index, round(ms + greatest(0.5, least(2.0, si / greatest(i, 1e-9))) * (awr - m), 6) AS aligned FROM sc JOIN q USING (dataset), r")
+@query(", q AS (SELECT dataset, median(awr) AS m, quantile_cont(awr, 0.75) - quantile_cont(awr, 0.25) AS i FROM sc WHERE baseline_window = 1 GROUP BY 1), r AS (SELECT m AS ms, i AS si FROM q WHERE dataset = (SELECT min(dataset) FROM q)) SELECT dataset, window_index, round(ms + greatest(0.5, least(2.0, si / greatest(i, 1e-9))) * (awr - m), 6) AS aligned FROM sc JOIN q USING (dataset), r")
 def logit_alignment(s, sf):
-    """Scores of every stream moved to the baseline centre and (clipped) spread of a source stream."""
+    """Scores of every stream moved to the baseline centre and (clipped) spread of a source stream: the first by name."""
     sc = B.scores(s, sf)
     q = sc.where("baseline_window = 1").groupBy("dataset").agg(M.med("awr").alias("m"), (M.med("awr", 0.75) - M.med("awr", 0.25)).alias("i"))
-    r = q.where("dataset = 'click'").select(F.col("m").alias("ms"), F.col("i").alias("si"))
-    scale = A.clip(F.col("si") / F.greatest("i", F.lit(1e-9)), 0.5, 2.0)
-    one = q.withColumn("_k", F.lit(1)).join(r.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return sc.join(one, "dataset").select("dataset", "window_index", r6(F.col("ms") + scale * (F.col("awr") - F.col("m")), "aligned"))
+    source = q.agg(F.min_by(F.struct("m", "i"), "dataset").alias("s")).first()  # two numbers
+    ms, si = source["s"] or (None, None)
+    scale = A.clip(F.lit(si).cast("double") / F.greatest("i", F.lit(1e-9)), 0.5, 2.0)
+    return sc.join(q, "dataset").select("dataset", "window_index", r6(F.lit(ms).cast("double") + scale * (F.col("awr") - F.col("m")), "aligned"))
 
 
 @query("SELECT dataset, round(corr(z_x_mean, z_x_rms), 6) AS mean_rms, round(corr(z_x_mean, z_x_p2p), 6) AS mean_p2p, round(corr(z_x_rms, z_x_p2p), 6) AS rms_p2p FROM sc GROUP BY 1")
@@ -117,10 +117,12 @@ def set_operations(s, sf):
     return a.join(b, keys, "left_semi").select(F.lit("both").alias("part"), *keys).unionByName(a.join(b, keys, "left_anti").select(F.lit("score_only").alias("part"), *keys))
 
 
-@query(", r AS (SELECT dataset, window_index, awr AS reference FROM sc WHERE window_index % 25 = 24) SELECT dataset, window_index, round(reference, 6) AS reference, round(sc.bd, 6) AS bd FROM (SELECT * FROM sc WHERE bd > 1) sc RIGHT JOIN r USING (dataset, window_index)")
+@query(", r AS (SELECT dataset, window_index, awr AS reference FROM sc WHERE window_index % 25 = 24 OR window_index = (SELECT max(window_index) FROM sc m WHERE m.dataset = sc.dataset)) SELECT dataset, window_index, round(reference, 6) AS reference, round(sc.bd, 6) AS bd FROM (SELECT * FROM sc WHERE bd > 1) sc RIGHT JOIN r USING (dataset, window_index)")
 def right_join_reference(s, sf):
     sc = B.scores(s, sf)
-    r = sc.where("window_index % 25 = 24").select("dataset", "window_index", F.col("awr").alias("reference"))
+    last = sc.groupBy("dataset").agg(F.max("window_index").alias("_last"))
+    # the reference is resampled: every 25th window and the last one
+    r = sc.join(last, "dataset").where("window_index % 25 = 24 or window_index = _last").select("dataset", "window_index", F.col("awr").alias("reference"))
     return sc.where("bd > 1").select("dataset", "window_index", "bd").join(r, ["dataset", "window_index"], "right").select("dataset", "window_index", r6("reference"), r6("bd"))
 
 
