@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import arrays as A
 from strandline.operators import metrics as M
 from strandline.operators import streams as S
-from strandline.sources.tables import melt, pivot_first
+from strandline.sources.tables import melt
 
 FEATURES = ["x_mean", "x_rms", "x_p2p"]
 IDS = ["dataset", "window_index", "start_cycle", "end_cycle", "center_cycle", "stage", "baseline_window"]
@@ -60,8 +60,11 @@ def z_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def z_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = pivot_first(z_long(spark, sf_dir), IDS, FEATURES, value="z_value")
-    return wide.withColumnsRenamed({f: f"z_{f}" for f in FEATURES})
+    """The z scores of all features side by side: the baselines of a stream are one row, joined by key."""
+    rows = windows(spark, sf_dir)
+    base = rows.where("baseline_window = 1").groupBy("dataset").agg(*[x for f in FEATURES for x in (M.med(f).alias(f"_m_{f}"), (M.med(f, 0.75) - M.med(f, 0.25)).alias(f"_i_{f}"))])
+    z = {f"z_{f}": A.clip((F.col(f) - F.col(f"_m_{f}")) / (F.col(f"_i_{f}") + 1e-9), -12.0, 12.0) for f in FEATURES}
+    return rows.join(base, "dataset").withColumns(z).select(*IDS, *z)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
