@@ -13,9 +13,9 @@ anywhere else is removed. Hashing confirms which passages recur; automata locate
    confirmed window lies in one passage, and every window of a passage is confirmed.
 4. Sharded automata. The passages of an owner go to one shard of bounded words. A shard interns the words of its passages
    and compiles an Aho-Corasick automaton over phrases of word numbers, so chosen that each window of a passage holds one:
-   the rarest phrase of the shard that will do. Every document streams through the automata of the shards that hold an
-   anchor of its own, and through no other, as no passage there can occur in it. Each phrase found is extended word by
-   word along its passage; an extent of ``window`` words or more is an occurrence, and its words are removed.
+   the rarest phrase of the shard that will do. Every document streams whole through the automata of the shards whose
+   owners it shares a counted window with, and through no other, as no passage there can occur in it. Each phrase found is
+   extended word by word along its passage; an extent of ``window`` words or more is an occurrence, and its words go.
 
 A shard that very many documents reach is compiled in several tasks, which share its documents. Counts are pre-aggregated
 before they are shuffled, and joins are between plain scans, so that Spark splits hot phrases.
@@ -27,6 +27,7 @@ copies of each other; texts under ``window`` words are never touched.
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -150,7 +151,7 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _passages(window: int, phrase: int, shard_words: int):
-    """Passages (words joined by one blank) of documents that own confirmed windows, with the anchors of their windows.
+    """Passages (words joined by one blank) of documents that own confirmed windows.
 
     Long passages are cut, with an overlap that leaves no window out; ``cut`` numbers the shard's worths of an owner.
     """
@@ -159,17 +160,16 @@ def _passages(window: int, phrase: int, shard_words: int):
     def run(batches):
         for batch in batches:
             keys, owned, out = batch.column(1).to_numpy(zero_copy_only=False), batch.column(3), []
-            for i, h, grams, raw in _chosen(batch, phrase):
-                _, least = anchors(h, grams, window, phrase)
+            for i, h, _, raw in _chosen(batch, phrase):
                 start, end = runs_of(np.isin(window_digests(h, window)[0], _values(owned, i)))
                 words, before = raw.tobytes().split(), 0
                 for a, b in zip(start.tolist(), end.tolist(), strict=True):
                     for lo in range(a, b, most_words):
                         hi = min(lo + most_words, b)  # windows lo..hi
                         own = words[lo : hi + window - 1]
-                        out.append((int(keys[i]), before // shard_words, b" ".join(own).decode(), len(own), np.unique(least[lo:hi]).view(np.int64)))
+                        out.append((int(keys[i]), before // shard_words, b" ".join(own).decode(), len(own)))
                         before += len(own)
-            kinds = {"owner": pa.int64(), "cut": pa.int64(), "passage": pa.string(), "words": pa.int64(), "anchors": pa.list_(pa.int64())}
+            kinds = {"owner": pa.int64(), "cut": pa.int64(), "passage": pa.string(), "words": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
     return run
@@ -220,7 +220,7 @@ class PhraseAutomaton:
         if not self.places or len(words) < self.window:
             return []
         number, theirs, out = self.number, self.ids, []
-        mine = [number.get(w, 0) for w in words]
+        mine = list(map(number.get, words, repeat(0)))
         done: dict[int, int] = {}  # of each alignment, where it was last followed to
         for last, places in self.automaton.iter(tuple(mine)):
             p = last - self.phrase + 1
@@ -330,18 +330,19 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, phrase: int = PHRAS
     scratch.drop(spread)
 
     counts = scratch.settle(texts.select("text", "key", "digest", "recurring").mapInArrow(_window_counts(window, phrase), "w1 long, w2 long, key long, n long"), "windows")
-    owners = counts.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("key").alias("owner")).where("n > 1")
-    owned = owners.groupBy(F.col("owner").alias("key")).agg(F.collect_list("w1").alias("owned"))
-    owned = scratch.settle(owned, "owned")
-    scratch.drop(counts)
+    owners = counts.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("key").alias("owner")).where("n > 1").select("w1", "w2", "owner")
+    owners = scratch.settle(owners, "owners")
+    meets = scratch.settle(counts.select("w1", "w2", "key").join(owners, ["w1", "w2"]).select("key", "owner").distinct(), "meets")
+    owned = scratch.settle(owners.groupBy(F.col("owner").alias("key")).agg(F.collect_list("w1").alias("owned")), "owned")
+    scratch.drop(counts, owners)
     passages = texts.select("text", "key", "digest").join(owned, "key").select("text", "key", "digest", "owned")
-    passages = scratch.settle(passages.mapInArrow(_passages(window, phrase, shard_words), "owner long, cut long, passage string, words long, anchors array<long>"), "passages")
+    passages = scratch.settle(passages.mapInArrow(_passages(window, phrase, shard_words), "owner long, cut long, passage string, words long"), "passages")
 
     total = passages.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     sharded = passages.withColumn("shard", F.pmod(F.xxhash64("owner", "cut"), F.lit(total // shard_words + 1)))
-    # a class of copies loses all its words anyway; other documents go to the shards of their anchors
+    # a class of copies loses all its words anyway; other documents go to the shards of the passages that they meet
     open_ = texts.where("copies = 1").select("text", "key", "digest", "n_words")
-    reach = met.join(sharded.select("shard", F.explode("anchors").alias("anchor")).distinct(), "anchor").select("key", "shard").distinct()
+    reach = meets.join(sharded.select("shard", "owner").distinct(), "owner").select("key", "shard").distinct()
     reach = scratch.settle(reach.join(open_.select("key", "n_words"), "key"), "reach")
     parts = reach.groupBy("shard").agg(F.ceil(F.sum("n_words") / part_words).cast("int").alias("parts"))
     parts = scratch.settle(parts, "parts")
