@@ -354,3 +354,102 @@ def online_benefit(s, sf):
 def smoothed_score(s, sf):
     """Causal smoothing of the selected score over five windows."""
     return frame(s, sf, {"smoothed": R.rolling_median("awr", 5)}, 4).select("dataset", "window_index", r6("smoothed"))
+
+
+# ================================================================== summaries, categories, ablations, contexts
+
+
+SUMMARY = ["awr", "bd", *Z]
+
+
+@query(
+    THRESHOLDS + " SELECT sc.dataset, stage, count(*) AS n, " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_{n}" for c in SUMMARY for q, n in ((0.1, "p10"), (0.5, "median"), (0.9, "p90")))
+    + ", round(avg(CASE WHEN round(awr, 9) >= round(ta, 9) THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS high_rate, count(*) FILTER (round(awr, 9) >= round(ta, 9) AND round(bd, 9) >= round(tb, 9)) AS high_pairs FROM sc JOIN th USING (dataset) GROUP BY sc.dataset, stage"
+)
+def stage_state_summary(s, sf):
+    """Quantiles of all scores by stream and stage, and how often they are high."""
+    sc = B.scores(s, sf)
+    at = lambda c: F.round(c, 9)
+    high, both = at("awr") >= at("ta"), (at("awr") >= at("ta")) & (at("bd") >= at("tb"))
+    quantiles = [r6(M.med(c, q), f"{c}_{n}") for c in SUMMARY for q, n in ((0.1, "p10"), (0.5, "median"), (0.9, "p90"))]
+    return sc.join(thresholds(sc), "dataset").groupBy("dataset", "stage").agg(F.count("*").alias("n"), *quantiles, r6(F.avg(high.cast("double")), "high_rate"), F.sum(both.cast("long")).alias("high_pairs"))
+
+
+@query(f", v AS (SELECT *, abs(bd - lag(bd) {OV}) AS d, start_cycle <= floor(end_cycle / 500) * 500 + 100 AS guard FROM sc) SELECT dataset, round(abs(median(awr) FILTER (baseline_window = 1 AND NOT guard)), 6) AS baseline_drift, round(median(bd) FILTER (baseline_window = 1 AND NOT guard), 6) AS baseline_distance, round(median(d), 6) AS volatility FROM v GROUP BY 1")
+def frozen_summary(s, sf):
+    """How far the unguarded baseline drifted, and how volatile the distance is."""
+    rows = frame(s, sf, {"_was": lambda w: F.lag("bd").over(w)}, 1).withColumn("guard", S.guard_overlap(F.col("start_cycle"), F.col("end_cycle")))
+    base = (F.col("baseline_window") == 1) & (F.col("guard") == 0)
+    return rows.groupBy("dataset").agg(r6(F.abs(M.med(F.when(base, F.col("awr")))), "baseline_drift"), r6(M.med(F.when(base, F.col("bd"))), "baseline_distance"), r6(M.med(F.abs(F.col("bd") - F.col("_was"))), "volatility"))
+
+
+CATEGORIES = {"high_high": ("a >= a90 AND b >= b90", "a + b"), "high_low": ("a >= a90 AND b <= b50", "a - b"), "low_high": ("a <= a50 AND b >= b90", "b - a"), "late_high": ("stage = 5 AND a >= a75", "a")}
+
+
+@query(
+    ", rr AS (SELECT dataset, window_index, stage, round(awr, 9) AS a, round(bd, 9) AS b FROM sc), qq AS (SELECT dataset, " + ", ".join(f"round(quantile_cont({c}, {q / 100}), 9) AS {c}{q}" for c in "ab" for q in (50, 75, 90)) + " FROM rr GROUP BY 1), ct AS ("
+    + " UNION ALL ".join(f"SELECT dataset, '{k}' AS category, window_index, round({v}, 9) AS score FROM rr JOIN qq USING (dataset) WHERE {w}" for k, (w, v) in CATEGORIES.items())
+    + ") SELECT dataset, category, count(*) AS n, arg_min(window_index, {'s': -score, 'w': window_index}) AS best_window, round(max(score), 6) AS best_score FROM ct GROUP BY ALL"
+)
+def candidate_categories(s, sf):
+    """Windows by category, from quantiles of each stream: how many, and the best one."""
+    rows = B.scores(s, sf).select("dataset", "window_index", "stage", F.round("awr", 9).alias("a"), F.round("bd", 9).alias("b"))
+    q = rows.groupBy("dataset").agg(*[F.round(M.med(c, k / 100), 9).alias(f"{c}{k}") for c in "ab" for k in (50, 75, 90)])
+    kinds = F.array(*[F.when(F.expr(w), F.struct(F.lit(k).alias("category"), F.round(F.expr(v), 9).alias("score"))) for k, (w, v) in CATEGORIES.items()])
+    found = rows.join(q, "dataset").withColumn("_c", F.explode(F.filter(kinds, lambda x: x.isNotNull()))).select("dataset", "window_index", "_c.*")
+    best = F.min_by("window_index", F.struct((-F.col("score")).alias("s"), "window_index"))
+    return found.groupBy("dataset", "category").agg(F.count("*").alias("n"), best.alias("best_window"), r6(F.max("score"), "best_score"))
+
+
+GROUPS = {"all": Z, "amplitude": Z[:2], "span": Z[2:], "no_mean": Z[1:]}
+GROUP_SQL = "UNION ALL ".join(f"SELECT '{g}' AS feature_group, dataset, stage, round(({' + '.join(f)}) / {len(f)}, 9) AS score FROM sc " for g, f in GROUPS.items())
+
+
+@query(
+    f", gr AS ({GROUP_SQL}), gk AS (SELECT *, CASE WHEN stage = 5 THEN 1 ELSE 0 END AS late, rank() OVER (PARTITION BY feature_group, dataset ORDER BY score) + (count(*) OVER (PARTITION BY feature_group, dataset, score) - 1) / 2.0 AS r FROM gr), "
+    "ga AS (SELECT feature_group, dataset, (sum(r * late) - sum(late) * (sum(late) + 1) / 2) / (sum(late) * (count(*) - sum(late))) AS auroc FROM gk GROUP BY ALL) SELECT feature_group, round(avg(auroc), 6) AS mean_auroc, round(min(auroc), 6) AS worst_auroc FROM ga GROUP BY 1"
+)
+def ablation_groups(s, sf):
+    """Mean scores of feature groups, compared over the streams."""
+    sc = B.scores(s, sf).withColumns({f"g_{g}": sum((F.col(c) for c in f[1:]), F.col(f[0])) / len(f) for g, f in GROUPS.items()})
+    got = E.compare_models(E.evaluate_models(E.model_rows(sc, {g: f"g_{g}" for g in GROUPS}, ["dataset", "stage"])), ["auroc"])
+    return got.select(F.col("model_name").alias("feature_group"), r6("mean_auroc"), r6("worst_auroc"))
+
+
+@query(" SELECT dataset, feature_name, round(0.5 * median(z_value) FILTER (stage = 1), 6) AS early, round(0.5 * median(z_value) FILTER (stage = 5), 6) AS late, round(0.5 * median(z_value) FILTER (stage = 5) - 0.5 * median(z_value) FILTER (stage = 1), 6) AS gap FROM z GROUP BY ALL")
+def ablation_contributions(s, sf):
+    """Contributions of a feature in the first and the last stage, and their gap."""
+    d = M.direction_signs(B.z_long(s, sf))
+    return d.select("dataset", "feature_name", r6(0.5 * F.col("early"), "early"), r6(0.5 * F.col("late"), "late"), r6(0.5 * F.col("late") - 0.5 * F.col("early"), "gap"))
+
+
+@query(
+    ", ci AS (SELECT dataset, " + ", ".join(f"least(3, 5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))) AS cap_{c}" for c in Z) + " FROM sc GROUP BY 1) SELECT dataset, window_index, round(1 / (1 + exp(-greatest(-35, least(35, "
+    + " + ".join(f"least(4.0, cap_{c}) * {c}" for c in Z) + " - 1)))), 6) AS probability FROM sc JOIN ci USING (dataset)"
+)
+def capped_head(s, sf):
+    """A static head whose coefficients are capped by the spread of their features: min(3, 5 IQR)."""
+    sc = B.scores(s, sf)
+    caps = sc.groupBy("dataset").agg(*[F.least(F.lit(3.0), 5 * (M.med(c, 0.75) - M.med(c, 0.25))).alias(f"_{c}") for c in Z])
+    total = sum((F.least(F.lit(4.0), F.col(f"_{c}")) * F.col(c) for c in Z), F.lit(-1.0))
+    return sc.join(caps, "dataset").select("dataset", "window_index", r6(A.sigmoid(total), "probability"))
+
+
+@query(" SELECT dataset, count(*) AS n, count(*) FILTER (x IS NULL) AS missing, count(*) - count(DISTINCT event_id) AS repeated, min(cycle) AS first_cycle, max(cycle) AS last_cycle, bool_and(cycle BETWEEN 1 AND n) AS in_range FROM st GROUP BY 1")
+def stream_audit(s, sf):
+    """Rows, missing values, repeated keys and numbering of each stream."""
+    e = B.stream_events(s, sf)
+    n = F.count("*")
+    return e.groupBy("dataset").agg(n.alias("n"), F.sum(F.col("x").isNull().cast("long")).alias("missing"), (n - F.count_distinct("event_id")).alias("repeated"), F.min("cycle").alias("first_cycle"), F.max("cycle").alias("last_cycle"), F.min(F.col("cycle").between(1, F.col("n"))).alias("in_range"))
+
+
+@query(
+    MODEL_SQL + ", ac AS (SELECT max(worst_auroc) FILTER (model_name = 'mean_z') AS w, max(mean_auroc) FILTER (model_name = 'mean_z') AS m, max(mean_score_gap) FILTER (model_name = 'mean_z') AS g FROM cm) "
+    "SELECT 'worst_above_half' AS criterion, round(w, 6) AS value, CASE WHEN round(w, 6) >= 0.5 THEN 'PASS' ELSE 'FAIL' END AS status FROM ac UNION ALL SELECT 'mean_above_half', round(m, 6), CASE WHEN round(m, 6) >= 0.5 THEN 'PASS' ELSE 'FAIL' END FROM ac UNION ALL SELECT 'gap_positive', round(g, 6), CASE WHEN round(g, 6) > 0 THEN 'PASS' ELSE 'FAIL' END FROM ac"
+)
+def acceptance(s, sf):
+    """Criteria over the compared models, each with its value and verdict."""
+    one = compared(s, sf).where("model_name = 'mean_z'")
+    rules = [("worst_above_half", "worst_auroc", lambda v: v >= 0.5), ("mean_above_half", "mean_auroc", lambda v: v >= 0.5), ("gap_positive", "mean_score_gap", lambda v: v > 0)]
+    rows = F.array(*[F.struct(F.lit(n).alias("criterion"), F.round(c, 6).alias("value"), F.when(ok(F.round(c, 6)), "PASS").otherwise("FAIL").alias("status")) for n, c, ok in rules])
+    return one.select(F.explode(rows).alias("_r")).select("_r.*")
