@@ -86,7 +86,7 @@ class Scratch:
 
 
 #: Rows of a few numbers each up to which a counted table is broadcast; beyond it both sides of the join are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 250_000
 
 
 def counted(df: DataFrame) -> DataFrame:

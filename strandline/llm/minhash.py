@@ -377,7 +377,9 @@ def full_sets(source: "Source", ids: DataFrame, scratch: Scratch, n: int) -> Dat
     wanted = scratch.settle(ids.select(F.col("id").alias("doc_id")).distinct().join(source.chosen, "doc_id"), "wanted")
     texts = source.docs.join(counted(wanted), "doc_id").select("doc_id", "text", "d1")
     sets = texts.mapInArrow(run, "id long, hashes array<long>")
-    return scratch.settle(sets.dropDuplicates(["id"]) if source.repeats else sets, "sets")
+    out = scratch.settle(sets.dropDuplicates(["id"]) if source.repeats else sets, "sets")
+    scratch.drop(wanted)
+    return out
 
 
 def _list_parts(column) -> tuple[np.ndarray, np.ndarray]:
@@ -386,19 +388,6 @@ def _list_parts(column) -> tuple[np.ndarray, np.ndarray]:
     return _u64(column.flatten()), ends - ends[0]
 
 
-def _confirm_pairs(rule: Rule):
-    def run(batches):
-        for batch in batches:
-            (x, ex), (y, ey) = _list_parts(batch.column(2)), _list_parts(batch.column(3))
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                p, q = x[ex[i] : ex[i + 1]], y[ey[i] : ey[i + 1]]
-                keep[i] = rule.holds(common_items(p, q), len(p), len(q))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return run
-
-
 def common_items(p: np.ndarray, q: np.ndarray) -> int:
     """Items that two sorted sets share."""
     if len(p) > len(q):
@@ -407,14 +396,18 @@ def common_items(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
 
 
-def pair_ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+def star_members(pairs: DataFrame, most: int = 256) -> DataFrame:
+    """Pairs (a, b) as groups of a document and at most about ``most`` of its partners: gid, pos, id, similar (null: a star)."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = pairs.join(sizes, "a").withColumn("gid", F.xxhash64("a", F.pmod(F.xxhash64("b"), "_parts")))
+    star = F.lit(None).cast("binary").alias("similar")
+    return dealt.select("gid", F.lit(0).alias("pos"), F.col("a").alias("id"), star).distinct().unionByName(dealt.select("gid", F.lit(1).alias("pos"), F.col("b").alias("id"), star))
 
 
-def confirm_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
-    """The settled pairs (a, b) that hold on full sets."""
-    both = sets.toDF("b", "hashes_b").join(counted(pairs.select("a", "b")), "b").join(sets.toDF("a", "hashes_a"), "a")
-    return scratch.settle(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirm_pairs(rule), "a long, b long"), name)
+def group_members(groups: DataFrame) -> DataFrame:
+    """Groups (gid, ids, similar) as one row a document; the first one has the matrix."""
+    members = groups.select("gid", F.posexplode("ids").alias("pos", "id"), "similar")
+    return members.withColumn("similar", F.when(F.col("pos") == 0, F.col("similar")))
 
 
 def group_links(ids: np.ndarray, values: np.ndarray, ends: np.ndarray, similar: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -448,10 +441,15 @@ def _confirm_groups(rule: Rule):
             gid = np.asarray(table.column("gid"))
             values, ends = _list_parts(table.column("hashes"))
             ids, bits = np.asarray(table.column("id")), table.column("similar")
+            start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
             out = []
-            for lo, hi in zip(*(lambda s: (s, np.append(s[1:], len(gid))))(np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))), strict=True):
-                n = hi - lo
-                similar = np.unpackbits(np.frombuffer(bits[int(lo)].as_py(), np.uint8), count=n * n).reshape(n, n).astype(bool)
+            for lo, hi in zip(start.tolist(), np.append(start[1:], len(gid)).tolist(), strict=True):
+                n, packed = hi - lo, bits[lo].as_py()
+                if packed is None:
+                    similar = np.zeros((n, n), bool)
+                    similar[0, 1:] = True
+                else:
+                    similar = np.unpackbits(np.frombuffer(packed, np.uint8), count=n * n).reshape(n, n).astype(bool)
                 out.append(group_links(ids[lo:hi], values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], similar, rule))
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -459,11 +457,14 @@ def _confirm_groups(rule: Rule):
     return run
 
 
-def confirm_groups(groups: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
-    """Links that unite documents of the settled groups (gid, ids, similar); each set comes to a group once."""
-    members = groups.select("gid", F.posexplode("ids").alias("pos", "id"), "similar").withColumn("similar", F.when(F.col("pos") == 0, F.col("similar")))
+def confirm(members: DataFrame, source: "Source", rule: Rule, scratch: Scratch, name: str) -> DataFrame:
+    """Links that unite documents of groups (gid, pos, id, similar); each set comes to a group once, from whole texts."""
+    members = scratch.settle(members, f"members-{name}")
+    sets = full_sets(source, members.select("id"), scratch, rule.shingle)
     rows = members.join(sets, "id").repartition("gid").sortWithinPartitions("gid", "pos").select("gid", "pos", "id", "similar", "hashes")
-    return scratch.settle(rows.mapInArrow(_confirm_groups(rule), "a long, b long").distinct(), name)
+    links = scratch.settle(rows.mapInArrow(_confirm_groups(rule), "a long, b long").distinct(), f"links-{name}")
+    scratch.drop(members, sets)
+    return links
 
 
 # ------------------------------------------------------------------ components
@@ -581,7 +582,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
     def settle_forest(pairs: DataFrame, name: str) -> None:
         """Confirms one pair of each document between different components, and unites."""
         best = scratch.settle(_best(labels.ends(pairs).where("ca <> cb"), "b"), f"forest-{name}")
-        labels.unite(confirm_pairs(best, full_sets(source, pair_ids(best), scratch, shingle), rule, scratch, f"links-{name}"))
+        labels.unite(confirm(star_members(best), source, rule, scratch, name))
 
     found, depth = [], 0  # what each level compared
     rows = first_rows(reps, 0 if reps.count() <= node_rows else trees)
@@ -615,8 +616,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
         settle_forest(every.where("a is not null").select("a", "b", "m"), "all")
     rest = scratch.settle(labels.ends(every.where("a is not null")).where("ca <> cb").select("a", "b").distinct(), "rest")
     groups = open_groups(every.where("ids is not null"), labels, scratch)
-    sets = full_sets(source, pair_ids(rest).unionByName(groups.select(F.explode("ids").alias("id"))), scratch, shingle)
-    labels.unite(confirm_pairs(rest, sets, rule, scratch, "rest-links").unionByName(confirm_groups(groups, sets, rule, scratch, "group-links")))
+    labels.unite(confirm(star_members(rest).unionByName(group_members(groups)), source, rule, scratch, "rest"))
 
     ids = members.join(labels.frame.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
