@@ -397,17 +397,10 @@ def common_items(p: np.ndarray, q: np.ndarray) -> int:
 
 
 def star_members(pairs: DataFrame, most: int = 256) -> DataFrame:
-    """Pairs (a, b) as groups of a document and at most about ``most`` of its partners: gid, pos, id, similar (null: a star)."""
+    """Pairs (a, b) as groups of a document and at most about ``most`` of its partners: gid, pos, id."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("_parts"))
     dealt = pairs.join(sizes, "a").withColumn("gid", F.xxhash64("a", F.pmod(F.xxhash64("b"), "_parts")))
-    star = F.lit(None).cast("binary").alias("similar")
-    return dealt.select("gid", F.lit(0).alias("pos"), F.col("a").alias("id"), star).distinct().unionByName(dealt.select("gid", F.lit(1).alias("pos"), F.col("b").alias("id"), star))
-
-
-def group_members(groups: DataFrame) -> DataFrame:
-    """Groups (gid, ids, similar) as one row a document; the first one has the matrix."""
-    members = groups.select("gid", F.posexplode("ids").alias("pos", "id"), "similar")
-    return members.withColumn("similar", F.when(F.col("pos") == 0, F.col("similar")))
+    return dealt.select("gid", F.lit(0).alias("pos"), F.col("a").alias("id")).distinct().unionByName(dealt.select("gid", F.lit(1).alias("pos"), F.col("b").alias("id")))
 
 
 def group_links(ids: np.ndarray, values: np.ndarray, ends: np.ndarray, similar: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -440,14 +433,16 @@ def _confirm_groups(rule: Rule):
         for table in sorted_runs(batches, "gid"):
             gid = np.asarray(table.column("gid"))
             values, ends = _list_parts(table.column("hashes"))
-            ids, bits = np.asarray(table.column("id")), table.column("similar")
+            ids, bits = np.asarray(table.column("id").fill_null(0)), table.column("similar")
             start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
             out = []
             for lo, hi in zip(start.tolist(), np.append(start[1:], len(gid)).tolist(), strict=True):
-                n, packed = hi - lo, bits[lo].as_py()
+                packed = bits[lo].as_py()
+                lo += packed is not None  # the matrix has a row of its own, before the documents
+                n = hi - lo
                 if packed is None:
                     similar = np.zeros((n, n), bool)
-                    similar[0, 1:] = True
+                    similar[:1, 1:] = True
                 else:
                     similar = np.unpackbits(np.frombuffer(packed, np.uint8), count=n * n).reshape(n, n).astype(bool)
                 out.append(group_links(ids[lo:hi], values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], similar, rule))
@@ -457,11 +452,17 @@ def _confirm_groups(rule: Rule):
     return run
 
 
-def confirm(members: DataFrame, source: "Source", rule: Rule, scratch: Scratch, name: str) -> DataFrame:
-    """Links that unite documents of groups (gid, pos, id, similar); each set comes to a group once, from whole texts."""
+def confirm(members: DataFrame, matrices: DataFrame | None, source: "Source", rule: Rule, scratch: Scratch, name: str) -> DataFrame:
+    """Links that unite documents of groups (gid, pos, id), of the pairs that ``matrices`` (gid, similar) mark.
+
+    Without a matrix a group is a star around its first document. Each set comes to a group once, from whole texts.
+    """
     members = scratch.settle(members, f"members-{name}")
     sets = full_sets(source, members.select("id"), scratch, rule.shingle)
-    rows = members.join(sets, "id").repartition("gid").sortWithinPartitions("gid", "pos").select("gid", "pos", "id", "similar", "hashes")
+    rows = sets.join(counted(members), "id").select("gid", "pos", "id", F.lit(None).cast("binary").alias("similar"), "hashes")
+    if matrices is not None:
+        rows = rows.unionByName(matrices.select("gid", F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("id"), "similar", F.lit(None).cast("array<long>").alias("hashes")))
+    rows = rows.repartition("gid").sortWithinPartitions("gid", "pos")
     links = scratch.settle(rows.mapInArrow(_confirm_groups(rule), "a long, b long").distinct(), f"links-{name}")
     scratch.drop(members, sets)
     return links
@@ -582,7 +583,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
     def settle_forest(pairs: DataFrame, name: str) -> None:
         """Confirms one pair of each document between different components, and unites."""
         best = scratch.settle(_best(labels.ends(pairs).where("ca <> cb"), "b"), f"forest-{name}")
-        labels.unite(confirm(star_members(best), source, rule, scratch, name))
+        labels.unite(confirm(star_members(best), None, source, rule, scratch, name))
 
     found, depth = [], 0  # what each level compared
     rows = first_rows(reps, 0 if reps.count() <= node_rows else trees)
@@ -616,7 +617,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
         settle_forest(every.where("a is not null").select("a", "b", "m"), "all")
     rest = scratch.settle(labels.ends(every.where("a is not null")).where("ca <> cb").select("a", "b").distinct(), "rest")
     groups = open_groups(every.where("ids is not null"), labels, scratch)
-    labels.unite(confirm(star_members(rest).unionByName(group_members(groups)), source, rule, scratch, "rest"))
+    labels.unite(confirm(star_members(rest).unionByName(groups.select("gid", F.posexplode("ids").alias("pos", "id"))), groups, source, rule, scratch, "rest"))
 
     ids = members.join(labels.frame.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
