@@ -76,10 +76,14 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Remove settled tables that nothing reads any more."""
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._strandline_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.remove(df._strandline_path)
             self._tables = [t for t in self._tables if t is not df]
 
+    def remove(self, where: str) -> None:
+        """Remove a folder of files that operators wrote themselves."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def keep(self, *results: DataFrame) -> None:
         """Remove all settled tables but those that the operator's result reads."""
         self.drop(*[t for t in self._tables if all(t is not r for r in results)])

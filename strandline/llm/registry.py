@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import table
 from strandline.llm.packing import pack
-from strandline.llm import chat, decontaminate, minhash, pii, projections, substrings, warc
+from strandline.llm import bitpack, chat, decontaminate, minhash, pii, projections, repair, substrings, tries, warc
 from strandline.llm.quality import quality_report
 from strandline.llm.toxicity import toxicity_report
 
@@ -51,7 +51,22 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_report(table(spark, sf_dir, "conversations"))
 
 
+def op11_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.token_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op11_token_bits": op11_token_bits,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
     "op9_preference_format": op9_preference_format,
     "op5_pii_field": op5_pii_field,
     "op3_toxicity_channel": op3_toxicity_channel,
@@ -65,6 +80,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op12_prefix_trie": tries.ORACLE,
+    "op13_structure_repair": repair.ORACLE,
     "op9_preference_format": chat.ORACLE,
     "op1_embedding_projections": projections.ORACLE,
     "op7_substring_automata": substrings.ORACLE,
