@@ -589,9 +589,40 @@ def local_peaks(s, sf):
     return K.local_peaks(B.scores(s, sf), "awr", 0.5).select("dataset", "window_index", r6("height"))
 
 
-@query()
+@query(
+    ", o AS (SELECT dataset, window_index, center_cycle, round(awr, 9) AS score FROM sc), r AS ("
+    "SELECT dataset, 0 AS pick, CAST(NULL AS BIGINT) AS window_index, CAST([] AS DOUBLE[]) AS taken FROM (SELECT DISTINCT dataset FROM o) UNION ALL "
+    "SELECT dataset, pick + 1, b.window_index, list_append(taken, b.center_cycle) FROM ("
+    "SELECT r.dataset, r.pick, r.taken, max_by({'window_index': o.window_index, 'center_cycle': o.center_cycle}, {'s': o.score, 'w': -o.window_index}) AS b FROM r JOIN o ON o.dataset = r.dataset "
+    "WHERE r.pick < 12 AND len(list_filter(r.taken, lambda x: abs(x - o.center_cycle) < 2500)) = 0 GROUP BY r.dataset, r.pick, r.taken)), "
+    "p AS (SELECT * FROM r WHERE pick > 0), c AS (SELECT dataset, count(*) AS n FROM o GROUP BY 1), d AS (SELECT c.dataset, count(p.pick) AS got, count(p.pick) < least(10, any_value(n)) AS relaxed FROM c LEFT JOIN p ON p.dataset = c.dataset GROUP BY c.dataset), "
+    "f AS (SELECT o.dataset, o.window_index, row_number() OVER (PARTITION BY o.dataset ORDER BY o.score DESC, o.window_index) AS i FROM o ANTI JOIN p ON p.dataset = o.dataset AND p.window_index = o.window_index) "
+    "SELECT p.dataset, CAST(pick AS INTEGER) AS pick, window_index, CAST(relaxed AS INTEGER) AS relaxed FROM p JOIN d USING (dataset) UNION ALL "
+    "SELECT dataset, CAST(got + i AS INTEGER), window_index, 1 FROM f JOIN d USING (dataset) WHERE relaxed AND got + i <= 12",
+    RECURSIVE,
+)
+def topk_relaxed(s, sf):
+    """Twelve rows of each stream at least 2500 cycles apart, filled up with its best others where that gives under ten."""
+    rows = B.scores(s, sf).withColumn("score", F.round("awr", 9))
+    return K.spaced_top(rows, "score", 12, 2500.0, least=10).select("dataset", "pick", "window_index", "relaxed")
+
+
+@query(
+    ", o AS (SELECT dataset, window_index AS w, round(awr, 9) AS x FROM sc), g AS (SELECT *, sum(n) OVER (PARTITION BY dataset ORDER BY w) AS r FROM (SELECT *, CASE WHEN x IS DISTINCT FROM lag(x) OVER (PARTITION BY dataset ORDER BY w) THEN 1 ELSE 0 END AS n FROM o)), "
+    "q AS (SELECT *, lag(x) OVER k AS x0, lead(x) OVER k AS x2 FROM (SELECT dataset, r, (min(w) + max(w)) // 2 AS w, any_value(x) AS x FROM g GROUP BY dataset, r) WINDOW k AS (PARTITION BY dataset ORDER BY r)), "
+    "h AS (SELECT dataset, w, x FROM q WHERE x > x0 AND x > x2 AND x >= 0.5), r AS ("
+    "SELECT dataset, 0 AS i, CAST(NULL AS BIGINT) AS w, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT dataset FROM h) UNION ALL "
+    "SELECT dataset, i + 1, b, list_append(taken, b) FROM (SELECT r.dataset, r.i, r.taken, max_by(h.w, {'x': h.x, 'w': h.w}) AS b FROM r JOIN h ON h.dataset = r.dataset WHERE len(list_filter(r.taken, lambda t: abs(t - h.w) < 20)) = 0 GROUP BY r.dataset, r.i, r.taken)), "
+    "k AS (SELECT h.* FROM h JOIN r USING (dataset, w)), "
+    "e AS (SELECT k.dataset, k.w, k.x, coalesce((SELECT max(o.w) FROM o WHERE o.dataset = k.dataset AND o.w < k.w AND o.x > k.x), -1) AS a, coalesce((SELECT min(o.w) FROM o WHERE o.dataset = k.dataset AND o.w > k.w AND o.x > k.x), 1000000000) AS b FROM k), "
+    "m AS (SELECT e.dataset, e.w, e.x, e.x - greatest((SELECT min(o.x) FROM o WHERE o.dataset = e.dataset AND o.w > e.a AND o.w <= e.w), (SELECT min(o.x) FROM o WHERE o.dataset = e.dataset AND o.w >= e.w AND o.w < e.b)) AS p FROM e) "
+    "SELECT dataset, w AS window_index, round(x, 6) AS height, round(p, 6) AS prominence FROM m WHERE p >= 0.3",
+    RECURSIVE,
+)
 def peaks(s, sf):
-    return K.prominent_peaks(B.scores(s, sf), "awr", 0.5, 20, 0.3).select("dataset", "window_index", r6("height"), r6("prominence"))
+    """Peaks of the score by height, distance and prominence."""
+    rows = B.scores(s, sf).withColumn("score", F.round("awr", 9))
+    return K.prominent_peaks(rows, "score", 0.5, 20, 0.3).select("dataset", "window_index", r6("height"), r6("prominence"))
 
 
 @query()
