@@ -10,10 +10,6 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.sources.shared import Scratch, shared_root  # noqa: F401
+
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
 #: Texts are hashed in pieces of about this size, which bounds the tables of powers that a worker keeps.
 PIECE_BYTES = 1 << 18
-_own_root: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,55 +37,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="strandline-"))
-        atexit.register(shutil.rmtree, _own_root[0], True)
-    return f"file://{_own_root[0]}"
-
-
-class Scratch:
-    """Tables of one run of one operator in the shared folder."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base, self._n = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}", 0
-        self._tables: list[DataFrame] = []
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.base}/{self._n:03d}-{name}"
-
-    def settle(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: lineage ends here and later joins see a plain scan."""
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._strandline_path = path
-        self._tables.append(out)
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Remove settled tables that nothing reads any more."""
-        for df in frames:
-            self.remove(df._strandline_path)
-            self._tables = [t for t in self._tables if t is not df]
-
-    def remove(self, where: str) -> None:
-        """Remove a folder of files that operators wrote themselves."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def keep(self, *results: DataFrame) -> None:
-        """Remove all settled tables but those that the operator's result reads."""
-        self.drop(*[t for t in self._tables if all(t is not r for r in results)])
-
-
 #: Rows of a few numbers each up to which a counted table is broadcast; beyond it both sides of the join are shuffled.
 BROADCAST_ROWS = 250_000
 
