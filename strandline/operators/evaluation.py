@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import metrics as M
+from strandline.operators.prefix import running_totals
+from strandline.sources.shared import Scratch
 from strandline.sources.tables import melt
 
 
 def kendall(df: DataFrame, keys: list[str], score: str, level: str, levels: list[int]) -> DataFrame:
     """Kendall's tau-b of a score and an ordinal level of few values, from the counts of both at each distinct score."""
     per = df.dropna(subset=[score, level]).groupBy(*keys, score).agg(*[F.sum((F.col(level) == k).cast("long")).alias(f"_c{k}") for k in levels])
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({f"_b{k}": F.coalesce(F.sum(f"_c{k}").over(below), F.lit(0)) for k in levels})
+    scratch = Scratch(df.sparkSession, "kendall")
+    per = running_totals(per, keys, [F.col(score)], {f"_b{k}": F.col(f"_c{k}") for k in levels}, scratch)
+    per = per.withColumns({f"_b{k}": F.col(f"_b{k}") - F.col(f"_c{k}") for k in levels})
     total = lambda cols: sum((F.col(c) for c in cols), F.lit(0))
     up = sum((F.col(f"_c{k}") * total(f"_b{j}" for j in levels if j < k) for k in levels), F.lit(0))
     down = sum((F.col(f"_c{k}") * total(f"_b{j}" for j in levels if j > k) for k in levels), F.lit(0))
@@ -27,7 +30,7 @@ def kendall(df: DataFrame, keys: list[str], score: str, level: str, levels: list
     got = per.groupBy(*keys).agg(F.sum(up - down).alias("_s"), F.sum(pairs(here)).alias("_tied"), F.sum(here).alias("n"), *[F.sum(f"_c{k}").alias(f"_n{k}") for k in levels])
     level_ties = sum((pairs(F.col(f"_n{k}")) for k in levels), F.lit(0))
     all_ = pairs(F.col("n"))
-    return got.select(*keys, "n", (F.col("_s") / F.nullif(F.sqrt((all_ - F.col("_tied")) * (all_ - level_ties)), F.lit(0.0))).alias("kendall"))
+    return scratch.last(got.select(*keys, "n", (F.col("_s") / F.nullif(F.sqrt((all_ - F.col("_tied")) * (all_ - level_ties)), F.lit(0.0))).alias("kendall")))
 
 
 def model_rows(df: DataFrame, models: dict[str, str], keep: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Aggregates: robust location and scale, normalisation, effect sizes, ranking metrics, calibration, summaries.
 
-Rank-based metrics work on counts of distinct scores, so that equal scores cost one row and no group is collected.
+Rank-based metrics work on counts of distinct scores, so that equal scores cost one row, and on running sums over ranges
+of them (``prefix``), so that no stream is sorted in one task.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
+from strandline.operators.prefix import running_totals
+from strandline.sources.shared import Scratch
 
 
 def med(c, q: float = 0.5) -> Column:
@@ -34,33 +37,38 @@ def saturation(z: DataFrame, limit: float = 12.0) -> DataFrame:
     return z.groupBy("dataset", "feature_name").agg(F.avg((at & (F.col("z_value") < 0)).cast("double")).alias("low_rate"), F.avg((at & (F.col("z_value") > 0)).cast("double")).alias("high_rate"), F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"))
 
 
-def mid_ranks(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+def mid_ranks(df: DataFrame, keys: list[str], score: str, label: str, scratch: Scratch) -> DataFrame:
     """One row for each distinct score: positives, rows, and the mid rank of the score."""
     per = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(label).alias("pos"), F.count("*").alias("cnt"))
-    w = Window.partitionBy(*keys).orderBy(score)
-    return per.withColumn("rank", F.sum("cnt").over(w) - (F.col("cnt") - 1) / 2)
+    summed = running_totals(per, keys, [F.col(score)], {"_r": F.col("cnt")}, scratch)
+    return summed.withColumn("rank", F.col("_r") - (F.col("cnt") - 1) / 2).drop("_r")
 
 
 def auroc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Mann-Whitney AUROC with mid ranks; null where a class is missing."""
+    scratch = Scratch(df.sparkSession, "auroc")
     p, n = F.sum("pos"), F.sum("cnt") - F.sum("pos")
-    got = mid_ranks(df, keys, score, label).groupBy(*keys).agg((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2).alias("_u"), p.alias("n_pos"), n.alias("n_neg"))
-    return got.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
+    got = mid_ranks(df, keys, score, label, scratch).groupBy(*keys).agg((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2).alias("_u"), p.alias("n_pos"), n.alias("n_neg"))
+    result = got.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
+    return scratch.last(result)
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str, tie: str) -> DataFrame:
     """Sum of the precision at each positive over the number of positives, by falling score and then ``tie``."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), tie)
-    hit = df.where(F.col(score).isNotNull()).select(*keys, F.col(label).alias("y"), F.row_number().over(w).alias("rn"), F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
-    return hit.where("y = 1").groupBy(*keys).agg(F.avg(F.col("tp") / F.col("rn")).alias("average_precision"))
+    scratch = Scratch(df.sparkSession, "average-precision")
+    rows = df.where(F.col(score).isNotNull()).select(*keys, score, tie, F.col(label).alias("y"))
+    hit = running_totals(rows, keys, [F.col(score).desc(), F.col(tie)], {"rn": F.lit(1).cast("long"), "tp": F.col("y").cast("long")}, scratch)
+    return scratch.last(hit.where("y = 1").groupBy(*keys).agg(F.avg(F.col("tp") / F.col("rn")).alias("average_precision")))
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    scratch = Scratch(df.sparkSession, "spearman")
     for c, name in ((a, "_ra"), (b, "_rb")):
         per = df.groupBy(*keys, c).agg(F.count("*").alias("_c"))
-        w = Window.partitionBy(*keys).orderBy(c)
-        df = df.join(per.select(*keys, c, (F.sum("_c").over(w) - (F.col("_c") - 1) / 2).alias(name)), [*keys, c])
-    return df.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("spearman"))
+        ranked = running_totals(per, keys, [F.col(c)], {"_r": F.col("_c")}, scratch)
+        df = df.join(ranked.select(*keys, c, (F.col("_r") - (F.col("_c") - 1) / 2).alias(name)), [*keys, c])
+    spread = F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))  # null where one side does not vary
+    return scratch.last(df.groupBy(*keys).agg((F.covar_pop("_ra", "_rb") / spread).alias("spearman")))
 
 
 def cliffs_delta(df: DataFrame, keys: list[str], value: str, late: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Fits: ridge by normal equations, baseline covariance, thresholds, rank heads, risk heads, bootstraps, grids.
+"""Fits: ridge by normal equations, baseline covariance, thresholds, rank heads, risk heads.
 
 Sums over the data are Spark aggregates; what reaches the driver is a matrix whose size is that of the features.
 """
@@ -9,10 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
+from strandline.operators.logistic import Cells, fit_cells
+from strandline.operators.prefix import running_totals
+from strandline.sources.shared import Scratch
 
 
 def gram(df: DataFrame, keys: list[str], x: list[str], y: str | None = None) -> DataFrame:
@@ -76,11 +79,10 @@ def mahalanobis(df: DataFrame, features: list[str], least: int = 10) -> DataFram
 def threshold_candidates(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Recall, false positive rate and precision at every distinct score, from counts of distinct scores."""
     per = df.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc())
-    all_ = Window.partitionBy(*keys)
-    tp, n = F.sum("p").over(w), F.sum("c").over(w)
-    pos, rows = F.sum("p").over(all_), F.sum("c").over(all_)
-    return per.select(*keys, F.col(score).alias("threshold"), (tp / pos).alias("recall"), ((n - tp) / F.nullif(rows - pos, F.lit(0))).alias("fpr"), (tp / n).alias("precision"))
+    scratch = Scratch(df.sparkSession, "thresholds")
+    tp, n, pos, rows = (F.col(c) for c in ("_tp", "_n", "_tp_all", "_n_all"))
+    per = running_totals(per, keys, [F.col(score).desc()], {"_tp": F.col("p"), "_n": F.col("c")}, scratch, totals=True)
+    return scratch.last(per.select(*keys, F.col(score).alias("threshold"), (tp / pos).alias("recall"), ((n - tp) / F.nullif(rows - pos, F.lit(0))).alias("fpr"), (tp / n).alias("precision")))
 
 
 def choose_threshold(df: DataFrame, keys: list[str], score: str, label: str, recall: float = 0.85) -> DataFrame:
@@ -93,59 +95,24 @@ def choose_threshold(df: DataFrame, keys: list[str], score: str, label: str, rec
     return best.select(*keys, "b.*")
 
 
+def rank_cells(features: list[str], c: list[float]) -> Cells:
+    """Cells of rank heads, no intercept: a pair and its mirror image cost the same, so half of them and half the penalty do."""
+    n, p = len(c), len(features) + 1
+    free = np.column_stack([np.zeros(n), np.full((n, p - 1), np.inf)])
+    return Cells(-free, free, 1 / (4 * np.asarray(c, float)))
+
+
 def rank_head(pairs: DataFrame, features: list[str], c: float = 1.0) -> dict[str, float]:
     """L2 logistic without intercept on differences of mirrored pairs, normalised to unit L1 norm."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    up = pairs.select(*[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("label"))
-    both = up.unionByName(pairs.select(*[(-F.col(f)).cast("double").alias(f) for f in features], F.lit(0.0).alias("label")))
-    data = VectorAssembler(inputCols=features, outputCol="x").transform(both).select("x", "label").cache()
-    n = data.count()
-    fit = LogisticRegression(featuresCol="x", fitIntercept=False, standardization=False, regParam=1.0 / (c * n), maxIter=200, tol=1e-9).fit(data)
-    data.unpersist()
-    beta = fit.coefficients.toArray()
+    fit = fit_cells(pairs.withColumn("_up", F.lit(1.0)), [], features, "_up", None, rank_cells(features, [c]), summed=True)
+    beta = fit[features].to_numpy(float)[0]
     return dict(zip(features, (beta / max(np.abs(beta).sum(), 1e-12)).tolist(), strict=True))
 
 
 def risk_head(df: DataFrame, features: list[str], soft: str, weight: str, ridge: float = 0.01, high: float = 5.0):
-    """Soft-label logistic with coefficients in [0, high] and intercept in [-10, 10]: each row is a 1 and a 0 of fractional weight."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.linalg import DenseMatrix, DenseVector
-
-    base = df.dropna(subset=features)
-    rows = base.select(*features, F.lit(1.0).alias("label"), (F.col(weight) * F.col(soft)).alias("w")).unionByName(base.select(*features, F.lit(0.0).alias("label"), (F.col(weight) * (1 - F.col(soft))).alias("w"))).where("w > 0")
-    data = VectorAssembler(inputCols=features, outputCol="x").transform(rows)
-    k = len(features)
-    lr = LogisticRegression(featuresCol="x", weightCol="w", standardization=False, regParam=2 * ridge, maxIter=300, tol=1e-9, family="binomial")
-    lr = lr.setLowerBoundsOnCoefficients(DenseMatrix(1, k, [0.0] * k)).setUpperBoundsOnCoefficients(DenseMatrix(1, k, [high] * k)).setLowerBoundsOnIntercepts(DenseVector([-10.0])).setUpperBoundsOnIntercepts(DenseVector([10.0]))
-    fit = lr.fit(data)
-    return fit.intercept, dict(zip(features, fit.coefficients.toArray().tolist(), strict=True))
-
-
-def block_bootstrap_signs(df: DataFrame, features: list[str], replicates: int = 100, block: int = 20, seed: int = 5) -> DataFrame:
-    """Share of block-bootstrap replicates in which the early-to-late median shift keeps its sign, for each feature.
-
-    Replicates run in parallel on a bounded stratum: the windows of stages 1 and 5 of one stream.
-    """
-    schema = "dataset string, replicate int, feature_name string, sign int"
-
-    def one(key, pdf):
-        rng = np.random.default_rng([seed, int(key[1])])
-        pdf = pdf.sort_values("window_index")
-        parts = []
-        for stage in (1, 5):
-            x = pdf.loc[pdf["stage"] == stage, features].to_numpy(float)
-            starts = rng.integers(0, max(1, len(x) - block + 1), -(-len(x) // block))
-            parts.append(np.concatenate([x[s : s + block] for s in starts])[: len(x)] if len(x) else np.full((1, len(features)), np.nan))
-        sign = np.sign(np.nan_to_num(np.nanmedian(parts[1], axis=0) - np.nanmedian(parts[0], axis=0)))
-        return pd.DataFrame({"dataset": key[0], "replicate": int(key[1]), "feature_name": features, "sign": sign.astype(int)})
-
-    rows = df.where("stage in (1, 5)").select("dataset", "window_index", "stage", *features).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = rows.groupBy("dataset", "replicate").applyInPandas(one, schema)
-    mode = drawn.groupBy("dataset", "feature_name").agg(F.sum("sign").alias("s"), F.count("*").alias("n"))
-    return mode.select("dataset", "feature_name", (0.5 + F.abs(F.col("s")) / (2 * F.col("n"))).alias("stability"))
+    """Soft-label logistic with coefficients in [0, high] and intercept in [-10, 10], as (intercept, coefficients)."""
+    fit = fit_cells(df, [], features, soft, weight, Cells.grid(features, [features], [ridge], high)).iloc[0]
+    return float(fit["intercept"]), {f: float(fit[f]) for f in features}
 
 
 def greedy_redundancy(corr: np.ndarray, order: list[int], limit: float = 0.95, factor: float = 0.5) -> list[float]:

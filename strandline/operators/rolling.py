@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
+from strandline.operators.prefix import running_totals
 from strandline.operators.streams import framed, running_sum
+from strandline.sources.shared import Scratch
 
 
 def back(w, k: int, to: int = 0):
@@ -148,7 +150,8 @@ def episodes(df: DataFrame, flag: str, position: str = "_at", keys=("dataset",))
 def pct_rank(df: DataFrame, column: str, keys=("dataset",), name: str = "pct") -> DataFrame:
     """Average percentile rank times 100: ranks come from a count of distinct values, not from sorting rows."""
     keys = list(keys)
+    scratch = Scratch(df.sparkSession, "ranks")
     values = df.groupBy(*keys, column).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(column)
-    ranked = values.select(*keys, column, (F.sum("_c").over(w) - (F.col("_c") - 1) / 2).alias("_r"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
-    return df.join(ranked, [*keys, column]).withColumn(name, 100 * F.col("_r") / F.col("_n")).drop("_r", "_n")
+    summed = running_totals(values, keys, [F.col(column)], {"_r": F.col("_c")}, scratch, totals=True)
+    ranked = summed.select(*keys, column, (F.col("_r") - (F.col("_c") - 1) / 2).alias("_r"), "_r_all")
+    return scratch.last(df.join(ranked, [*keys, column]).withColumn(name, 100 * F.col("_r") / F.col("_r_all")).drop("_r", "_r_all"))

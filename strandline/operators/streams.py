@@ -124,12 +124,11 @@ def stage_split(df: DataFrame, share: float = 0.7, gap: int = 20, least: int = 2
 
     Stages under ``least`` rows take no part. ``part``: train, validation or none.
     """
-    n = Window.partitionBy("dataset", "stage")
-    rn = F.row_number().over(n.orderBy("window_index")) - 1
-    size = F.count("*").over(n)
+    df = number_rows(df, ["dataset", "stage"], F.floor(F.col("window_index") / 8192), ["window_index"], "_rn", "_size")
+    rn, size = F.col("_rn") - 1, F.col("_size")
     cut = F.floor(size * share)
     part = F.when(size < least, "none").when(rn < cut - gap, "train").when(rn >= cut + gap, "validation").otherwise("none")
-    return df.withColumn("part", part)
+    return df.withColumn("part", part).drop("_rn", "_size")
 
 
 def chrono_split(df: DataFrame, share: float = 0.7, gap: int = 20) -> DataFrame:

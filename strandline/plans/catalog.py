@@ -642,11 +642,6 @@ def threshold_search(s, sf):
     return L.choose_threshold(late(s, sf), ["dataset"], "ra", "late").select("dataset", r6("threshold"), r6("recall"), r6("fpr"), r6("precision"), "feasible")
 
 
-@query()
-def bootstrap_stability(s, sf):
-    return L.block_bootstrap_signs(B.scores(s, sf), [f"z_{f}" for f in B.FEATURES], 40).select("dataset", "feature_name", r6("stability"))
-
-
 # ================================================================== state machines
 
 

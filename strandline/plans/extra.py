@@ -133,23 +133,6 @@ def top_by_magnitude(s, sf):
     return B.scores(s, sf).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("dataset", F.col("rank").cast("long").alias("rank"), "window_index", r6("awr"))
 
 
-@query()
-def rank_head(s, sf):
-    """Weights of the temporal rank head on windows 100 apart."""
-    sc = B.scores(s, sf).select("dataset", "window_index", *Z)
-    later = sc.select("dataset", (F.col("window_index") - 100).alias("window_index"), *[F.col(c).alias(f"_{c}") for c in Z])
-    d = sc.join(later, ["dataset", "window_index"]).select(*[(F.col(f"_{c}") - F.col(c)).alias(c) for c in Z])
-    return s.createDataFrame(sorted(L.rank_head(d, Z).items()), "feature_name string, weight double")
-
-
-@query()
-def risk_head(s, sf):
-    """Coefficients of the bounded soft-label risk head."""
-    sc = B.scores(s, sf).withColumns({"soft": A.mapped(F.col("stage"), A.SOFT_LABELS), "weight": A.mapped(F.col("stage"), A.SOFT_WEIGHTS)})
-    b0, beta = L.risk_head(sc, Z, "soft", "weight")
-    return s.createDataFrame([("intercept", float(b0)), *sorted(beta.items())], "feature_name string, coefficient double")
-
-
 @query(
     ", e AS (SELECT dataset, window_index, greatest(0, least(1, 1 - bd / 10)) AS e FROM sc), r AS ("
     "SELECT dataset, CAST(-1 AS BIGINT) AS window_index, CAST(1 AS DOUBLE) AS v FROM (SELECT DISTINCT dataset FROM e) UNION ALL "

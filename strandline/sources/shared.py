@@ -64,3 +64,9 @@ class Scratch:
     def keep(self, *results: DataFrame) -> None:
         """Remove all settled tables but those that the operator's result reads."""
         self.drop(*[t for t in self._tables if all(t is not r for r in results)])
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """``df`` written as the operator's result, and all tables that it came from removed."""
+        result = self.settle(df, "result")
+        self.keep(result)
+        return result
