@@ -56,6 +56,10 @@ class Scratch:
             self.remove(df._strandline_path)
             self._tables = [t for t in self._tables if t is not df]
 
+    def release(self, *frames: DataFrame | None) -> None:
+        """Remove those of the frames that are settled tables."""
+        self.drop(*[t for t in self._tables if any(t is f for f in frames)])
+
     def remove(self, where: str) -> None:
         """Remove a folder of files that operators wrote themselves."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
