@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
@@ -17,6 +17,7 @@ from strandline.operators import topk as K
 from strandline.plans import base as B
 from strandline.plans.base import SQL, SQL_LINES, SQL_WAVES, r6
 from strandline.sources import tables as T
+from strandline.sources.shared import Scratch
 from strandline.streaming import hosts as H
 from strandline.streaming import machines as X
 
@@ -708,27 +709,87 @@ def nuisance_adapter(s, sf):
 
 
 HORIZONS = (50, 100, 200)
+#: Forecasts are issued every 50 cycles, from ten rows of three inputs, which are the outputs, too.
+ISSUE, ISSUE_ROWS, OUTPUTS, FORECAST_HORIZONS = 10, 10, ("awr", "bd", "z_x_p2p"), (50, 100, 200, 500)
 
 
-def frozen_heads(s, sf) -> DataFrame:
-    """dataset, horizon and the ridge weights of the change over the horizon, fitted on the first 40 % of each stream."""
-    h = frame(s, sf, {"h": R.history(["awr"])}, 19).where("h is not null").select("dataset", "window_index", "awr", *[F.get("h", i).alias(f"h{i}") for i in (1, 2, 3)])
-    n = h.groupBy("dataset").agg(F.count("*").alias("_n"))
-    x = h.join(n, "dataset").where(F.col("window_index") < 0.4 * F.col("_n")).withColumn("horizon", F.explode(F.array(*[F.lit(float(k)) for k in HORIZONS])))
-    x = x.withColumn("due", (F.col("window_index") + F.col("horizon") / 5).cast("long")).withColumn("one", F.lit(1.0))
-    rows = x.join(h.select("dataset", F.col("window_index").alias("due"), F.col("awr").alias("later")), ["dataset", "due"]).withColumn("y", F.col("later") - F.col("awr"))
-    fit = L.ridge(rows, ["dataset", "horizon"], ["one", "h1", "h2", "h3"], "y")
-    by_term = F.map_from_entries(F.collect_list(F.struct("term", "coefficient")))
-    return fit.groupBy("dataset", "horizon").agg(by_term.alias("_w")).select("dataset", "horizon", F.array(*[F.element_at("_w", t) for t in ("one", "h1", "h2", "h3")]).alias("frozen"))
+def directions(sc: DataFrame) -> DataFrame:
+    """source, dataset: each stream (few, one row each) with the next one by name as its source, the last with the first."""
+    names = sc.select("dataset").distinct()
+    by_name = Window.orderBy("dataset")
+    first = F.first("dataset").over(by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return names.select("dataset", F.coalesce(F.lead("dataset").over(by_name), first).alias("source"))
+
+
+def issued(s, sf) -> DataFrame:
+    """Every ISSUE-th window of each stream, numbered in ``_at``."""
+    return machine_rows(s, sf).where(F.col("window_index") % ISSUE == 0).select("dataset", "window_index", "center_cycle", "guard", *OUTPUTS, (F.col("window_index") / ISSUE + 1).cast("long").alias("_at"))
+
+
+def source_heads(base: DataFrame) -> DataFrame:
+    """dataset, output, horizon, frozen: ridge weights of the change over a horizon, fitted on the whole source stream.
+
+    A target stream gets the weights of its source and never one of its own rows. Below 20 rows there is no head.
+    """
+    back = lambda w: w.rowsBetween(1 - ISSUE_ROWS, 0)
+    parts = {"_m": lambda c: lambda w: F.avg(c).over(back(w)), "_d": lambda c: lambda w: F.stddev_pop(c).over(back(w)), "_e": lambda c: lambda w: F.col(c) - F.first(c).over(back(w))}
+    terms = ["one", *[f"{p}_{c}" for p in parts for c in OUTPUTS]]
+    columns = {f"{p}_{c}": make(c) for p, make in parts.items() for c in OUTPUTS} | {"_n": lambda w: F.count("*").over(back(w))}
+    full = S.framed(base, ["dataset"], "_at", columns, ISSUE_ROWS - 1).where(F.col("_n") == ISSUE_ROWS).withColumn("one", F.lit(1.0))
+    outputs = F.explode(F.array(*[F.struct(F.lit(c).alias("output"), F.col(c).alias("v")) for c in OUTPUTS])).alias("_o")
+    asked = full.withColumn("horizon", F.explode(F.array(*map(F.lit, FORECAST_HORIZONS)))).select("dataset", "horizon", (F.col("_at") + F.col("horizon") / (5 * ISSUE)).cast("long").alias("_at"), *terms, outputs).select("dataset", "horizon", "_at", *terms, "_o.*")
+    later = base.select("dataset", "_at", outputs).select("dataset", "_at", "_o.output", F.col("_o.v").alias("later"))
+    fit = L.ridge(asked.join(later, ["dataset", "_at", "output"]).withColumn("y", F.col("later") - F.col("v")), ["dataset", "output", "horizon"], terms, "y")
+    weights = F.map_from_entries(F.collect_list(F.struct("term", "coefficient")))
+    heads = fit.groupBy("dataset", "output", "horizon").agg(weights.alias("_w")).select(F.col("dataset").alias("source"), "output", F.col("horizon").cast("double").alias("horizon"), F.array(*[F.element_at("_w", t) for t in terms]).alias("frozen"))
+    return directions(base).join(heads, "source").drop("source")
 
 
 @query()
 def safe_ensemble(s, sf):
-    """Delayed-feedback forecasts of a frozen ridge head and online ones; streams times horizons run in parallel."""
-    rows = machine_rows(s, sf).select("dataset", "window_index", "center_cycle", "guard", F.col("awr").alias("value"), F.explode(F.array(*[F.lit(float(k)) for k in HORIZONS])).alias("horizon"))
-    rows = rows.join(frozen_heads(s, sf), ["dataset", "horizon"], "left")
-    columns = ["zero", "linear", "kalman", "frozen", "online", "safe", "alpha", "mode", "settled"]
-    return H.backfill(rows, ["dataset", "horizon"], "window_index", X.Forecaster, "dataset string, horizon double, window_index long, zero double, linear double, kalman double, frozen double, online double, safe double, alpha double, mode string, settled int", columns)
+    """Delayed-feedback forecasts of three outputs over four horizons, each stream with the frozen heads of its source.
+
+    Streams, outputs and horizons are keys of their own, so they run in parallel.
+    """
+    scratch = Scratch(s, "forecasts")
+    base = scratch.settle(issued(s, sf), "issued")
+    inputs = F.array(*OUTPUTS).alias("inputs")
+    outputs = F.explode(F.array(*[F.struct(F.lit(c).alias("output"), F.col(c).alias("value")) for c in OUTPUTS])).alias("_o")
+    rows = base.select("dataset", "window_index", "center_cycle", "guard", inputs, outputs).select("*", "_o.*", F.explode(F.array(*[F.lit(float(h)) for h in FORECAST_HORIZONS])).alias("horizon")).drop("_o")
+    rows = rows.join(scratch.settle(source_heads(base), "heads"), ["dataset", "output", "horizon"], "left")
+    columns = ["zero", "linear", "kalman", "frozen", "online", "safe", "alpha", "mode", "episode", "settled"]
+    schema = "dataset string, output string, horizon double, window_index long, zero double, linear double, kalman double, frozen double, online double, safe double, alpha double, mode string, episode int, settled int"
+    make = lambda: X.Forecaster(history=ISSUE_ROWS, ring=100)
+    return scratch.last(H.backfill(rows, ["dataset", "output", "horizon"], "window_index", make, schema, columns))
+
+
+@query()
+def shared_forecast(s, sf):
+    """Forecasts of all outputs by one recursive fit a stream and horizon, whose outputs share a covariance."""
+    scratch = Scratch(s, "forecasts")
+    base = scratch.settle(issued(s, sf), "issued")
+    by_output = F.map_from_entries(F.collect_list(F.struct("output", "frozen")))
+    heads = source_heads(base).groupBy("dataset", "horizon").agg(by_output.alias("_w")).where(F.size("_w") == len(OUTPUTS))
+    heads = heads.select("dataset", "horizon", F.array(*[F.element_at("_w", c) for c in OUTPUTS]).alias("frozen"))
+    both = F.array(*OUTPUTS)
+    rows = base.select("dataset", "window_index", "center_cycle", both.alias("inputs"), both.alias("values"), F.explode(F.array(*[F.lit(float(h)) for h in FORECAST_HORIZONS])).alias("horizon"))
+    rows = rows.join(scratch.settle(heads, "heads"), ["dataset", "horizon"], "left")
+    got = H.backfill(rows, ["dataset", "horizon"], "window_index", lambda: X.SharedForecaster(ISSUE_ROWS), "dataset string, horizon double, window_index long, frozen array<double>, online array<double>, settled int", ["frozen", "online", "settled"])
+    part = lambda c, p: [F.get(c, i).alias(f"{p}_{name}") for i, name in enumerate(OUTPUTS)]
+    return scratch.last(got.select("dataset", "horizon", "window_index", "settled", *part("frozen", "frozen"), *part("online", "online")))
+
+
+@query()
+def forecast_scores(s, sf):
+    """Mean error, root mean square and share of right directions of each model, output and horizon, where observed."""
+    made = safe_ensemble(s, sf)
+    truth = issued(s, sf).select("dataset", "window_index", F.explode(F.array(*[F.struct(F.lit(c).alias("output"), F.col(c).alias("later")) for c in OUTPUTS])).alias("_o")).select("dataset", "window_index", "_o.*")
+    due = (F.col("window_index") + F.col("horizon") / 5).cast("long")
+    both = made.where("safe IS NOT NULL").withColumn("due", due).join(truth.withColumnRenamed("window_index", "due"), ["dataset", "output", "due"])
+    models = ["zero", "linear", "kalman", "frozen", "online", "safe"]
+    long = both.select("dataset", "output", "horizon", F.col("zero").alias("now"), "later", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("guess")) for m in models])).alias("_m")).select("*", "_m.*")
+    e, right = F.col("guess") - F.col("later"), F.signum(F.col("guess") - F.col("now")) == F.signum(F.col("later") - F.col("now"))
+    return long.groupBy("dataset", "output", "horizon", "model").agg(F.count("*").alias("n"), r6(F.avg(F.abs(e)), "mae"), r6(F.sqrt(F.avg(e * e)), "rmse"), r6(F.avg(right.cast("double")), "direction_accuracy"))
 
 
 @query(

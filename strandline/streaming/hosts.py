@@ -1,10 +1,11 @@
-"""Two hosts for a state machine: an ordered backfill and a Structured Streaming operator.
+"""Hosts for a state machine: an ordered backfill and two Structured Streaming operators.
 
-Streams are independent, so both hosts key by stream (and model, output or horizon, where a machine has several). The
+Streams are independent, so all hosts key by stream (and model, output or horizon, where a machine has several). The
 backfill sorts each task's rows by stream and order and steps through them batch by batch, with the machine's state carried
 over: a task holds one Arrow batch and one machine, however long its streams are. A single stream is still replayed by
 one task, since each step needs the one before. The streaming host keeps the machine's state as one JSON value in the
-state store, so a restart continues from its checkpoint.
+state store, so a restart continues from its checkpoint. The timed host keeps rows, too, until the watermark has passed
+them, and steps them by event-time timers.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from strandline.streaming import machines
 from strandline.streaming.machines import Machine
 
 
 def _plain(value):
-    if isinstance(value, np.ndarray):
-        return value.tolist()
+    if isinstance(value, (np.ndarray, list)):
+        return [_plain(v) for v in value]
     if isinstance(value, np.generic):
         value = value.item()
     return None if isinstance(value, float) and value != value else value
@@ -84,14 +86,64 @@ class MachineProcessor(StatefulProcessor):
         pass
 
 
+class TimedProcessor(StatefulProcessor):
+    """One machine a key, stepped in event time: rows wait in the state store until the watermark passes them.
+
+    Each row sets a timer at its own time. When it fires, all rows up to it are stepped in order and leave the store, so
+    rows may arrive in any order within the watermark's delay; what comes later than that is dropped by Spark.
+    """
+
+    def __init__(self, keys: list[str], order: str, time: str, make: Callable[[], Machine], columns: list[str]):
+        self.keys, self.order, self.time, self.make, self.columns = keys, order, time, make, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("machine", "body string")
+        self.rows = handle.getMapState("rows", "at double", "body string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for r in _rows(pdf):
+                when = int(pd.Timestamp(r.pop(self.time)).value // 1_000_000)
+                self.rows.updateValue((float(r[self.order]),), (json.dumps([when, r]),))
+                self.handle.registerTimer(when)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit, due = expiredTimerInfo.getExpiryTimeInMs(), []
+        for at, body in self.rows.iterator():
+            when, row = json.loads(body[0])
+            if when <= limit:
+                due.append((at[0], row))
+        if not due:
+            return
+        machine = self.make()
+        if self.value.exists():
+            _load(machine, json.loads(self.value.get()[0]))
+        out = []
+        for at, row in sorted(due, key=lambda d: d[0]):
+            self.rows.removeKey((at,))
+            made = machine.step(row)
+            out.append({**{k: row[k] for k in (*self.keys, self.order)}, **{c: _plain(made[c]) for c in self.columns}})
+        self.value.update((json.dumps(_dump(machine)),))
+        yield pd.DataFrame(out, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
 def _dump(machine: Machine) -> dict:
-    return {k: {"_machine": _dump(v)} if isinstance(v, Machine) else v for k, v in machine.__dict__.items()}
+    return {k: {"_machine": _dump(v), "_class": type(v).__name__} if isinstance(v, Machine) else v for k, v in machine.__dict__.items()}
 
 
 def _load(machine: Machine, state: dict) -> None:
     for k, v in state.items():
         if isinstance(v, dict) and "_machine" in v:
-            _load(getattr(machine, k), v["_machine"])
+            part = getattr(machine, k)
+            if part is None:  # made on the way
+                part = getattr(machines, v["_class"]).__new__(getattr(machines, v["_class"]))
+                setattr(machine, k, part)
+            _load(part, v["_machine"])
         else:
             setattr(machine, k, v)
 
@@ -99,3 +151,9 @@ def _load(machine: Machine, state: dict) -> None:
 def streaming(df: DataFrame, keys: list[str], order: str, make: Callable[[], Machine], schema: str, columns: list[str]) -> DataFrame:
     """The same machine over a streaming DataFrame (needs the RocksDB state store)."""
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=MachineProcessor(keys, order, make, columns), outputStructType=schema, outputMode="Update", timeMode="None")
+
+
+def streaming_timed(df: DataFrame, keys: list[str], order: str, time: str, delay: str, make: Callable[[], Machine], schema: str, columns: list[str]) -> DataFrame:
+    """The same machine in event time: ``time`` is watermarked by ``delay``, and timers step the rows that it passes."""
+    late = df.withWatermark(time, delay).groupBy(*keys)
+    return late.transformWithStateInPandas(statefulProcessor=TimedProcessor(keys, order, time, make, columns), outputStructType=schema, outputMode="Append", timeMode="EventTime")

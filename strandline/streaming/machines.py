@@ -191,110 +191,192 @@ class NuisanceAdapter(Machine):
 
 
 class Recursive(Machine):
-    """Recursive least squares with forgetting, a clipped residual and a bounded gain."""
+    """Recursive least squares with forgetting from given weights, a clipped residual and a bounded gain."""
 
-    def __init__(self, n: int, forget: float = 0.999, cov: float = 100.0, gain: float = 0.10):
-        self.n, self.forget, self.cov, self.gain = n, forget, cov, gain
-        self.theta, self.p, self.errors = [0.0] * n, (cov * np.eye(n)).tolist(), []
+    def __init__(self, start: Sequence[float], forget: float = 0.999, cov: float = 100.0, gain: float = 0.10):
+        self.start, self.forget, self.cov, self.gain = list(start), forget, cov, gain
+        self.reset()
+
+    def reset(self) -> None:
+        """Back to the weights that it began with."""
+        self.theta, self.p = list(self.start), (self.cov * np.eye(len(self.start))).tolist()
 
     def predict(self, x: Sequence[float]) -> float:
         return float(np.dot(self.theta, x))
 
-    def update(self, x: Sequence[float], y: float) -> None:
+    def update(self, x: Sequence[float], y: float, limit: float) -> None:
         v, p = np.asarray(x, float), np.asarray(self.p)
-        error = y - self.predict(x)
-        self.errors = [*self.errors, error][-200:]
-        limit = 3 * spread(self.errors, 1e-6)
-        gain = p @ v / (self.forget + v @ p @ v)
-        size = float(np.linalg.norm(gain))
-        step = gain * (self.gain / size if size > self.gain else 1.0)
-        self.theta = (np.asarray(self.theta) + step * max(-limit, min(limit, error))).tolist()
+        pv = p @ v
+        gain = pv / max(self.forget + float(v @ pv), 1e-12)
+        size = float(np.sqrt(gain @ gain))
+        if size > self.gain:
+            gain *= self.gain / size
+        error = y - float(np.dot(self.theta, v))
+        self.theta = (np.asarray(self.theta) + gain * max(-limit, min(limit, error))).tolist()
+        self.p = ((p - np.outer(gain, v @ p)) / self.forget).tolist()
+
+
+class SharedRecursive(Machine):
+    """Recursive least squares of several outputs that share one covariance: a row of weights for each output."""
+
+    def __init__(self, start: Sequence[Sequence[float]], forget: float = 0.995, cov: float = 100.0):
+        self.forget, self.theta = forget, [list(w) for w in start]
+        self.p = (cov * np.eye(len(self.theta[0]))).tolist()
+
+    def predict(self, x: Sequence[float]) -> list[float]:
+        return (np.asarray(self.theta) @ np.asarray(x, float)).tolist()
+
+    def update(self, x: Sequence[float], y: Sequence[float]) -> None:
+        v, p, theta = np.asarray(x, float), np.asarray(self.p), np.asarray(self.theta)
+        pv = p @ v
+        gain = pv / (self.forget + float(v @ pv))
+        self.theta = (theta + np.outer(np.asarray(y, float) - theta @ v, gain)).tolist()
         self.p = ((p - np.outer(gain, v @ p)) / self.forget).tolist()
 
 
 class Kalman(Machine):
-    """Local level and trend."""
+    """Local level and trend. The first observation is the level."""
 
     def __init__(self, noise: float = 1e-3, level: float = 1e-4, trend: float = 1e-7):
         self.noise, self.level_noise, self.trend_noise = noise, level, trend
-        self.x, self.p, self.at = [0.0, 0.0], np.eye(2).tolist(), None
+        self.x, self.p, self.at = [0.0, 0.0], [[1.0, 0.0], [0.0, 1.0]], None
 
     def update(self, at: float, y: float) -> None:
-        dt = 1.0 if self.at is None else max(1.0, at - self.at)
-        f = np.array([[1, dt], [0, 1]])
-        x = f @ np.asarray(self.x)
-        p = f @ np.asarray(self.p) @ f.T + np.diag([self.level_noise * dt**2, self.trend_noise * dt])
         if self.at is None:
-            x[0] = y
-        gain = p[:, 0] / (p[0, 0] + self.noise)
-        self.x, self.p, self.at = (x + gain * (y - x[0])).tolist(), (p - np.outer(gain, p[0])).tolist(), at
-
-    def predict(self, h: float) -> float:
-        return self.x[0] + h * self.x[1]
+            self.x, self.at = [y, 0.0], at
+            return
+        dt = max(1.0, at - self.at)
+        (a, b), (c, d) = self.p
+        # one step ahead: F p F' + Q with F = [[1, dt], [0, 1]]
+        a, b, d = a + dt * (b + c) + dt * dt * d + self.level_noise * dt * dt, b + dt * d, d + self.trend_noise * dt
+        level, trend = self.x[0] + dt * self.x[1], self.x[1]
+        g0, g1 = a / (a + self.noise), b / (a + self.noise)
+        self.x = [level + g0 * (y - level), trend + g1 * (y - level)]
+        self.p, self.at = [[a - g0 * a, b - g0 * b], [b - g1 * a, d - g1 * b]], at
+
+    def trend(self) -> float:
+        return self.x[1]
+
+
+class History(Machine):
+    """The last rows of several inputs, and the features of a forecast: one, their means, deviations and changes."""
+
+    def __init__(self, rows: int):
+        self.rows, self.past = rows, []
+
+    def push(self, inputs: Sequence[float | None]) -> list[float] | None:
+        self.past.append([math.nan if v is None else v for v in inputs])
+        if len(self.past) > self.rows:
+            del self.past[0]
+        x = np.asarray(self.past, float)
+        if len(x) < self.rows or not np.isfinite(x).all():
+            return None
+        return [1.0, *x.mean(axis=0).tolist(), *x.std(axis=0).tolist(), *(x[-1] - x[0]).tolist()]
 
 
 class Forecaster(Machine):
-    """Delayed-feedback forecasts: zero change, local linear, Kalman, recursive, and a safe mixture of frozen and online.
+    """Delayed-feedback forecasts of one output over one horizon: zero change, local linear, Kalman, a frozen head, an
+    online one that starts from the frozen weights, and a safe mixture of both.
 
-    The frozen head is a linear one whose weights come with the rows (``frozen``: intercept, mean, deviation, difference of
-    the last ``history`` values), fitted on a source part of the stream; without it no change is forecast. Rows may name
-    their ``horizon``, so that one stream is replayed for several of them, each with a head of its own.
+    Rows bring ``inputs``, the output's ``value``, their ``horizon`` and the ``frozen`` weights (those of a source stream);
+    a row without a value or without a full history of finite inputs makes no forecast, nor does a stream without weights.
 
-    A forecast settles when the first row at or after its due cycle arrives; until then no model sees it. A worse online
-    head is frozen and its weight is reset; a better one gains weight in small steps.
+    A forecast settles when the first row at or after its due cycle arrives; until then no model sees it. Heads are on
+    probation until ``ring`` forecasts have settled. One that is worse than the frozen head (1.10 of its mean error, or
+    1.20 of its root mean square) is set back to the frozen weights and frozen for ``freeze`` cycles; a freeze is never
+    prolonged, and ends in a new probation. A better one gains weight in steps of ``gain``.
     """
 
-    def __init__(self, horizon: float = 100.0, history: int = 20, ring: int = 200, freeze: float = 500.0):
-        self.horizon, self.history, self.ring, self.freeze = horizon, history, ring, freeze
-        self.online, self.kalman = Recursive(4), Kalman()
-        self.past: list[float] = []
-        self.cycles: list[float] = []
+    def __init__(self, history: int = 20, ring: int = 200, freeze: float = 500.0, slope_rows: int = 10, gain: float = 0.05):
+        self.ring, self.freeze, self.slope_rows, self.gain = ring, freeze, slope_rows, gain
+        self.history, self.kalman, self.online = History(history), Kalman(), None
+        self.recent: list[list[float]] = []
         self.waiting: list[dict] = []
-        self.scores: list[tuple[float, float]] = []
-        self.alpha, self.mode, self.thaw = 0.0, "PROBATION", -1.0
-
-    def _features(self) -> list[float] | None:
-        if len(self.past) < self.history:
-            return None
-        x = np.asarray(self.past[-self.history :])
-        return [1.0, float(x.mean()), float(x.std()), float(x[-1] - x[0])]
+        self.scores: list[list[float]] = []
+        self.alpha, self.mode, self.thaw, self.episode = 0.0, "PROBATION", -math.inf, 0
 
-    def step(self, row: dict) -> dict:
-        at, y, guard, horizon = row["center_cycle"], row["value"], bool(row.get("guard")), row.get("horizon") or self.horizon
-        if self.mode == "FROZEN" and at >= self.thaw:
-            self.mode = "PROBATION"
+    def _settle(self, at: float, y: float, guard: bool) -> int:
         settled = 0
         while self.waiting and self.waiting[0]["due"] <= at:
             w = self.waiting.pop(0)
             settled += 1
             change = y - w["value"]
-            self.scores = [*self.scores, (abs(w["frozen"] - change), abs(w["online"] - change))][-self.ring :]
+            self.scores.append([abs(w["frozen"] - change), abs(w["online"] - change)])
+            if len(self.scores) > self.ring:
+                del self.scores[0]
             if self.mode != "FROZEN" and not w["guard"] and not guard:
-                self.online.update(w["x"], change)
-        if len(self.scores) == self.ring:
-            frozen, online = np.asarray(self.scores).mean(0)
-            if online > 1.10 * frozen:
-                self.mode, self.thaw, self.alpha = "FROZEN", at + self.freeze, 0.0
-                self.online, self.scores = Recursive(4), []
-            elif self.mode == "PROBATION":
-                self.mode = "ACTIVE"
-            elif self.mode == "ACTIVE" and online <= 0.95 * frozen:
-                self.alpha = min(1.0, self.alpha + 0.05)
-        self.past, self.cycles = [*self.past, y][-100:], [*self.cycles, at][-100:]
+                self.online.update(w["x"], change, 3 * spread([e[1] for e in self.scores], 1e-9))
+            if len(self.scores) == self.ring and self.mode != "FROZEN":
+                self._judge(at)
+        return settled
+
+    def _judge(self, at: float) -> None:
+        errors = np.asarray(self.scores)
+        (frozen, online), (frozen2, online2) = np.maximum(errors.mean(0), 1e-9), np.maximum(np.sqrt((errors**2).mean(0)), 1e-9)
+        if online > 1.10 * frozen or online2 > 1.20 * frozen2:
+            self.mode, self.thaw, self.alpha, self.episode = "FROZEN", at + self.freeze, 0.0, self.episode + 1
+            self.online.reset()
+        elif self.mode == "PROBATION":
+            self.mode, self.alpha = "ACTIVE", 0.0
+        elif online <= 0.95 * frozen and online2 <= 1.05 * frozen2:
+            self.alpha = min(1.0, self.alpha + self.gain)
+
+    def _slope(self) -> float:
+        if len(self.recent) < 3:
+            return 0.0
+        x = np.asarray(self.recent)
+        return float(np.median(np.diff(x[:, 1]) / np.maximum(np.diff(x[:, 0]), 1e-9)))
+
+    def step(self, row: dict) -> dict:
+        at, y, guard, horizon = row["center_cycle"], row["value"], bool(row.get("guard")), row["horizon"]
+        if self.mode == "FROZEN" and at >= self.thaw:
+            self.mode, self.alpha, self.scores = "PROBATION", 0.0, []
+        if self.online is None and row.get("frozen"):
+            self.online = Recursive(row["frozen"])
+        settled = self._settle(at, y, guard) if y is not None else 0
+        x = self.history.push(row["inputs"])
+        out = {"zero": None, "linear": None, "kalman": None, "frozen": None, "online": None, "safe": None, "alpha": self.alpha, "mode": self.mode, "episode": self.episode, "settled": settled}
+        if y is None:
+            return out
+        self.kalman.update(at, y)
         if not guard:
-            self.kalman.update(at, y)
-        x = self._features()
-        out = {"zero": None, "linear": None, "kalman": None, "frozen": None, "online": None, "safe": None, "alpha": self.alpha, "mode": self.mode, "settled": settled}
-        if x is not None:
-            rates = np.diff(self.past) / np.maximum(np.diff(self.cycles), 1e-9)
-            linear, online = horizon * middle(rates), self.online.predict(x)
-            frozen = float(np.dot(row["frozen"], x)) if row.get("frozen") else 0.0
+            self.recent.append([at, y])
+            del self.recent[: -self.slope_rows]
+        if x is not None and self.online is not None:
+            frozen, online = float(np.dot(row["frozen"], x)), self.online.predict(x)
             safe = (1 - self.alpha) * frozen + self.alpha * online
-            out |= {"zero": y, "linear": y + linear, "kalman": self.kalman.predict(horizon), "frozen": y + frozen, "online": y + online, "safe": y + safe}
+            out |= {"zero": y, "linear": y + horizon * self._slope(), "kalman": y + horizon * self.kalman.trend(), "frozen": y + frozen, "online": y + online, "safe": y + safe}
             self.waiting.append({"due": at + horizon, "value": y, "x": x, "frozen": frozen, "online": online, "guard": guard})
         return out
 
 
+class SharedForecaster(Machine):
+    """Delayed-feedback forecasts of several outputs over one horizon by one recursive fit with a shared covariance.
+
+    Rows bring ``inputs``, ``values`` (one for each output), their ``horizon`` and ``frozen`` (weights of each output).
+    """
+
+    def __init__(self, history: int = 20):
+        self.history, self.online, self.waiting = History(history), None, []
+
+    def step(self, row: dict) -> dict:
+        at, y = row["center_cycle"], row["values"]
+        if self.online is None and row.get("frozen"):
+            self.online = SharedRecursive(row["frozen"])
+        settled, whole = 0, all(v is not None for v in y)
+        while whole and self.waiting and self.waiting[0]["due"] <= at:
+            w = self.waiting.pop(0)
+            self.online.update(w["x"], [b - a for a, b in zip(w["values"], y, strict=True)])
+            settled += 1
+        x = self.history.push(row["inputs"])
+        out = {"frozen": None, "online": None, "settled": settled}
+        if x is not None and whole and self.online is not None:
+            frozen, online = (np.asarray(row["frozen"]) @ np.asarray(x)).tolist(), self.online.predict(x)
+            out |= {k: [a + b for a, b in zip(y, v, strict=True)] for k, v in (("frozen", frozen), ("online", online))}
+            self.waiting.append({"due": at + row["horizon"], "values": y, "x": x})
+        return out
+
+
 class ForwardFilter(Machine):
     """Forward filter over ordered states with a tri-diagonal transition."""
 

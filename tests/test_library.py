@@ -210,24 +210,6 @@ def test_backfill_carries_state_over_batches(spark):
     assert {(r["dataset"], r["window_index"]): (r["success"], r["failure"], r["phase"]) for r in got} == {k: (v["success"], v["failure"], v["phase"]) for k, v in want.items()}
 
 
-def test_frozen_head_of_the_forecaster():
-    m = X.Forecaster(horizon=50.0)
-    out = [m.step({"center_cycle": 5.0 * i, "value": float(i), "horizon": 100.0, "frozen": [0.0, 0.0, 0.0, 20 / 19]}) for i in range(60)]
-    assert out[-1]["frozen"] == pytest.approx(59 + 20) and out[-1]["safe"] == pytest.approx(79) and out[-1]["alpha"] == 0.0
-
-
-def test_snapshots_replay_to_the_same_result():
-    rng = np.random.default_rng(2)
-    rows = [{"center_cycle": 5.0 * i, "value": float(v), "guard": 0} for i, v in enumerate(rng.standard_normal(160).cumsum())]
-    m = X.Forecaster()
-    outs = [m.step(r) for r in rows[:80]]
-    saved = m.state()
-    tail = [m.step(r) for r in rows[80:]]
-    m.restore(saved)
-    assert [m.step(r) for r in rows[80:]] == tail
-    assert all(o["safe"] is None for o in outs[:19]) and sum(o["settled"] for o in outs + tail) > 100
-
-
 def test_discovery_needs_persistence():
     def last(levels):
         m = X.RegimeDiscovery()
