@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
+from strandline.functions.linear import precision
 from strandline.operators.logistic import Cells, fit_cells
 from strandline.operators.prefix import running_totals
 from strandline.sources.shared import Scratch
@@ -45,18 +46,6 @@ def ridge(df: DataFrame, keys: list[str], x: list[str], y: str, alpha: float = 1
     return sums.mapInPandas(solve, schema)
 
 
-def ledoit_wolf(x: np.ndarray) -> np.ndarray:
-    """Covariance of the rows shrunk towards a scaled identity by the closed-form intensity."""
-    n, p = x.shape
-    x = x - x.mean(0)
-    s = x.T @ x / n
-    mu = np.trace(s) / p
-    spread = ((s - mu * np.eye(p)) ** 2).sum() / p
-    noise = (((x**2).T @ (x**2)) / n - s**2).sum() / (n * p)
-    shrink = 0.0 if spread == 0 else min(noise, spread) / spread
-    return shrink * mu * np.eye(p) + (1 - shrink) * s
-
-
 def mahalanobis(df: DataFrame, features: list[str], least: int = 10) -> DataFrame:
     """``distance`` of each window to its stream's baseline median under the shrunk baseline covariance.
 
@@ -66,8 +55,7 @@ def mahalanobis(df: DataFrame, features: list[str], least: int = 10) -> DataFram
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[features].dropna().to_numpy(float)
         centre = np.median(x, axis=0) if len(x) else np.zeros(len(features))
-        precision = np.linalg.pinv(ledoit_wolf(x)) if len(x) >= least else np.eye(len(features))
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "_c": [centre.tolist()], "_p": [precision.ravel().tolist()]})
+        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "_c": [centre.tolist()], "_p": [precision(x, least).ravel().tolist()]})
 
     model = df.where("baseline_window = 1").select("dataset", *features).groupBy("dataset").applyInPandas(fit, "dataset string, _c array<double>, _p array<double>")
     d = F.zip_with(F.array(*features), "_c", lambda a, b: a - b)

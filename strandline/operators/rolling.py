@@ -67,6 +67,22 @@ def half_difference(column: str, length: int):
     return lambda w: half_rate(column, length)(w) * (length // 2)
 
 
+def rolling_volatility(columns: list[str], k: int):
+    """How much the distances of the last rows from their median point vary: the MAD of those radii, unscaled."""
+
+    def make(w):
+        points = F.collect_list(F.array(*columns)).over(back(w, k))
+
+        def radii(p):
+            part = lambda i: lambda x: F.get(x, i)
+            centre = [A.median(F.transform(p, part(i))) for i in range(len(columns))]
+            return A.let(F.array(*centre), lambda c: F.transform(p, lambda x: F.sqrt(sum((F.get(x, i) - F.get(c, i)) ** 2 for i in range(len(columns))))))
+
+        return A.let(points, lambda p: A.mad(radii(p), 1.0))
+
+    return make
+
+
 def jump(column: str, k: int):
     return lambda w: A.positive(F.col(column) - F.percentile(F.col(column), F.lit(0.5)).over(back(w, k)))
 

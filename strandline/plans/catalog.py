@@ -667,11 +667,99 @@ def evidence_accumulator(s, sf):
     return H.backfill(rows, ["dataset"], "window_index", X.Evidence, "dataset string, window_index long, success double, failure double, phase string", ["success", "failure", "phase"])
 
 
+#: The plateau may not begin before this cycle; limits are this quantile of the source's rows beyond it.
+PLATEAU_CYCLE, PLATEAU_QUANTILE = 600.0, 0.75
+ZS = [f"z_{f}" for f in B.FEATURES]
+
+
+def vector_rows(s, sf) -> DataFrame:
+    """Feature vectors r with distance d, velocities over 20, 50 and 100 rows, volatility and guard; no label columns."""
+    sc = S.drop_labels(L.mahalanobis(B.scores(s, sf), ZS)).withColumn("guard", S.guard_overlap(F.col("start_cycle"), F.col("end_cycle")))
+    moves = {f"_v{k}_{c}": R.half_difference(c, k) for k in (20, 50, 100) for c in ZS} | {"vol": R.rolling_volatility(ZS, 50)}
+    wide = frame(s, sf, moves, 99, sc)
+    return wide.select("dataset", "window_index", "center_cycle", "baseline_window", "guard", F.array(*ZS).alias("r"), F.col("distance").alias("d"), *[F.array(*[f"_v{k}_{c}" for c in ZS]).alias(f"v{k}") for k in (20, 50, 100)], "vol")
+
+
+def priors(rows: DataFrame, q: float = PLATEAU_QUANTILE) -> DataFrame:
+    """dataset, d95, v50, v100, vol, low, high: what a stream hands on to targets as its limits, a row a stream.
+
+    Quantiles are over unguarded rows from PLATEAU_CYCLE on, or over all unguarded ones where there are none; ``low`` and
+    ``high`` bound the support of each feature.
+    """
+    free = rows.where("guard = 0").withColumn("late", F.col("center_cycle") >= PLATEAU_CYCLE)
+    any_late = F.max("late")
+    of = lambda c: F.when(any_late, M.med(F.when(F.col("late"), c), q)).otherwise(M.med(c, q))
+    limits = free.groupBy("dataset").agg(of(A.norm(F.col("v50"))).alias("v50"), of(A.norm(F.col("v100"))).alias("v100"), of(F.col("vol")).alias("vol"))
+    ends = lambda p: F.array(*[M.med(F.get("r", i), p) for i in range(len(ZS))])
+    support = rows.groupBy("dataset").agg(ends(0.01).alias("low"), ends(0.99).alias("high"), M.med(F.when(F.col("baseline_window") == 1, F.col("d")), 0.95).alias("d95"))
+    return limits.join(support, "dataset")
+
+
+def prior_table(s, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The priors of all source streams as a table of a version, named by its fingerprint."""
+    table = scratch.settle(priors(rows), "priors")
+    return table.withColumn("version", F.lit(T.fingerprint(table).first()["digest"]))
+
+
+@query(
+    ", g AS (SELECT sc.*, start_cycle <= floor(end_cycle / 500) * 500 + 100 AS guard FROM sc), "
+    + "v AS (SELECT *, "
+    + ", ".join(f"CASE WHEN count(*) OVER w{k} = {k} THEN quantile_cont({c}, 0.5) OVER h{k} - quantile_cont({c}, 0.5) OVER b{k} ELSE 0 END AS v{k}_{c}" for k in (50, 100) for c in (f"z_{f}" for f in B.FEATURES))
+    + " FROM g WINDOW " + ", ".join(f"w{k} AS (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), h{k} AS (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN {k // 2 - 1} PRECEDING AND CURRENT ROW), b{k} AS (PARTITION BY dataset ORDER BY window_index ROWS BETWEEN {k - 1} PRECEDING AND {k // 2} PRECEDING)" for k in (50, 100))
+    + "), n AS (SELECT dataset, center_cycle >= 600 AS late, " + ", ".join(f"sqrt({' + '.join(f'v{k}_z_{f} * v{k}_z_{f}' for f in B.FEATURES)}) AS n{k}" for k in (50, 100)) + " FROM v WHERE NOT guard) "
+    "SELECT dataset, " + ", ".join(f"round(CASE WHEN bool_or(late) THEN quantile_cont(n{k}, 0.75) FILTER (late) ELSE quantile_cont(n{k}, 0.75) END, 6) AS v{k}" for k in (50, 100)) + " FROM n GROUP BY 1"
+)
+def source_priors(s, sf):
+    """Velocity limits that each stream hands on as a source."""
+    return priors(vector_rows(s, sf)).select("dataset", r6("v50"), r6("v100"))
+
+
+PLATEAU = "dataset string, window_index long, plateau string, exit string, severe string, distance double, instability double, severe_score double, severe_20 double, severe_50 double, event string, direction array<double>, locked_at double, exit_at double, severe_at double"
+PLATEAU_COLUMNS = [c.split()[0] for c in PLATEAU.split(", ")][2:]
+
+
+def plateau_run(rows: DataFrame, limits: DataFrame, elapsed: bool = False) -> DataFrame:
+    """Streams under limits (dataset, d95, v50, v100, vol, low, high and perhaps severe, a direction to begin with)."""
+    own = limits.select("dataset", F.struct("d95", "v50", "v100", "vol").alias("prior"), "low", "high", F.col("severe") if "severe" in limits.columns else F.lit(None).cast("array<double>").alias("severe"))
+    outside = [((F.get("r", i) < F.get("low", i)) | (F.get("r", i) > F.get("high", i))).cast("double") for i in range(len(ZS))]
+    fed = rows.join(own, "dataset").withColumn("oos", sum(outside, F.lit(0.0)) / len(ZS)).drop("low", "high", "baseline_window")
+    return H.backfill(fed, ["dataset"], "window_index", lambda: X.PlateauEngine(PLATEAU_CYCLE, elapsed=elapsed), PLATEAU, PLATEAU_COLUMNS)
+
+
+def handed_on(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The limits of each stream's source, under the stream's own name."""
+    return directions(rows).join(table.withColumnRenamed("dataset", "source"), "source")
+
+
+def plateau_result(df: DataFrame) -> DataFrame:
+    return df.select("dataset", "window_index", "plateau", "exit", "severe", *[r6(c) for c in ("distance", "instability", "severe_score", "severe_20", "severe_50")], "event", "locked_at", "exit_at", "severe_at")
+
+
 @query()
 def plateau_state(s, sf):
-    rows = machine_rows(s, sf).select("dataset", "window_index", "center_cycle", "guard", F.col("bd").alias("d"), F.abs("v50").alias("v50"), F.abs("v100").alias("v100"), "vol", (F.abs("v50") - F.abs("v100")).alias("a"))
-    make = lambda: X.PlateauEngine(0.3, 2.0, 2.0, 5.0, 600.0)
-    return H.backfill(rows, ["dataset"], "window_index", make, "dataset string, window_index long, plateau string, exit string, instability double, locked_at double, exit_at double", ["plateau", "exit", "instability", "locked_at", "exit_at"])
+    """Plateau, exit and severity of each stream under the limits of its source; no direction is handed on."""
+    scratch = Scratch(s, "plateau")
+    rows = scratch.settle(vector_rows(s, sf), "rows")
+    return scratch.last(plateau_result(plateau_run(rows, handed_on(rows, prior_table(s, rows, scratch)))))
+
+
+@query()
+def plateau_elapsed(s, sf):
+    """The same by elapsed cycles, which a guard breaks."""
+    scratch = Scratch(s, "plateau")
+    rows = scratch.settle(vector_rows(s, sf), "rows")
+    return scratch.last(plateau_result(plateau_run(rows, handed_on(rows, prior_table(s, rows, scratch)), elapsed=True)))
+
+
+@query()
+def plateau_with_source(s, sf):
+    """Two phases: sources run under their own limits, and a direction that they learned after an exit goes to targets."""
+    scratch = Scratch(s, "plateau")
+    rows = scratch.settle(vector_rows(s, sf), "rows")
+    table = prior_table(s, rows, scratch)
+    learned = plateau_run(rows, table).where("direction IS NOT NULL").groupBy("dataset").agg(F.max_by("direction", "window_index").alias("severe"))
+    model = scratch.settle(table.join(learned, "dataset", "left"), "model")
+    return scratch.last(plateau_result(plateau_run(rows, handed_on(rows, model))))
 
 
 @query(

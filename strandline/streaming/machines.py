@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from strandline.functions.linear import distances, middle_and_scale, precision, unit
+
 
 class Machine:
     """Snapshots by deep copy of the instance dictionary."""
@@ -398,39 +400,126 @@ class ForwardFilter(Machine):
         return {"posterior": self.q, "stage": int(np.argmax(self.q)) + 1, "margin": top[0] - top[1]}
 
 
+class ElapsedEvidence(Machine):
+    """Evidence by elapsed cycles: a run of rows that meet a condition, which a guard or a failure breaks."""
+
+    def __init__(self, candidate: float = 300.0, confirm: float = 500.0):
+        self.candidate, self.confirm, self.since, self.success = candidate, confirm, None, 0.0
+        self.phase = "searching"
+
+    def step(self, row: dict) -> dict:
+        if self.phase != "confirmed":
+            if row["condition"] and not row.get("guard"):
+                self.since = row["at"] if self.since is None else self.since
+                self.success = row["at"] - self.since
+                self.phase = "confirmed" if self.success >= self.confirm else "candidate" if self.success >= self.candidate else "searching"
+            else:
+                self.since, self.success, self.phase = None, 0.0, "searching"
+        return {"success": self.success, "failure": 0.0, "phase": self.phase}
+
+
 class PlateauEngine(Machine):
-    """Plateau lock, exit and severity by guard-pausing evidence.
+    """Plateau lock, exit and severity of a stream of feature vectors, under the limits of a source stream.
+
+    Rows bring the vector ``r`` relative to the baseline, its distance ``d``, the velocities ``v20``, ``v50``, ``v100`` (vectors),
+    the volatility ``vol``, the share ``oos`` outside the source's support, and ``prior``: the limits d95, v50, v100 and vol.
 
-    After a confirmed plateau the reference is frozen from the newest qualifying rows of ``confirm`` valid cycles;
-    instability is measured against it and needs its own confirmed evidence to count as an exit.
+    A plateau locks on confirmed evidence of distant but slow rows. Its centre, covariance and scales come from the newest
+    qualifying rows of ``reference`` valid cycles and never change. Instability against them needs confirmed evidence of its
+    own to count as an exit. After it a direction is learned, by unguarded, consistent, fast and supported rows only: a
+    moving average of where the last hundred unguarded rows lie from the plateau, each near the one before. ``severe`` may
+    bring the source's direction. The severe score is measured along it, and confirmed like the others.
+
+    ``elapsed`` counts elapsed cycles, broken by guards, in place of valid cycles, which guards pause.
     """
 
-    def __init__(self, d95: float, v50: float, v100: float, vol: float, least_cycle: float = 2000.0, stride: float = 5.0):
-        self.limits, self.least_cycle, self.stride = [d95, v50, v100, vol], least_cycle, stride
-        self.plateau, self.exit = Evidence(stride), Evidence(stride)
-        self.recent: list[dict] = []
+    def __init__(self, least_cycle: float = 2000.0, stride: float = 5.0, reference: float = 500.0, limit: float = 2.0, eta: float = 0.01, consistent: float = 0.60, near: float = 0.70, most_oos: float = 0.35, elapsed: bool = False):
+        self.least_cycle, self.stride, self.keep = least_cycle, stride, max(1, math.ceil(reference / stride))
+        self.limit, self.eta, self.consistent, self.near, self.most_oos = limit, eta, consistent, near, most_oos
+        self.plateau, self.exit, self.severe = ((ElapsedEvidence() if elapsed else Evidence(stride)) for _ in range(3))
+        self.qualifying: list[list] = []
+        self.unguarded: list[list[float]] = []
+        self.accelerations: list[float] = []
+        self.scores: list[float] = []
         self.reference: dict | None = None
-        self.locked_at: float | None = None
-        self.exit_at: float | None = None
+        self.direction: list[float] | None = None
+        self.began = False
+        self.locked_at = self.exit_at = self.severe_at = None
+
+    def _lock(self, at: float) -> None:
+        r = np.array([q[0] for q in self.qualifying])
+        centre, inverse = np.median(r, axis=0), precision(r)
+        scales = {"d": middle_and_scale(distances(r, centre, inverse)), "v": middle_and_scale([q[1] for q in self.qualifying]), "a": middle_and_scale([q[2] for q in self.qualifying])}
+        spread_ = max(float(np.median(np.linalg.norm(r - centre, axis=1))), 1e-9)
+        self.reference = {"centre": centre.tolist(), "inverse": inverse.tolist(), "p": [0.0, spread_], **{k: list(v) for k, v in scales.items()}}
+        self.locked_at, self.qualifying = at, []
+
+    def _learn(self, row: dict, cosine: float, fast: float) -> str:
+        """Why the direction stays as it is, or UPDATED."""
+        if row.get("guard"):
+            return "RESTART_GUARD"
+        if cosine < self.consistent:
+            return "INCONSISTENT"
+        if fast < row["prior"]["v50"]:
+            return "SLOW"
+        if row.get("oos", 0.0) > self.most_oos:
+            return "UNSUPPORTED"
+        new = unit(np.median(np.array(self.unguarded), axis=0) - np.array(self.reference["centre"]))
+        if new is None:
+            return "ZERO"
+        if self.direction is not None:
+            old = np.array(self.direction)
+            if float(new @ old) < self.near:
+                return "TURNED"
+            new = unit((1 - self.eta) * old + self.eta * new)
+        self.direction = new.tolist()
+        return "UPDATED"
 
     def step(self, row: dict) -> dict:
-        d, v50, v100, vol, at = row["d"], row["v50"], row["v100"], row["vol"], row["center_cycle"]
-        guard = bool(row.get("guard"))
-        l = self.limits  # noqa: E741
+        at, guard, prior = row["center_cycle"], bool(row.get("guard")), row["prior"]
+        if not self.began:
+            self.began, self.direction = True, row.get("severe")
+        r, v20, v50, v100 = (np.array(row[k], float) for k in ("r", "v20", "v50", "v100"))
+        n20, n50, n100 = (float(np.linalg.norm(v)) for v in (v20, v50, v100))
+        cosine = float(v20 @ v100) / max(n20 * n100, 1e-9)
+        self.accelerations = [*self.accelerations, n20 - n100][-20:]
+        a20 = float(np.median(self.accelerations))
+        if not guard:
+            self.unguarded.append(row["r"])
+            del self.unguarded[:-100]
+        ok = at >= self.least_cycle and not guard and row["d"] > prior["d95"] and n50 < prior["v50"] and n100 < prior["v100"] and row["vol"] < prior["vol"]
         if self.locked_at is None:
-            ok = at >= self.least_cycle and not guard and d > l[0] and v50 < l[1] and v100 < l[2] and vol < l[3]
+            had = self.plateau.success
             if ok:
-                self.recent = [*self.recent, {"d": d, "v50": v50, "a": row.get("a", 0.0)}][-int(self.plateau.confirm / self.stride) :]
-            if self.plateau.step({"condition": ok, "guard": guard})["phase"] == "confirmed":
-                self.locked_at = at
-                self.reference = {k: (middle([r[k] for r in self.recent]), spread([r[k] for r in self.recent], 1e-6)) for k in ("d", "v50", "a")}
-        instability = None
+                self.qualifying.append([row["r"], n50, a20])
+                del self.qualifying[: -self.keep]
+            if self.plateau.step({"condition": ok, "guard": guard, "at": at})["phase"] == "confirmed":
+                self._lock(at)
+            elif had > 0 and self.plateau.success == 0:
+                self.qualifying = []
+        away = instability = score = None
+        event = ""
         if self.reference is not None:
-            z = {k: (x - self.reference[k][0]) / self.reference[k][1] for k, x in (("d", d), ("v50", v50), ("a", row.get("a", 0.0)))}
-            instability = 0.35 * z["d"] + 0.25 * z["v50"] + 0.20 * max(z["a"], 0.0) + 0.20 * max(row.get("cos", 0.0), 0.0)
-            if self.exit_at is None and self.exit.step({"condition": instability > 2, "guard": guard})["phase"] == "confirmed":
+            f = self.reference
+            z = lambda k, x: (x - f[k][0]) / f[k][1]
+            away = float(distances(r, np.array(f["centre"]), np.array(f["inverse"]))[0])
+            instability = 0.35 * z("d", away) + 0.25 * z("v", n50) + 0.20 * z("a", max(a20, 0.0)) + 0.20 * max(cosine, 0.0)
+            if self.exit_at is None and self.exit.step({"condition": instability > self.limit, "guard": guard, "at": at})["phase"] == "confirmed":
                 self.exit_at = at
-        return {"plateau": self.plateau.phase, "exit": self.exit.phase, "instability": instability, "locked_at": self.locked_at, "exit_at": self.exit_at}
+            if self.exit_at is not None:
+                event = self._learn(row, cosine, n50)
+            if self.direction is not None:
+                along = float((r - np.array(f["centre"])) @ np.array(self.direction))
+                score = 0.50 * z("p", along) + 0.20 * z("d", away) + 0.20 * z("v", n50) + 0.10 * max(cosine, 0.0)
+                self.scores = [*self.scores, score][-50:]
+        s20, s50 = (middle(self.scores[-k:]) if self.scores else None for k in (20, 50))
+        high = score is not None and s50 > self.limit
+        if self.severe_at is None and self.severe.step({"condition": high, "guard": guard, "at": at})["phase"] == "confirmed":
+            self.severe_at = at
+        return {
+            "plateau": self.plateau.phase, "exit": self.exit.phase, "severe": self.severe.phase, "distance": away, "instability": instability, "severe_score": score, "severe_20": s20, "severe_50": s50,
+            "event": event, "direction": self.direction if self.exit_at is not None else None, "locked_at": self.locked_at, "exit_at": self.exit_at, "severe_at": self.severe_at,
+        }
 
 
 class RegimeDiscovery(Machine):
