@@ -6,10 +6,11 @@ that, and joined by key otherwise. Stream against stream joins go by position bu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.streams import framed, with_halo
+from strandline.operators.streams import framed, running_sum, with_halo
+from strandline.sources.shared import Scratch
 
 BROADCAST_ROWS = 100_000
 
@@ -56,18 +57,54 @@ def forward_asof(df: DataFrame, horizon: float, value: str, stride: float = 5.0,
     return dealt.withColumn("_due", due).where(~F.col("_halo")).select(*df.columns, F.col("_due.window_index").alias("due_index"), F.col(f"_due.{value}").alias("due_value"))
 
 
-def temporal_pairs(df: DataFrame, low: float, high: float, per_row: int = 2, stride: float = 5.0, seed: int = 11) -> DataFrame:
-    """Pairs (i, j) of a stream with low <= gap < high: ``per_row`` partners drawn by a hash for each row.
+#: Hashes of draws: small integer arithmetic, so that SQL can state the same.
+DRAW_PRIME = 2_147_483_647
 
-    Partners are drawn in rank space (the gap in rows is hashed into its range), so pairs are never enumerated.
+
+def draw_hash(k: Column, stratum: Column, seed: int) -> Column:
+    """A number below DRAW_PRIME for draw ``k`` of a stratum."""
+    x = (F.pmod(k, F.lit(DRAW_PRIME)) * 48_271 + stratum * 69_621 + seed * 39_373) % DRAW_PRIME
+    for _ in range(3):
+        x = (x * x + x * 48_271 + 12_345) % DRAW_PRIME
+    return x
+
+
+def draw_hash_sql(k: str, stratum: str, seed: int) -> str:
+    x = f"(({k} % {DRAW_PRIME}) * 48271 + {stratum} * 69621 + {seed * 39_373}) % {DRAW_PRIME}"
+    for _ in range(3):
+        x = f"list_transform([{x}], lambda x: (x * x + x * 48271 + 12345) % {DRAW_PRIME})[1]"
+    return x
+
+
+def sampled_pairs(df: DataFrame, bins: list[tuple[float, float | None]], most: int, scratch: Scratch, stride: float = 5.0, seed: int = 11) -> DataFrame:
+    """dataset, bin, earlier, later, gap: pairs of unguarded windows whose gap in cycles lies in a bin, ``most`` for each bin.
+
+    ``df``: dataset, window_index, guard; windows lie ``stride`` cycles apart and none is missing. Pairs are counted and
+    drawn, never enumerated: running counts of unguarded windows give each row its number of partners in a bin, running
+    sums of these number all pairs of a bin, and draw k of m takes one number out of the k-th m-th of them by a hash. A
+    number leads back to its row through buckets as wide as the draws are apart, of which a row covers few. A bin of no more
+    than ``most`` pairs gives all of them.
     """
-    first, count = F.ceil(F.lit(low / stride)), int((high - low) / stride)
-    draws = df.withColumn("_k", F.explode(F.array(*map(F.lit, range(per_row))))).withColumn(
-        "j", (F.col("window_index") + first + F.pmod(F.xxhash64("dataset", "window_index", "_k", F.lit(seed)), F.lit(count))).cast("long")
-    )
-    left = draws.select("dataset", F.col("window_index").alias("i"), "j", F.col("score").alias("score_i")).distinct()
-    right = df.select("dataset", F.col("window_index").alias("j"), F.col("score").alias("score_j"))
-    return left.join(right, ["dataset", "j"])
+    rows = df.select("dataset", "window_index", F.col("guard").cast("int").alias("guard")).withColumn("_at", F.col("window_index") + 1).withColumn("free", (1 - F.col("guard")).cast("long"))
+    ranked = scratch.settle(running_sum(rows, ["dataset"], "_at", "free", "rank"), "ranks")  # unguarded windows up to each
+    ends = ranked.groupBy("dataset").agg(F.max("window_index").alias("last"), F.max("rank").alias("all"))
+    limits = F.array(*[F.struct(F.lit(i).cast("long").alias("bin"), F.lit(int(-(-low // stride))).alias("lo"), F.lit(None if high is None else int(-(-high // stride))).cast("int").alias("hi")) for i, (low, high) in enumerate(bins)])
+    asked = ranked.where("free = 1").join(ends, "dataset").select("dataset", "window_index", "rank", "last", "all", F.explode(limits).alias("_b")).select("*", "_b.*").drop("_b")
+    before = lambda n: ranked.select("dataset", F.col("window_index").alias(f"at_{n}"), F.col("rank").alias(f"to_{n}"))
+    at = lambda c: F.least(F.col("window_index") + F.col(c) - 1, F.col("last"))
+    asked = asked.withColumns({"at_lo": at("lo"), "at_hi": F.coalesce(at("hi"), "last")}).join(before("lo"), ["dataset", "at_lo"]).join(before("hi"), ["dataset", "at_hi"])
+    counted = asked.withColumn("first", F.greatest("to_lo", "rank") + 1).withColumn("n", F.greatest(F.col("to_hi") - F.col("first") + 1, F.lit(0)))
+    counted = running_sum(counted.select("dataset", "bin", "window_index", "first", "n", (F.col("window_index") + 1).alias("_at")), ["dataset", "bin"], "_at", "n", "upto")
+    counted = scratch.settle(counted.where("n > 0").select("dataset", "bin", "window_index", "first", (F.col("upto") - F.col("n")).alias("from"), "upto"), "counted")
+    totals = counted.groupBy("dataset", "bin").agg(F.max("upto").alias("t")).withColumn("m", F.least("t", F.lit(most).cast("long"))).withColumn("width", F.floor(F.col("t") / F.col("m")))
+    draws = totals.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    low, high = (F.floor((F.col("k") + i) * F.col("t") / F.col("m")) for i in (0, 1))
+    draws = draws.withColumn("number", low + F.floor(draw_hash(F.col("k"), F.col("bin"), seed) / F.lit(float(DRAW_PRIME)) * (high - low)))
+    drawn = draws.select("dataset", "bin", "number", F.floor(F.col("number") / F.col("width")).alias("_bucket"))
+    spans = counted.join(totals.select("dataset", "bin", "width"), ["dataset", "bin"]).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("from") / F.col("width")), F.floor((F.col("upto") - 1) / F.col("width")))))
+    hit = drawn.join(spans, ["dataset", "bin", "_bucket"]).where("number >= from AND number < upto").select("dataset", "bin", F.col("window_index").alias("earlier"), (F.col("first") + F.col("number") - F.col("from")).alias("rank"))
+    later = ranked.where("free = 1").select("dataset", "rank", F.col("window_index").alias("later"))
+    return hit.join(later, ["dataset", "rank"]).select("dataset", "bin", "earlier", "later", ((F.col("later") - F.col("earlier")) * stride).alias("gap"))
 
 
 def fixed_gap_pairs(df: DataFrame, gap_rows: int, score: str) -> DataFrame:

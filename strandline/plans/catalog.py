@@ -533,10 +533,43 @@ def pair_concordance(s, sf):
     return got.groupBy("dataset").agg(F.count("*").alias("n"), r6(F.avg("concordant"), "concordance"))
 
 
-@query()
+#: Gap bins of sampled pairs in cycles, and the pairs of each.
+PAIR_BINS, PAIRS_PER_BIN, PAIR_SEED = [(100, 500), (500, 1000), (1000, None)], 200, 11
+PAIR_SQL = (
+    ", gp AS (SELECT dataset, window_index AS w FROM sc WHERE NOT start_cycle <= floor(end_cycle / 500) * 500 + 100), "
+    "bn AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {low}, {high or 10**12}, 'gap_{low}_{high or 'plus'}')" for i, (low, high) in enumerate(PAIR_BINS)) + ") t(bin, lo, hi, gap_bin)), "
+    "pn AS (SELECT a.dataset, bin, gap_bin, a.w AS earlier, b.w AS later, row_number() OVER (PARTITION BY a.dataset, bin ORDER BY a.w, b.w) - 1 AS number, count(*) OVER (PARTITION BY a.dataset, bin) AS t FROM gp a JOIN gp b ON a.dataset = b.dataset AND b.w > a.w JOIN bn ON (b.w - a.w) * 5 >= lo AND (b.w - a.w) * 5 < hi), "
+    f"dk AS (SELECT *, unnest(range(m)) AS k FROM (SELECT DISTINCT dataset, bin, t, least(t, {PAIRS_PER_BIN}) AS m FROM pn)), "
+    f"dn AS (SELECT dataset, bin, k * t // m + CAST(floor({J.draw_hash_sql('k', 'bin', PAIR_SEED)} / {J.DRAW_PRIME}.0::DOUBLE * ((k + 1) * t // m - k * t // m)) AS BIGINT) AS number FROM dk), "
+    "sm AS (SELECT dataset, gap_bin, earlier, later, (later - earlier) * 5.0::DOUBLE AS gap FROM pn JOIN dn USING (dataset, bin, number))"
+)
+
+
+def drawn_pairs(s, sf) -> DataFrame:
+    """dataset, gap_bin, earlier, later, gap of sampled pairs of unguarded windows."""
+    scratch = Scratch(s, "pairs")
+    rows = B.scores(s, sf).select("dataset", "window_index", S.guard_overlap(F.col("start_cycle"), F.col("end_cycle")).alias("guard"))
+    names = F.array(*[F.lit(f"gap_{low}_{high or 'plus'}") for low, high in PAIR_BINS])
+    got = J.sampled_pairs(rows, PAIR_BINS, PAIRS_PER_BIN, scratch, seed=PAIR_SEED)
+    return scratch.last(got.select("dataset", F.get(names, F.col("bin").cast("int")).alias("gap_bin"), "earlier", "later", "gap"))
+
+
+@query(PAIR_SQL + " SELECT * FROM sm")
 def temporal_pairs(s, sf):
-    got = J.temporal_pairs(B.scores(s, sf).select("dataset", "window_index", F.col("awr").alias("score")), 500, 1500)
-    return got.groupBy("dataset").agg(F.count("*").alias("n"), F.min(F.col("j") - F.col("i")).alias("least"), F.max(F.col("j") - F.col("i")).alias("most"))
+    """Pairs of unguarded windows, drawn in three gap bins from the counted pairs of each stream."""
+    return drawn_pairs(s, sf)
+
+
+@query(
+    PAIR_SQL + ", de AS (SELECT sm.dataset, gap_bin, round(b.awr, 9) - round(a.awr, 9) AS d FROM sm JOIN sc a ON a.dataset = sm.dataset AND a.window_index = earlier JOIN sc b ON b.dataset = sm.dataset AND b.window_index = later) "
+    "SELECT dataset, gap_bin, count(*) AS pairs, round(avg(CASE WHEN d > 0 THEN 1.0 WHEN d = 0 THEN 0.5 ELSE 0.0 END), 6) AS concordance FROM de GROUP BY ALL"
+)
+def sampled_concordance(s, sf):
+    """How often the later window of a sampled pair scores higher, by gap bin: the mirrored pairs are the same counts."""
+    sc = B.scores(s, sf).select("dataset", "window_index", F.round("awr", 9).alias("a"))
+    ends = drawn_pairs(s, sf).join(sc.toDF("dataset", "earlier", "_a"), ["dataset", "earlier"]).join(sc.toDF("dataset", "later", "_b"), ["dataset", "later"])
+    d = F.col("_b") - F.col("_a")
+    return ends.groupBy("dataset", "gap_bin").agg(F.count("*").alias("pairs"), r6(F.avg(F.when(d > 0, 1.0).when(d == 0, 0.5).otherwise(0.0)), "concordance"))
 
 
 @query(EVENTS.replace("tes >= 3", "round(tes, 5) >= 3") + " SELECT DISTINCT sc.dataset, sc.window_index FROM sc JOIN ev2 ON sc.dataset = ev2.dataset AND abs(sc.window_index - ev2.window_index) <= 2")
