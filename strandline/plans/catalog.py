@@ -807,7 +807,7 @@ def plateau_with_source(s, sf):
     "SELECT *, want > 0 AND (NOT active OR stronger OR window_index + 100 >= freeze_until + 20) AS takes FROM ("
     "SELECT q.dataset, q.window_index, q.calm, q.guard, CASE WHEN calm OR guard THEN 0 ELSE flag END AS want, r.mode, r.freeze_until, r.prio, r.safe_run, q.window_index <= r.freeze_until AS active, CASE WHEN calm OR guard THEN 0 ELSE flag END > r.prio AS stronger "
     "FROM r JOIN q ON q.dataset = r.dataset AND q.window_index = r.window_index + 1))))) "
-    "SELECT dataset, window_index, mode, freeze_until, CASE prio WHEN 4 THEN 'HIGH_RISK' WHEN 2 THEN 'HIGH_PAIR' ELSE '' END AS reason, safe_run, event FROM r WHERE window_index >= 0",
+    "SELECT dataset, window_index, mode, freeze_until, CASE prio WHEN 4 THEN 'HIGH_RISK' WHEN 2 THEN 'HIGH_AWR_HIGH_BD' ELSE '' END AS reason, safe_run, event FROM r WHERE window_index >= 0",
     RECURSIVE,
 )
 def freeze_machine(s, sf):
@@ -816,10 +816,33 @@ def freeze_machine(s, sf):
     return H.backfill(rows, ["dataset"], "window_index", X.FreezeMachine, "dataset string, window_index long, mode string, freeze_until long, reason string, safe_run long, event string", ["mode", "freeze_until", "reason", "safe_run", "event"])
 
 
+def adapter_rows(s, sf) -> DataFrame:
+    """Windows with features, trends, events and the limits of their baselines."""
+    sc = machine_rows(s, sf)
+    rows = frame(s, sf, {"rs50": R.trend("awr", 50)}, 99, sc).join(tes_frame(s, sf).select("dataset", "window_index", F.col("tes")), ["dataset", "window_index"])
+    base = sc.where("baseline_window = 1").groupBy("dataset").agg(F.array(*[M.med(c) for c in ZS]).alias("_c"))
+    mad = sc.where("baseline_window = 1").join(base, "dataset").groupBy("dataset").agg(F.array(*[1.4826 * M.med(F.abs(F.col(c) - F.get("_c", i))) for i, c in enumerate(ZS)]).alias("mad0"))
+    return rows.join(mad, "dataset").select("dataset", "window_index", "end_cycle", "guard", F.array(*ZS).alias("x"), "mad0", "awr", "bd", "rs50", "tes", F.col("ta").alias("awr95"), F.col("tb").alias("bd95"), F.lit(3.0).alias("tes_limit"))
+
+
 @query()
 def gated_adapter(s, sf):
-    rows = machine_rows(s, sf).select("dataset", "window_index", "end_cycle", "guard", "awr", "bd", (F.col("awr") - 2).alias("logit"), (F.col("bd") >= 3 * F.col("tb")).alias("alarm"))
-    return H.backfill(rows, ["dataset"], "window_index", X.GatedAdapter, "dataset string, window_index long, probability double, slow_risk double, offset double, gate int, event string", ["probability", "slow_risk", "offset", "gate", "event"])
+    """Reliabilities and offset learned in safe windows, with freezes, checkpoints and rollbacks."""
+    columns = ["awr", "probability", "slow_risk", "offset", "noise", "frozen", "gate", "reason", "event", "reliability"]
+    schema = "dataset string, window_index long, awr double, probability double, slow_risk double, offset double, noise double, frozen int, gate int, reason string, event string, reliability array<double>"
+    got = H.backfill(adapter_rows(s, sf), ["dataset"], "window_index", X.GatedAdapter, schema, columns)
+    return got.select("dataset", "window_index", *[c for c in columns if c != "reliability"], *[F.get("reliability", i).alias(f"reliability_{f}") for i, f in enumerate(B.FEATURES)])
+
+
+@query()
+def freeze_rollback(s, sf):
+    """The freeze machine with updates of an offset, cooldowns, checkpoints and rollbacks."""
+    rows = adapter_rows(s, sf)
+    logit = F.col("awr") - 2
+    slow = frame(s, sf, {"slow": R.rolling_mean("_p", 20)}, 19, rows.withColumns({"_p": A.sigmoid(logit), "_at": F.col("window_index") + 1}))
+    high = (F.col("awr") >= F.col("awr95")) & (F.col("bd") >= F.col("bd95"))
+    fed = slow.select("dataset", "window_index", "end_cycle", "guard", "awr", "bd", "slow", (0.005 * (-2.944438979166440 - logit)).alias("delta"), high.alias("high_pair"), (F.col("tes") >= 3 * F.col("tes_limit")).alias("tes"), (F.col("awr") > 2 * F.abs("awr95")).alias("high_risk"), (F.col("bd") < F.col("bd95")).alias("safe"))
+    return H.backfill(fed, ["dataset"], "window_index", X.FreezeMachine, "dataset string, window_index long, mode string, freeze_until long, reason string, safe_run long, event string, value double", ["mode", "freeze_until", "reason", "safe_run", "event", "value"])
 
 
 @query()

@@ -59,19 +59,33 @@ class Evidence(Machine):
 
 
 #: Freeze reasons by rising priority. Fixed values.
-PRIORITY = {"SUSTAINED_RS": 1, "HIGH_PAIR": 2, "TES": 3, "HIGH_RISK": 4}
+PRIORITY = {"SUSTAINED_RS": 1, "HIGH_AWR_HIGH_BD": 2, "TES_EVENT": 3, "HIGH_RISK": 4}
+
+
+def suppressed_rise(score: Sequence[float], distance: Sequence[float], slow: Sequence[float], drop: float) -> bool:
+    """Score and distance both rise (fitted lines) while slow risk fell from its highest by more than ``drop``."""
+    t = np.arange(len(score)) - (len(score) - 1) / 2
+    return bool(t @ np.asarray(score) > 0 and t @ np.asarray(distance) > 0 and max(slow) - slow[-1] > drop)
 
 
 class FreezeMachine(Machine):
-    """Adapter states: calibration, restart guard, frozen by risk or by an event, monitoring, active update.
+    """Adapter states: calibration, restart guard, frozen by risk or by an event, cooldown, monitoring, active update.
 
     A freeze lasts through its last window. While it lasts, a reason of higher priority takes it over, and any reason
     that would end at least ``extend`` windows later prolongs it under the reason that it has.
+
+    Rows may bring ``delta``, what an update adds to the adapted value, with ``awr``, ``bd`` and ``slow``: every ``every`` windows
+    of active update the value moves by it, within +-1. ``lookback`` windows after the first update that follows a
+    checkpoint, and once for each last update, the value is set back to the checkpoint's and cools down for ``cooldown``
+    windows, if score and distance have risen while slow risk fell. Checkpoints are taken every ``checkpoint`` windows.
     """
 
-    def __init__(self, freeze: int = 100, safe: int = 10, calibration: float = 500.0, extend: int = 20):
-        self.freeze, self.safe, self.calibration, self.extend = freeze, safe, calibration, extend
+    def __init__(self, freeze: int = 100, safe: int = 10, calibration: float = 500.0, extend: int = 20, cooldown: int = 200, checkpoint: int = 200, lookback: int = 50, drop: float = 0.15, every: int = 20):
+        self.freeze, self.safe, self.calibration, self.extend, self.cooldown = freeze, safe, calibration, extend, cooldown
+        self.checkpoint, self.lookback, self.drop, self.every = checkpoint, lookback, drop, every
         self.mode, self.until, self.reason, self.run = "CALIBRATION", -1, "", 0
+        self.value, self.saved, self.updated, self.judged = 0.0, None, None, None
+        self.past: list[list[float]] = []
 
     def request(self, index: int, reason: str) -> str:
         """The event that the request leads to, or none."""
@@ -84,10 +98,26 @@ class FreezeMachine(Machine):
             self.reason, self.mode = reason, "FROZEN_RISK" if reason == "HIGH_RISK" else "FROZEN_EVENT"
         return "EXTEND_FREEZE" if active else "ENTER_STATE"
 
+    def _adapt(self, row: dict, index: int) -> str:
+        """Update, rollback and checkpoint of a window, in this order."""
+        self.past.append([row["awr"], row["bd"], row["slow"]])
+        del self.past[: -self.lookback]
+        event = ""
+        if self.mode == "ACTIVE_UPDATE" and index % self.every == 0:
+            self.value, self.updated, event = max(-1.0, min(1.0, self.value + row["delta"])), index, "UPDATE"
+        due = self.saved is not None and self.updated is not None and self.updated > self.saved[0] and index >= self.updated + self.lookback
+        if due and self.judged != self.updated:
+            self.judged = self.updated
+            if len(self.past) == self.lookback and suppressed_rise(*zip(*self.past, strict=True), self.drop):
+                self.value, self.until, self.mode, event = self.saved[1], index + self.cooldown, "COOLDOWN", "ROLLBACK"
+        if index and index % self.checkpoint == 0:
+            self.saved, event = [index, self.value], event or "CHECKPOINT"
+        return event
+
     def step(self, row: dict) -> dict:
         index, calm, guard, event = row["window_index"], row["end_cycle"] <= self.calibration, bool(row.get("guard")), ""
         if not calm and not guard:
-            for reason, flag in (("HIGH_RISK", "high_risk"), ("TES", "tes"), ("HIGH_PAIR", "high_pair"), ("SUSTAINED_RS", "sustained_rs")):
+            for reason, flag in (("HIGH_RISK", "high_risk"), ("TES_EVENT", "tes"), ("HIGH_AWR_HIGH_BD", "high_pair"), ("SUSTAINED_RS", "sustained_rs")):
                 if row.get(flag):
                     event = self.request(index, reason)
                     break
@@ -96,11 +126,13 @@ class FreezeMachine(Machine):
         elif index <= self.until:
             self.run = 0
         else:
-            if self.mode.startswith("FROZEN"):
+            if self.mode.startswith("FROZEN") or self.mode == "COOLDOWN":
                 event, self.reason = "EXIT_FREEZE", ""
             self.run = self.run + 1 if row.get("safe", True) else 0
             self.mode = "ACTIVE_UPDATE" if self.run >= self.safe else "ACTIVE_MONITOR"
-        return {"mode": self.mode, "freeze_until": self.until, "reason": self.reason, "safe_run": self.run, "event": event}
+        if row.get("delta") is not None:
+            event = self._adapt(row, index) or event
+        return {"mode": self.mode, "freeze_until": self.until, "reason": self.reason, "safe_run": self.run, "event": event, "value": self.value}
 
 
 class SlowRisk(Machine):
@@ -127,42 +159,100 @@ class Reliability(Machine):
 
 
 class GatedAdapter(Machine):
-    """Logit offset learned only in safe windows, with checkpoints and rollback.
+    """A score of features weighed by their reliability, and a logit offset, both learned in safe windows only.
+
+    Rows bring the features ``x``, their baseline deviations ``mad0``, ``bd``, ``rs50`` and ``tes``, and the limits ``awr95``, ``bd95``
+    and ``tes_limit``. A feature's evidence falls with the noise of its last ``window`` values against the baseline, with
+    their saturation and with missing ones. Lower evidence counts at once, at any time after calibration; recovery waits
+    for an open gate and is slow. The offset starts from the calibration's logits.
 
-    Gate: open after calibration, outside freezes and guards, when slow risk is low. Every ``every`` windows the offset
-    moves towards the target logit; an offset that precedes a rise of both slopes and of risk is rolled back.
+    The gate is open outside calibration, freezes, high risk, high score or distance, rising trends, events (now or within
+    ``gate`` windows) and common saturation. Freezes last ``freeze`` windows from the strongest of: high risk, event,
+    three windows of rising trend, high score with high distance. Checkpoints and rollbacks are those of the adapter's
+    states: an update since the last checkpoint is undone when score and distance rise while slow risk falls.
     """
 
-    def __init__(self, target: float = 0.05, rate: float = 0.005, every: int = 20, limit: float = 1.0, slow: float = 0.25, checkpoint: int = 200, freeze: int = 100, lookback: int = 50):
-        self.target, self.rate, self.every, self.limit, self.slow, self.checkpoint, self.freeze, self.lookback = target, rate, every, limit, slow, checkpoint, freeze, lookback
-        self.offset, self.saved, self.saved_at, self.changed, self.frozen = 0.0, 0.0, -1, False, 0
-        self.past: list[tuple[float, float, float]] = []
-        self.smooth = 0.0
+    def __init__(self, head: Sequence[float] = (-2.0, 1.0, 0.0), target: float = 0.05, rate: float = 0.005, every: int = 20, most: float = 1.0, slow: float = 0.25, risk: float = 0.6, checkpoint: int = 200, freeze: int = 100, cooldown: int = 200, lookback: int = 50, window: int = 50, gate: int = 20, ewma: float = 0.05, least: float = 0.25, saturated: float = 11.9, rising: float = 0.005, calibration: float = 500.0, drop: float = 0.15):
+        self.head, self.target, self.rate, self.every, self.most, self.slow_limit, self.risk = list(head), target, rate, every, most, slow, risk
+        self.checkpoint, self.freeze, self.cooldown, self.lookback, self.window, self.gate = checkpoint, freeze, cooldown, lookback, window, gate
+        self.ewma, self.least, self.saturated, self.rising, self.calibration, self.drop = ewma, least, saturated, rising, calibration, drop
+        self.reliability, self.history, self.past = None, [], []
+        self.offset, self.noise, self.slow, self.frozen, self.run = 0.0, 1.0, 0.0, 0, 0
+        self.saved, self.updated, self.first_logits = None, None, []
+        self.events: list[int] = []
+        self.highs: list[int] = []
+
+    def _evidence(self, mad0: Sequence[float]) -> tuple[np.ndarray, np.ndarray, float]:
+        """(evidence of each feature, noise ratios, mean saturation) of the last values."""
+        raw, ratios, shares = [], [], []
+        for values, base in zip(np.asarray(self.history, float).T, mad0, strict=True):
+            seen = values[np.isfinite(values)]
+            recent = max(1.4826 * float(np.median(np.abs(seen - np.median(seen)))), 1e-9) if len(seen) else base
+            share = float((np.abs(seen) >= self.saturated).mean()) if len(seen) else 0.0
+            ratio = recent / max(base, 1e-9)
+            raw.append(min(1.0, max(self.least, math.exp(-0.5 * max(ratio - 1, 0.0)) * (1 - 0.8 * share) * len(seen) / len(values))))
+            ratios.append(ratio)
+            shares.append(share)
+        return np.array(raw), np.array(ratios), float(np.mean(shares))
+
+    def _blocked(self, row: dict, awr: float, saturation: float, index: int) -> str:
+        """The first reason why nothing may be learned, or none."""
+        near = lambda at: any(index - self.gate <= k < index for k in at)
+        reasons = (
+            ("calibration_phase", row["end_cycle"] <= self.calibration), ("forced_freeze", self.frozen > 0), ("slow_risk", self.slow >= self.slow_limit), ("awr_calibration_p95", awr >= row["awr95"]), ("bd_calibration_p95", row["bd"] >= row["bd95"]),
+            ("rs50_positive", row["rs50"] is None or row["rs50"] > 0), ("tes_threshold", row["tes"] >= row["tes_limit"]), ("recent_tes_event", near(self.events)), ("recent_high_risk", near(self.highs)), ("saturation_feature_rate", saturation >= 0.30),
+        )
+        return next((name for name, holds in reasons if holds), "")
 
     def step(self, row: dict) -> dict:
-        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, row["logit"] + self.offset))))
-        self.smooth += (0.15 if p > self.smooth else 0.02) * (p - self.smooth)
+        index, calm, x = row["window_index"], row["end_cycle"] <= self.calibration, np.array([math.nan if v is None else v for v in row["x"]], float)
+        self.history.append(x.tolist())
+        del self.history[: -self.window]
+        trust = np.ones(len(x)) if self.reliability is None else np.array(self.reliability)
+        raw, ratios, saturation = self._evidence(row["mad0"])
+        if not calm:
+            trust = np.minimum(trust, raw)
+        use = np.isfinite(x)
+        awr = float(trust[use] @ x[use] / trust[use].sum()) if use.any() else 0.0
+        logit = self.head[0] + self.head[1] * awr + self.head[2] * row["bd"]
+        wanted = math.log(self.target / (1 - self.target))
+        if calm:
+            self.first_logits.append(logit)
+        elif self.first_logits:
+            self.offset, self.first_logits = max(-self.most, min(self.most, wanted - float(np.median(self.first_logits)))), []
+        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, logit + self.offset))))
+        self.slow += (0.15 if p > self.slow else 0.02) * (p - self.slow)
+        high, event_now = p >= self.risk, row["tes"] >= row["tes_limit"]
+        self.run = self.run + 1 if row["rs50"] is not None and row["rs50"] > self.rising else 0
         event = ""
-        calm = row["end_cycle"] <= 500
-        if row.get("alarm") and not calm:
-            self.frozen, event = self.freeze, "FREEZE"
-        gate = not calm and not row.get("guard") and self.frozen == 0 and self.smooth < self.slow
-        if gate and row["window_index"] % self.every == 0:
-            wanted = math.log(self.target / (1 - self.target))
-            now = math.log(max(p, 1e-6) / max(1 - p, 1e-6))
-            self.offset = max(-self.limit, min(self.limit, self.offset + self.rate * (wanted - now)))
-            self.changed, event = True, "UPDATE"
-        self.past = [*self.past, (row["awr"], row["bd"], self.smooth)][-self.lookback :]
-        if self.changed and len(self.past) == self.lookback:
-            x = np.asarray(self.past, float)
-            t = np.arange(self.lookback) - (self.lookback - 1) / 2
-            rising = (x[:, :2] * t[:, None]).sum(0) > 0
-            if rising.all() and x[:, 2].max() - x[0, 2] > 0.15:
-                self.offset, self.frozen, self.changed, event = self.saved, 2 * self.freeze, False, "ROLLBACK"
-        if row["window_index"] - self.saved_at >= self.checkpoint and gate:
-            self.saved, self.saved_at, self.changed, event = self.offset, row["window_index"], False, event or "CHECKPOINT"
+        if not calm:
+            event = "HIGH_RISK" if high else "TES_EVENT" if event_now else "SUSTAINED_RS" if self.run >= 3 else "HIGH_AWR_HIGH_BD" if awr >= row["awr95"] and row["bd"] >= row["bd95"] else ""
+            if event:
+                self.frozen = max(self.frozen, self.freeze)
+        blocked = self._blocked(row, awr, saturation, index)
         self.frozen = max(0, self.frozen - 1)
-        return {"probability": p, "slow_risk": self.smooth, "offset": self.offset, "gate": int(gate), "event": event}
+        if not blocked:
+            trust = np.clip((1 - self.ewma) * trust + self.ewma * raw, self.least, 1.0)
+            self.noise = 0.95 * self.noise + 0.05 * float(np.median(ratios))
+            if index % self.every == 0:
+                q = min(1 - 1e-9, max(1e-9, p))
+                self.offset = max(-self.most, min(self.most, self.offset + self.rate * (wanted - math.log(q / (1 - q)))))
+            self.updated = index
+        self.reliability = trust.tolist()
+        self.past.append([awr, row["bd"], self.slow])
+        del self.past[: -self.lookback]
+        if self.saved and self.updated is not None and self.updated > self.saved["at"] and len(self.past) == self.lookback and suppressed_rise(*zip(*self.past, strict=True), self.drop):
+            self.reliability, self.offset, self.noise = list(self.saved["reliability"]), self.saved["offset"], self.saved["noise"]
+            self.frozen, event = max(self.frozen, self.cooldown), "ROLLBACK"
+        if index and index % self.checkpoint == 0:
+            self.saved = {"at": index, "reliability": list(self.reliability), "offset": self.offset, "noise": self.noise}
+            event = event or "CHECKPOINT"
+        for seen, holds in ((self.events, event_now), (self.highs, high)):
+            if holds:
+                seen.append(index)
+            while seen and seen[0] < index - self.gate:
+                del seen[0]
+        return {"awr": awr, "probability": p, "slow_risk": self.slow, "offset": self.offset, "noise": self.noise, "frozen": self.frozen, "gate": int(not blocked), "reason": blocked, "event": event, "reliability": self.reliability}
 
 
 class NuisanceAdapter(Machine):

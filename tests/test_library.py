@@ -177,9 +177,9 @@ def test_freeze_machine_priorities():
     assert m.step({"window_index": 0, "end_cycle": 20})["mode"] == "CALIBRATION"
     first = m.step({"window_index": 200, "end_cycle": 1020, "tes": True})
     assert (first["mode"], first["event"], first["freeze_until"]) == ("FROZEN_EVENT", "ENTER_STATE", 220)
-    assert m.step({"window_index": 201, "end_cycle": 1025, "sustained_rs": True})["event"] == "" and m.reason == "TES"
+    assert m.step({"window_index": 201, "end_cycle": 1025, "sustained_rs": True})["event"] == "" and m.reason == "TES_EVENT"
     longer = m.step({"window_index": 206, "end_cycle": 1050, "sustained_rs": True})  # extends enough: the reason stays
-    assert (longer["event"], longer["reason"], longer["freeze_until"]) == ("EXTEND_FREEZE", "TES", 226)
+    assert (longer["event"], longer["reason"], longer["freeze_until"]) == ("EXTEND_FREEZE", "TES_EVENT", 226)
     risk = m.step({"window_index": 207, "end_cycle": 1055, "high_risk": True})
     assert (risk["event"], risk["reason"], risk["mode"], risk["freeze_until"]) == ("EXTEND_FREEZE", "HIGH_RISK", "FROZEN_RISK", 227)
     out = [m.step({"window_index": i, "end_cycle": 5.0 * i}) for i in range(227, 232)]
