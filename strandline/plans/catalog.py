@@ -983,6 +983,53 @@ def regime_discovery(s, sf):
     return H.backfill(rows, ["dataset"], "window_index", X.RegimeDiscovery, "dataset string, window_index long, stage int, score double, candidate int, event string", ["stage", "score", "candidate", "event"])
 
 
+REGIME_GRID = [(t, least, dwell) for t in (2.0, 3.0, 4.0) for least in (10, 20, 30) for dwell in (20, 40, 60)]
+
+
+@query()
+def regime_grid(s, sf):
+    """27 parameter cells of the regime machine in one pass a stream: stages found, and the share of windows whose stage is
+    that of the label, which is attached afterwards, by overlaps of spans. The best cell of a stream is selected."""
+    scratch = Scratch(s, "regimes")
+    sc = scratch.settle(machine_rows(s, sf).select("dataset", "window_index", "guard", F.col("awr").alias("level"), "stage"), "rows")
+    makes = [lambda p=p: X.RegimeDiscovery(threshold=p[0], least=p[1], dwell=p[2]) for p in REGIME_GRID]
+    found = scratch.settle(H.changes(S.drop_labels(sc), ["dataset"], "window_index", makes, "stage"), "changes")
+    ends = sc.groupBy("dataset").agg((F.max("window_index") + 1).alias("_n"))
+    until = F.lead("window_index").over(Window.partitionBy("dataset", "cell").orderBy("window_index"))  # a row a stage
+    spans = found.join(ends, "dataset").withColumn("until", F.coalesce(until, "_n"))
+    labels = sc.groupBy("dataset", "stage").agg(F.min("window_index").alias("_from"), (F.max("window_index") + 1).alias("_to"))
+    overlap = F.greatest(F.least("until", "_to") - F.greatest("window_index", "_from"), F.lit(0))
+    agreed = spans.join(labels, ["dataset", "stage"], "left").groupBy("dataset", "cell", "_n").agg(F.max("stage").alias("stages"), F.sum(F.coalesce(overlap, F.lit(0))).alias("_same"))
+    share = agreed.withColumn("agreement", F.col("_same") / F.col("_n"))
+    best = share.groupBy("dataset").agg(F.max_by("cell", F.struct(F.round("agreement", 9), -F.col("cell"))).alias("_best"))
+    of = lambda i: F.get(F.array(*[F.lit(p[i]) for p in REGIME_GRID]), F.col("cell"))
+    return scratch.last(share.join(best, "dataset").select("dataset", of(0).alias("threshold"), of(1).alias("least"), of(2).alias("dwell"), "stages", r6("agreement"), (F.col("cell") == F.col("_best")).cast("int").alias("selected")))
+
+
+@query(
+    ", n AS (SELECT dataset, count(*) AS n FROM sc GROUP BY 1) SELECT dataset, CAST(k AS INTEGER) AS tenth, n - greatest(1, CAST(floor(n * k / 10 + 0.5) AS BIGINT)) AS n, CAST(0 AS DOUBLE) AS difference, CAST(0 AS BIGINT) AS other_events FROM n, (SELECT unnest(range(11)) AS k)"
+)
+def snapshot_replay(s, sf):
+    """The adapter's state is kept at eleven points of each stream; what is replayed from each equals the unbroken run."""
+    scratch = Scratch(s, "snapshots")
+    rows = scratch.settle(adapter_rows(s, sf), "rows")
+    columns = ["probability", "slow_risk", "offset", "noise", "event"]
+    schema = "probability double, slow_risk double, offset double, noise double, event string"
+    n = rows.groupBy("dataset").agg(F.count("*").alias("_n")).withColumn("tenth", F.explode(F.sequence(F.lit(0), F.lit(10))))
+    points = n.select("dataset", "tenth", (F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("tenth") / 10 + 0.5)) - 1).alias("at"))
+    marked = rows.join(points.select("dataset", F.col("at").alias("window_index"), F.lit(True).alias("mark")).distinct(), ["dataset", "window_index"], "left")
+    kept = scratch.settle(H.snapshots(marked, ["dataset"], "window_index", "mark", X.GatedAdapter), "kept")
+    first = kept.select("dataset", F.col("window_index").alias("at"), "body")
+    # eleven points, whatever a stream's length; a state goes with the first row after it
+    again = rows.join(points, "dataset").where("window_index > at").join(first.withColumn("window_index", F.col("at") + 1), ["dataset", "window_index", "at"], "left").drop("at")
+    resumed = H.backfill(again, ["dataset", "tenth"], "window_index", X.GatedAdapter, "dataset string, tenth int, window_index long, " + schema, columns, snapshot="body")
+    whole = H.backfill(rows, ["dataset"], "window_index", X.GatedAdapter, "dataset string, window_index long, " + schema, columns).select("dataset", "window_index", *[F.col(c).alias(f"_{c}") for c in columns])
+    gap = F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in columns[:-1]])
+    got = resumed.join(whole, ["dataset", "window_index"]).groupBy("dataset", "tenth").agg(F.count("*").alias("n"), F.max(gap).alias("difference"), F.sum((F.col("event") != F.col("_event")).cast("long")).alias("other_events"))
+    zero = F.lit(0)
+    return scratch.last(points.join(got, ["dataset", "tenth"], "left").select("dataset", "tenth", F.coalesce("n", zero).alias("n"), F.coalesce("difference", F.lit(0.0)).alias("difference"), F.coalesce("other_events", zero).alias("other_events")))
+
+
 @query()
 def ordered_prototypes(s, sf):
     rows = machine_rows(s, sf).select("dataset", "window_index", "guard", F.col("awr").alias("level"))

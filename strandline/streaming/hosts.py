@@ -38,8 +38,15 @@ def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
         yield {k: _plain(v) for k, v in r.items()}
 
 
-def backfill(df: DataFrame, keys: list[str], order: str, make: Callable[[], Machine], schema: str, columns: list[str]) -> DataFrame:
-    """Replay ordered streams; the result has the keys, ``order`` and the machine's outputs in ``columns``."""
+def _sorted(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, order)
+
+
+def backfill(df: DataFrame, keys: list[str], order: str, make: Callable[[], Machine], schema: str, columns: list[str], snapshot: str | None = None) -> DataFrame:
+    """Replay ordered streams; the result has the keys, ``order`` and the machine's outputs in ``columns``.
+
+    ``snapshot`` names a column whose value in a stream's first row is the state to go on from (see ``snapshots``).
+    """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,15 +54,67 @@ def backfill(df: DataFrame, keys: list[str], order: str, make: Callable[[], Mach
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                at = tuple(r[k] for k in keys)
+                at, body = tuple(r[k] for k in keys), r.pop(snapshot) if snapshot else None
                 if machine is None or at != stream:
                     stream, machine = at, make()
+                    if body:
+                        _load(machine, json.loads(body))
                 row = {k: _plain(v) for k, v in r.items()}
                 made = machine.step(row)
                 out.append({**{k: r[k] for k in (*keys, order)}, **{c: _plain(made[c]) for c in columns}})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    return _sorted(df, keys, order).mapInArrow(run, schema)
+
+
+def snapshots(df: DataFrame, keys: list[str], order: str, mark: str, make: Callable[[], Machine]) -> DataFrame:
+    """keys, ``order`` and ``body``, the state as JSON, after each row whose column ``mark`` is true."""
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in (*keys, order)), "body string"])
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, machine = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                at, marked = tuple(r[k] for k in keys), r.pop(mark)
+                if machine is None or at != stream:
+                    stream, machine = at, make()
+                machine.step({k: _plain(v) for k, v in r.items()})
+                if marked:
+                    out.append({**{k: r[k] for k in (*keys, order)}, "body": json.dumps(_dump(machine))})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return _sorted(df, keys, order).mapInArrow(run, schema)
+
+
+def changes(df: DataFrame, keys: list[str], order: str, makes: list[Callable[[], Machine]], column: str, kind: str = "int") -> DataFrame:
+    """Many machines side by side over one sorted pass: keys, cell, ``order`` and ``column`` wherever its value changes.
+
+    What travels on has the size of the changes, not that of the rows times the machines.
+    """
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "cell int", f"{order} {types[order]}", f"{column} {kind}"])
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, machines_, last = None, [], []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                at = tuple(r[k] for k in keys)
+                if not machines_ or at != stream:
+                    stream, machines_, last = at, [make() for make in makes], [None] * len(makes)
+                row = {k: _plain(v) for k, v in r.items()}
+                for i, machine in enumerate(machines_):
+                    value = _plain(machine.step(row)[column])
+                    if value != last[i]:
+                        last[i] = value
+                        out.append({**{k: r[k] for k in (*keys, order)}, "cell": i, column: value})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return _sorted(df, keys, order).mapInArrow(run, schema)
 
 
 class MachineProcessor(StatefulProcessor):
