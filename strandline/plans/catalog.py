@@ -1037,6 +1037,42 @@ def ordered_prototypes(s, sf):
     return H.backfill(rows, ["dataset"], "window_index", make, "dataset string, window_index long, stage int, confidence double, event string", ["stage", "confidence", "event"])
 
 
+def prototypes(rows: DataFrame) -> DataFrame:
+    """dataset, prototypes, variances (a vector a stage), tes99: what a labelled source stream hands on, a row a stream."""
+    stages = rows.where("guard = 0").groupBy("dataset", "stage").agg(F.array(*[F.avg(F.get("x", i)) for i in range(len(ZS))]).alias("m"), F.array(*[F.var_pop(F.get("x", i)) for i in range(len(ZS))]).alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("stage", "m", "v")))
+    wide = stages.groupBy("dataset").agg(ordered.alias("_s")).where(F.size("_s") == 5)
+    of = lambda c: F.transform("_s", lambda x: x[c])
+    return wide.select("dataset", of("m").alias("prototypes"), of("v").alias("variances")).join(rows.groupBy("dataset").agg(M.med("tes", 0.99).alias("tes99")), "dataset")
+
+
+def prototype_rows(s, sf) -> DataFrame:
+    return adapter_rows(s, sf).join(B.scores(s, sf).select("dataset", "window_index", "stage"), ["dataset", "window_index"]).select("dataset", "window_index", "stage", "guard", "x", "tes")
+
+
+@query(
+    ", g AS (SELECT * FROM sc WHERE NOT start_cycle <= floor(end_cycle / 500) * 500 + 100) SELECT dataset, stage, round(avg(z_x_mean), 6) AS m_x_mean, round(avg(z_x_rms), 6) AS m_x_rms, round(avg(z_x_p2p), 6) AS m_x_p2p, round(var_pop(z_x_mean), 6) AS v_x_mean, round(var_pop(z_x_rms), 6) AS v_x_rms, round(var_pop(z_x_p2p), 6) AS v_x_p2p FROM g GROUP BY ALL"
+)
+def source_prototypes(s, sf):
+    """Means and variances of each stage that a stream hands on as a source."""
+    long = prototypes(prototype_rows(s, sf)).select("dataset", F.posexplode(F.arrays_zip("prototypes", "variances")).alias("_k", "_p"))
+    part = lambda field, name: [r6(F.get(F.col(f"_p.{field}"), i), f"{name}_{f}") for i, f in enumerate(B.FEATURES)]
+    return long.select("dataset", (F.col("_k") + 1).alias("stage"), *part("prototypes", "m"), *part("variances", "v"))
+
+
+@query()
+def prototype_memory(s, sf):
+    """Prototypes of a source stream adapted to each target, with memory, drift freezes, checkpoints and rollbacks."""
+    scratch = Scratch(s, "prototypes")
+    rows = scratch.settle(prototype_rows(s, sf), "rows")
+    table = scratch.settle(prototypes(rows), "source")
+    given = directions(rows).join(table.withColumnRenamed("dataset", "source"), "source").select("dataset", F.struct("prototypes", "variances", "tes99").alias("source"))
+    fed = S.drop_labels(rows).join(given, "dataset")
+    columns = ["stage", "confidence", "entropy", "margin", "js", "reason", "event", "support", "remembered", "drift"]
+    schema = "dataset string, window_index long, stage int, confidence double, entropy double, margin double, js double, reason string, event string, support int, remembered int, drift double"
+    return scratch.last(H.backfill(fed, ["dataset"], "window_index", X.PrototypeMemory, schema, columns))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows, robust z, mean score, baseline threshold and AUROC of the last stage, for each stream."""
     sc = B.scores(spark, sf_dir).withColumn("late", (F.col("stage") == 5).cast("int"))

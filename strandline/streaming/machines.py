@@ -666,3 +666,111 @@ class OrderedPrototypes(Machine):
             else:
                 event = "ORDER"
         return {"stage": k + 1, "confidence": float(p[k]), "event": event}
+
+
+class PrototypeMemory(Machine):
+    """Prototypes of five ordered states, adapted to a target stream by confident rows, with a bounded memory of them.
+
+    Rows bring a vector ``x``, ``tes``, ``guard``, and ``source``: the source stream's ``prototypes`` and ``variances`` (a list for each
+    state) and its ``tes99``. The observation of a row is half the source's view and half that of the adapted prototypes;
+    a forward filter with a tri-diagonal transition makes the posterior of it. A teacher follows the prototypes slowly.
+
+    A row is accepted if the posterior is confident, teacher and source agree on it, nothing guards, disturbs or freezes
+    it and the state moves by one at most. An accepted row moves its state's prototype, unless that breaks the order
+    along the source's axis, or takes it too far from where it came from, which freezes the stream. Its state's memory
+    keeps it, and gives up the entry that is worst by confidence and distance when it is full.
+
+    Every ``checkpoint`` windows the adapted state is kept with the quality of the last 20 rows; from 100 windows on it is
+    restored where entropy has risen, agreement has fallen and the order is lost.
+    """
+
+    def __init__(self, confident: float = 0.80, js: float = 0.05, margin: float = 0.20, entropy: float = 1.00, rate: float = 0.01, most: float = 0.05, decay: float = 0.995, keep: int = 200, freeze: int = 100, checkpoint: int = 200):
+        self.limits, self.rate, self.most, self.decay, self.keep, self.freeze, self.checkpoint = [confident, js, margin, entropy], rate, most, decay, keep, freeze, checkpoint
+        self.filter = ForwardFilter()
+        self.prototypes = self.variances = self.teacher = None
+        self.support, self.memory = [0] * 5, [[] for _ in range(5)]
+        self.was, self.until, self.triggered, self.saved = None, -1, False, None
+        self.quality: list[list[float]] = []
+
+    @staticmethod
+    def posterior(x: np.ndarray, prototypes, variances) -> np.ndarray:
+        d = -0.5 * ((x - np.asarray(prototypes)) ** 2 / np.maximum(np.asarray(variances), 1e-5)).sum(axis=1)
+        p = np.exp(d - d.max())
+        return p / p.sum()
+
+    @staticmethod
+    def ordered(prototypes, source) -> bool:
+        first = np.asarray(source)
+        return bool((np.diff(np.asarray(prototypes) @ (first[-1] - first[0])) >= -1e-8).all())
+
+    def _move(self, x: np.ndarray, k: int, confidence: float, source: np.ndarray, index: int) -> str:
+        """UPDATED, or why the prototype of state ``k`` stays."""
+        new = np.array(self.prototypes)
+        rate = min(self.most, self.rate * (1 + confidence))
+        new[k] = (1 - rate) * new[k] + rate * x
+        if not self.ordered(new, source):
+            return "PROTOTYPE_ORDER_REJECT"
+        room = float(np.linalg.norm(source[min(k + 1, 4)] - source[max(k - 1, 0)]))
+        if room > 0 and float(np.linalg.norm(new[k] - source[k])) > 0.2 * room:
+            self.until = max(self.until, index + self.freeze)
+            return "PROTOTYPE_DRIFT_FREEZE"
+        self.prototypes = new.tolist()
+        self.variances[k] = (0.99 * np.array(self.variances[k]) + 0.01 * np.maximum((x - new[k]) ** 2, 1e-5)).tolist()
+        self.support[k] += 1
+        return "UPDATED"
+
+    def _remember(self, x: np.ndarray, k: int, confidence: float, index: int) -> None:
+        bucket = self.memory[k]
+        bucket.append([index, confidence, x.tolist()])
+        if len(bucket) > self.keep:
+            away = np.linalg.norm(np.array([b[2] for b in bucket]) - np.array(self.prototypes[k]), axis=1)
+            del bucket[int(np.argmin(np.array([b[1] for b in bucket]) - 0.05 * away))]
+
+    def _guard_quality(self, agree: float, entropy: float, source: np.ndarray, index: int) -> str:
+        self.quality.append([agree, entropy])
+        del self.quality[:-100]
+        event = ""
+        if index and index % self.checkpoint == 0:
+            self.saved = {"at": index, "quality": np.mean(self.quality[-20:], axis=0).tolist(), **copy.deepcopy({k: getattr(self, k) for k in ("prototypes", "variances", "teacher", "support")})}
+            event = "CHECKPOINT"
+        if self.saved and index - self.saved["at"] >= 100 and len(self.quality) == 100:
+            (now, h), (then, h0) = np.mean(self.quality, axis=0), self.saved["quality"]
+            if h > h0 and now < then and not self.ordered(self.prototypes, source):
+                for k in ("prototypes", "variances", "teacher", "support"):
+                    setattr(self, k, copy.deepcopy(self.saved[k]))
+                self.until, event = index + self.freeze, "ROLLBACK"
+        return event
+
+    def step(self, row: dict) -> dict:
+        index, guard = row["window_index"], bool(row.get("guard"))
+        source, spread_ = np.array(row["source"]["prototypes"], float), np.array(row["source"]["variances"], float)
+        if self.prototypes is None:
+            self.prototypes, self.variances, self.teacher = source.tolist(), spread_.tolist(), source.tolist()
+        x = np.array([math.nan if v is None else v for v in row["x"]], float)
+        missing = not np.isfinite(x).all()
+        x = np.where(np.isfinite(x), x, 0.0)
+        static, taught = self.posterior(x, source, spread_), self.posterior(x, self.teacher, self.variances)
+        made = self.filter.step({"observation": (0.5 * static + 0.5 * self.posterior(x, self.prototypes, self.variances)).tolist()})
+        q = np.array(made["posterior"])
+        k, confidence = int(q.argmax()), float(q.max())
+        entropy = float(-(q * np.log(np.clip(q, 1e-8, 1))).sum())
+        mid = (static + taught) / 2
+        js = float(0.5 * (static * np.log(np.clip(static / mid, 1e-8, None))).sum() + 0.5 * (taught * np.log(np.clip(taught / mid, 1e-8, None))).sum())
+        agree, upset = int(static.argmax()) == int(taught.argmax()), row["tes"] > row["source"]["tes99"]
+        least, most_js, gap, most_entropy = self.limits
+        checks = (
+            ("LOW_CONFIDENCE", confidence >= least), ("DISAGREEMENT", agree), ("HIGH_JS", js <= most_js), ("LOW_MARGIN", made["margin"] >= gap), ("HIGH_ENTROPY", entropy <= most_entropy),
+            ("RESTART_GUARD", not guard), ("TES_OUTLIER", not upset), ("MISSING", not missing), ("STATE_JUMP", self.was is None or abs(k - self.was) <= 1), ("FROZEN", index > self.until),
+        )
+        reason, event = next((name for name, passed in checks if not passed), ""), ""
+        if not reason:
+            event = self._move(x, k, confidence, source, index)
+            self._remember(x, k, confidence, index)
+            self.teacher = (self.decay * np.array(self.teacher) + (1 - self.decay) * np.array(self.prototypes)).tolist()
+        disturbed = guard or upset
+        if disturbed and not self.triggered and index > self.until:
+            self.until, event = index + self.freeze, event or "FREEZE"
+        self.triggered, self.was = disturbed, k
+        event = self._guard_quality(float(agree), entropy, source, index) or event
+        drift = float(np.linalg.norm(np.array(self.prototypes) - source, axis=1).max())
+        return {"stage": k + 1, "confidence": confidence, "entropy": entropy, "margin": made["margin"], "js": js, "reason": reason, "event": event, "support": sum(self.support), "remembered": sum(map(len, self.memory)), "drift": drift}
