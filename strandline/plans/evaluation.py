@@ -10,9 +10,11 @@ from strandline.operators import evaluation as E
 from strandline.operators import metrics as M
 from strandline.operators import rolling as R
 from strandline.operators import streams as S
+from strandline.operators import topk as K
 from strandline.plans import base as B
 from strandline.plans.base import r6
-from strandline.plans.catalog import EVENTS, LATE, OV, THRESHOLDS, frame, late, query, tes_events, thresholds
+from strandline.plans.catalog import EVENTS, LATE, OV, RECURSIVE, TES, THRESHOLDS, frame, late, query, tes_events, tes_frame, thresholds
+from strandline.sources.shared import Scratch
 
 Z = [f"z_{f}" for f in B.FEATURES]
 FIVE = range(1, 6)
@@ -401,6 +403,55 @@ def candidate_categories(s, sf):
     return found.groupBy("dataset", "category").agg(F.count("*").alias("n"), best.alias("best_window"), r6(F.max("score"), "best_score"))
 
 
+#: Nine categories of spaced candidates: which windows, and by what score. Smoothed score p, distance b, branch c, their
+#: growth gp, gb and |gc|, events t and support o; a number after a column is its quantile over the stream.
+SPACED_RULES = {
+    "high_P_high_BD": ("p >= p90 AND b >= b90", "p + b"), "high_BD_low_P": ("b >= b90 AND p <= p50", "b"), "stable_branch_candidate": ("c <= c10", "-c"), "severe_branch_candidate": ("c >= c90", "c"),
+    "rapid_P_growth": ("gp >= gp95", "gp"), "rapid_BD_growth": ("gb >= gb95", "gb"), "branch_transition": ("gc >= gc95", "gc"), "high_TES": ("t >= t95", "t"), "high_weighted_OOS": ("o >= o95", "o"),
+}
+SPACED_QUANTILES = [("p", 50), ("p", 90), ("b", 90), ("c", 10), ("c", 90), ("gp", 95), ("gb", 95), ("gc", 95), ("t", 95), ("o", 95)]
+
+
+def _spaced_sql() -> str:
+    w20, b20 = "ROWS BETWEEN 19 PRECEDING AND CURRENT ROW", "ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING"
+    grow = lambda c: f"CASE WHEN count(*) OVER f40 = 40 THEN (quantile_cont({c}, 0.5) OVER f20 - quantile_cont({c}, 0.5) OVER b20) / 20 END"
+    order = "PARTITION BY dataset ORDER BY window_index"
+    return (
+        TES + ", li AS (SELECT dataset, feature_name, quantile_cont(z_value, 0.01) AS p01, quantile_cont(z_value, 0.99) AS p99 FROM z WHERE baseline_window = 1 GROUP BY ALL), "
+        "oo AS (SELECT dataset, window_index, round(sum(CASE WHEN round(z_value, 9) < round(p01, 9) OR round(z_value, 9) > round(p99, 9) THEN CASE feature_name WHEN 'x_mean' THEN 0.6 WHEN 'x_rms' THEN 0.4 ELSE 0.0 END ELSE 0.0 END)::DOUBLE, 6) AS o FROM z JOIN li USING (dataset, feature_name) GROUP BY ALL), "
+        f"va AS (SELECT dataset, window_index, start_cycle, end_cycle, center_cycle, start_cycle <= floor(end_cycle / 500) * 500 + 100 AS guard, round(quantile_cont(awr, 0.5) OVER f20, 9) AS p, round(bd, 9) AS b, round(z_x_p2p, 9) AS c, round({grow('awr')}, 9) AS gp, round({grow('bd')}, 9) AS gb, round(abs({grow('z_x_p2p')}), 9) AS gc "
+        f"FROM sc WINDOW f20 AS ({order} {w20}), b20 AS ({order} {b20}), f40 AS ({order} ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)), "
+        "vb AS (SELECT va.*, round(tes, 5) AS t, o FROM va JOIN te USING (dataset, window_index) JOIN oo USING (dataset, window_index)), "
+        "vq AS (SELECT dataset, " + ", ".join(f"round(quantile_cont({c}, {q / 100}), 9) AS {c}{q}" for c, q in SPACED_QUANTILES) + " FROM vb GROUP BY 1), "
+        "cd AS (" + " UNION ALL ".join(f"SELECT dataset, '{k}' AS category, window_index, start_cycle, end_cycle, center_cycle, round({v}, 9) AS score FROM vb JOIN vq USING (dataset) WHERE NOT guard AND {w}" for k, (w, v) in SPACED_RULES.items()) + "), "
+        "pk AS (SELECT dataset, category, 0 AS pick, CAST(NULL AS BIGINT) AS window_index, CAST(NULL AS DOUBLE) AS score, CAST([] AS DOUBLE[]) AS taken FROM (SELECT DISTINCT dataset, category FROM cd) UNION ALL "
+        "SELECT dataset, category, pick + 1, x.window_index, x.score, list_append(taken, x.center_cycle) FROM (SELECT pk.dataset, pk.category, pk.pick, pk.taken, max_by({'window_index': cd.window_index, 'score': cd.score, 'center_cycle': cd.center_cycle}, {'s': cd.score, 'w': -cd.window_index}) AS x "
+        "FROM pk JOIN cd ON cd.dataset = pk.dataset AND cd.category = pk.category WHERE pk.pick < 20 AND len(list_filter(pk.taken, lambda y: abs(y - cd.center_cycle) < 500)) = 0 GROUP BY pk.dataset, pk.category, pk.pick, pk.taken)) "
+        "SELECT pk.dataset, pk.category, CAST(pick AS INTEGER) AS pick, pk.window_index, round(any_value(pk.score), 5) AS score, min(cd.start_cycle) AS start_cycle, max(cd.end_cycle) AS end_cycle, count(*) AS windows FROM pk JOIN cd ON cd.dataset = pk.dataset AND cd.category = pk.category AND abs(cd.window_index - pk.window_index) <= 10 WHERE pick > 0 GROUP BY ALL"
+    )
+
+
+@query(_spaced_sql(), RECURSIVE)
+def spaced_candidates(s, sf):
+    """Candidates of nine categories, at least 500 cycles apart, at most twenty each, with the span of like windows around."""
+    growth = {"gp": R.trend("awr", 20), "gb": R.trend("bd", 20), "gc": R.trend("z_x_p2p", 20), "p": R.rolling_median("awr", 20)}
+    at = lambda c, n=9: F.round(c, n).alias(c)
+    guard = S.guard_overlap(F.col("start_cycle"), F.col("end_cycle")).alias("guard")
+    base = frame(s, sf, growth, 39).select("dataset", "window_index", "start_cycle", "end_cycle", "center_cycle", guard, at("p"), F.round("bd", 9).alias("b"), F.round("z_x_p2p", 9).alias("c"), at("gp"), at("gb"), F.round(F.abs("gc"), 9).alias("gc"))
+    rows = base.join(tes_frame(s, sf).select("dataset", "window_index", F.round("tes", 5).alias("t")), ["dataset", "window_index"]).join(weighted_support(s, sf).select("dataset", "window_index", F.col("oos_common").alias("o")), ["dataset", "window_index"])
+    scratch = Scratch(s, "candidates")
+    rows = scratch.settle(rows, "rows")
+    q = rows.groupBy("dataset").agg(*[F.round(M.med(c, k / 100), 9).alias(f"{c}{k}") for c, k in SPACED_QUANTILES])
+    kinds = F.array(*[F.when(F.expr(w), F.struct(F.lit(k).alias("category"), F.round(F.expr(v), 9).alias("score"))) for k, (w, v) in SPACED_RULES.items()])
+    found = rows.where("guard = 0").join(q, "dataset").withColumn("_c", F.explode(F.filter(kinds, lambda x: x.isNotNull())))
+    found = scratch.settle(found.select(F.concat_ws("|", "dataset", "_c.category").alias("dataset"), "window_index", "start_cycle", "end_cycle", "center_cycle", "_c.score"), "found")
+    picks = K.spaced_top(found, "score", 20, 500.0).select("dataset", "pick", F.col("window_index").alias("peak"), "score")
+    near = picks.withColumn("window_index", F.explode(F.sequence(F.col("peak") - 10, F.col("peak") + 10)))
+    spans = near.join(found.drop("score"), ["dataset", "window_index"]).groupBy("dataset", "pick", "peak", "score").agg(F.min("start_cycle").alias("start_cycle"), F.max("end_cycle").alias("end_cycle"), F.count("*").alias("windows"))
+    name = F.split("dataset", r"\|")
+    return scratch.last(spans.select(F.get(name, 0).alias("dataset"), F.get(name, 1).alias("category"), "pick", F.col("peak").alias("window_index"), F.round("score", 5).alias("score"), "start_cycle", "end_cycle", "windows"))
+
+
 GROUPS = {"all": Z, "amplitude": Z[:2], "span": Z[2:], "no_mean": Z[1:]}
 GROUP_SQL = "UNION ALL ".join(f"SELECT '{g}' AS feature_group, dataset, stage, round(({' + '.join(f)}) / {len(f)}, 9) AS score FROM sc " for g, f in GROUPS.items())
 
