@@ -121,6 +121,18 @@ def test_ridge_and_distance(stream):
     m = np.stack([np.ones(len(a)), a["x"]], 1)
     assert np.allclose([got["a", "one"], got["a", "x"]], np.linalg.solve(m.T @ m + np.eye(2), m.T @ a["y"]))
     assert L.mahalanobis(z, ["x", "y"]).where("distance < 0 or distance is null").isEmpty()
+    w = z.withColumn("y", F.sin(F.col("x") * 3))
+    got, pdf = pandas_of(L.mahalanobis(w, ["x", "y"])), pandas_of(w)
+    for d, g in pdf.groupby("dataset"):
+        base = g.loc[g["baseline_window"] == 1, ["x", "y"]].to_numpy(float)
+        m, n, c = np.median(base, axis=0), len(base), base - base.mean(0)
+        cov = c.T @ c / n
+        mu = np.trace(cov) / 2
+        noise = sum(np.linalg.norm(np.outer(r, r) - cov) ** 2 for r in c) / n / n  # what one row's product is off by
+        part = min(1.0, noise / np.linalg.norm(cov - mu * np.eye(2)) ** 2)
+        inverse = np.linalg.inv(part * mu * np.eye(2) + (1 - part) * cov)
+        want = [np.sqrt(r @ inverse @ r) for r in g[["x", "y"]].to_numpy(float) - m]
+        assert np.allclose(got.loc[got["dataset"] == d, "distance"], want)
     assert L.greedy_redundancy(np.array([[1, 0.99, 0.1], [0.99, 1, 0.97], [0.1, 0.97, 1]]), [0, 1, 2]) == [1.0, 0.5, 0.5]
 
 
