@@ -193,7 +193,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     """
     e = scratch.settle(edges.where("a <> b").select("a", "b").distinct(), "edges")
     tasks = -(-e.count() // TASK_LINKS) or 1
-    e = scratch.settle(e.coalesce(tasks).mapInArrow(_unite, "u long, v long"), "united")
+    links, e = e, scratch.settle(e.coalesce(tasks).mapInArrow(_unite, "u long, v long"), "united")
+    scratch.drop(links)
     while tasks > 1 and not _is_stars(e):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -203,7 +204,9 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         scratch.drop(e, big)
         e = new
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return scratch.settle(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
+    found = scratch.settle(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
+    scratch.drop(e)
+    return found
 
 
 def _unite(batches):

@@ -21,8 +21,9 @@ whole texts, and every link is confirmed on them.
 
 A pair of similarity s meets in a child with probability 1 - (1 - s)(1 - s / 2) at least, so for s = 0.8 its expected
 number of common children is 1.2: the chance q to share a node of depth d falls from 0.88 to 0.81, 0.76, 0.73 and never
-under 0.625. Ten trees miss a pair at the threshold with probability (1 - q) ** 10: 6e-7 at depth 3, 1e-5 at depth 6, and
-under 6e-5 at any depth, so the target holds at every size. The sketch loses another 3e-5.
+under 0.625. Trees choose from the same 128 positions, so a pair that agrees at few of them is missed by all: with the
+number of agreeing positions binomial (128, 0.8), ten trees miss a pair at the threshold with probability 4e-6 at depth 3,
+7e-5 at depth 6, 2e-4 at depth 8 and 5e-4 at depth 12, the last. The sketch loses another 3e-5.
 
 Defined results: null and empty texts have the empty set, 0 shingles, and link with nothing (component is the own id);
 one word is one shingle; repeated rows share id and component; a null id has a null component and is kept. Rows that
@@ -489,7 +490,8 @@ class Labels:
         roots_ = components(self.spark, self.ends(links).select(F.col("ca").alias("a"), F.col("cb").alias("b")), self.scratch)
         moved = self.frame.join(roots_.toDF("component", "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
         new = roots_.join(self.frame.select("id"), "id", "left_anti")
-        self.frame = self.scratch.settle(moved.unionByName(new), "labels")
+        before, self.frame = self.frame, self.scratch.settle(moved.unionByName(new), "labels")
+        self.scratch.release(roots_, before)
 
 
 def _best(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -583,7 +585,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
     def settle_forest(pairs: DataFrame, name: str) -> None:
         """Confirms one pair of each document between different components, and unites."""
         best = scratch.settle(_best(labels.ends(pairs).where("ca <> cb"), "b"), f"forest-{name}")
-        labels.unite(confirm(star_members(best), None, source, rule, scratch, name))
+        links = confirm(star_members(best), None, source, rule, scratch, name)
+        labels.unite(links)
+        scratch.release(best, links)
 
     found, depth = [], 0  # what each level compared
     rows = first_rows(reps, 0 if reps.count() <= node_rows else trees)
@@ -596,10 +600,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
         if large.isEmpty():
             settle_forest(single, str(depth))
             break
-        big = rows.join(large, "key", "left_semi")
+        big, led = rows.join(large, "key", "left_semi"), None
         if depth % lead_every == 1 or lead_every == 1:
             big = scratch.settle(big, f"big{depth}")
-            settle_forest(single.unionByName(scratch.settle(with_leaders(big).mapInArrow(compare_leaders(rule), "a long, b long, m int"), f"led{depth}")), str(depth))
+            led = scratch.settle(with_leaders(big).mapInArrow(compare_leaders(rule), "a long, b long, m int"), f"led{depth}")
+            settle_forest(single.unionByName(led), str(depth))
         labelled, mixed = mixed_nodes(big, labels, scratch, str(depth))
         far = mixed.where(F.col("strays") > few_strays) if depth < last_depth else mixed.limit(0)
         near = mixed if depth == last_depth else mixed.where(F.col("strays") <= few_strays)
@@ -607,7 +612,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
             found.append(scratch.settle(block_groups(labelled, near, rule), f"blocks{depth}"))
         if far.isEmpty():
             break
-        rows = scratch.settle(next_rows(labelled.join(far.select("key"), "key", "left_semi").select("key", "doc_id"), reps), f"rows{depth + 1}")
+        before, rows = rows, scratch.settle(next_rows(labelled.join(far.select("key"), "key", "left_semi").select("key", "doc_id"), reps), f"rows{depth + 1}")
+        scratch.release(before, large, big, led, labelled, mixed)  # a finished level leaves what its nodes found
 
     # whatever is left between different components
     every = found[0]
