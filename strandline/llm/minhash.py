@@ -565,10 +565,10 @@ class Source:
         self.docs, self.chosen, self.repeats = docs, chosen, repeats
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under: int = 100, trees: int = 10, node_rows: int = 512, few_strays: int = 2048, last_depth: int = 12, lead_every: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under: int = 100, trees: int = 10, node_rows: int = 512, few_strays: int = 2048, last_depth: int = 12, lead_every: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     spark, rule = docs.sparkSession, Rule(shingle, over, under)
-    scratch = Scratch(spark, "minhash")
+    scratch = scratch or Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = scratch.settle(signatures(docs, shingle), "signatures")
     chosen = sigs.where("n_shingles > 0 and doc_id is not null")
@@ -633,9 +633,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest id of its component."""
-    gone = near_duplicates(docs.select("doc_id", "text"), **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose document is the smallest id of its component.
+
+    Texts are not shuffled for it where the ids to drop are few enough to be broadcast, by their count.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    gone = scratch.settle(near_duplicates(docs.select("doc_id", "text"), scratch=scratch, **options).where("not kept").select("doc_id").distinct(), "gone")
+    scratch.keep(gone)
+    return docs.join(counted(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 ORACLE = r"""
