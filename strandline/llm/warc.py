@@ -247,14 +247,17 @@ def archive_round_trip(pages: DataFrame, *, revisit_bytes: int = REVISIT_BYTES,
     """Write, normalise and read back all pages: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark: SparkSession = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    records = plan_records(pages, revisit_bytes, scratch)
-    archives = scratch.settle(write_archives(records, scratch.path("mono"), file_bytes), "archives")
+    records, mono, norm = plan_records(pages, revisit_bytes, scratch), scratch.path("mono"), scratch.path("norm")
+    archives = scratch.settle(write_archives(records, mono, file_bytes), "archives")
     # both tables are small beside what they point to, so their rows are dealt by number and not by their own size
     spread = archives.repartition(max(1, archives.count()), "path")
-    index = scratch.settle(normalise_archives(spread, scratch.path("norm")), "index")
+    index = scratch.settle(normalise_archives(spread, norm), "index")
+    scratch.remove(mono)
     stored = index.agg(F.sum("length")).first()[0] or 0
     dealt = index.repartition(int(stored // read_bytes) + 1, "path", F.floor(F.col("offset") / read_bytes))
-    return read_records(dealt, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    result = scratch.last(read_records(dealt, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    scratch.remove(norm)
+    return result
 
 
 def records_of(raw: bytes) -> list[bytes]:
