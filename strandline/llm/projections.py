@@ -82,8 +82,11 @@ def needs(reps: DataFrame, *, threshold: float, passes: int, bits: int, neighbou
     keys = ["label", "width"]
     rows = reps.select("label", F.size("vector").alias("width"), "rep", "vector")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("count"))
+    # the sample has the smallest hashes: rows beyond twice its share of the hashes are left out before anything is sorted
+    share = F.xxhash64("rep") / F.lit(2.0**64) + 0.5
+    near = rows.join(sizes, keys).where(share <= 2.0 * sample / F.col("count"))
     order = Window.partitionBy(*keys).orderBy(F.xxhash64("rep"), "rep")
-    some = rows.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= sample).join(sizes, keys).select(*keys, "count", "vector")
+    some = near.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= sample).select(*keys, "count", "vector")
 
     def run(key, table):
         count = table.column("count")[0].as_py()
