@@ -501,8 +501,8 @@ def test_field_on_unseen_lines():
     wrong = 0
     for text, spans in held:
         want = sorted((a, b, k) for a, b, k in spans if pii.plausible(k, text[a:b]))
-        wrong += pii.find_spans([text], field)[0][1] != want and "card" not in {k for *_, k in spans} and "version" not in text
-    assert wrong <= 0.10 * len(held)
+        wrong += pii.find_spans([text], field)[0][1] != want
+    assert wrong <= 0.02 * len(held)  # every line and every kind counts
 
 
 # ------------------------------------------------------------------ 6 decontamination
