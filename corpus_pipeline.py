@@ -74,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.settle(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.settle(stage(spark, docs, sf_dir), name)
+        scratch.release(before)  # a stage reads its predecessor's rows only
     return docs
