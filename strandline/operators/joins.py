@@ -1,7 +1,6 @@
 """Joins that Spark has no operator for: nearest, interval, as-of, temporal pairs, neighbourhoods.
 
-Boundary and segment tables are small dimensions (tens of rows a stream); they are broadcast only after a count shows
-that, and joined by key otherwise. Stream against stream joins go by position buckets, so no cross product arises.
+Boundary and segment tables are packed to one row a stream and joined by key: Spark's own size check decides how. Stream against stream joins go by position buckets, so no cross product arises.
 """
 
 from __future__ import annotations
@@ -12,19 +11,11 @@ from pyspark.sql import functions as F
 from strandline.operators.streams import framed, running_sum, with_halo
 from strandline.sources.shared import Scratch
 
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only where the table has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def nearest_boundary(events: DataFrame, boundaries: DataFrame, tolerance: float = 500) -> DataFrame:
     """For each event the boundary of its stream with the smallest distance (ties: the earlier one) and whether it matches."""
     best = boundaries.groupBy("dataset").agg(F.sort_array(F.collect_list("boundary_cycle")).alias("_bs"))  # boundaries of one stream: a handful
     ranked = F.transform("_bs", lambda b: F.struct(F.abs(F.col("center_cycle") - b).alias("d"), b.alias("b")))
-    got = events.join(small(best), "dataset", "left").withColumn("_m", F.array_min(ranked))
+    got = events.join(best, "dataset", "left").withColumn("_m", F.array_min(ranked))
     return got.select(*events.columns, F.col("_m.b").alias("boundary_cycle"), F.col("_m.d").alias("distance"), F.coalesce(F.col("_m.d") <= tolerance, F.lit(False)).alias("matched"))
 
 
@@ -37,7 +28,7 @@ def interval_map(points: DataFrame, segments: DataFrame, value: str = "center_cy
     x = F.col(value)
     inside = F.filter("_s", lambda s: (x >= s["lo"]) & (x <= s["hi"]))
     pick = F.when(F.size(inside) > 0, F.element_at(inside, 1)).when(x < F.element_at("_s", 1)["lo"], F.element_at("_s", 1)).otherwise(F.element_at("_s", -1))
-    mapped = points.join(small(packed), "dataset").withColumn("_p", pick)
+    mapped = points.join(packed, "dataset").withColumn("_p", pick)
     out = F.col("_p.out_lo") + (x - F.col("_p.lo")) * (F.col("_p.out_hi") - F.col("_p.out_lo")) / (F.col("_p.hi") - F.col("_p.lo"))
     return mapped.withColumn("seg", F.col("_p.seg")).withColumn("mapped", out).drop("_s", "_p")
 

@@ -15,9 +15,10 @@ from strandline.operators import models as L
 from strandline.operators import streams as S
 from strandline.operators.logistic import Cells, fit_cells
 from strandline.plans import base as B
-from strandline.plans.base import r6
-from strandline.plans.catalog import query
+from strandline.plans.base import SQL_WAVES, r6
+from strandline.plans.catalog import directions, query
 from strandline.plans.evaluation import SETS
+from strandline.sources import tables as T
 from strandline.sources.shared import Scratch
 
 Z = [f"z_{f}" for f in B.FEATURES]
@@ -191,3 +192,84 @@ def rank_head_bootstrap(s, sf):
     long = s.createDataFrame(fits.melt(["dataset", "cell"], Z, "feature_name", "weight"))
     names = ["median_weight", "weight_p05", "weight_p95", "sign_stability", "selection_frequency"]
     return Q.weight_summary(long, ["dataset", "feature_name"]).select("dataset", "feature_name", *[r6(c) for c in names])
+
+
+# ------------------------------------------------------------------ offsets and redundancy
+
+
+#: A shift is at most this large; shrinkage is n / (n + SHRINK); fewer rows or distinct source values disable it.
+MOST_SHIFT, SHRINK, FEW_WINDOWS, FEW_VALUES = 1.0, 200.0, 30, 20
+
+
+@query(
+    ", nx AS (SELECT dataset, coalesce(lead(dataset) OVER (ORDER BY dataset), first(dataset) OVER (ORDER BY dataset ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS source FROM (SELECT DISTINCT dataset FROM sc)), "
+    "so AS (SELECT dataset AS source, median(awr) AS sm, count(DISTINCT round(awr, 9)) AS sv FROM sc WHERE stage <= 2 GROUP BY 1), ca AS (SELECT dataset, median(awr) AS tm, count(*) AS n FROM sc WHERE baseline_window = 1 AND NOT start_cycle <= floor(end_cycle / 500) * 500 + 100 GROUP BY 1), "
+    "of AS (SELECT nx.dataset, nx.source, mode, coalesce(n, 0) AS n, sm - tm AS raw, CASE WHEN mode = 'T0' THEN 'NO_CALIBRATION' WHEN coalesce(n, 0) < 30 THEN 'DISABLED_TOO_FEW_WINDOWS' WHEN sv < 20 THEN 'DISABLED_DEGENERATE_SOURCE_REFERENCE' ELSE 'APPLIED' END AS status "
+    "FROM nx JOIN so USING (source) LEFT JOIN ca USING (dataset), (SELECT unnest(['T0', 'T1', 'T2']) AS mode)) "
+    "SELECT dataset, source, mode, status, round(CASE WHEN status = 'APPLIED' THEN raw ELSE 0 END, 6) AS raw_shift, round(CASE WHEN status = 'APPLIED' THEN greatest(-1, least(1, raw)) * CASE mode WHEN 'T1' THEN 1 ELSE n / (n + 200.0) END ELSE 0 END, 6) AS applied_shift FROM of"
+)
+def target_offsets(s, sf):
+    """Constant shifts of a target's scores to its source's early level: none, whole, and shrunk by the calibration rows."""
+    sc = guarded(s, sf)
+    source = sc.where("stage <= 2").groupBy(F.col("dataset").alias("source")).agg(M.med("awr").alias("sm"), F.count_distinct(F.round("awr", 9)).alias("sv"))
+    own = sc.where("baseline_window = 1 AND guard = 0").groupBy("dataset").agg(M.med("awr").alias("tm"), F.count("*").alias("n"))
+    rows = directions(sc).join(source, "source").join(own, "dataset", "left").fillna(0, ["n"]).withColumn("mode", F.explode(F.array(*map(F.lit, ("T0", "T1", "T2")))))
+    few, poor = F.col("n") < FEW_WINDOWS, F.col("sv") < FEW_VALUES
+    status = F.when(F.col("mode") == "T0", "NO_CALIBRATION").when(few, "DISABLED_TOO_FEW_WINDOWS").when(poor, "DISABLED_DEGENERATE_SOURCE_REFERENCE").otherwise("APPLIED")
+    on = lambda x: F.when(F.col("status") == "APPLIED", x).otherwise(0.0)
+    shrink = F.when(F.col("mode") == "T1", 1.0).otherwise(F.col("n") / (F.col("n") + SHRINK))
+    raw = F.col("sm") - F.col("tm")
+    return rows.withColumn("status", status).select("dataset", "source", "mode", "status", r6(on(raw), "raw_shift"), r6(on(A.clip(raw, -MOST_SHIFT, MOST_SHIFT) * shrink), "applied_shift"))
+
+
+#: Correlations beyond the limit halve a feature's weight for each feature before it.
+REDUNDANT, HALVED = 0.3, 0.5
+
+
+def _redundancy_sql() -> str:
+    pairs = [(a, b) for a in Z for b in Z if a != b]
+    return (
+        ", ef AS (" + " UNION ALL ".join(f"SELECT dataset, '{f}' AS feature_name, round(abs(median({f}) FILTER (stage = 5) - median({f}) FILTER (stage = 1)), 9) AS effect FROM sc GROUP BY 1" for f in Z) + "), "
+        "co AS (" + " UNION ALL ".join(f"SELECT dataset, '{a}' AS feature_name, '{b}' AS other, round(abs(corr({a}, {b})), 9) AS r FROM sc GROUP BY 1" for a, b in pairs) + "), "
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY effect DESC, feature_name) AS place FROM ef) "
+        f"SELECT a.dataset, a.feature_name, a.place, power(0.5, count(b.place) FILTER (r > {REDUNDANT})) AS factor, coalesce(string_agg(b.feature_name, ';' ORDER BY b.place) FILTER (r > {REDUNDANT}), '') AS redundant_with "
+        "FROM rk a LEFT JOIN rk b ON b.dataset = a.dataset AND b.place < a.place LEFT JOIN co ON co.dataset = a.dataset AND co.feature_name = a.feature_name AND co.other = b.feature_name GROUP BY ALL"
+    )
+
+
+@query(_redundancy_sql())
+def redundancy_factors(s, sf):
+    """Weight factor of each feature by falling effect: halved for each earlier one that it correlates with, and which."""
+    sc = B.scores(s, sf)
+    shift = lambda f: F.round(F.abs(M.med(F.when(F.col("stage") == 5, F.col(f))) - M.med(F.when(F.col("stage") == 1, F.col(f)))), 9)
+    order = F.array_sort(F.array(*[F.struct((-F.col(f"e_{f}")).alias("e"), F.lit(f).alias("f")) for f in Z]))
+    corr = {(a, b): F.round(F.abs(F.corr(a, b)), 9).alias(f"{a}|{b}") for a in Z for b in Z if a < b}
+    wide = sc.groupBy("dataset").agg(*[shift(f).alias(f"e_{f}") for f in Z], *corr.values())
+    linked = F.create_map(*[x for a, b in corr for k in (f"{a}|{b}", f"{b}|{a}") for x in (F.lit(k), F.col(f"`{a}|{b}`"))])
+    rows = wide.select("dataset", order.alias("_o"), linked.alias("_r")).select("*", F.posexplode("_o").alias("_i", "_f"))
+    before = F.transform(F.slice("_o", 1, F.col("_i")), lambda x: x["f"])
+    same = F.filter(before, lambda g: F.element_at("_r", F.concat_ws("|", F.col("_f.f"), g)) > REDUNDANT)
+    return rows.select("dataset", F.col("_f.f").alias("feature_name"), (F.col("_i") + 1).cast("long").alias("place"), F.pow(F.lit(HALVED), F.size(same)).alias("factor"), F.array_join(same, ";").alias("redundant_with"))
+
+
+@query(
+    "SELECT dataset, cycle_index, round(list_avg(fx), 5) AS fx_mean, round(sqrt(list_avg(list_transform(fx, lambda x: x * x))), 5) AS fx_rms, round(list_max(fx) - list_min(fx), 5) AS fx_p2p, len(fx) AS n "
+    "FROM (SELECT dataset, vec_id AS cycle_index, s AS fx FROM sl)",
+    SQL_WAVES,
+)
+def wide_csv_features(s, sf):
+    """Features of the sensitive phase out of a wide CSV of all waves, which is written first and scanned by its slice's columns."""
+    scratch = Scratch(s, "wide")
+    waves = B.waves(s, sf)
+    wide = waves.select("dataset", F.col("vec_id").alias("CycleIndex"), F.lit(1).alias("Stage1to5"), *[F.get("wave", i).alias(f"Fx_p{i + 1:04d}") for i in range(64)])
+    parts = []
+    for name in ("E0", "E1"):
+        folder = scratch.path(name)
+        wide.where(F.col("dataset") == name).drop("dataset").write.option("header", True).csv(folder)
+        parts.append(T.wide_waveforms(s, folder, name, channels=("Fx",)))
+    v = F.col("fx")
+    rows = T.union_all(parts).select("dataset", F.col("cycle_index").cast("long").alias("cycle_index"), F.round(A.mean(v), 5).alias("fx_mean"), F.round(F.sqrt(A.mean(v, lambda x: x * x)), 5).alias("fx_rms"), F.round(F.array_max(v) - F.array_min(v), 5).alias("fx_p2p"), F.size(v).cast("long").alias("n"))
+    result = scratch.settle(rows, "features")
+    for k, name in enumerate(("E0", "E1"), 1):
+        scratch.remove(f"{scratch.base}/{k:03d}-{name}")
+    return result
