@@ -1,6 +1,7 @@
 """Joins that Spark has no operator for: nearest, interval, as-of, temporal pairs, neighbourhoods.
 
-Boundary and segment tables are packed to one row a stream and joined by key: Spark's own size check decides how. Stream against stream joins go by position buckets, so no cross product arises.
+Boundary and segment tables are packed to one row a stream and joined by key: Spark's own size check decides how. Stream
+against stream joins go by position buckets, so no cross product arises.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.operators.streams import framed, running_sum, with_halo
 from strandline.sources.shared import Scratch
 
+
 def nearest_boundary(events: DataFrame, boundaries: DataFrame, tolerance: float = 500) -> DataFrame:
     """For each event the boundary of its stream with the smallest distance (ties: the earlier one) and whether it matches."""
     best = boundaries.groupBy("dataset").agg(F.sort_array(F.collect_list("boundary_cycle")).alias("_bs"))  # boundaries of one stream: a handful
