@@ -187,13 +187,13 @@ def number_turns(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("tie"), F.col("nth")]
     sorted_ = lean.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "l1", "l2", "words")
     scanned = scratch.settle(sorted_.mapInArrow(_scan, _SCAN), "scanned")
-    carried: dict[tuple[int, int], tuple[int, int, int]] = {}
+    carried: dict[int, tuple[int, int, tuple[int, int]]] = {}  # of each range the conversation that it goes on with
     conv, i, h = None, 0, (0, 0)
     for r in scanned.where("edge").select("conv_id", "part", "i", "h1", "h2").orderBy("part", "conv_id").collect():  # at most two rows a task
         if r.conv_id != conv:
             conv, i, h = r.conv_id, 0, (0, 0)
         elif i:
-            carried[r.part, conv] = (i, *h)
+            carried[r.part] = conv, i, h
         h = tuple((a + (b % (1 << 64)) * pow(step, i, 1 << 64)) % (1 << 64) for a, b, step in zip(h, (r.h1, r.h2), _STEPS, strict=True))
         i += r.i
 
@@ -203,12 +203,12 @@ def number_turns(conversations: DataFrame, scratch: Scratch) -> DataFrame:
             at = batch.column("i").to_numpy().copy()
             values = {c: _unsigned(batch, c).copy() for c in ("h1", "h2", "g1", "g2")}
             for p in np.unique(part).tolist():
-                for (q, c), (n, *h) in carried.items() if len(carried) else ():
-                    if q == p and len(rows := np.flatnonzero((part == p) & (ids == c))):
-                        at[rows] += n
-                        for k, step in enumerate(_STEPS):
-                            for name in (f"h{k + 1}", f"g{k + 1}"):
-                                values[name][rows] = values[name][rows] * U64(pow(step, n, 1 << 64)) + U64(h[k])
+                conv, n, h = carried.get(p, (None, 0, (0, 0)))
+                rows = np.flatnonzero((part == p) & (ids == conv)) if n else np.zeros(0, np.int64)
+                at[rows] += n
+                for k, step in enumerate(_STEPS):
+                    for name in (f"h{k + 1}", f"g{k + 1}"):
+                        values[name][rows] = values[name][rows] * U64(pow(step, n, 1 << 64)) + U64(h[k])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at), *map(longs, values.values()), batch.column("words")], names=["conv_id", "i", "h1", "h2", "g1", "g2", "words"])
 
     return scratch.settle(scanned.mapInArrow(carry, "conv_id long, i long, h1 long, h2 long, g1 long, g2 long, words long"), "numbered")
