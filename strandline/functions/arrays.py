@@ -21,6 +21,11 @@ def ratio(a: Column, b: Column, eps: float = 1e-9) -> Column:
     return F.when(F.abs(b) >= eps, a / b)
 
 
+def divided(a: Column, b: Column) -> Column:
+    """a / b where b may be zero: 0 / 0 is NaN and what else is over zero is infinite, as floating point and SQL have it."""
+    return F.when(b == 0, a.cast("double") * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 def ratio_arrays(a: Column, b: Column, eps: float = 1e-9) -> Column:
     return F.zip_with(a, b, lambda x, y: ratio(x, y, eps))
 

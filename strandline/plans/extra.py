@@ -88,8 +88,9 @@ def feature_correlation(s, sf):
 
 @query(", e AS (SELECT dataset, feature_name, abs(median(z_value) FILTER (stage = 5) - median(z_value) FILTER (stage = 1)) AS d FROM z GROUP BY ALL) SELECT dataset, feature_name, round(CASE WHEN d < 0.05 THEN 0 ELSE d END / sum(CASE WHEN d < 0.05 THEN 0 ELSE d END) OVER (PARTITION BY dataset), 6) AS weight FROM e")
 def feature_weights(s, sf):
-    d = M.direction_signs(B.z_long(s, sf)).withColumn("_d", F.when(F.col("direction_sign") == 0, 0.0).otherwise(F.abs("delta")))
-    return d.select("dataset", "feature_name", r6(F.col("_d") / F.sum("_d").over(Window.partitionBy("dataset")), "weight"))
+    """Shares of the features in a stream's shift; NaN where no feature of it shifts, null for a feature without a shift."""
+    d = M.direction_signs(B.z_long(s, sf)).withColumn("_d", F.when(F.abs("delta") < 0.05, 0.0).otherwise(F.abs("delta")))
+    return d.select("dataset", "feature_name", r6(A.divided(F.col("_d"), F.sum("_d").over(Window.partitionBy("dataset"))), "weight"))
 
 
 ALPHA = ", g AS (SELECT unnest(generate_series(0, 20)) AS k), la AS (SELECT dataset || ':' || CAST(k AS VARCHAR) AS dataset, window_index, CASE WHEN stage = 5 THEN 1 ELSE 0 END AS late, round(k / 20.0::DOUBLE * z_x_mean + (1 - k / 20.0::DOUBLE) * z_x_p2p, 9) AS ra FROM sc, g)"
