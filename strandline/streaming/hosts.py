@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -38,8 +39,19 @@ def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
         yield {k: _plain(v) for k, v in r.items()}
 
 
+#: Partitions that streams are dealt to at least: few streams should not meet in one task.
+PARTITIONS = 64
+
+
 def _sorted(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, order)
+    """Whole streams, each in order inside one partition, and few of them to a partition.
+
+    They are dealt by a hash of the keys, and not by the keys: a shuffle by the keys themselves is left out where a join
+    on them has made one, which adaptive execution may then turn into a broadcast that leaves the streams scattered. A
+    stated number of partitions is not coalesced, since what a task costs is its steps and not its bytes.
+    """
+    n = max(PARTITIONS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, F.xxhash64(*keys)).sortWithinPartitions(*keys, order)
 
 
 def backfill(df: DataFrame, keys: list[str], order: str, make: Callable[[], Machine], schema: str, columns: list[str], snapshot: str | None = None) -> DataFrame:

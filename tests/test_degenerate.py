@@ -1,10 +1,14 @@
-"""Streams of repeated rows: shifts that vanish and axes without length."""
+"""Streams of repeated rows: shifts that vanish, axes without length, and joins that are planned anew."""
 
 import math
 
+from pyspark.sql import functions as F
+
 from strandline.operators import evaluation as E
 from strandline.plans import base as B
 from strandline.plans import extra
+from strandline.streaming import hosts as H
+from strandline.streaming import machines as X
 
 
 def test_weights_of_a_stream_without_a_shift(spark, monkeypatch):
@@ -22,3 +26,27 @@ def test_branches_along_an_axis_without_length(spark):
     shifts = spark.createDataFrame([("a", 0.07, -0.03, 0.0), ("b", 0.06, 0.2, 0.0)], "feature_name string, d1 double, d2 double, axis double")
     got = E.branch_axis(shifts).collect()
     assert len(got) == 2 and all(math.isnan(r[c]) for r in got for c in ("residual1", "residual2", "weight"))
+
+
+def test_streams_stay_whole_where_a_join_is_planned_anew(spark):
+    """A join by stream that is planned by shuffles and run by a broadcast scatters its rows; the replay gathers them."""
+    rows = spark.range(0, 3000, 1, 8).select((F.col("id") % 3).cast("string").alias("dataset"), F.floor(F.col("id") / 3).alias("window_index")).withColumn("x", F.xxhash64("dataset", "window_index") % 10)
+    limits = rows.groupBy("dataset").agg(F.percentile("x", F.lit(0.3)).alias("limit"))
+    was = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10KB")  # less than the rows, more than the limits
+        joined = rows.join(limits, "dataset").select("dataset", "window_index", (F.col("x") > F.col("limit")).alias("condition"), F.lit(0).alias("guard"))
+        replayed = H.backfill(joined, ["dataset"], "window_index", lambda: X.Evidence(confirm=1e9), "dataset string, window_index long, success double, failure double, phase string", ["success", "failure", "phase"])
+        got, fed = replayed.collect(), joined.collect()
+        assert "REPARTITION_BY_NUM" in replayed._jdf.queryExecution().executedPlan().toString()  # the shuffle is not left out
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 3000
+    want = {}
+    for name in "012":
+        machine = X.Evidence(confirm=1e9)
+        for r in sorted((r for r in fed if r["dataset"] == name), key=lambda r: r["window_index"]):
+            want[name, r["window_index"]] = machine.step(r.asDict())
+    assert {(r["dataset"], r["window_index"]): {k: r[k] for k in ("success", "failure", "phase")} for r in got} == want
