@@ -38,16 +38,18 @@ def interval_map(points: DataFrame, segments: DataFrame, value: str = "center_cy
 def forward_asof(df: DataFrame, horizon: float, value: str, stride: float = 5.0, slack: int = 4) -> DataFrame:
     """``due_index`` and ``due_value``: of the first row of the stream with center_cycle >= own + horizon.
 
-    Windows lie ``stride`` cycles apart, so the row is within a bounded number of positions ahead: rows are dealt in
-    chunks of descending position with that halo, and the frame is a range of center_cycle.
+    Windows lie ``stride`` cycles apart or more, so the row is within a bounded number of rows ahead: rows are dealt in
+    chunks of descending position with that halo, and a frame of that many rows is searched for the first one due. A frame
+    without an end would be run through anew for each row of a chunk.
     """
     ahead = int(horizon / stride) + slack
     last = df.groupBy("dataset").agg(F.max("window_index").alias("_last"))
     turned = df.join(last, "dataset").withColumn("_at", F.col("_last") - F.col("window_index") + 1)
     dealt = with_halo(turned, "_at", ahead)
-    w = Window.partitionBy("dataset", "_chunk").orderBy("center_cycle").rangeBetween(int(horizon), Window.unboundedFollowing)
-    due = F.min_by(F.struct("window_index", value), "center_cycle").over(w)
-    return dealt.withColumn("_due", due).where(~F.col("_halo")).select(*df.columns, F.col("_due.window_index").alias("due_index"), F.col(f"_due.{value}").alias("due_value"))
+    w = Window.partitionBy("dataset", "_chunk").orderBy("center_cycle").rowsBetween(0, ahead)
+    near = F.collect_list(F.struct("center_cycle", "window_index", value)).over(w)
+    due = F.get(F.filter("_near", lambda x: x["center_cycle"] >= F.col("center_cycle") + horizon), 0)
+    return dealt.withColumn("_near", near).where(~F.col("_halo")).withColumn("_due", due).select(*df.columns, F.col("_due.window_index").alias("due_index"), F.col(f"_due.{value}").alias("due_value"))
 
 
 #: Hashes of draws: small integer arithmetic, so that SQL can state the same.

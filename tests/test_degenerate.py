@@ -1,10 +1,11 @@
-"""Streams of repeated rows: shifts that vanish, axes without length, and joins that are planned anew."""
+"""Streams of repeated rows, and long ones: shifts that vanish, axes without length, joins planned anew, costs of a step."""
 
 import math
 
 from pyspark.sql import functions as F
 
 from strandline.operators import evaluation as E
+from strandline.operators import joins as J
 from strandline.plans import base as B
 from strandline.plans import extra
 from strandline.streaming import hosts as H
@@ -50,3 +51,13 @@ def test_streams_stay_whole_where_a_join_is_planned_anew(spark):
         for r in sorted((r for r in fed if r["dataset"] == name), key=lambda r: r["window_index"]):
             want[name, r["window_index"]] = machine.step(r.asDict())
     assert {(r["dataset"], r["window_index"]): {k: r[k] for k in ("success", "failure", "phase")} for r in got} == want
+
+
+def test_due_rows_are_looked_for_in_a_bounded_frame(spark):
+    """Against all later rows, with gaps; a frame without an end would cost the square of a chunk."""
+    at = [k for k in range(400) if k % 7 and not 100 <= k < 110]
+    rows = spark.createDataFrame([("s", k, 5.0 * k, float(k)) for k in at], "dataset string, window_index long, center_cycle double, x double")
+    made = J.forward_asof(rows, 103, "x")
+    assert "unboundedfollowing" not in made._jdf.queryExecution().executedPlan().toString().lower()
+    want = {k: min((j for j in at if 5.0 * j >= 5.0 * k + 103), default=None) for k in at}
+    assert {r["window_index"]: r["due_index"] for r in made.collect()} == want
