@@ -101,32 +101,36 @@ def snapshots(df: DataFrame, keys: list[str], order: str, mark: str, make: Calla
     return _sorted(df, keys, order).mapInArrow(run, schema)
 
 
-def changes(df: DataFrame, keys: list[str], order: str, makes: list[Callable[[], Machine]], column: str, kind: str = "int") -> DataFrame:
-    """Many machines side by side over one sorted pass: keys, cell, ``order`` and ``column`` wherever its value changes.
+def changes(df: DataFrame, keys: list[str], order: str, makes: list[Callable[[], Machine]], column: str, kind: str = "int", width: int = 9) -> DataFrame:
+    """Many machines side by side over sorted rows: keys, cell, ``order`` and ``column`` wherever its value changes.
 
-    What travels on has the size of the changes, not that of the rows times the machines.
+    What travels on has the size of the changes, not that of the rows times the machines. A pass steps ``width`` machines
+    at most, so that those of one stream share the work of several tasks.
     """
     types = dict(df.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "cell int", f"{order} {types[order]}", f"{column} {kind}"])
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    parts = -(-len(makes) // width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, machines_, last = None, [], []
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                at = tuple(r[k] for k in keys)
+                at = tuple(r[k] for k in dealt)
+                part = r.pop("_part")
                 if not machines_ or at != stream:
-                    stream, machines_, last = at, [make() for make in makes], [None] * len(makes)
+                    stream, machines_, last = at, [(i, makes[i]()) for i in range(part, len(makes), parts)], {}
                 row = {k: _plain(v) for k, v in r.items()}
-                for i, machine in enumerate(machines_):
+                for i, machine in machines_:
                     value = _plain(machine.step(row)[column])
-                    if value != last[i]:
+                    if value != last.get(i):
                         last[i] = value
                         out.append({**{k: r[k] for k in (*keys, order)}, "cell": i, column: value})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return _sorted(df, keys, order).mapInArrow(run, schema)
+    dealt = [*keys, "_part"]
+    return _sorted(df.withColumn("_part", F.explode(F.array(*map(F.lit, range(parts))))), dealt, order).mapInArrow(run, schema)
 
 
 class MachineProcessor(StatefulProcessor):

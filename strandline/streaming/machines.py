@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import copy
 import math
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -34,6 +35,29 @@ def spread(values: Sequence[float], floor: float = 1e-9) -> float:
     return max(1.4826 * float(np.median(np.abs(x - np.median(x)))), floor) if len(x) else floor
 
 
+def sorted_middle(v: Sequence[float]) -> float:
+    """The median of sorted values."""
+    h = len(v) // 2
+    return v[h] if len(v) % 2 else (v[h - 1] + v[h]) / 2
+
+
+def sorted_deviation(v: Sequence[float], mid: float) -> float:
+    """The median of the distances of sorted values from ``mid``: the nearest half of them is a stretch, found by halving."""
+    n = len(v)
+    k = n // 2 + n % 2
+    lo, hi = 0, n - k
+    while lo < hi:
+        at = (lo + hi) // 2
+        if mid - v[at] > v[at + k] - mid:
+            lo = at + 1
+        else:
+            hi = at
+    far = max(mid - v[lo], v[lo + k - 1] - mid)
+    if n % 2:
+        return far
+    return (far + min(abs(mid - v[i]) for i in (lo - 1, lo + k) if 0 <= i < n)) / 2
+
+
 class Evidence(Machine):
     """Accumulates valid cycles of a condition; guarded rows pause it, a long failure resets it, confirmation latches."""
 
@@ -619,12 +643,40 @@ class RegimeDiscovery(Machine):
         self.threshold, self.least, self.dwell, self.gap, self.stages, self.memory = threshold, least, dwell, gap, stages, memory
         self.stage, self.since, self.missed = 1, 0, 0
         self.rows: list[float] = []
+        self.ordered: list[float] | None = []
         self.candidate: list[float] = []
+        self.reference: list[float] | None = None
+
+    def _middle_and_spread(self) -> list[float]:
+        """Those of the rows; kept until the rows change. Rows with a NaN are not sorted."""
+        if self.reference is None:
+            if not self.rows:
+                self.reference = [math.nan, 1.0]
+            elif self.ordered is None:
+                self.reference = [middle(self.rows), spread(self.rows, 1e-3)]
+            else:
+                mid = sorted_middle(self.ordered)
+                self.reference = [mid, max(1.4826 * sorted_deviation(self.ordered, mid), 1e-3)]
+        return self.reference
+
+    def _push(self, x: float) -> None:
+        self.rows.append(x)
+        gone = self.rows.pop(0) if len(self.rows) > self.memory else None
+        if self.ordered is None or x != x:
+            self._sort()
+        else:
+            if gone is not None:
+                del self.ordered[bisect_left(self.ordered, gone)]
+            insort(self.ordered, x)
+        self.reference = None
+
+    def _sort(self) -> None:
+        self.ordered, self.reference = None if any(v != v for v in self.rows) else sorted(self.rows), None
 
     def step(self, row: dict) -> dict:
         x, event = row["level"], ""
         self.since += 1
-        mid, scale = middle(self.rows), spread(self.rows, 1e-3) if self.rows else 1.0
+        mid, scale = self._middle_and_spread()
         score = abs(x - mid) / scale if self.rows else 0.0
         if not row.get("guard"):
             if self.stage < self.stages and self.since >= self.dwell and score >= self.threshold and x > mid:
@@ -634,6 +686,7 @@ class RegimeDiscovery(Machine):
                     tight = spread(self.candidate, 1e-3) <= 1.25 * max(scale, 1e-3) * 4
                     if apart and tight:
                         self.stage, self.since, self.rows, event = self.stage + 1, 0, self.candidate[-self.memory :], "ACCEPT"
+                        self._sort()
                     else:
                         event = "REJECT"
                     self.candidate = []
@@ -643,7 +696,7 @@ class RegimeDiscovery(Machine):
                     if self.missed > self.gap:
                         self.candidate, self.missed, event = [], 0, "DROP"
                 if not self.candidate:
-                    self.rows = [*self.rows, x][-self.memory :]
+                    self._push(x)
         return {"stage": self.stage, "score": score, "candidate": len(self.candidate), "event": event}
 
 

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import evaluation as E
@@ -61,3 +63,33 @@ def test_due_rows_are_looked_for_in_a_bounded_frame(spark):
     assert "unboundedfollowing" not in made._jdf.queryExecution().executedPlan().toString().lower()
     want = {k: min((j for j in at if 5.0 * j >= 5.0 * k + 103), default=None) for k in at}
     assert {r["window_index"]: r["due_index"] for r in made.collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 49, 50, 300])
+def test_medians_of_sorted_values(n):
+    rng = np.random.default_rng(n)
+    for x in (rng.normal(size=n), rng.integers(0, 4, size=n).astype(float), np.full(n, 0.1)):
+        v = sorted(x.tolist())
+        mid = X.sorted_middle(v)
+        assert mid == float(np.median(x)) and X.sorted_deviation(v, mid) == float(np.median(np.abs(x - mid)))
+
+
+def test_regimes_keep_their_rows_sorted():
+    """Level and scale at each step are those of the rows that are kept, a missing level among them included."""
+    rng, machine, stages = np.random.default_rng(5), X.RegimeDiscovery(least=5, dwell=20, memory=40), set()
+    for i, x in enumerate((rng.normal(size=900) * 0.3 + np.repeat(np.arange(9) * 4, 100)).tolist()):
+        x = math.nan if i == 150 else x
+        mid, scale = X.middle(machine.rows), X.spread(machine.rows, 1e-3) if machine.rows else 1.0
+        want = abs(x - mid) / scale if machine.rows else 0.0
+        made = machine.step({"level": x, "guard": i % 10 == 0})
+        assert made["score"] == want or (math.isnan(made["score"]) and math.isnan(want))
+        stages.add(made["stage"])
+    assert stages == {1, 2, 3, 4, 5} and machine.ordered == sorted(machine.rows)
+
+
+def test_machines_side_by_side_share_the_work_of_tasks(spark):
+    rows = spark.range(90).select(F.lit("s").alias("dataset"), F.col("id").alias("window_index"), (F.floor(F.col("id") / 45) * 8 + F.col("id") % 3).cast("double").alias("level"), F.lit(0).alias("guard"))
+    makes = [lambda d=d: X.RegimeDiscovery(least=3, dwell=d) for d in (10, 20, 30, 40)]
+    sets = [H.changes(rows, ["dataset"], "window_index", makes, "stage", width=w) for w in (1, 3, 4)]
+    one, three, four = (sorted((r["cell"], r["window_index"], r["stage"]) for r in df.collect()) for df in sets)
+    assert one == three == four and {c for c, _, s in one if s > 1} == {0, 1, 2, 3}
