@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import copy
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -88,8 +88,10 @@ PRIORITY = {"SUSTAINED_RS": 1, "HIGH_AWR_HIGH_BD": 2, "TES_EVENT": 3, "HIGH_RISK
 
 def suppressed_rise(score: Sequence[float], distance: Sequence[float], slow: Sequence[float], drop: float) -> bool:
     """Score and distance both rise (fitted lines) while slow risk fell from its highest by more than ``drop``."""
+    if not max(slow) - slow[-1] > drop:
+        return False
     t = np.arange(len(score)) - (len(score) - 1) / 2
-    return bool(t @ np.asarray(score) > 0 and t @ np.asarray(distance) > 0 and max(slow) - slow[-1] > drop)
+    return bool(t @ np.asarray(score) > 0 and t @ np.asarray(distance) > 0)
 
 
 class FreezeMachine(Machine):
@@ -200,7 +202,7 @@ class GatedAdapter(Machine):
         self.head, self.target, self.rate, self.every, self.most, self.slow_limit, self.risk = list(head), target, rate, every, most, slow, risk
         self.checkpoint, self.freeze, self.cooldown, self.lookback, self.window, self.gate = checkpoint, freeze, cooldown, lookback, window, gate
         self.ewma, self.least, self.saturated, self.rising, self.calibration, self.drop = ewma, least, saturated, rising, calibration, drop
-        self.reliability, self.history, self.past = None, [], []
+        self.reliability, self.history, self.ordered, self.past = None, [], [], []
         self.offset, self.noise, self.slow, self.frozen, self.run = 0.0, 1.0, 0.0, 0, 0
         self.saved, self.updated, self.first_logits = None, None, []
         self.events: list[int] = []
@@ -208,17 +210,27 @@ class GatedAdapter(Machine):
 
     def _evidence(self, mad0: Sequence[float]) -> tuple[np.ndarray, np.ndarray, float]:
         """(evidence of each feature, noise ratios, mean saturation) of the last values."""
-        raw, ratios, shares = [], [], []
-        for values, base in zip(np.asarray(self.history, float).T, mad0, strict=True):
-            seen = values[np.isfinite(values)]
-            recent = max(1.4826 * float(np.median(np.abs(seen - np.median(seen)))), 1e-9) if len(seen) else base
-            share = float((np.abs(seen) >= self.saturated).mean()) if len(seen) else 0.0
+        raw, ratios, shares, n = [], [], [], len(self.history)
+        for seen, base in zip(self.ordered, mad0, strict=True):
+            recent = max(1.4826 * sorted_deviation(seen, sorted_middle(seen)), 1e-9) if seen else base
+            share = (bisect_right(seen, -self.saturated) + len(seen) - bisect_left(seen, self.saturated)) / len(seen) if seen else 0.0
             ratio = recent / max(base, 1e-9)
-            raw.append(min(1.0, max(self.least, math.exp(-0.5 * max(ratio - 1, 0.0)) * (1 - 0.8 * share) * len(seen) / len(values))))
+            raw.append(min(1.0, max(self.least, math.exp(-0.5 * max(ratio - 1, 0.0)) * (1 - 0.8 * share) * len(seen) / n)))
             ratios.append(ratio)
             shares.append(share)
         return np.array(raw), np.array(ratios), float(np.mean(shares))
 
+    def _push(self, x: list[float]) -> None:
+        """The newest values come in and the oldest go; the finite ones of each feature are kept sorted, too."""
+        self.history.append(x)
+        self.ordered = self.ordered or [[] for _ in x]
+        gone = self.history.pop(0) if len(self.history) > self.window else [math.nan] * len(x)
+        for seen, new, old in zip(self.ordered, x, gone, strict=True):
+            if math.isfinite(old):
+                del seen[bisect_left(seen, old)]
+            if math.isfinite(new):
+                insort(seen, new)
+
     def _blocked(self, row: dict, awr: float, saturation: float, index: int) -> str:
         """The first reason why nothing may be learned, or none."""
         near = lambda at: any(index - self.gate <= k < index for k in at)
@@ -230,8 +242,7 @@ class GatedAdapter(Machine):
 
     def step(self, row: dict) -> dict:
         index, calm, x = row["window_index"], row["end_cycle"] <= self.calibration, np.array([math.nan if v is None else v for v in row["x"]], float)
-        self.history.append(x.tolist())
-        del self.history[: -self.window]
+        self._push(x.tolist())
         trust = np.ones(len(x)) if self.reliability is None else np.array(self.reliability)
         raw, ratios, saturation = self._evidence(row["mad0"])
         if not calm:

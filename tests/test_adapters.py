@@ -203,3 +203,12 @@ def test_nuisance_replay_vetoes_what_moves_the_score():
     assert (o["reason"] == "REPLAY_DRIFT") == (moved > 0.10)
     if moved > 0.10:
         assert m.rate == rate / 2 and m.beta == [0.0, 0.0, 0.0]
+
+
+def test_gated_adapter_keeps_its_windows_sorted():
+    """Values leave the sorted windows as they leave the history; missing ones never enter them."""
+    rng, machine = np.random.default_rng(2), X.GatedAdapter(window=7)
+    for i in range(40):
+        x = [None if rng.random() < 0.2 else float(v) for v in rng.integers(-3, 4, size=3)]
+        machine.step({"window_index": i, "end_cycle": 5 * i + 20, "x": x, "mad0": [1.0] * 3, "bd": 1.0, "rs50": 0.0, "tes": 0.0, "awr95": 1.0, "bd95": 2.0, "tes_limit": 3.0})
+        assert machine.ordered == [sorted(v[k] for v in machine.history if np.isfinite(v[k])) for k in range(3)]
