@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import BLANK_WORDS, LOWER, U64, Scratch, components, counted, longs, mix, stars, word_slices
@@ -46,6 +46,8 @@ _MULTIPLY = (mix(np.arange(1, POSITIONS + 1, dtype=U64)) >> U64(32)).astype(_U32
 _ADD = (mix(np.arange(1001, POSITIONS + 1001, dtype=U64)) >> U64(32)).astype(_U32)
 #: Groups that are confirmed together hold about this many shingles (one document may hold more).
 GROUP_SHINGLES = 1 << 21
+#: Nodes of a level that a row of a block knows; a pair that shares only later ones may be marked twice.
+KNOWN = 32
 
 
 # ------------------------------------------------------------------ sets and signatures
@@ -335,11 +337,16 @@ def compare_leaders(rule: Rule):
 
 
 def compare_blocks(rule: Rule):
-    """Groups of similar pairs of different components, of a block of strays and a block of rows."""
+    """Groups of similar pairs of different components, of a block of strays and a block of rows.
+
+    A pair is marked once: in the first of the nodes that its documents share, and of two strays by the smaller id.
+    """
 
     def run(key, table):
-        ids, comp, stray, sizes = (np.asarray(table.column(c)) for c in ("doc_id", "component", "stray", "n_shingles"))
-        sk = _matrix(table)
+        ids, comp, stray, sizes, out = (np.asarray(table.column(c)) for c in ("doc_id", "component", "stray", "n_shingles", "out"))
+        sk, node = _matrix(table), key[0].as_py()
+        earlier = [np.array([k for k in x if k < node], np.int64) for x in table.column("nodes").to_pylist()]
+        owner, before = np.repeat(np.arange(len(ids)), [len(x) for x in earlier]), np.concatenate(earlier)
         left, right = np.flatnonzero(stray == 1), np.flatnonzero(stray == 0)
         both = np.append(left, right)
         # a stray may be among the rows, too: each document once
@@ -347,7 +354,10 @@ def compare_blocks(rule: Rule):
         place = {int(d): k for k, d in enumerate(ids[both])}
         similar = np.zeros((len(both), len(both)), bool)
         for i in left:
-            hit = right[(comp[right] != comp[i]) & (matches(sk[i], sk[right]) >= rule.least) & rule.close(sizes[i], sizes[right])]
+            met = np.zeros(len(ids), bool)
+            met[owner[np.isin(before, earlier[i])]] = True
+            hit = right[(comp[right] != comp[i]) & ~met[right] & ((out[right] == 0) | (ids[right] > ids[i]))]
+            hit = hit[(matches(sk[i], sk[hit]) >= rule.least) & rule.close(sizes[i], sizes[hit])]
             for j in hit:
                 x, y = sorted((place[int(ids[i])], place[int(ids[j])]))
                 similar[x, y] = True
@@ -500,26 +510,31 @@ def _best(pairs: DataFrame, *keys: str) -> DataFrame:
     return best.select((-F.col("_x._a")).alias("a"), F.col("_x.b").alias("b"))
 
 
-def open_groups(groups: DataFrame, labels: Labels, scratch: Scratch) -> DataFrame:
-    """The groups with similar pairs of different components, cut to the documents of such pairs."""
+def open_groups(groups: DataFrame, labels: Labels, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (gid, pos, id) and matrices (gid, similar) of the groups with similar pairs of different components.
+
+    Groups are cut to the documents of such pairs.
+    """
     named = scratch.settle(groups.select(F.xxhash64("ids", "similar").alias("gid"), "ids", "similar").dropDuplicates(["gid"]), "groups")
     members = named.select("gid", F.posexplode("ids").alias("pos", "id")).join(labels.frame, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.array_sort(F.collect_list(F.struct("pos", "component"))).alias("of")).where("lo < hi")
 
     def run(batches):
         for batch in batches:
-            gids, ids_, bits = [], [], []
+            gids, pos, ids_, bits = [], [], [], []
             for gid, ids, similar, of in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 n, c = len(ids), np.array([x["component"] for x in of], np.int64)
                 pairs = np.unpackbits(np.frombuffer(similar, np.uint8), count=n * n).reshape(n, n).astype(bool) & (c[:, None] != c[None, :])
                 used = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
                 if len(used):
-                    gids.append(gid)
-                    ids_.append(np.array(ids, np.int64)[used])
-                    bits.append(np.packbits(pairs[np.ix_(used, used)]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(ids_, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["gid", "ids", "similar"])
+                    gids += [gid] * (len(used) + 1)
+                    pos += range(-1, len(used))
+                    ids_ += [None, *np.array(ids, np.int64)[used].tolist()]
+                    bits += [np.packbits(pairs[np.ix_(used, used)]).tobytes(), *[None] * len(used)]
+            yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(pos, pa.int32()), pa.array(ids_, pa.int64()), pa.array(bits, pa.binary())], names=["gid", "pos", "id", "similar"])
 
-    return scratch.settle(named.join(mixed.select("gid", "of"), "gid").select("gid", "ids", "similar", "of").mapInArrow(run, "gid long, ids array<long>, similar binary"), "open")
+    rows = scratch.settle(named.join(mixed.select("gid", "of"), "gid").select("gid", "ids", "similar", "of").mapInArrow(run, "gid long, pos int, id long, similar binary"), "open")
+    return rows.where("pos >= 0").select("gid", "pos", "id"), rows.where("pos < 0").select("gid", "similar")
 
 
 # ------------------------------------------------------------------ large nodes
@@ -544,14 +559,16 @@ def block_groups(labelled: DataFrame, nodes: DataFrame, rule: Rule, block: int =
     """Groups of similar pairs of different components of the nodes, exhaustively.
 
     Only pairs with a stray can link different components. Rows and strays are dealt into blocks by a hash, and a block
-    of strays meets a block of rows in one bounded group.
+    of strays meets a block of rows in one bounded group. Trees put the same documents together many times, so each row
+    knows the first ``KNOWN`` of its nodes, and leaves a pair to the first one that it shares.
     """
     open_ = nodes.select("key", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("strays") / block).cast("int").alias("stray_blocks"))
-    rows = labelled.join(open_, "key").withColumn("h", F.xxhash64("doc_id"))
+    known = F.slice(F.array_sort(F.collect_list("key").over(Window.partitionBy("doc_id"))), 1, KNOWN)
+    rows = labelled.join(open_, "key").withColumns({"h": F.xxhash64("doc_id"), "out": (F.col("component") != F.col("main")).cast("int"), "nodes": known})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["key", "x", "y", "doc_id", "n_shingles", "component", *_SKETCH]
+    kept = ["key", "x", "y", "doc_id", "n_shingles", "component", "out", "nodes", *_SKETCH]
     own = rows.withColumns({"y": F.pmod("h", "blocks").cast("int"), "x": every("stray_blocks")}).select(*kept, F.lit(0).alias("stray"))
-    strays = rows.where("component <> main").withColumns({"x": F.pmod("h", "stray_blocks").cast("int"), "y": every("blocks")}).select(*kept, F.lit(1).alias("stray"))
+    strays = rows.where("out = 1").withColumns({"x": F.pmod("h", "stray_blocks").cast("int"), "y": every("blocks")}).select(*kept, F.lit(1).alias("stray"))
     return own.unionByName(strays).groupBy("key", "x", "y").applyInArrow(compare_blocks(rule), _FOUND)
 
 
@@ -622,8 +639,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, over: int = 80, under:
     if depth > 1:
         settle_forest(every.where("a is not null").select("a", "b", "m"), "all")
     rest = scratch.settle(labels.ends(every.where("a is not null")).where("ca <> cb").select("a", "b").distinct(), "rest")
-    groups = open_groups(every.where("ids is not null"), labels, scratch)
-    labels.unite(confirm(star_members(rest).unionByName(groups.select("gid", F.posexplode("ids").alias("pos", "id"))), groups, source, rule, scratch, "rest"))
+    inside, matrices = open_groups(every.where("ids is not null"), labels, scratch)
+    labels.unite(confirm(star_members(rest).unionByName(inside), matrices, source, rule, scratch, "rest"))
 
     ids = members.join(labels.frame.toDF("rep", "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles").join(ids, "doc_id", "left")

@@ -821,3 +821,17 @@ def test_scratch_tables_go(spark):
     scratch.keep(b)
     at = scratch.base.removeprefix("file://")
     assert len(os.listdir(at)) == 1 and b.count() == 4 and a is not b
+
+
+def test_blocks_mark_a_pair_of_several_nodes_once(spark):
+    """Three trees hold the same documents: their pairs are marked in one of them, none is lost."""
+    ids = range(1, 61)
+    component = {d: 1 if d <= 30 else d for d in ids}  # thirty strays
+    labelled = spark.createDataFrame([(k, d, 10, 0, 0, 0, 0, component[d]) for k in (5, -7, 9) for d in ids if not (k == -7 and d == 60)], f"{minhash._ROW}, component long")
+    nodes = spark.createDataFrame([(k, 1, 60, 30) for k in (5, -7, 9)], "key long, main long, n long, strays long")
+    marked = []
+    for g in minhash.block_groups(labelled, nodes, minhash.Rule(2, 80, 100), block=16).collect():
+        n = len(g["ids"])
+        for x, y in np.argwhere(np.unpackbits(np.frombuffer(g["similar"], np.uint8), count=n * n).reshape(n, n)):
+            marked.append(tuple(sorted((g["ids"][x], g["ids"][y]))))
+    assert sorted(marked) == [(a, b) for a in ids for b in ids if a < b and component[a] != component[b]]
