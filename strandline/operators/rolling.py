@@ -6,12 +6,18 @@ number of rows, so frames of long streams run in parallel chunks.
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandline.functions import arrays as A
 from strandline.operators.prefix import running_totals
-from strandline.operators.streams import framed, running_sum
+from strandline.operators.streams import framed, running_sum, with_halo
 from strandline.sources.shared import Scratch
 
 
@@ -83,6 +89,64 @@ def rolling_volatility(columns: list[str], k: int):
     return make
 
 
+def _sliding(x: np.ndarray, k: int, of, rows: int = 1024) -> np.ndarray:
+    """``of`` the (rows, columns, k) frames of ``k`` rows of ``x`` that are full, some at a time."""
+    frames = sliding_window_view(x, k, axis=0)
+    return np.concatenate([of(frames[lo : lo + rows]) for lo in range(0, len(frames), rows)])
+
+
+def _middle(frames: np.ndarray) -> np.ndarray:
+    """Medians of the last axis as ``arrays.median`` has them: missing values are last, and one that is touched is the result."""
+    k = frames.shape[-1]
+    low = (k - 1) // 2
+    high = min(low + 1, k - 1)
+    part = np.partition(frames, (low, high), axis=-1)
+    return part[..., low] + (part[..., high] - part[..., low]) * (0.0 if k % 2 else 0.5)
+
+
+def _volatility(frames: np.ndarray) -> np.ndarray:
+    away = frames - _middle(frames)[..., None]
+    radii = np.sqrt((away * away).sum(axis=1))
+    return _middle(np.abs(radii - _middle(radii)[:, None]))
+
+
+def _moves(x: np.ndarray, lengths: tuple[int, ...], k: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    present = not np.isnan(x).any()
+    moves = {}
+    for length in lengths:
+        half, moves[length] = length // 2, np.zeros_like(x)
+        if len(x) >= 2 * half:
+            mid = _sliding(x, half, (lambda f: np.median(f, axis=-1)) if present else (lambda f: np.nanmedian(f, axis=-1)))
+            moves[length][2 * half - 1 :] = np.nan_to_num((mid[half:] - mid[:-half]) / half, nan=0.0) * half
+    short = [_volatility(x[None, :t].swapaxes(1, 2)) for t in range(1, min(k, len(x) + 1))]
+    return moves, np.concatenate([*short, *([_sliding(x, k, _volatility)] if len(x) >= k else [])])
+
+
+def vector_moves(df: DataFrame, keys: list[str], position: str, columns: list[str], lengths: tuple[int, ...], k: int, rows: int = 8192) -> DataFrame:
+    """``df`` with ``v<length>``, the half differences of ``columns`` as a vector, and ``vol``, their volatility over ``k`` rows.
+
+    Values are those of ``half_difference`` and ``rolling_volatility``. All frames of a chunk are sorted side by side as one
+    array, which costs a small part of what a window function for each row, length and column does.
+    """
+    added = ", ".join([*(f"v{n} array<double>" for n in lengths), "vol double"])
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+    kept, halo = df.columns, max(*lengths, k) - 1
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(position)
+        x = np.stack([table.column(c).to_numpy().astype(float) for c in columns], axis=1)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # frames without values
+            moves, vol = _moves(x, lengths, k)
+        own = ~np.asarray(table.column("_halo").to_numpy(), bool)
+        out = table.filter(pa.array(own)).select(kept)
+        for n in lengths:
+            out = out.append_column(f"v{n}", pa.ListArray.from_arrays(pa.array(np.arange(own.sum() + 1) * len(columns), pa.int32()), pa.array(moves[n][own].ravel())))
+        return out.append_column("vol", pa.array(vol[own], from_pandas=True))
+
+    return with_halo(df, position, halo, rows).groupBy(*keys, "_chunk").applyInArrow(run, schema)
+
+
 def jump(column: str, k: int):
     return lambda w: A.positive(F.col(column) - F.percentile(F.col(column), F.lit(0.5)).over(back(w, k)))
 

@@ -708,9 +708,8 @@ ZS = [f"z_{f}" for f in B.FEATURES]
 def vector_rows(s, sf) -> DataFrame:
     """Feature vectors r with distance d, velocities over 20, 50 and 100 rows, volatility and guard; no label columns."""
     sc = S.drop_labels(L.mahalanobis(B.scores(s, sf), ZS)).withColumn("guard", S.guard_overlap(F.col("start_cycle"), F.col("end_cycle")))
-    moves = {f"_v{k}_{c}": R.half_difference(c, k) for k in (20, 50, 100) for c in ZS} | {"vol": R.rolling_volatility(ZS, 50)}
-    wide = frame(s, sf, moves, 99, sc)
-    return wide.select("dataset", "window_index", "center_cycle", "baseline_window", "guard", F.array(*ZS).alias("r"), F.col("distance").alias("d"), *[F.array(*[f"_v{k}_{c}" for c in ZS]).alias(f"v{k}") for k in (20, 50, 100)], "vol")
+    wide = R.vector_moves(sc.select("dataset", "window_index", "center_cycle", "baseline_window", "guard", "_at", *ZS, F.col("distance").alias("d")), ["dataset"], "_at", ZS, (20, 50, 100), 50)
+    return wide.select("dataset", "window_index", "center_cycle", "baseline_window", "guard", F.array(*ZS).alias("r"), "d", "v20", "v50", "v100", "vol")
 
 
 def priors(rows: DataFrame, q: float = PLATEAU_QUANTILE) -> DataFrame:

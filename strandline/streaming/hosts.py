@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,37 @@ def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
         yield {k: _plain(v) for k, v in r.items()}
 
 
+def _values(column: pa.Array, plain: bool) -> list:
+    """A column as Python values, whole buffers at a time. ``plain``: NaN is None, as ``_plain`` has it; fields of structs stay."""
+    kind = column.type
+    if pa.types.is_float64(kind):
+        x = column.to_numpy(zero_copy_only=False)
+        out = x.tolist()
+        if plain and np.isnan(x).any():
+            return [None if v != v else v for v in out]
+        return column.to_pylist() if column.null_count else out
+    if pa.types.is_integer(kind) and not column.null_count:
+        return column.to_numpy().tolist()
+    if pa.types.is_list(kind):
+        ends, flat = column.offsets.to_numpy(), _values(column.flatten(), plain)
+        if column.null_count:  # flatten() leaves out what null lists hold
+            ends = np.append(0, np.cumsum(np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(ends))))
+        out = [flat[a:b] for a, b in pairwise((ends - ends[0]).tolist())]
+        return out if not column.null_count else [v if ok else None for v, ok in zip(out, column.is_valid().to_pylist(), strict=True)]
+    if pa.types.is_struct(kind):
+        names = [kind.field(i).name for i in range(kind.num_fields)]
+        out = [dict(zip(names, v, strict=True)) for v in zip(*(_values(f, False) for f in column.flatten()), strict=True)]
+        return out if not column.null_count else [v if ok else None for v, ok in zip(out, column.is_valid().to_pylist(), strict=True)]
+    return column.to_pylist()
+
+
+def _records(batch: pa.RecordBatch, raw: list[str]) -> Iterator[dict]:
+    """The rows of a batch as a machine reads them; ``raw`` columns as they are."""
+    names = batch.schema.names
+    for v in zip(*(_values(c, n not in raw) for n, c in zip(names, batch.columns, strict=True)), strict=True):
+        yield dict(zip(names, v, strict=True))
+
+
 #: Partitions that streams are dealt to at least: few streams should not meet in one task.
 PARTITIONS = 64
 
@@ -59,22 +91,23 @@ def backfill(df: DataFrame, keys: list[str], order: str, make: Callable[[], Mach
 
     ``snapshot`` names a column whose value in a stream's first row is the state to go on from (see ``snapshots``).
     """
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow, named = to_arrow_schema(StructType.fromDDL(schema)), [*keys, order, *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, machine = None, None
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                at, body = tuple(r[k] for k in keys), r.pop(snapshot) if snapshot else None
+            for r in _records(batch, [*keys, order]):
+                at, body = tuple([r[k] for k in keys]), r.pop(snapshot) if snapshot else None
                 if machine is None or at != stream:
                     stream, machine = at, make()
                     if body:
                         _load(machine, json.loads(body))
-                row = {k: _plain(v) for k, v in r.items()}
-                made = machine.step(row)
-                out.append({**{k: r[k] for k in (*keys, order)}, **{c: _plain(made[c]) for c in columns}})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                made = machine.step(r)
+                out.append([*at, r[order], *[_plain(made[c]) for c in columns]])
+            lists = zip(*out, strict=True) if out else [[] for _ in named]
+            found = dict(zip(named, lists, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in arrow], schema=arrow)
 
     return _sorted(df, keys, order).mapInArrow(run, schema)
 

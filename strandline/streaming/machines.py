@@ -10,6 +10,7 @@ import copy
 import math
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
+from operator import mul
 
 import numpy as np
 
@@ -41,6 +42,30 @@ def sorted_middle(v: Sequence[float]) -> float:
     return v[h] if len(v) % 2 else (v[h - 1] + v[h]) / 2
 
 
+def median_of(values: Sequence[float]) -> float:
+    """The median of a few values: sorting them costs less than an array of them; NaN if one is missing."""
+    total = sum(values)
+    return float(np.median(values)) if total != total else float(sorted_middle(sorted(values)))
+
+
+def dot(a: Sequence[float], b: Sequence[float]) -> float:
+    return sum(map(mul, a, b))
+
+
+def length_of(v: Sequence[float]) -> float:
+    return math.sqrt(sum(map(mul, v, v)))
+
+
+def unit_of(v: Sequence[float], eps: float = 1e-9) -> list[float] | None:
+    size = length_of(v)
+    return [x / size for x in v] if size > eps else None
+
+
+def filled(v: Sequence[float | None]) -> list[float]:
+    """Missing components as NaN."""
+    return [math.nan if x is None else x for x in v] if None in v else list(v)
+
+
 def sorted_deviation(v: Sequence[float], mid: float) -> float:
     """The median of the distances of sorted values from ``mid``: the nearest half of them is a stretch, found by halving."""
     n = len(v)
@@ -589,34 +614,34 @@ class PlateauEngine(Machine):
             return "SLOW"
         if row.get("oos", 0.0) > self.most_oos:
             return "UNSUPPORTED"
-        new = unit(np.median(np.array(self.unguarded), axis=0) - np.array(self.reference["centre"]))
+        new = unit_of([median_of(c) - x for c, x in zip(zip(*self.unguarded, strict=True), self.reference["centre"], strict=True)])
         if new is None:
             return "ZERO"
         if self.direction is not None:
-            old = np.array(self.direction)
-            if float(new @ old) < self.near:
+            if dot(new, self.direction) < self.near:
                 return "TURNED"
-            new = unit((1 - self.eta) * old + self.eta * new)
-        self.direction = new.tolist()
+            new = unit_of([(1 - self.eta) * x + self.eta * y for x, y in zip(self.direction, new, strict=True)])
+        self.direction = new
         return "UPDATED"
 
     def step(self, row: dict) -> dict:
         at, guard, prior = row["center_cycle"], bool(row.get("guard")), row["prior"]
         if not self.began:
             self.began, self.direction = True, row.get("severe")
-        r, v20, v50, v100 = (np.array(row[k], float) for k in ("r", "v20", "v50", "v100"))
-        n20, n50, n100 = (float(np.linalg.norm(v)) for v in (v20, v50, v100))
-        cosine = float(v20 @ v100) / max(n20 * n100, 1e-9)
-        self.accelerations = [*self.accelerations, n20 - n100][-20:]
-        a20 = float(np.median(self.accelerations))
+        r, v20, v50, v100 = filled(row["r"]), filled(row["v20"]), filled(row["v50"]), filled(row["v100"])
+        n20, n50, n100 = length_of(v20), length_of(v50), length_of(v100)
+        cosine = dot(v20, v100) / max(n20 * n100, 1e-9)
+        self.accelerations.append(n20 - n100)
+        del self.accelerations[:-20]
+        a20 = median_of(self.accelerations)
         if not guard:
-            self.unguarded.append(row["r"])
+            self.unguarded.append(r)
             del self.unguarded[:-100]
         ok = at >= self.least_cycle and not guard and row["d"] > prior["d95"] and n50 < prior["v50"] and n100 < prior["v100"] and row["vol"] < prior["vol"]
         if self.locked_at is None:
             had = self.plateau.success
             if ok:
-                self.qualifying.append([row["r"], n50, a20])
+                self.qualifying.append([r, n50, a20])
                 del self.qualifying[: -self.keep]
             if self.plateau.step({"condition": ok, "guard": guard, "at": at})["phase"] == "confirmed":
                 self._lock(at)
@@ -627,17 +652,19 @@ class PlateauEngine(Machine):
         if self.reference is not None:
             f = self.reference
             z = lambda k, x: (x - f[k][0]) / f[k][1]
-            away = float(distances(r, np.array(f["centre"]), np.array(f["inverse"]))[0])
+            d = [x - y for x, y in zip(r, f["centre"], strict=True)]
+            away = math.sqrt(max(sum(x * dot(d, line) for x, line in zip(d, f["inverse"], strict=True)), 0.0))
             instability = 0.35 * z("d", away) + 0.25 * z("v", n50) + 0.20 * z("a", max(a20, 0.0)) + 0.20 * max(cosine, 0.0)
             if self.exit_at is None and self.exit.step({"condition": instability > self.limit, "guard": guard, "at": at})["phase"] == "confirmed":
                 self.exit_at = at
             if self.exit_at is not None:
                 event = self._learn(row, cosine, n50)
             if self.direction is not None:
-                along = float((r - np.array(f["centre"])) @ np.array(self.direction))
+                along = dot(d, self.direction)
                 score = 0.50 * z("p", along) + 0.20 * z("d", away) + 0.20 * z("v", n50) + 0.10 * max(cosine, 0.0)
-                self.scores = [*self.scores, score][-50:]
-        s20, s50 = (middle(self.scores[-k:]) if self.scores else None for k in (20, 50))
+                self.scores.append(score)
+                del self.scores[:-50]
+        s20, s50 = (median_of(self.scores[-k:]) if self.scores else None for k in (20, 50))
         high = score is not None and s50 > self.limit
         if self.severe_at is None and self.severe.step({"condition": high, "guard": guard, "at": at})["phase"] == "confirmed":
             self.severe_at = at

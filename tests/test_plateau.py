@@ -1,12 +1,14 @@
 """Plateau, exit and severe direction on streams that are made to go through them, against rules stated apart."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import rolling as R
 from strandline.operators import streams as S
 from strandline.plans import catalog as C
+from strandline.streaming import hosts as H
 from strandline.streaming import machines as X
 
 PRIOR = {"d95": 1.0, "v50": 0.5, "v100": 0.5, "vol": 1.0}
@@ -169,3 +171,42 @@ def test_priors_come_from_the_source_and_never_from_labels(spark):
         S.forbid_columns(shuffled)
     again = {(r["dataset"], r["window_index"]): r["event"] for r in C.plateau_run(S.drop_labels(shuffled), C.handed_on(rows, C.priors(shuffled))).collect()}
     assert again == {k: r["event"] for k, r in got.items()}
+
+
+def test_vector_moves_are_those_of_the_window_functions(spark):
+    """All frames of a chunk at once give the very values of a window function for each, missing values included."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 2)).round(2)
+    df = spark.createDataFrame([(s, k + 1, float(a), None if s == "b" and k % 37 < 12 else float(b)) for s in "ab" for k, (a, b) in enumerate(x[: 400 if s == "a" else 150])], "dataset string, _at long, a double, b double")
+    columns = {f"v{n}_{c}": R.half_difference(c, n) for n in (20, 50, 100) for c in "ab"} | {"vol": R.rolling_volatility(["a", "b"], 50)}
+    want = S.framed(df, ["dataset"], "_at", columns, 99, rows=128).orderBy("dataset", "_at").collect()
+    got = R.vector_moves(df, ["dataset"], "_at", ["a", "b"], (20, 50, 100), 50, rows=128).orderBy("dataset", "_at").collect()
+    assert len(got) == len(want) == 550
+    for g, w in zip(got, want, strict=True):
+        assert [g["dataset"], g["_at"], g["v20"], g["v50"], g["v100"], g["vol"]] == [w["dataset"], w["_at"], *([w[f"v{n}_{c}"] for c in "ab"] for n in (20, 50, 100)), w["vol"]]
+
+
+def test_a_step_of_the_plateau_sorts_no_arrays(monkeypatch):
+    """A step is a few sums and short sorted lists; arrays are made once, when the plateau locks."""
+    calls = []
+    for name in ("array", "median"):
+        monkeypatch.setattr(np, name, lambda *a, _f=getattr(np, name), **k: calls.append(1) or _f(*a, **k))
+    rows = stream()
+    calls.clear()
+    _, out = run(rows)
+    assert out[-1]["exit_at"] is not None and len(calls) < 50
+
+
+def test_rows_reach_a_machine_as_plain_values(spark):
+    """Whole columns at a time give what a row at a time gave: NaN is None but in structs, missing lists and structs stay missing."""
+    schema = pa.schema([("k", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("x", pa.float64()), ("v", pa.list_(pa.float64())), ("s", pa.struct([("p", pa.list_(pa.list_(pa.float64()))), ("q", pa.float64())]))])
+    nan = float("nan")
+    rows = [
+        {"k": "a", "at": 1, "n": None, "x": nan, "v": [1.0, nan, None], "s": {"p": [[1.0], [2.0, None]], "q": 0.5}},
+        {"k": None, "at": 2, "n": 3, "x": 1.0, "v": None, "s": None},
+        {"k": "b", "at": 3, "n": 4, "x": None, "v": [], "s": {"p": None, "q": None}},
+        {"k": "b", "at": 4, "n": 5, "x": 2.0, "v": [4.0], "s": {"p": [], "q": 1.5}},
+    ]
+    batch = pa.RecordBatch.from_pylist(rows, schema=schema)
+    for part in (batch, batch.slice(1), batch.slice(3), batch.slice(1, 2)):
+        assert list(H._records(part, ["k", "at"])) == [{k: H._plain(v) for k, v in r.items()} for r in part.to_pylist()]
