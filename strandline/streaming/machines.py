@@ -784,10 +784,12 @@ class PrototypeMemory(Machine):
         self.quality: list[list[float]] = []
 
     @staticmethod
-    def posterior(x: np.ndarray, prototypes, variances) -> np.ndarray:
-        d = -0.5 * ((x - np.asarray(prototypes)) ** 2 / np.maximum(np.asarray(variances), 1e-5)).sum(axis=1)
-        p = np.exp(d - d.max())
-        return p / p.sum()
+    def posterior(x: Sequence[float], prototypes, variances) -> list[float]:
+        d = [-0.5 * sum([(a - b) * (a - b) / max(v, 1e-5) for a, b, v in zip(x, m, s, strict=True)]) for m, s in zip(prototypes, variances, strict=True)]
+        most = max(d)
+        p = [math.exp(a - most) for a in d]
+        total = sum(p)
+        return [a / total for a in p]
 
     @staticmethod
     def ordered(prototypes, source) -> bool:
@@ -825,7 +827,7 @@ class PrototypeMemory(Machine):
             self.saved = {"at": index, "quality": np.mean(self.quality[-20:], axis=0).tolist(), **copy.deepcopy({k: getattr(self, k) for k in ("prototypes", "variances", "teacher", "support")})}
             event = "CHECKPOINT"
         if self.saved and index - self.saved["at"] >= 100 and len(self.quality) == 100:
-            (now, h), (then, h0) = np.mean(self.quality, axis=0), self.saved["quality"]
+            (now, h), (then, h0) = (sum(c) / 100 for c in zip(*self.quality, strict=True)), self.saved["quality"]
             if h > h0 and now < then and not self.ordered(self.prototypes, source):
                 for k in ("prototypes", "variances", "teacher", "support"):
                     setattr(self, k, copy.deepcopy(self.saved[k]))
@@ -834,20 +836,20 @@ class PrototypeMemory(Machine):
 
     def step(self, row: dict) -> dict:
         index, guard = row["window_index"], bool(row.get("guard"))
-        source, spread_ = np.array(row["source"]["prototypes"], float), np.array(row["source"]["variances"], float)
+        source, spread_ = ([filled(v) for v in row["source"][c]] for c in ("prototypes", "variances"))
         if self.prototypes is None:
-            self.prototypes, self.variances, self.teacher = source.tolist(), spread_.tolist(), source.tolist()
-        x = np.array([math.nan if v is None else v for v in row["x"]], float)
-        missing = not np.isfinite(x).all()
-        x = np.where(np.isfinite(x), x, 0.0)
+            self.prototypes, self.variances, self.teacher = ([list(v) for v in of] for of in (source, spread_, source))
+        x = [0.0 if v is None or not math.isfinite(v) else v for v in row["x"]]
+        missing = not all(v is not None and math.isfinite(v) for v in row["x"])
         static, taught = self.posterior(x, source, spread_), self.posterior(x, self.teacher, self.variances)
-        made = self.filter.step({"observation": (0.5 * static + 0.5 * self.posterior(x, self.prototypes, self.variances)).tolist()})
-        q = np.array(made["posterior"])
-        k, confidence = int(q.argmax()), float(q.max())
-        entropy = float(-(q * np.log(np.clip(q, 1e-8, 1))).sum())
-        mid = (static + taught) / 2
-        js = float(0.5 * (static * np.log(np.clip(static / mid, 1e-8, None))).sum() + 0.5 * (taught * np.log(np.clip(taught / mid, 1e-8, None))).sum())
-        agree, upset = int(static.argmax()) == int(taught.argmax()), row["tes"] > row["source"]["tes99"]
+        made = self.filter.step({"observation": [0.5 * a + 0.5 * b for a, b in zip(static, self.posterior(x, self.prototypes, self.variances), strict=True)]})
+        q = made["posterior"]
+        confidence = max(q)
+        k = q.index(confidence)
+        entropy = -sum([p * math.log(min(max(p, 1e-8), 1.0)) for p in q])
+        mid = [(a + b) / 2 for a, b in zip(static, taught, strict=True)]
+        js = sum([0.5 * sum([p * math.log(max(p / m, 1e-8)) for p, m in zip(view, mid, strict=True)]) for view in (static, taught)]) if min(mid) != 0 else math.nan
+        agree, upset = static.index(max(static)) == taught.index(max(taught)), row["tes"] > row["source"]["tes99"]
         least, most_js, gap, most_entropy = self.limits
         checks = (
             ("LOW_CONFIDENCE", confidence >= least), ("DISAGREEMENT", agree), ("HIGH_JS", js <= most_js), ("LOW_MARGIN", made["margin"] >= gap), ("HIGH_ENTROPY", entropy <= most_entropy),
@@ -855,13 +857,13 @@ class PrototypeMemory(Machine):
         )
         reason, event = next((name for name, passed in checks if not passed), ""), ""
         if not reason:
-            event = self._move(x, k, confidence, source, index)
-            self._remember(x, k, confidence, index)
+            event = self._move(np.array(x), k, confidence, np.array(source), index)
+            self._remember(np.array(x), k, confidence, index)
             self.teacher = (self.decay * np.array(self.teacher) + (1 - self.decay) * np.array(self.prototypes)).tolist()
         disturbed = guard or upset
         if disturbed and not self.triggered and index > self.until:
             self.until, event = index + self.freeze, event or "FREEZE"
         self.triggered, self.was = disturbed, k
         event = self._guard_quality(float(agree), entropy, source, index) or event
-        drift = float(np.linalg.norm(np.array(self.prototypes) - source, axis=1).max())
+        drift = math.sqrt(max(sum([(a - b) * (a - b) for a, b in zip(m, s, strict=True)]) for m, s in zip(self.prototypes, source, strict=True)))
         return {"stage": k + 1, "confidence": confidence, "entropy": entropy, "margin": made["margin"], "js": js, "reason": reason, "event": event, "support": sum(self.support), "remembered": sum(map(len, self.memory)), "drift": drift}

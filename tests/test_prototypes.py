@@ -118,3 +118,12 @@ def test_snapshots_replay():
     tail = [m.step(r) for r in rows[450:]]
     m.restore(saved)
     assert [m.step(r) for r in rows[450:]] == tail
+
+
+def test_a_step_that_learns_nothing_makes_few_arrays(monkeypatch):
+    """Views of a row are sums over short lists; arrays serve the filter and accepted rows."""
+    calls, m = [], X.PrototypeMemory()
+    rows = [{**r, "guard": 1} for r in rows_of(n=200)]
+    for name in ("array", "asarray", "exp", "log"):
+        monkeypatch.setattr(np, name, lambda *a, _f=getattr(np, name), **k: calls.append(1) or _f(*a, **k))
+    assert all(m.step(r)["reason"] for r in rows) and len(calls) <= 3 * len(rows) + 200
